@@ -24,8 +24,16 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(n))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python in batches of bounded size, unless the session has set its own."""
+    for name, ours, usual in (("maxRecordsPerBatch", "2000", "10000"), ("maxBytesPerBatch", "16m", "67108864b")):
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}", usual) == usual:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", ours)
+
+
 def plain(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only (doc_id, text): further columns, whatever their names, stay out of an operator's way."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
 

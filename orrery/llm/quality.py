@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.common import fold, plain
-from orrery.llm.factorisation import Machine, fit, pack, predict
+from orrery.llm.factorisation import Machine, fit, pack, pack_bytes, predict
 from orrery.llm.labelled import FOLDS, labelled_sample
 
 #: Buckets of hashed words, bins of each statistic, factors of an interaction.
@@ -67,16 +67,18 @@ def buckets(found: dict[bytes, int]) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """docs: (doc_id, text). Fitted on a bounded sample of labelled rows that are not held out."""
 
-    @F.pandas_udf("stats array<double>, bucket array<int>")
+    @F.pandas_udf("stats binary, bucket binary")
     def extract(texts: pd.Series) -> pd.DataFrame:
-        rows = [statistics(t) for t in texts]
-        return pd.DataFrame([(s, buckets(f)) for s, f in rows], columns=["stats", "bucket"])
+        rows = (statistics(t) for t in texts)
+        return pd.DataFrame([(np.array(s, np.float64).tobytes(), buckets(f).astype(np.int16).tobytes()) for s, f in rows], columns=["stats", "bucket"])
 
     sample = labelled_sample(docs, labels, "quality")
     rows = sample.select("label", extract("text").alias("f")).select("label", "f.*").toPandas()  # bounded: labelled.SAMPLE
-    stats = np.array(rows["stats"].tolist(), float).reshape(-1, WIDTH)
+    stats = np.frombuffer(b"".join(rows["stats"])).reshape(-1, WIDTH)
     edges = np.quantile(stats, (np.arange(BINS) + 0.5) / BINS, axis=0).T if len(stats) else np.zeros((WIDTH, BINS))
-    x = pack([features(edges, s, np.asarray(b)) for s, b in zip(stats, rows["bucket"], strict=True)])
+    made = (features(edges, s, np.frombuffer(b, np.int16).astype(np.int64)) for s, b in zip(stats, rows["bucket"], strict=True))
+    made = [(i.astype(np.int32).tobytes(), v.astype(np.float32).tobytes()) for i, v in made]
+    x = pack_bytes([i for i, _ in made], [v for _, v in made])
     gold = rows["label"].to_numpy(float) if len(rows) else np.empty(0)
     return Model(edges, fit(x, gold, 1 + WIDTH * (BINS + 1) + BUCKETS, RANK))
 

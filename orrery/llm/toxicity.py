@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.common import fold, plain
-from orrery.llm.factorisation import Machine, fit, pack, predict
+from orrery.llm.factorisation import Machine, fit, pack, pack_bytes, predict
 from orrery.llm.labelled import FOLDS, labelled_sample
 
 # Common insults, by kind.
@@ -166,20 +166,20 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     sample = labelled_sample(docs, labels, "toxic")
     voters = choose_voters(sample)
 
-    @F.pandas_udf("votes array<boolean>, index array<int>, value array<float>")
+    @F.pandas_udf("votes binary, index binary, value binary")
     def extract(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([features(voters, t) for t in texts], columns=["votes", "index", "value"])
+        rows = (features(voters, t) for t in texts)
+        return pd.DataFrame([(v.tobytes(), i.astype(np.int32).tobytes(), x.astype(np.float32).tobytes()) for v, i, x in rows], columns=["votes", "index", "value"])
 
     rows = sample.select("label", extract("text").alias("f")).select("label", "f.*").toPandas()  # bounded: labelled.SAMPLE
     gold = rows["label"].to_numpy(float) if len(rows) else np.empty(0)
     share = float(np.clip((gold.sum() + 0.5) / (len(gold) + 1), 0.01, 0.99))
     toxic, clean, weight = label_model(moments(docs, voters), voters.n, share)
-    votes = np.array(rows["votes"].tolist(), float).reshape(-1, voters.n)
+    votes = np.frombuffer(b"".join(rows["votes"]), np.bool_).reshape(-1, voters.n).astype(float)
     odds = np.log(share / (1 - share)) + votes @ (weight * np.log(toxic / clean)) + (1 - votes) @ (weight * np.log((1 - toxic) / (1 - clean)))
     odds += np.where(gold > 0, 1, -1) * np.log((1 - SLIP) / SLIP)
     posterior = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-    x = pack(list(zip(rows["index"], rows["value"], strict=True)))
-    return Model(voters, fit(x, posterior, 1 + 2 * voters.n + BUCKETS, rank=0))
+    return Model(voters, fit(pack_bytes(rows["index"], rows["value"]), posterior, 1 + 2 * voters.n + BUCKETS, rank=0))
 
 
 def score_column(docs: DataFrame, model: Model, text: Column) -> Column:

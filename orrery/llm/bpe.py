@@ -17,10 +17,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models
 
+from orrery.llm.common import small_batches
 from orrery.llm.token_counts import read_ranks
 
 #: Cuts that a worker remembers at most, the longest cut that is remembered, and characters looked at together.
-MEMO_ENTRIES, MEMO_CHARS, CHUNK_CHARS = 400_000, 64, 1 << 20
+MEMO_ENTRIES, MEMO_CHARS, CHUNK_CHARS = 150_000, 64, 1 << 19
 #: White_Space of Unicode, as Rust's pattern library has it; Python's own class holds four controls more.
 SPACE = r"\t-\r \x85\xa0  -     　"
 
@@ -102,6 +103,7 @@ class ByteBpe:
     """Columns of encodings by one rank file. Null texts are encoded as empty ones (no tokens)."""
 
     def __init__(self, spark: SparkSession, path: str, pattern: str):
+        small_batches(spark)
         self.shared = spark.sparkContext.broadcast((read_ranks(spark, path), pattern))
 
     def encode(self, text: Column, offsets: bool = False) -> Column:

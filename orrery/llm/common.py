@@ -26,7 +26,7 @@ def fold(doc_id: Column, n: int) -> Column:
 
 def small_batches(spark: SparkSession) -> None:
     """Texts go to Python in batches of bounded size, unless the session has set its own."""
-    for name, ours, usual in (("maxRecordsPerBatch", "2000", "10000"), ("maxBytesPerBatch", "16m", "67108864b")):
+    for name, ours, usual in (("maxRecordsPerBatch", "1000", "10000"), ("maxBytesPerBatch", "8m", "67108864b")):
         if spark.conf.get(f"spark.sql.execution.arrow.{name}", usual) == usual:
             spark.conf.set(f"spark.sql.execution.arrow.{name}", ours)
 

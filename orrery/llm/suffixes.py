@@ -137,10 +137,10 @@ def test_blocks(benchmark: DataFrame, window: int) -> list[Tests]:
 
 
 def scan(text: Column, tests: Tests, window: int, df: DataFrame) -> Column:
-    """struct(n_words, spans (hit words as runs), items, longest, longest_at) of each document against one block of tests."""
+    """struct(n_words, n_hit, spans (hit words as runs), items, longest, longest_at) of each document against one block of tests."""
     shared = df.sparkSession.sparkContext.broadcast(tests)
 
-    @F.pandas_udf("n_words long, spans array<int>, items array<string>, longest long, longest_at long")
+    @F.pandas_udf("n_words long, n_hit long, spans array<int>, items array<string>, longest long, longest_at long")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         tests = shared.value
         for texts in batches:
@@ -165,8 +165,8 @@ def scan(text: Column, tests: Tests, window: int, df: DataFrame) -> Column:
                     found[d] = (*found[d][:2], int(length[x]), int(place[x] - begins[d]))
                 for d, n in enumerate(sizes):
                     spans, items, most, where = found.get(d, ((), (), 0, -1))
-                    rows.append((n, list(spans), sorted(i for i in items if i is not None), most, where))
-            yield pd.DataFrame(rows, columns=["n_words", "spans", "items", "longest", "longest_at"])
+                    rows.append((n, sum(spans[1::2]) - sum(spans[::2]), list(spans), sorted(i for i in items if i is not None), most, where))
+            yield pd.DataFrame(rows, columns=["n_words", "n_hit", "spans", "items", "longest", "longest_at"])
 
     return run(text)
 
@@ -179,17 +179,19 @@ def contamination_column(docs: DataFrame, benchmark: DataFrame, text: Column, wi
     an item with a null id marks words but cannot be named; repeated ids are named once.
     """
     blocks = [scan(text, t, window, docs) for t in test_blocks(benchmark, window)]
+    if len(blocks) == 1:  # nothing to unite: one Python worker for a task instead of two
+        return blocks[0]
 
     @F.pandas_udf("n_words long, n_hit long, items array<string>, longest long, longest_at long")
     def merge(*found: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for parts in zip(*(f.itertuples(index=False, name=None) for f in found), strict=True):
-            runs = sorted((int(p[1][i]), int(p[1][i + 1])) for p in parts for i in range(0, len(p[1]), 2))
+            runs = sorted((int(p[2][i]), int(p[2][i + 1])) for p in parts for i in range(0, len(p[2]), 2))
             hit, end = 0, 0
             for a, b in runs:
                 hit, end = hit + max(0, b - max(a, end)), max(end, b)
-            best = max(parts, key=lambda p: (p[3], -p[4]))
-            rows.append((parts[0][0], hit, sorted({x for p in parts for x in p[2]}), best[3], best[4]))
+            best = max(parts, key=lambda p: (p[4], -p[5]))
+            rows.append((parts[0][0], hit, sorted({x for p in parts for x in p[3]}), best[4], best[5]))
         return pd.DataFrame(rows, columns=["n_words", "n_hit", "items", "longest", "longest_at"])
 
     return merge(*blocks)

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orrery.llm.common import small_batches
+
 #: A vocabulary file is broadcast; one larger than this is refused, so that what is broadcast has a fixed bound.
 MAX_VOCABULARY_BYTES = 64 << 20
 
@@ -97,6 +99,7 @@ def token_counts(docs: DataFrame, vocabulary: Iterable[bytes], id_col: str = "do
     piece. Null and empty texts have zero words. Repeated rows and repeated or null ids give one row each; other columns
     are ignored. No shuffle: a batch keeps one count for each of its different words.
     """
+    small_batches(docs.sparkSession)
     machine = docs.sparkSession.sparkContext.broadcast(build(vocabulary))
 
     @F.pandas_udf("n_words long, n_pieces long, n_unknown long")

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from orrery.llm.common import keep
 
-#: Rows that pivots are drawn from, pivots, and the most rows and queries that one task's group holds.
-SAMPLE, PIVOTS, BLOCK = 8192, 128, 2048
+#: Rows that pivots are drawn from, pivots, about the rows and queries that one task's group holds, queries scored together.
+SAMPLE, PIVOTS, BLOCK, STEP = 8192, 128, 2048, 256
 
 
 def whole_numbers(vector: Column) -> Column:
@@ -59,12 +59,20 @@ def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a.astype(float) @ b.T.astype(float)).astype(np.int64) if largest < 2**53 else a @ b.T
 
 
-def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k highest scores, ties to the smaller id."""
-    at = np.arange(len(ids))
-    if len(at) > k:
-        at = np.flatnonzero(scores >= np.partition(scores, -k)[-k])
-    return at[np.lexsort((ids[at], -scores[at]))[:k]]
+def best(own: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> pd.DataFrame:
+    """The k highest scores of each query over rows of other ids, ties to the smaller id, a few queries at a time."""
+    order = np.argsort(ids, kind="stable")
+    ids, x, out = ids[order], x[order], []
+    for a in range(0, len(own), STEP):
+        score = inner(q[a : a + STEP], x)
+        other = ids[None, :] != own[a : a + STEP, None]
+        # the highest first, in the order of ids where equal; the query's own row comes last
+        at = np.argsort(np.where(other, ~score, np.iinfo(np.int64).max), axis=1, kind="stable")[:, : k + 1]
+        i = np.repeat(np.arange(len(at)), at.shape[1])
+        j, fits = at.ravel(), np.take_along_axis(other, at, 1)
+        fits = (fits & (np.cumsum(fits, 1) <= k)).ravel()
+        out.append(pd.DataFrame({"query_id": own[a + i[fits]], "vec_id": ids[j[fits]], "score": score[i[fits], j[fits]]}))
+    return pd.concat(out)
 
 
 def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -104,14 +112,9 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id
         by = ["cell", "block", "pack"]
 
         def meet(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-            out = []
             if len(q) and len(x):
-                ids, scores = x["vec_id"].to_numpy(), inner(stack(q["q"], width), stack(x["v"], width))
-                for own, s in zip(q["query_id"].to_numpy(), scores, strict=True):
-                    other = ids != own
-                    at = best(ids[other], s[other], k)
-                    out.append(pd.DataFrame({"query_id": own, "vec_id": ids[other][at], "score": s[other][at]}))
-            return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+                return best(q["query_id"].to_numpy(), stack(q["q"], width), x["vec_id"].to_numpy(), stack(x["v"], width), k)
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
 
         return a.select(*by, "query_id", "q").groupBy(*by).cogroup(d.select(*by, "vec_id", "v").groupBy(*by)).applyInPandas(meet, "query_id long, vec_id long, score long")
 

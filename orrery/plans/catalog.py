@@ -1,6 +1,6 @@
 """All queries: importing this module enters them."""
 
-from orrery.operators import audits, boxes, graph, masks, relational, reid, release, series, tracks  # noqa: F401
+from orrery.operators import audits, boxes, graph, masks, poses, relational, reid, release, series, tracks  # noqa: F401
 from orrery.plans.registry import QUERIES, SQL  # noqa: F401
 
 FLAGSHIP = "wn01_rank_of_first_hit"

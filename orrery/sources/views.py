@@ -1,7 +1,7 @@
 """Observation tables that stand on the driver's tables, by the same rules in Spark and (VIEWS) in plain SQL.
 
 emb: embeddings of sequences by subject, status, sequence number and view angle. item: embeddings by identity, condition
-and collection. box: detections in frames. series: samples of a value by label. px: mask pixels of two kinds. kp: joints.
+and collection. box: detections in frames. series: samples of a value by label. px: mask pixels of two kinds. kp: joints. pose: joints along clips.
 frames: people by frame of a clip. edge: a processing graph. expect: expected against measured values.
 """
 
@@ -18,6 +18,7 @@ VIEWS = {
     "series": "SELECT user_id AS label, epoch_us(ts) AS us, event_id AS ord, event_type AS ident, CAST(value AS DOUBLE) AS value, CASE WHEN event_id % 10 <> 0 THEN CAST(value AS DOUBLE) END AS gappy FROM events",
     "px": "SELECT DISTINCT CASE WHEN l_returnflag = 'N' THEN 'raw' ELSE 'out' END AS kind, CAST(l_orderkey % 40 AS INTEGER) AS frame, CAST(l_partkey % 24 AS INTEGER) AS y, CAST((l_suppkey + l_linenumber * 5) % 24 AS INTEGER) AS x FROM lineitem",
     "kp": "SELECT l_orderkey AS frame, CAST(l_partkey % 17 AS INTEGER) AS joint, avg(CAST(l_partkey % 600 AS DOUBLE)) AS x, avg(CAST((l_suppkey * 37) % 300 AS DOUBLE)) AS y, max(1 - CAST(l_tax AS DOUBLE) * 10) AS conf FROM lineitem GROUP BY 1, 2",
+    "pose": "SELECT l_orderkey // 4096 AS clip, CAST(l_orderkey % 64 AS INTEGER) AS frame, CAST(l_partkey % 17 AS INTEGER) AS joint, avg(CAST(l_partkey % 600 AS DOUBLE)) AS x, avg(CAST((l_suppkey * 37) % 300 AS DOUBLE)) AS y FROM lineitem GROUP BY 1, 2, 3",
     "frames": "SELECT conv_id AS clip, turn AS frame, role AS ident, CAST(length(text) % 4 AS INTEGER) AS n FROM conversations",
     "edge": "SELECT p_partkey AS node, p_partkey // 2 AS parent, p_brand AS class, p_size % 5 = 0 AS muted FROM part",
     "expect": "SELECT n_name AS arm, CAST(n_nationkey * 100 + 3000 AS DOUBLE) AS expected, 1500.0::DOUBLE AS tol, n_nationkey AS k FROM nation",
@@ -69,6 +70,11 @@ def kp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.expr("avg(cast(l_partkey % 600 AS double)) AS x"), F.expr("avg(cast((l_suppkey * 37) % 300 AS double)) AS y"), F.expr("max(1 - cast(l_tax AS double) * 10) AS conf"))
 
 
+def pose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey div 4096 AS clip", "cast(l_orderkey % 64 AS int) AS frame", "cast(l_partkey % 17 AS int) AS joint", "cast(l_partkey % 600 AS double) AS x", "cast((l_suppkey * 37) % 300 AS double) AS y")
+    return rows.groupBy("clip", "frame", "joint").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").selectExpr("conv_id AS clip", "turn AS frame", "role AS ident", "cast(length(text) % 4 AS int) AS n")
 

@@ -56,14 +56,14 @@ def rebuilt(axis: str, joint: int) -> str:
 
 @query(
     _body + ", s AS (SELECT clip, frame, path.joint, sum(scale * dx) AS dx, sum(scale * dy) AS dy, count(*) AS n FROM path JOIN vec USING (child) GROUP BY ALL), need AS (SELECT joint, count(*) AS n FROM path GROUP BY joint)"
-    " SELECT s.clip, s.frame, s.joint, round(r.x + dx, 6) AS x, round(r.y + dy, 6) AS y FROM s JOIN need ON need.joint = s.joint AND need.n = s.n JOIN body r ON r.clip = s.clip AND r.frame = s.frame AND r.joint = 17",
+    " SELECT s.clip, s.frame, s.joint, round(r.x + dx, 9) AS x, round(r.y + dy, 9) AS y FROM s JOIN need ON need.joint = s.joint AND need.n = s.n JOIN body r ON r.clip = s.clip AND r.frame = s.frame AND r.joint = 17",
     "pose",
 )
 def po02_rebuilt_skeleton(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PO02: forward kinematics, every bone scaled by its group; a joint with a missing bone on its way is left out."""
     joints = ", ".join(f"named_struct('joint', {j}, 'x', {rebuilt('x', j)}, 'y', {rebuilt('y', j)})" for j in range(17))
     out = bodies(views.pose(spark, sf_dir)).selectExpr("clip", "frame", f"inline(array({joints}))").filter("x is not null")
-    return out.select("clip", "frame", "joint", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+    return out.select("clip", "frame", "joint", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"))
 
 
 @query(_body + " SELECT clip, child, grp, count(*) AS n, round(avg(sqrt(dx * dx + dy * dy)), 4) AS length, round(avg(sqrt(dx * dx + dy * dy)) * min(scale), 4) AS length_after FROM vec GROUP BY clip, child, grp", "pose")

@@ -1,13 +1,18 @@
-"""Operator 9, licence scans: lines and whole texts against licence notices by the Dice coefficient of word bigrams.
+"""Operator 9, licence scans: runs of words against licence texts and notices by the Dice coefficient of word bigrams.
 
 Functions of DataFrames only: no Python runs on the executors and nothing is shuffled. A notice of b bigrams can reach
 the threshold t only with texts of t/(2-t)*b to (2-t)/t*b bigrams; others are passed over without looking at words.
+
+A best run of words begins and ends where a stretch of the template's bigrams does: a bigram of the template next to
+a run never lowers its coefficient, and one of others at its end never raises it. So only those runs are compared.
 """
 
 from __future__ import annotations
 
 import math
 import string
+import zlib
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +40,9 @@ NOTICES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 
+#: Full texts of licences, and (NAME.header.txt) the headers by which files are put under them; looked for in runs of words.
+TEXTS = [(p.name.removesuffix(".txt").removesuffix(".header"), p.read_text()) for p in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))]
+
 
 def bigrams(text: str) -> list[str]:
     """Different word bigrams of a notice: A-Z in lower case, words of letters and digits."""
@@ -47,18 +55,44 @@ def words_column(text: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(lower, r"[^\p{L}\p{N}]+", " ")), " ")
 
 
-def licence_scan(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", notices: list[tuple[str, str]] | None = None) -> DataFrame:
+def best_run(b: list[str], threshold: float) -> str:
+    """SQL of the best Dice coefficient, 0 if under ``threshold``, of any run of the bigrams ``g`` with a template; ``h``: places to look at.
+
+    A run has no more than ``most`` different bigrams; where so many are met soon (in ``wide`` places), later ends are left out.
+    """
+    least, most = math.ceil(threshold / (2 - threshold) * len(b) - 1e-9), math.floor((2 - threshold) / threshold * len(b) + 1e-9)
+    wide = 4 * len(b) + 64
+    let = lambda value, name, body: f"transform(array({value}), {name} -> {body})[0]"
+    size, places = lambda a, low, n: f"size(array_distinct(slice({a}, {low} + 1, {n})))", "sequence(0, size(pos) - 1)"
+    dice = let(size("g", "s.i", "pos[k] - s.i + 1"), "n", f"if(n between {least} and {most}, 2.0D * {size('hit', 's.k', 'k - s.k + 1')} / (n + {len(b)}), 0.0D)")
+    starts = f"transform(filter({places}, k -> k = 0 or pos[greatest(k, 1) - 1] < pos[k] - 1), k -> struct(k, pos[k] AS i, if({size('g', 'pos[k]', wide)} > {most}, pos[k] + {wide}, size(g)) AS stop))"
+    ends = f"filter({places}, k -> k = size(pos) - 1 or pos[least(k + 1, size(pos) - 1)] > pos[k] + 1)"
+    every = f"array_max(flatten(transform({starts}, s -> transform(filter(ends, k -> k - s.k + 1 >= {least} and pos[k] < s.stop), k -> {dice}))))"
+    best = let("filter(h, p -> array_contains(own, g[p]))", "pos", let("transform(pos, p -> g[p])", "hit", let(ends, "ends", every)))
+    found = let(f"array_intersect(transform(h, p -> g[p]), split('{'|'.join(b)}', '[|]'))", "own", f"if(size(own) >= {least}, {best}, 0.0D)")
+    return f"if(size(h) >= {least}, coalesce({found}, 0.0D), 0.0D)"
+
+
+#: Places of a table by crc32 that tells most bigrams that no template has from the others.
+FILTER = 1 << 18
+
+
+def licence_scan(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", notices: list[tuple[str, str]] | None = None, texts: list[tuple[str, str]] | None = None) -> DataFrame:
     """One row per document: doc_id, n_units, n_matched, licences (sorted names), best_licence, best_dice.
 
     Units are the lines that are not empty and, if there are several, the whole text. A unit matches a notice if the
     Dice coefficient of their sets of word bigrams is at least ``threshold``; ties for the best go to the later name.
     Null and blank texts have no units (n_units 0, no licence, best_dice 0). Further columns are ignored; repeated rows
-    and ids give a row each. The notices are a parameter held in the plan, so they must be few (512 at most).
+    and ids give a row each. ``texts`` (full texts and headers; TEXTS unless notices are given) are looked for in every run of
+    consecutive words, whatever lines it lies in; notices too, where no unit matches their name and the whole text is
+    beyond their bounds (within them it was compared as a whole). A name found only so counts once in n_matched. The notices are a parameter held in the plan, so they must be few (512 at most).
     """
     pairs = [(name, bigrams(t)) for name, t in (NOTICES if notices is None else notices)]
     pairs = [(name, b) for name, b in pairs if b]
     if len(pairs) > 512:
         raise ValueError("over 512 notices: scan in several calls")
+    texts = [(name, bigrams(t)) for name, t in (TEXTS if texts is None and notices is None else texts or [])]
+    whole = pairs + [(name, b) for name, b in texts if b]
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     least = min((math.ceil(low * len(b) - 1e-9) for _, b in pairs), default=1)
     most = max((math.floor(high * len(b) + 1e-9) for _, b in pairs), default=0)
@@ -76,12 +110,25 @@ def licence_scan(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id"
     lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
     units = F.when(F.size(lines) > 1, F.concat(lines, F.array(text))).otherwise(lines)
     out = docs.select(F.col(id_col).alias("doc_id"), units.alias("units"))
-    out = out.select("doc_id", F.size("units").cast("long").alias("n_units"), F.filter(F.transform("units", words_column), lambda w: F.size(w) > least).alias("w"))
-    pair = lambda w: F.array_distinct(F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b)))
-    out = out.select("doc_id", "n_units", F.filter(F.transform("w", pair), lambda b: F.size(b).between(least, most)).alias("b"))
+    out = out.select("doc_id", F.size("units").cast("long").alias("n_units"), F.transform("units", words_column).alias("w")).withColumn("g", F.try_element_at("w", F.lit(-1)))
+    pairs_of = lambda w: F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
+    out = out.select("doc_id", "n_units", F.filter("w", lambda w: F.size(w) > least).alias("w"), F.when(F.size("g") > 1, pairs_of(F.col("g"))).otherwise(F.array().cast("array<string>")).alias("g"))
+    out = out.select("doc_id", "n_units", "g", F.filter(F.transform("w", lambda w: F.array_distinct(pairs_of(w))), lambda b: F.size(b).between(least, most)).alias("b"))
     near = F.filter(F.col("b"), lambda b: F.arrays_overlap(b, array(sorted({x for _, notice in pairs for x in notice})))) if pairs else F.col("b")
-    out = out.select("doc_id", "n_units", F.filter(F.transform(near, compare), lambda m: F.size(m) > 0).alias("m"))
-    out = out.select("doc_id", "n_units", F.size("m").cast("long").alias("n_matched"), F.flatten("m").alias("m"))
+    known = bytearray(FILTER)
+    for x in {x for _, b in whole for x in b}:
+        known[zlib.crc32(x.encode()) % FILTER] = 1
+    maybe = lambda p: F.substring(F.lit(bytes(known)), (F.crc32(F.col("g")[p]) % FILTER).cast("int") + 1, F.lit(1)) == F.lit(b"\x01")
+    places = F.when(F.size("g") > 0, F.filter(F.sequence(F.lit(0), F.greatest(F.size("g") - 1, F.lit(0))), maybe)).otherwise(F.array().cast("array<int>"))
+    out = out.select("doc_id", "n_units", "g", F.filter(F.transform(near, compare), lambda m: F.size(m) > 0).alias("m"), places.alias("h"))
+    out = out.select("doc_id", "n_units", "g", "h", F.size("m").cast("long").alias("n_matched"), F.flatten("m").alias("m"))
+    looked = [(F.size(F.array_distinct("g")) > math.floor(high * len(b) + 1e-9)) & ~F.array_contains(F.col("m")["name"], name) for name, b in pairs] + [F.lit(True)] * (len(whole) - len(pairs))
+    runs = [F.when(look, F.struct(F.expr(best_run(b, threshold)).alias("dice"), F.lit(name).alias("name"))) for (name, b), look in zip(whole, looked, strict=True)]
+    fewest = min((math.ceil(low * len(b) - 1e-9) for _, b in whole), default=1)
+    none = F.array().cast("array<struct<dice:double,name:string>>")
+    more = F.when(F.size("h") >= fewest, F.filter(F.array(*runs), lambda r: r["dice"] >= threshold)).otherwise(none) if runs else none
+    out = out.select("doc_id", "n_units", "n_matched", "m", more.alias("r"))
+    out = out.select("doc_id", "n_units", (F.col("n_matched") + F.size(F.array_except(F.col("r")["name"], F.col("m")["name"]))).alias("n_matched"), F.concat("m", "r").alias("m"))
     return out.select(
         "doc_id", "n_units", "n_matched",
         F.concat_ws(",", F.array_sort(F.array_distinct(F.transform("m", lambda m: m["name"])))).alias("licences"),

@@ -1,8 +1,10 @@
+import random
 import re
 
 from cases import AWKWARD, awkward, empty
 
 from orrery.llm.licences import NOTICES, bigrams, licence_scan
+from orrery.llm.licences import TEXTS as TEXTS_OF_LICENCES
 
 
 def slow(text, threshold=0.8):
@@ -50,3 +52,51 @@ def test_awkward_tables(spark):
 def test_no_python_in_the_plan(spark):
     plan = licence_scan(awkward(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def brute(text, template, threshold=0.8):
+    """The best coefficient of all runs of words, one by one."""
+    w = re.sub(r"[\W_]+", " ", text.lower()).split()
+    g, t = [f"{a} {b}" for a, b in zip(w, w[1:])], set(bigrams(template))
+    best = 0.0
+    for i in range(len(g)):
+        run = set()
+        for x in g[i:]:
+            run.add(x)
+            best = max(best, 2 * len(run & t) / (len(run) + len(t)))
+    return round(best, 6) if best >= threshold else 0.0
+
+
+def test_runs_of_words(spark):
+    rnd = random.Random(5)
+    template = "alpha beta gamma delta alpha beta epsilon zeta eta theta"
+    texts = []
+    for _ in range(300):
+        w = [rnd.choice("alpha beta gamma delta epsilon zeta eta theta other words here".split()) for _ in range(rnd.randrange(12))]
+        for _ in range(rnd.randrange(3)):
+            copy = template.split()
+            for _ in range(rnd.randrange(3)):
+                copy[rnd.randrange(len(copy))] = rnd.choice(("other", "alpha"))
+            w += [*copy, *(rnd.choice(("other", "x", "y", "beta")) for _ in range(rnd.randrange(8)))]
+        texts.append("".join(x + rnd.choice((" ", " ", "\n")) for x in w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in licence_scan(docs, notices=[], texts=[("T", template)]).collect()}
+    lines = {r.doc_id for r in got.values() if any(brute(x, template) for x in texts[r.doc_id].split("\n"))}
+    assert {i for i, r in got.items() if r.licences} == {i for i, t in enumerate(texts) if brute(t, template)} > lines
+    assert all(r.best_dice == brute(texts[i], template) and r.n_matched == bool(r.licences) for i, r in got.items())
+
+
+def test_licence_texts_within_documents(spark):
+    rnd = random.Random(6)
+    prose = lambda: " ".join(f"w{rnd.randrange(900)}" for _ in range(700))
+    docs = []
+    for name, text in [(n, t) for n, t in TEXTS_OF_LICENCES if n in ("MIT", "BSD-3-Clause") or n == "GPL-3.0" and len(t) < 2000]:
+        docs += [(name, f"{prose()}\n{text}\n{prose()}"), (name, f"{prose()} {' '.join(text.split())} {prose()}")]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(docs)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licence_scan(df).collect()}
+    assert got and all(name in got[i].licences.split(",") and got[i].best_dice == 1.0 for i, (name, _) in enumerate(docs))
+
+
+def test_notice_within_a_longer_line(spark):
+    df = spark.createDataFrame([(1, "Copyright 2020 Somebody and others of that name. All rights reserved. Read on.")], "doc_id long, text string")
+    assert licence_scan(df).first().licences == "Proprietary"

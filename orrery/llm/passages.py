@@ -21,7 +21,7 @@ from orrery.llm.components import components
 
 #: Words of a shingle, of the shortest passage, of a block and of what it shares with the next; bands of two hash
 #: functions; the similarity of passages (Jaccard, shingles); words that a task looks at together; bytes hashed together.
-SHINGLE, MIN_WORDS, BLOCK, OVERLAP, BANDS, SIMILAR, CHUNK, PIECE = 5, 50, 1024, 128, 3, 0.8, 1 << 17, 1 << 20
+SHINGLE, MIN_WORDS, BLOCK, OVERLAP, BANDS, SIMILAR, CHUNK, PIECE = 5, 50, 1024, 128, 8, 0.8, 1 << 17, 1 << 20
 LEAST = MIN_WORDS - SHINGLE + 1
 #: Shingles that two windows of LEAST shingles each have in common at the least, if they are SIMILAR.
 SHARED = int(np.ceil(LEAST * 2 * SIMILAR / (1 + SIMILAR) - 1e-9))

@@ -73,3 +73,13 @@ def test_awkward_tables(spark):
     assert sorted((str(r.doc_id), r.n_words) for r in report) == sorted((str(i), len(words(t))) for i, t, *_ in AWKWARD)
     assert passages.cut_repeats(awkward(spark)).count() == len(AWKWARD)
     assert passages.passage_report(empty(spark)).count() == 0 and passages.cut_repeats(empty(spark)).count() == 0
+
+
+def test_recall_at_the_stated_similarity(spark):
+    rnd = random.Random(11)
+    rows = []
+    for k in range(300):  # one changed word in the middle of 50: similarity 41/51
+        w = [f"w{rnd.randrange(10**7)}" for _ in range(50)]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join([*w[:25], "changed", *w[26:]]))]
+    report = passages.passage_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(r.repeated for r in report if r.doc_id % 2) >= 299

@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 
 from orrery.llm import toxicity as weak
 from orrery.llm.bpe import bpe_digest
-from orrery.llm.common import keep, plain, shared_folder
+from orrery.llm.common import keep, plain, shared_folder, small_batches
 from orrery.llm.passages import cut_repeats
 from orrery.llm.queries import RANKS, table
-from orrery.llm.simhash import near_duplicates
+from orrery.llm.simhash import grouped
 from orrery.llm.suffixes import contamination_column
 
 
@@ -28,14 +28,14 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that share the remaining id of a group are one document: the one whose fields hash lowest stays."""
-    found = near_duplicates(docs)
-    first = keep(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n")))
-    ids = first.select(F.col("doc_id").alias("__id"), "n")
-    kept = docs.join(ids.select("__id"), docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
-    again = first.filter("n > 1").select(F.col("doc_id").alias("__id"))
-    once = kept.join(again, docs["doc_id"].eqNullSafe(F.col("__id")), "left_anti")
-    return once.unionByName(kept.join(again, docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["doc_id"]))
+    """Of each component the row with the smallest id stays (none counts as the largest); of those the one whose fields hash lowest."""
+    fields = F.xxhash64(F.to_json(F.struct(*[F.col(c) for c in docs.columns])))
+    small_batches(spark)
+    found = grouped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", fields.alias("mark")))
+    rows = found.groupBy("component", "doc_id", "mark").agg(F.count("*").alias("n"))
+    first = keep(rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("lacks"), "doc_id", "mark", "n")).alias("f")).select("f.*"))
+    one = lambda f: docs.join(f.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")), docs["doc_id"].eqNullSafe(F.col("__id")) & (fields == F.col("__mark")), "left_semi")
+    return one(first.filter("n = 1")).unionByName(one(first.filter("n > 1")).dropDuplicates())
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -172,13 +172,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text of fewer words than ``width`` is one shingle. Repeated rows give a row each; a null id is never a component's
     id unless it has no other. Documents with one fingerprint count once from the start, so groups of copies cost nothing more.
     """
-    marked = keep(plain(docs, id_col, text_col).select("doc_id", fingerprint_column(F.col("text"), width).alias("fp")))
+    return grouped(plain(docs, id_col, text_col), width, total).select("doc_id", "fp", "component_id")
+
+
+def grouped(docs: DataFrame, width: int = 3, total: int = 3) -> DataFrame:
+    """near_duplicates with the columns of ``docs`` (but its text) and component, which tells groups apart that have no id."""
+    marked = keep(docs.withColumn("fp", fingerprint_column(F.col("text"), width)).drop("text"))
     distinct = keep(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     reach = components(link(distinct, total))
     rooted = distinct.join(reach.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     named = rooted.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_fp = keep(rooted.join(named, "component").select("fp", "component_id"))
-    return marked.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    of_fp = keep(rooted.join(named, "component").select("fp", "component", "component_id"))
+    return marked.join(of_fp, "fp")
 
 
 def hexadecimal(fp: Column) -> Column:

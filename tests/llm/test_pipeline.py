@@ -95,3 +95,10 @@ def test_stages_bear_awkward_rows(spark):
         assert ids.count(3) <= 1
     assert docs.columns == corpus_pipeline.near_duplicates_stage(spark, docs, SF).columns
     assert corpus_pipeline.near_duplicates_stage(spark, docs, SF).filter(F.col("doc_id") == 3).count() == 1
+
+
+def test_unlike_documents_without_or_with_one_id_stay(spark):
+    texts = [" ".join(f"{c}{i * k}" for i in range(1, 40)) for k, c in enumerate("abcdefgh", 1)]
+    rows = [(None, t) for t in texts[:4]] + [(None, texts[0])] + [(5, texts[4]), (5, texts[5]), (6, texts[6]), (None, texts[6])]
+    got = corpus_pipeline.near_duplicates_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    assert sorted(map(repr, got)) == sorted(repr(r) for r in spark.createDataFrame([*rows[:4], *rows[5:8]], "doc_id long, text string").collect())

@@ -3,7 +3,8 @@
 For a hash function, all subsequences of a block of text that have their minimum at one place form a compact window:
 a node of the Cartesian tree of the hash values. Windows of the two hash functions of a band are joined as intervals
 where they share subsequences of at least MIN_WORDS words; the two minima are then the key of all those subsequences.
-Passages that share a key are compared with the first that has it, on the words themselves.
+Passages that share a key are compared with the first that has it, on the words themselves; those that are not like it
+are compared with the first among them, and so on until none is left.
 """
 
 from __future__ import annotations
@@ -256,14 +257,23 @@ def repeats(docs: DataFrame) -> DataFrame:
 
     docs: (doc_id, text). Each passage of a document is paired with the document that has it first (smallest doc_id), so a passage of g
     documents gives g - 1 rows. Both ways of comparing see the same words: the second span is that of the first document.
+    Members of a key that are not verified against its first holder go on to a next round, with a first among themselves.
     """
     shared = find_windows(docs).groupBy("key").count().filter(F.col("count") > 1).select("key")
-    met = keep(find_windows(docs).join(shared, "key"))
+    met, found = keep(find_windows(docs).join(shared, "key")), None
+    while found is None or not met.isEmpty():
+        out, met = verified(docs, met)
+        found = out if found is None else found.unionByName(out)
+    return keep(found.distinct())
+
+
+def verified(docs: DataFrame, met: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Verified passages of each key's members with its first holder, and the windows of those that are left to compare."""
     first = met.groupBy("key").agg(F.min(F.struct("doc_id", "mark", "at")).alias("first"))
     pairs = met.join(first, "key").filter(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark"))))
     ends = ["doc_id", "mark", "first_id", "first_mark"]
-    pairs = pairs.select("doc_id", "mark", "at", F.col("first.doc_id").alias("first_id"), F.col("first.mark").alias("first_mark"), F.col("first.at").alias("first_at"))
-    pairs = pairs.groupBy(*ends, F.shiftright("at", 34).alias("part")).agg(F.collect_set(F.struct("at", "first_at")).alias("p"))
+    pairs = pairs.select("doc_id", "mark", "at", "key", F.col("first.doc_id").alias("first_id"), F.col("first.mark").alias("first_mark"), F.col("first.at").alias("first_at"))
+    others, pairs = pairs, pairs.groupBy(*ends, F.shiftright("at", 34).alias("part")).agg(F.collect_set(F.struct("at", "first_at")).alias("p"))
     spans = keep(pairs.select(*ends, F.explode(F.pandas_udf(merge, "array<struct<a: int, b: int, c: int, d: int>>")("p")).alias("s")).select(*ends, "s.*").distinct())
 
     here = spans.select("doc_id", "mark", F.col("a").alias("lo"), F.col("b").alias("hi"))
@@ -302,7 +312,13 @@ def repeats(docs: DataFrame) -> DataFrame:
         "doc_id", "mark", (F.col("a") + F.col("h.start")).alias("start"), (F.col("a") + F.col("h.end")).alias("end"),
         "first_id", "first_mark", (F.col("c") + F.col("t.start")).alias("there_start"), (F.col("c") + F.col("t.end")).alias("there_end"),
     )
-    return keep(out.distinct())
+    out = keep(out.distinct())
+    o, v, place = others.alias("o"), out.alias("v"), F.shiftright("o.at", 22) + F.col("o.at").bitwiseAND(0x7FF)  # the minimum's
+    same = F.col("o.doc_id").eqNullSafe(F.col("v.doc_id")) & (F.col("o.mark") == F.col("v.mark")) & F.col("o.first_id").eqNullSafe(F.col("v.first_id")) & (F.col("o.first_mark") == F.col("v.first_mark"))
+    left = keep(o.join(v, same & (place >= F.col("v.start")) & (place < F.col("v.end")), "left_anti").select("doc_id", "mark", "at", "key"))
+    who = F.struct("doc_id", "mark")
+    several = left.groupBy("key").agg((F.min(who) != F.max(who)).alias("several")).filter("several").select("key")
+    return out, keep(left.join(several, "key", "left_semi"))
 
 
 def unite(batch: pd.Series) -> pd.Series:

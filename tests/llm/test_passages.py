@@ -83,3 +83,13 @@ def test_recall_at_the_stated_similarity(spark):
         rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join([*w[:25], "changed", *w[26:]]))]
     report = passages.passage_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sum(r.repeated for r in report if r.doc_id % 2) >= 299
+
+
+def test_later_documents_meet_when_the_first_is_unlike(spark):
+    rnd = random.Random(12)
+    rows = []
+    for k in range(600):  # an unlike first holder: 40 of 46 shingles; the two after it are copies
+        w = [f"w{rnd.randrange(10**7)}" for _ in range(50)]
+        rows += [(3 * k, " ".join([*w[:25], "two", "changed", *w[27:]])), (3 * k + 1, " ".join(w)), (3 * k + 2, " ".join(w))]
+    report = passages.passage_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.repeated == (r.doc_id % 3 > 0) and r.class_id == r.doc_id // 3 * 3 + (r.doc_id % 3 > 0) for r in report)

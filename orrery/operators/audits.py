@@ -21,7 +21,7 @@ _cover = ", b AS (SELECT DISTINCT frame % 40 AS frame, det, CAST(x1 AS INTEGER)
 
 @query(_cover + " SELECT frame, count(*) AS boxes, count(*) FILTER (n < 8) AS uncovered, round(avg(n / 16.0), 6) AS coverage FROM c GROUP BY frame", "box", "px")
 def au01_uncovered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AU01, AU02: boxes of which the mask covers less than half. Each box fans out to its sixteen pixels: an equality join."""
+    """AU01: boxes of which the mask covers less than half. Each box fans out to its sixteen pixels: an equality join."""
     b = views.box(spark, sf_dir).filter("frame < 400").selectExpr("frame % 40 AS frame", "det", "cast(x1 AS int) % 24 AS bx", "cast(y1 AS int) % 24 AS by").distinct()
     spots = F.expr("explode(flatten(transform(sequence(0, 3), i -> transform(sequence(0, 3), j -> struct(by + i AS y, bx + j AS x)))))")
     m = views.px(spark, sf_dir).filter("kind = 'out'").selectExpr("cast(frame AS bigint) AS frame", "y", "x", "1 AS hit")

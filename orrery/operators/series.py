@@ -161,7 +161,7 @@ def ts06_dominant_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(", i AS (SELECT ord AS iteration, us AS hi, us - CAST(value * 60000000 AS BIGINT) AS lo, ident FROM series WHERE label % 10 = 0) SELECT iteration, count(s.ord) AS samples, round(avg(s.value), 6) AS mean FROM i LEFT JOIN series s ON s.ident = i.ident AND s.us BETWEEN lo AND hi GROUP BY iteration", "series")
 def jn05_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN05, ST12: samples within each iteration's interval. Time is cut into hours, so that the join is on equal keys."""
+    """JN05: samples within each iteration's interval. Time is cut into hours, so that the join is on equal keys."""
     s = views.series(spark, sf_dir)
     hour = 3_600_000_000
     i = s.filter("label % 10 = 0").select(F.col("ord").alias("iteration"), F.col("us").alias("hi"), (F.col("us") - (F.col("value") * 60000000).cast("long")).alias("lo"), "ident")

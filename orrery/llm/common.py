@@ -38,10 +38,12 @@ def plain(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset (tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset and all run in one process (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if "path" not in _own_folder:
         _own_folder["path"] = tempfile.mkdtemp(prefix="orrery-")
     return _own_folder["path"]

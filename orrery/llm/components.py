@@ -16,8 +16,8 @@ def components(edges: DataFrame) -> DataFrame:
     """Columns (node, component) for each node of ``edges`` (a long, b long): component is its smallest reachable node.
 
     Loops and repeated edges are harmless; an empty table gives none. Each step aggregates a minimum for a node (combined
-    before the shuffle) and joins it back, so a hub of any degree is never gathered in one place. What ends the loop is
-    one row; each step's edges are written to the shared folder.
+    before the shuffle), writes it and joins it back. A hub's edges meet in that join only: row by row, never as one group,
+    and the adaptive plan deals a large hub out to several tasks, since both sides come from tables. What ends the loop is one row.
     """
     e = keep(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
     before = None
@@ -25,9 +25,10 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
+        least = keep(least)
         large = both.join(least, F.col("a") == F.col("u")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = keep(large.distinct())
-        least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
+        least = keep(large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u"))
         small = large.join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
         e = keep(small.filter("a <> b").distinct())

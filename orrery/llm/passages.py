@@ -1,10 +1,16 @@
 """Operator 4, substring deduplication: compact windows over min-hashes of word shingles find near-duplicate passages.
 
 For a hash function, all subsequences of a block of text that have their minimum at one place form a compact window:
-a node of the Cartesian tree of the hash values. Windows of the two hash functions of a band are joined as intervals
-where they share subsequences of at least MIN_WORDS words; the two minima are then the key of all those subsequences.
-Passages that share a key are compared with the first that has it, on the words themselves; those that are not like it
-are compared with the first among them, and so on until none is left.
+a node of the Cartesian tree of the hash values; its minimum is the key of all those subsequences. A window of 50 words
+(46 shingles) that is SIMILAR to another has 41 shingles in common with it, so one changed word within it at most, and
+25 words of it are in the other verbatim. All subsequences of 25 words or more are therefore grouped by the least of
+their 13-word grams: what is similar shares a key with certainty. Windows of a pair of documents, of all functions, are
+joined as intervals on like diagonals, and the stretches that come out are verified on the words themselves.
+
+A passage is compared with the first document that has its key. What is unlike that one goes on to further rounds, with
+all that has its key: there, every shingle is a key that was not yet seen in a first document. So a line that very many
+unlike documents hold is met once, not by every two of them; only windows all of whose shingles lie in several unlike
+first documents are compared with none but those.
 """
 
 from __future__ import annotations
@@ -20,12 +26,16 @@ from pyspark.sql import functions as F
 from orrery.llm.common import keep, plain, words
 from orrery.llm.components import components
 
-#: Words of a shingle, of the shortest passage, of a block and of what it shares with the next; bands of two hash
-#: functions; the similarity of passages (Jaccard, shingles); words that a task looks at together; bytes hashed together.
-SHINGLE, MIN_WORDS, BLOCK, OVERLAP, BANDS, SIMILAR, CHUNK, PIECE = 5, 50, 1024, 128, 8, 0.8, 1 << 17, 1 << 20
+#: Words of a shingle, of the shortest passage, of a block and of what it shares with the next; the similarity of passages
+#: (Jaccard, shingles); words that a task looks at together; bytes hashed together.
+SHINGLE, MIN_WORDS, BLOCK, OVERLAP, SIMILAR, CHUNK, PIECE = 5, 50, 1024, 128, 0.8, 1 << 17, 1 << 20
 LEAST = MIN_WORDS - SHINGLE + 1
 #: Shingles that two windows of LEAST shingles each have in common at the least, if they are SIMILAR.
 SHARED = int(np.ceil(LEAST * 2 * SIMILAR / (1 + SIMILAR) - 1e-9))
+#: Words of a gram, grams of the least subsequence, hash functions.
+GRAM, SPAN, FUNCTIONS = 13, 13, 2
+#: Words looked at beside a common subsequence, which may lie at the end of a similar window.
+BESIDE = MIN_WORDS - GRAM - SPAN + 1 + SHINGLE
 _odd = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -35,19 +45,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def shingles(hashes: np.ndarray) -> np.ndarray:
-    """A hash of the SHINGLE words from each place; the last places, where words are lacking, are left out."""
-    n = len(hashes) - SHINGLE + 1
+def shingles(hashes: np.ndarray, width: int = SHINGLE) -> np.ndarray:
+    """A hash of the ``width`` words from each place; the last places, where words are lacking, are left out."""
+    n = len(hashes) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
     out = np.zeros(n, np.uint64)
-    for i in range(SHINGLE):
+    for i in range(width):
         out = out * _odd + hashes[i : i + n]
     return mix(out)
 
 
-def compact_windows(values: np.ndarray, low: np.ndarray, high: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(block, l, c, r) of the nodes of each block's Cartesian tree that span LEAST places or more, from the root down.
+def compact_windows(values: np.ndarray, low: np.ndarray, high: np.ndarray, block: np.ndarray, least_span: int = SPAN) -> tuple[np.ndarray, ...]:
+    """(block, l, c, r) of the nodes of each block's Cartesian tree that span ``least_span`` places or more, from the root down.
 
     ``low`` to ``high`` are the places of each block. The last bits of each value give way to its place, times an odd number so
     that ties are broken evenly. A table of the smallest value in every stretch of a power of two then finds the root of
@@ -66,7 +76,7 @@ def compact_windows(values: np.ndarray, low: np.ndarray, high: np.ndarray, block
     flat = np.concatenate(table)
     out = []
     while True:
-        wide = high - low + 1 >= LEAST
+        wide = high - low + 1 >= least_span
         low, high, block = low[wide], high[wide], block[wide]
         if not len(low):
             break
@@ -78,63 +88,59 @@ def compact_windows(values: np.ndarray, low: np.ndarray, high: np.ndarray, block
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 4
 
 
-def joint_windows(first: tuple[np.ndarray, ...], second: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
-    """Interval join within blocks: (place in first, in second, l, r) where both windows hold a subsequence of LEAST places."""
-    order = np.argsort(second[0], kind="stable")
-    blocks = second[0][order]
-    a, b = np.searchsorted(blocks, first[0], "left"), np.searchsorted(blocks, first[0], "right")
-    n = b - a
-    i = np.repeat(np.arange(len(first[0])), n)
-    j = order[np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())]
-    low, high = np.maximum(first[1][i], second[1][j]), np.minimum(first[3][i], second[3][j])
-    left, right = np.minimum(first[2][i], second[2][j]), np.maximum(first[2][i], second[2][j])
-    fits = (low <= left) & (right <= high) & (high - low + 1 >= LEAST)
-    return i[fits], j[fits], low[fits], high[fits]
+def blocks(end: int) -> Iterator[tuple[int, int]]:
+    """First and last gram of the blocks of ``end`` words; every MIN_WORDS words lie within one."""
+    if end >= MIN_WORDS:
+        for s in range(0, max(1, end - OVERLAP), BLOCK - OVERLAP):
+            yield s, min(s + BLOCK, end) - GRAM
 
 
 def windows(hashes: list[np.ndarray]) -> tuple[np.ndarray, ...]:
-    """(document, key, first shingle, shingles, place of the first minimum) of the joint windows of some documents."""
+    """(document, key, first gram, grams, place of the minimum) of the compact windows of some documents."""
     sizes = np.array([len(h) for h in hashes], np.int64)
     begin = np.cumsum(sizes) - sizes
-    low, high, doc = [], [], []
-    for d, n in enumerate(sizes.tolist()):
-        if n >= MIN_WORDS:
-            for s in range(0, max(1, n - OVERLAP), BLOCK - OVERLAP):
-                low.append(int(begin[d]) + s)
-                high.append(int(begin[d]) + min(s + BLOCK, n) - SHINGLE)
-                doc.append(d)
-    if not low:
-        return (np.empty(0, np.int64), np.empty(0, np.uint64), *(np.empty(0, np.int64),) * 3)
-    low, high, doc = np.array(low), np.array(high), np.array(doc)
-    grams = shingles(np.concatenate([*hashes, np.zeros(SHINGLE, np.uint64)]))
+    found = [(int(begin[d]) + l, int(begin[d]) + r, d) for d, n in enumerate(sizes.tolist()) for l, r in blocks(n)]
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.uint64), *(np.empty(0, np.int64),) * 3
+    low, high, doc = (np.array(x, np.int64) for x in zip(*found, strict=True))
+    grams = shingles(np.concatenate([*hashes, np.zeros(GRAM, np.uint64)]), GRAM)
     out, block = [], np.arange(len(low))
-    for band in range(BANDS):
-        pair = []
-        for k in (2 * band, 2 * band + 1):
-            value = mix(grams + np.uint64((k + 1) * int(_odd) % (1 << 64)))
-            pair.append((value, compact_windows(value, low, high, block)))
-        (u, first), (v, second) = pair
-        i, j, l, r = joint_windows(first, second)
-        c = first[2][i]
-        key = mix(u[c] * _odd + mix(v[second[2][j]]) + np.uint64(band))
-        d = doc[first[0][i]]
-        out.append((d, key, l - begin[d], r - l + 1, c - begin[d]))
+    for k in range(FUNCTIONS):
+        value = mix(grams + np.uint64((k + 1) * int(_odd) % (1 << 64)))
+        at, l, c, r = compact_windows(value, low, high, block)
+        d = doc[at]
+        out.append((d, value[c], l - begin[d], r - l + 1, c - begin[d]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def similar_spans(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Runs (start, end) of words of ``a`` made up of windows of MIN_WORDS words that have a SIMILAR window in ``b``; those of ``b`` likewise."""
-    if min(len(a), len(b)) < MIN_WORDS:
-        return np.empty((0, 2), np.int64), np.empty((0, 2), np.int64)
-    if np.array_equal(a, b):
-        return np.array([[0, len(a)]]), np.array([[0, len(a)]])
+def unseen(hashes: list[np.ndarray], looked: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """The same of the shingles at the places marked in ``looked``: each is a window and a key by itself."""
+    sizes = np.array([len(h) for h in hashes], np.int64)
+    begin = np.cumsum(sizes) - sizes
+    grams = shingles(np.concatenate([*hashes, np.zeros(SHINGLE, np.uint64)]))
+    c = np.flatnonzero(np.concatenate([*looked, np.zeros(SHINGLE, bool)])[: len(grams)])
+    d = np.searchsorted(begin, c, "right") - 1
+    return d, grams[c], c - begin[d], np.ones(len(c), np.int64), c - begin[d]
+
+
+def similar_spans(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs (start, end) of words of ``a`` made up of windows of MIN_WORDS words that have a SIMILAR window in ``b``; those of ``b`` likewise;
+    and the runs of shingles of ``a`` that ``b`` has."""
+    none = np.empty((0, 2), np.int64)
+    if min(len(a), len(b)) < SHINGLE:
+        return none, none, none
+    if np.array_equal(a, b) and len(a) >= MIN_WORDS:
+        return np.array([[0, len(a)]]), np.array([[0, len(a)]]), np.array([[0, len(a) - SHINGLE + 1]])
     different, number = np.unique(np.concatenate([shingles(a), shingles(b)]), return_inverse=True)
     x, y = number[: len(a) - SHINGLE + 1], number[len(a) - SHINGLE + 1 :]
 
-    def covered(x: np.ndarray, other: np.ndarray) -> np.ndarray:
+    def held(other: np.ndarray) -> np.ndarray:
         there = np.zeros(len(different), bool)
         there[other] = True
-        mark = there[x]
+        return there
+
+    def covered(x: np.ndarray, other: np.ndarray) -> np.ndarray:
+        mark = held(other)[x]
         total = np.concatenate([[0], np.cumsum(mark)])
         good = np.flatnonzero(total[LEAST:] - total[:-LEAST] >= SHARED)
         edge = np.zeros(len(x) + 1, np.int64)
@@ -142,8 +148,11 @@ def similar_spans(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         edge[good + LEAST] -= 1
         return (np.cumsum(edge[:-1]) > 0) & mark
 
+    common = np.flatnonzero(np.diff(np.concatenate([[0], held(y)[x].view(np.int8), [0]]))).reshape(-1, 2)
+    if min(len(a), len(b)) < MIN_WORDS:
+        return none, none, common
     here, there = covered(x, y), covered(y, x)
-    return runs(covered(x, y[there]), len(a)), runs(covered(y, x[here]), len(b))
+    return runs(covered(x, y[there]), len(a)), runs(covered(y, x[here]), len(b)), common
 
 
 def runs(here: np.ndarray, n: int) -> np.ndarray:
@@ -203,33 +212,65 @@ def text_mark(text: Column) -> Column:
     return F.hash(text)
 
 
+WINDOW = "doc_id long, mark int, at long, key long"
+
+
 def find_windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, at, key): at packs the first shingle, the shingles and the place of the minimum after the first."""
+    """(doc_id, mark, at, key): at packs the first gram, the grams and the place of the minimum after the first.
+
+    docs: (doc_id, text, mark), whole texts; or with ``places`` and ``masks`` too: then the shingles around those places,
+    but for the runs in masks, are the keys.
+    """
+    again = "places" in docs.columns
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def flush(ids: list, marks: list, hashes: list) -> pd.DataFrame:
-            d, key, l, n, c = windows(hashes)
-            at = l << 22 | n << 11 | (c - l)
-            take = lambda x, t: pd.array([x[i] for i in d.tolist()], dtype=t)
-            return pd.DataFrame({"doc_id": take(ids, "Int64"), "mark": take(marks, "int32"), "at": at, "key": key.view(np.int64)})
+        def flush(held: list[tuple]) -> pd.DataFrame:
+            ids, marks, hashes, looked = zip(*held, strict=True)
+            d, key, l, n, c = unseen(list(hashes), list(looked)) if again else windows(list(hashes))
+            number = np.array([0 if i is None else i for i in ids], np.int64)
+            lacks = np.array([i is None for i in ids], bool)
+            return pd.DataFrame({"doc_id": pd.arrays.IntegerArray(number[d], lacks[d]), "mark": np.array(marks, np.int32)[d], "at": l << 22 | n << 11 | (c - l), "key": key.view(np.int64)})
 
         for batch in batches:
-            ids, marks, hashes, size = [], [], [], 0
-            for i, mark, text in zip(batch["doc_id"], batch["mark"], batch["text"], strict=True):
+            held, size = [], 0
+            asks, masks = (batch["places"], batch["masks"]) if again else ([()] * len(batch),) * 2
+            for i, mark, text, places, mask in zip(batch["doc_id"], batch["mark"], batch["text"], asks, masks, strict=True):
                 h = word_hashes(text)
                 if len(h) < MIN_WORDS:
                     continue
-                ids.append(None if pd.isna(i) else int(i))
-                marks.append(mark)
-                hashes.append(h)
+                looked = np.zeros(len(h), bool)
+                for p in places:
+                    looked[max(0, p - MIN_WORDS) : p + MIN_WORDS + GRAM - SHINGLE] = True
+                for m in mask:
+                    looked[m["start"] : m["end"]] = False
+                looked[len(h) - SHINGLE + 1 :] = False
+                held.append((None if pd.isna(i) else int(i), mark, h, looked))
                 size += len(h)
                 if size > CHUNK:
-                    yield flush(ids, marks, hashes)
-                    ids, marks, hashes, size = [], [], [], 0
-            if ids:
-                yield flush(ids, marks, hashes)
+                    yield flush(held)
+                    held, size = [], 0
+            if held:
+                yield flush(held)
 
-    return docs.select("doc_id", "text", text_mark(F.col("text")).alias("mark")).mapInPandas(emit, "doc_id long, mark int, at long, key long")
+    return docs.mapInPandas(emit, WINDOW)
+
+
+def merged(spans: list[tuple[int, int]], gap: int = 0) -> list[tuple[int, int]]:
+    """Runs that overlap, or lie no more than ``gap`` apart, become one."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1] + gap:
+            out[-1] = out[-1][0], max(out[-1][1], e)
+        else:
+            out.append((s, e))
+    return out
+
+
+def shared_windows(docs: DataFrame) -> DataFrame:
+    """The windows (a written table) whose keys several documents have. Keys are counted before windows are shuffled."""
+    who = F.xxhash64("doc_id", "mark")
+    several = find_windows(docs).groupBy("key").agg(F.min(who).alias("x"), F.max(who).alias("y")).filter("x <> y").select("key")
+    return keep(find_windows(docs).join(keep(several), "key"))
 
 
 def merge(batch: pd.Series) -> pd.Series:
@@ -247,34 +288,47 @@ def merge(batch: pd.Series) -> pd.Series:
                 found[-1] = [min(last[0], own[0]), max(last[1], own[1]), min(last[2], own[2]), max(last[3], own[3]), own[4]]
             else:
                 found.append(own)
-        down, up = lambda x: x // 64 * 64, lambda x: -(-(x + SHINGLE) // 64) * 64
+        beside = BESIDE if (n > 1).any() else MIN_WORDS  # a shingle by itself may lie at either end
+        down, up = lambda x: max(0, x - beside) // 64 * 64, lambda x: -(-(x + GRAM + beside) // 64) * 64
         out.append([{"a": down(a), "b": up(b), "c": down(c), "d": up(d)} for a, b, c, d, _ in found])
     return pd.Series(out, dtype=object)
 
 
+def same(x: str, y: str) -> Column:
+    """Rows of x and y (aliases) are of one document."""
+    return F.col(f"{x}.doc_id").eqNullSafe(F.col(f"{y}.doc_id")) & (F.col(f"{x}.mark") == F.col(f"{y}.mark"))
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """Verified passages (a written table): doc_id, mark, start, end (words), first_id, first_mark, there_start, there_end.
 
     docs: (doc_id, text). Each passage of a document is paired with the document that has it first (smallest doc_id), so a passage of g
     documents gives g - 1 rows. Both ways of comparing see the same words: the second span is that of the first document.
-    Members of a key that are not verified against its first holder go on to a next round, with a first among themselves.
+    Only what shares a key with something unlike goes on to another round, and every round masks what led to unlike pairs, so rounds end.
     """
-    shared = find_windows(docs).groupBy("key").count().filter(F.col("count") > 1).select("key")
-    met, found = keep(find_windows(docs).join(shared, "key")), None
-    while found is None or not met.isEmpty():
-        out, met = verified(docs, met)
+    docs = docs.select("doc_id", "text", text_mark(F.col("text")).alias("mark"))
+    met, found, masks = shared_windows(docs), None, None
+    while True:
+        out, places, alike = verified(docs, met)
         found = out if found is None else found.unionByName(out)
-    return keep(found.distinct())
-
-
-def verified(docs: DataFrame, met: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Verified passages of each key's members with its first holder, and the windows of those that are left to compare."""
-    first = met.groupBy("key").agg(F.min(F.struct("doc_id", "mark", "at")).alias("first"))
+        if places is None:
+            return keep(found.distinct())
+        masks = alike if masks is None else masks.unionByName(alike)
+        again = places.alias("p").join(masks.alias("m"), same("p", "m")).groupBy("p.doc_id", "p.mark").agg(F.first("p.places").alias("places"), F.flatten(F.collect_list("m.masks")).alias("masks"))
+        again = keep(again)
+        texts = docs.alias("d").join(again.alias("a"), same("d", "a")).select("d.*", "a.places", "a.masks")
+        met = shared_windows(texts)
+
+
+def verified(docs: DataFrame, met: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Verified passages of each key's members with its first holder; of what goes on to another round (None: nothing), the places
+    (doc_id, mark, places) and the runs of shingles shared with first holders (doc_id, mark, masks)."""
+    first = keep(met.groupBy("key").agg(F.min(F.struct("doc_id", "mark", "at")).alias("first")))
     pairs = met.join(first, "key").filter(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark"))))
     ends = ["doc_id", "mark", "first_id", "first_mark"]
-    pairs = pairs.select("doc_id", "mark", "at", "key", F.col("first.doc_id").alias("first_id"), F.col("first.mark").alias("first_mark"), F.col("first.at").alias("first_at"))
-    others, pairs = pairs, pairs.groupBy(*ends, F.shiftright("at", 34).alias("part")).agg(F.collect_set(F.struct("at", "first_at")).alias("p"))
-    spans = keep(pairs.select(*ends, F.explode(F.pandas_udf(merge, "array<struct<a: int, b: int, c: int, d: int>>")("p")).alias("s")).select(*ends, "s.*").distinct())
+    pairs = keep(pairs.select("doc_id", "mark", "at", "key", F.col("first.doc_id").alias("first_id"), F.col("first.mark").alias("first_mark"), F.col("first.at").alias("first_at")))
+    near = pairs.groupBy(*ends, F.shiftright("at", 34).alias("part")).agg(F.collect_set(F.struct("at", "first_at")).alias("p"))
+    spans = keep(near.select(*ends, F.explode(F.pandas_udf(merge, "array<struct<a: int, b: int, c: int, d: int>>")("p")).alias("s")).select(*ends, "s.*").distinct())
 
     here = spans.select("doc_id", "mark", F.col("a").alias("lo"), F.col("b").alias("hi"))
     there = spans.select(F.col("first_id").alias("doc_id"), F.col("first_mark").alias("mark"), F.col("c").alias("lo"), F.col("d").alias("hi"))
@@ -288,51 +342,56 @@ def verified(docs: DataFrame, met: DataFrame) -> tuple[DataFrame, DataFrame]:
             out.append([{"lo": r["lo"], "hi": r["hi"], "words": h[r["lo"] : r["hi"]].tobytes()} for r in asks])
         return pd.Series(out, dtype=object)
 
-    marked = docs.select("doc_id", "text", text_mark(F.col("text")).alias("mark"))
-    same = lambda x, y: x["doc_id"].eqNullSafe(y["doc_id"]) & (x["mark"] == y["mark"])
-    held = marked.join(asked, same(marked, asked)).select(asked["doc_id"], asked["mark"], F.explode(cut(marked["text"], asked["asked"])).alias("w"))
-    held = keep(held.select("doc_id", "mark", "w.*"))
+    held = docs.alias("d").join(asked.alias("q"), same("d", "q")).select("d.doc_id", "d.mark", F.explode(cut("d.text", "q.asked")).alias("w"))
+    held = keep(held.select("doc_id", "mark", "w.*").distinct())
+    run = "array<struct<start: int, end: int>>"
 
-    @F.pandas_udf("here array<struct<start: int, end: int>>, there array<struct<start: int, end: int>>")
+    @F.pandas_udf(f"here {run}, there {run}, common {run}, open boolean")
     def verify(x: pd.Series, y: pd.Series) -> pd.DataFrame:
         out = []
         for p, q in zip(x, y, strict=True):
-            found = similar_spans(np.frombuffer(p, np.uint32).astype(np.uint64), np.frombuffer(q, np.uint32).astype(np.uint64))
-            out.append([[{"start": s, "end": e} for s, e in spans.tolist()] for spans in found])
-        return pd.DataFrame(out, columns=["here", "there"])
+            here, there, common = similar_spans(np.frombuffer(p, np.uint32).astype(np.uint64), np.frombuffer(q, np.uint32).astype(np.uint64))
+            if not len(here) or not len(there):
+                here = there = here[:0]
+            beside = any(not any(s <= a and b <= e for s, e in here.tolist()) for a, b in common.tolist())
+            out.append([*([{"start": s, "end": e} for s, e in spans.tolist()] for spans in (here, there, common)), beside])
+        return pd.DataFrame(out, columns=["here", "there", "common", "open"])
 
     x = held.select(F.col("doc_id").alias("xi"), F.col("mark").alias("xm"), F.col("lo").alias("a"), F.col("hi").alias("b"), F.col("words").alias("x"))
     y = held.select(F.col("doc_id").alias("yi"), F.col("mark").alias("ym"), F.col("lo").alias("c"), F.col("hi").alias("d"), F.col("words").alias("y"))
     s = spans.alias("s")
     both = s.join(x, F.col("s.doc_id").eqNullSafe(F.col("xi")) & (F.col("s.mark") == F.col("xm")) & (F.col("s.a") == x["a"]) & (F.col("s.b") == x["b"]))
     both = both.join(y, F.col("s.first_id").eqNullSafe(F.col("yi")) & (F.col("s.first_mark") == F.col("ym")) & (F.col("s.c") == y["c"]) & (F.col("s.d") == y["d"]))
-    both = both.select("s.*", verify("x", "y").alias("v")).select("*", "v.here", "v.there").filter((F.size("here") > 0) & (F.size("there") > 0))
-    both = both.withColumn("t", F.struct(F.array_min("there.start").alias("start"), F.array_max("there.end").alias("end"))).withColumn("h", F.explode("here"))
-    out = both.select(
+    both = keep(both.select("s.*", verify("x", "y").alias("v")).select(*ends, "a", "c", "v.*"))
+    good = both.filter(F.size("here") > 0).withColumn("t", F.struct(F.array_min("there.start").alias("start"), F.array_max("there.end").alias("end"))).withColumn("h", F.explode("here"))
+    out = good.select(
         "doc_id", "mark", (F.col("a") + F.col("h.start")).alias("start"), (F.col("a") + F.col("h.end")).alias("end"),
         "first_id", "first_mark", (F.col("c") + F.col("t.start")).alias("there_start"), (F.col("c") + F.col("t.end")).alias("there_end"),
     )
     out = keep(out.distinct())
-    o, v, place = others.alias("o"), out.alias("v"), F.shiftright("o.at", 22) + F.col("o.at").bitwiseAND(0x7FF)  # the minimum's
-    same = F.col("o.doc_id").eqNullSafe(F.col("v.doc_id")) & (F.col("o.mark") == F.col("v.mark")) & F.col("o.first_id").eqNullSafe(F.col("v.first_id")) & (F.col("o.first_mark") == F.col("v.first_mark"))
-    left = keep(o.join(v, same & (place >= F.col("v.start")) & (place < F.col("v.end")), "left_anti").select("doc_id", "mark", "at", "key"))
-    who = F.struct("doc_id", "mark")
-    several = left.groupBy("key").agg((F.min(who) != F.max(who)).alias("several")).filter("several").select("key")
-    return out, keep(left.join(several, "key", "left_semi"))
+
+    ended = lambda x, y: same(x, y) & F.col(f"{x}.first_id").eqNullSafe(F.col(f"{y}.first_id")) & (F.col(f"{x}.first_mark") == F.col(f"{y}.first_mark"))
+    place = F.shiftright("at", 22) + F.col("at").bitwiseAND(0x7FF)  # the minimum's
+    o = pairs.alias("o").join(both.filter("open").select(*ends).distinct().alias("b"), ended("o", "b"), "left_semi")
+    unlike = keep(o.join(out.alias("v"), ended("o", "v") & (place >= F.col("v.start")) & (place < F.col("v.end")), "left_anti").select("doc_id", "mark", "at", "key"))
+    # of the keys of what is unlike, those that others than the first have too
+    open_keys = keep(unlike.select("key").distinct())
+    who = F.xxhash64("doc_id", "mark")
+    rest = keep(pairs.join(open_keys, "key", "left_semi").select("doc_id", "mark", "at", "key"))
+    several = keep(rest.groupBy("key").agg((F.min(who) != F.max(who)).alias("several")).filter("several").select("key"))
+    if several.isEmpty():
+        return out, None, None
+    place = place.cast("int").alias("place")
+    places = rest.join(several, "key", "left_semi").select("doc_id", "mark", place).groupBy("doc_id", "mark").agg(F.collect_set("place").alias("places"))
+    runs_of = both.select("doc_id", "mark", "a", F.explode("common").alias("m")).select("doc_id", "mark", F.struct((F.col("a") + F.col("m.start")).alias("start"), (F.col("a") + F.col("m.end")).alias("end")).alias("m"))
+    places = keep(places)
+    masks = runs_of.alias("r").join(places.alias("p"), same("r", "p"), "left_semi").groupBy("doc_id", "mark").agg(F.collect_set("m").alias("masks"))
+    return out, places, keep(masks)
 
 
 def unite(batch: pd.Series) -> pd.Series:
     """Overlapping and touching runs become one."""
-    out = []
-    for runs in batch:
-        held: list[list[int]] = []
-        for s, e in sorted((r["start"], r["end"]) for r in runs):
-            if held and s <= held[-1][1]:
-                held[-1][1] = max(held[-1][1], e)
-            else:
-                held.append([s, e])
-        out.append([{"start": s, "end": e} for s, e in held])
-    return pd.Series(out, dtype=object)
+    return pd.Series([[{"start": s, "end": e} for s, e in merged([(r["start"], r["end"]) for r in runs])] for runs in batch], dtype=object)
 
 
 def spans_of(found: DataFrame) -> DataFrame:
@@ -346,8 +405,9 @@ def passage_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n_repeated: words in passages of MIN_WORDS words or more that a document with a smaller id has too (in n_spans runs);
     n_links: verified pairs of passages that the row takes part in on this side; first_id: the smallest id among the
     documents that have one of its passages first (null: none); class_id: the smallest id reachable over shared passages,
-    its own included; repeated: whether another document shares a passage with it. Null and short texts have none. Rows with
-    one id are one document if their texts agree; a row without an id comes before all others and has no class.
+    its own included; repeated: whether another document shares a passage with it. Null and short texts have none; texts of
+    any length are read whole. Rows with one id are one document if their texts agree; a row without an id comes before all
+    others and has no class. A passage twice in one document only is no repeat. An empty table gives none; further columns are ignored.
     """
     docs = plain(docs, id_col, text_col)
     found = repeats(docs)
@@ -389,7 +449,9 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with every repeated passage left in the document that has it first and cut from all others.
 
-    All columns stay; other documents' texts are not touched. A document of which nothing is left goes.
+    All columns stay, whatever their names; other documents' texts are not touched. A document of which nothing is left goes.
+    Null, empty and short texts have no passages; rows of one id and text are one document and are cut alike; a passage that
+    only one document has, even twice, stays. An empty table gives an empty one.
     """
     slim = plain(docs, id_col, text_col)
     cuts = keep(spans_of(repeats(slim)))
@@ -398,7 +460,8 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def apply(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([t if s is None else without(t, [(r["start"], r["end"]) for r in s]) for t, s in zip(texts, spans, strict=True)])
 
-    cuts = cuts.select(F.col("doc_id").alias("__i"), F.col("mark").alias("__m"), F.col("spans").alias("__s"))
-    ours = docs[id_col].cast("long").eqNullSafe(F.col("__i")) & (text_mark(docs[text_col]) == F.col("__m"))
-    out = docs.join(cuts, ours, "left").withColumn(text_col, F.when(F.col("__s").isNull(), F.col(text_col)).otherwise(apply(F.col(text_col), F.col("__s"))))
-    return out.filter(F.col("__s").isNull() | (F.trim(F.col(text_col)) != "")).select(*[F.col(c) for c in docs.columns])
+    rows = docs.select(F.struct("*").alias("row"))
+    text = F.col(f"d.row.`{text_col}`")
+    ours = F.col(f"d.row.`{id_col}`").cast("long").eqNullSafe(F.col("c.doc_id")) & (text_mark(text) == F.col("c.mark"))
+    after = rows.alias("d").join(cuts.alias("c"), ours, "left").select("d.row", F.when(F.col("c.spans").isNull(), text).otherwise(apply(text, F.col("c.spans"))).alias("new"), F.col("c.spans").isNull().alias("whole"))
+    return after.filter(F.col("whole") | (F.trim("new") != "")).select(*[F.col("new").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

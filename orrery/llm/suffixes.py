@@ -1,14 +1,15 @@
 """Operator 6, benchmark decontamination: suffix arrays over shards of the training words, searched for test suffixes.
 
 Each Arrow batch of documents is a shard. Its suffix array orders the word positions at which some test suffix could
-begin; every test suffix is found in it by binary search, with the longest verbatim match and all places. Nothing is
-shuffled: the test side is small, checked, and sent to the workers in blocks of bounded size.
+begin; every test suffix is found in it by binary search, with the longest verbatim match and all places. The test side
+goes to the workers in blocks of bounded size, one pass over the documents for each; with one block nothing is shuffled.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -16,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import plain
+from orrery.llm.common import keep, plain
 
 #: Bytes of test text that one pass holds on each worker; a larger test table takes more passes.
 BLOCK_BYTES = 16 << 20
@@ -123,17 +124,18 @@ def shards(texts: Iterator[str | None], number: dict[bytes, int]) -> Iterator[tu
         yield sizes, np.concatenate(parts)
 
 
-def test_blocks(benchmark: DataFrame, window: int) -> list[Tests]:
-    """The test table in blocks of at most BLOCK_BYTES of text (or one item), read through the driver one after the other."""
-    blocks, held, size = [], [], 0
+def test_blocks(benchmark: DataFrame, window: int) -> Iterator[Tests]:
+    """The test table in blocks of at most BLOCK_BYTES of text (or one item); the driver holds one at a time."""
+    held, size, none = [], 0, True
     for row in benchmark.toLocalIterator():
         cost = len(row[1] or "") + 16
         if held and size + cost > BLOCK_BYTES:
-            blocks.append(test_suffixes(held, window))
-            held, size = [], 0
+            yield test_suffixes(held, window)
+            held, size, none = [], 0, False
         held.append((row[0], row[1]))
         size += cost
-    return [*blocks, test_suffixes(held, window)] if held or not blocks else blocks
+    if held or none:
+        yield test_suffixes(held, window)
 
 
 def scan(text: Column, tests: Tests, window: int, df: DataFrame) -> Column:
@@ -171,40 +173,51 @@ def scan(text: Column, tests: Tests, window: int, df: DataFrame) -> Column:
     return run(text)
 
 
-def contamination_column(docs: DataFrame, benchmark: DataFrame, text: Column, window: int = 10) -> Column:
-    """struct(n_words, n_hit, items, longest, longest_at): the union over all blocks of the test table.
+FOUND = "n_words long, n_hit long, items array<string>, longest long, longest_at long"
+
+
+def with_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = 10) -> DataFrame:
+    """(row, found): each row of ``docs`` as a struct, and struct(n_words, n_hit, items, longest, longest_at) over all blocks of the test table.
 
     items: ids whose windows occur, sorted as strings; longest: words of the longest verbatim match that holds a whole
     window (0: none) and longest_at its first word's place. Null texts have no words. Items without words take no part;
-    an item with a null id marks words but cannot be named; repeated ids are named once.
+    an item with a null id marks words but cannot be named; repeated ids are named once. Each further block of the test
+    table is a pass of its own, written before the next begins.
     """
-    blocks = [scan(text, t, window, docs) for t in test_blocks(benchmark, window)]
-    if len(blocks) == 1:  # nothing to unite: one Python worker for a task instead of two
-        return blocks[0]
-
-    @F.pandas_udf("n_words long, n_hit long, items array<string>, longest long, longest_at long")
-    def merge(*found: pd.DataFrame) -> pd.DataFrame:
+    rows = docs.select(F.struct("*").alias("row"))
+    text, blocks = F.col(f"row.`{text_col}`"), test_blocks(benchmark, window)
+    block, after = next(blocks), next(blocks, None)
+    if after is None:
+        return rows.select("row", scan(text, block, window, docs).alias("found"))
+    rows, parts = keep(rows.withColumn("n", F.monotonically_increasing_id())), None
+    for block in chain([block, after], blocks):
+        part = keep(rows.select("n", scan(text, block, window, docs).alias("f")))
+        parts = part if parts is None else parts.unionByName(part)
+
+    @F.pandas_udf(FOUND)
+    def merge(found: pd.Series) -> pd.DataFrame:
         rows = []
-        for parts in zip(*(f.itertuples(index=False, name=None) for f in found), strict=True):
-            runs = sorted((int(p[2][i]), int(p[2][i + 1])) for p in parts for i in range(0, len(p[2]), 2))
+        for parts in found:
             hit, end = 0, 0
-            for a, b in runs:
+            for a, b in sorted((int(p["spans"][i]), int(p["spans"][i + 1])) for p in parts for i in range(0, len(p["spans"]), 2)):
                 hit, end = hit + max(0, b - max(a, end)), max(end, b)
-            best = max(parts, key=lambda p: (p[4], -p[5]))
-            rows.append((parts[0][0], hit, sorted({x for p in parts for x in p[3]}), best[4], best[5]))
+            best = max(parts, key=lambda p: (p["longest"], -p["longest_at"]))
+            rows.append((parts[0]["n_words"], hit, sorted({x for p in parts for x in p["items"]}), best["longest"], best["longest_at"]))
         return pd.DataFrame(rows, columns=["n_words", "n_hit", "items", "longest", "longest_at"])
 
-    return merge(*blocks)
+    united = parts.groupBy("n").agg(F.collect_list("f").alias("f")).select("n", merge("f").alias("found"))  # a row for each block
+    return rows.join(united, "n").select("row", "found")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items, items_sha256, contaminated, longest, longest_at.
 
-    Empty tables, repeated rows, null ids and further columns are fine: each input row gives one row.
+    Each input row gives one row, repeated rows and null ids too; null, empty and blank texts have no words and are clean;
+    texts of any length are searched whole; an empty test table leaves all clean; further columns are ignored.
     """
     items = benchmark.select(F.col("item_id"), F.col("text"))
     out = plain(docs, id_col, text_col)
-    out = out.select("doc_id", contamination_column(out, items, F.col("text"), window).alias("c")).select("doc_id", "c.*")
+    out = with_contamination(out, items, "text", window).select("row.doc_id", "found.*")
     return out.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items",
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "longest", "longest_at",

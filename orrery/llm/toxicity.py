@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from orrery.llm.common import fold, plain
 from orrery.llm.factorisation import Machine, fit, pack, pack_bytes, predict
-from orrery.llm.labelled import FOLDS, labelled_sample
+from orrery.llm.labelled import FOLDS, labelled_sample, unlabelled_sample
 
 # Common insults, by kind.
 LISTS = {
@@ -36,8 +36,8 @@ LISTS = {
 #: Words and beginnings drawn from the sample (at most), the voters that they are dealt to, the length of a beginning,
 #: the log-likelihood ratio that a term needs, and the buckets of hashed words.
 TERMS, VOTERS, START, RATIO, BUCKETS = 1024, 6, 5, 20.0, 1 << 13
-#: How often a label is wrong, as the label model takes it.
-SLIP = 0.02
+#: How often a label is wrong, as the label model takes it; documents that the classifier learns from beside the labelled ones.
+SLIP, UNLABELLED = 0.02, 20_000
 WORD = re.compile(r"[^\W\d_]+")
 ADDRESS = re.compile(r"\b(?:you|your|du|ihr|tu|vous|usted|eres)\b[^.!?]{0,40}$", re.I)
 
@@ -161,23 +161,33 @@ def label_model(moment: np.ndarray, n: int, share: float) -> tuple[np.ndarray, n
     return clip(toxic), clip(clean), np.where(rate > 0, 1 / (1 + tied.sum(1)), 0.0)
 
 
+def evidence(votes: np.ndarray, share: float, toxic: np.ndarray, clean: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Log odds that each row of votes is of a toxic document."""
+    return np.log(share / (1 - share)) + votes @ (weight * np.log(toxic / clean)) + (1 - votes) @ (weight * np.log((1 - toxic) / (1 - clean)))
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """docs: (doc_id, text). Labels are read from rows that are not held out; the moments come from all documents."""
-    sample = labelled_sample(docs, labels, "toxic")
-    voters = choose_voters(sample)
+    """docs: (doc_id, text). The label model's moments come from all documents; its posteriors are what the classifier learns.
+
+    It learns those of a bounded sample of documents, labelled or not, that are not held out. Labels give the share of toxic
+    documents and choose terms; a label of a document is one more, nearly sure, voter there.
+    """
+    labelled = labelled_sample(docs, labels, "toxic")
+    voters = choose_voters(labelled)
+    sample = labelled.unionByName(unlabelled_sample(docs, UNLABELLED).withColumn("label", F.lit(None).cast("int")))
 
     @F.pandas_udf("votes binary, index binary, value binary")
     def extract(texts: pd.Series) -> pd.DataFrame:
         rows = (features(voters, t) for t in texts)
         return pd.DataFrame([(v.tobytes(), i.astype(np.int32).tobytes(), x.astype(np.float32).tobytes()) for v, i, x in rows], columns=["votes", "index", "value"])
 
-    rows = sample.select("label", extract("text").alias("f")).select("label", "f.*").toPandas()  # bounded: labelled.SAMPLE
+    rows = sample.select("label", extract("text").alias("f")).select("label", "f.*").toPandas()  # bounded: labelled.SAMPLE and UNLABELLED
     gold = rows["label"].to_numpy(float) if len(rows) else np.empty(0)
-    share = float(np.clip((gold.sum() + 0.5) / (len(gold) + 1), 0.01, 0.99))
-    toxic, clean, weight = label_model(moments(docs, voters), voters.n, share)
-    votes = np.frombuffer(b"".join(rows["votes"]), np.bool_).reshape(-1, voters.n).astype(float)
-    odds = np.log(share / (1 - share)) + votes @ (weight * np.log(toxic / clean)) + (1 - votes) @ (weight * np.log((1 - toxic) / (1 - clean)))
-    odds += np.where(gold > 0, 1, -1) * np.log((1 - SLIP) / SLIP)
+    known = ~np.isnan(gold)
+    share = float(np.clip((np.nansum(gold) + 0.5) / (known.sum() + 1), 0.01, 0.99))
+    rates = label_model(moments(docs, voters), voters.n, share)
+    odds = evidence(np.frombuffer(b"".join(rows["votes"]), np.bool_).reshape(-1, voters.n).astype(float), share, *rates)
+    odds += np.where(known, np.where(gold > 0, 1, -1) * np.log((1 - SLIP) / SLIP), 0.0)
     posterior = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
     return Model(voters, fit(pack_bytes(rows["index"], rows["value"]), posterior, 1 + 2 * voters.n + BUCKETS, rank=0))
 

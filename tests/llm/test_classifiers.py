@@ -61,3 +61,28 @@ def test_awkward_tables(spark):
             assert all(0 <= r.score <= 1 for r in rows)
         assert score(empty(spark), labels).count() == 0
     assert len(statistics("")[0]) == len(statistics("some words\nin lines")[0])
+
+
+def test_sample_is_bounded_by_rows(spark, monkeypatch):
+    from orrery.llm import labelled
+
+    monkeypatch.setattr(labelled, "SAMPLE", 10)
+    docs = spark.createDataFrame([(i % 40, f"text {i}") for i in range(500)] + [(1, f"again {i}") for i in range(500)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    assert labelled.labelled_sample(docs, labels, "toxic").count() == 10
+    assert labelled.unlabelled_sample(docs, 7).count() == 7
+    assert labelled.unlabelled_sample(docs, 100).count() == docs.select("doc_id").distinct().filter(labelled.fold(docs["doc_id"], 5) != 0).count()
+
+
+def test_label_model_alone_against_gold(spark):
+    """Posteriors without any label's vote, on documents that no label was learned from."""
+    from orrery.llm import labelled, toxicity as weak
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.select("doc_id", "text")
+    voters = weak.choose_voters(labelled.labelled_sample(docs, labels, "toxic"))
+    held = docs.join(labels, "doc_id").filter(labelled.fold(docs["doc_id"], 5) == 0).collect()
+    votes = np.array([voters.hits(r.text, weak.terms(r.text)) > 0 for r in held], float)
+    gold = np.array([r.toxic for r in held])
+    odds = weak.evidence(votes, 0.1, *weak.label_model(weak.moments(docs, voters), voters.n, 0.1))
+    assert ((odds > 0) == gold).mean() > 0.9

@@ -12,7 +12,7 @@ def test_compact_windows_cover_every_subsequence_once():
     block, l, c, r = passages.compact_windows(values, np.array([0, 150]), np.array([149, 299]), np.array([0, 1]))
     for first, last in ((0, 149), (150, 299)):
         for i in range(first, last + 1):
-            for j in range(i + passages.LEAST - 1, last + 1):
+            for j in range(i + passages.SPAN - 1, last + 1):
                 k = np.flatnonzero((l <= i) & (i <= c) & (c <= j) & (j <= r))
                 assert len(k) == 1 and values[c[k[0]]] == values[i : j + 1].min()
 
@@ -93,3 +93,57 @@ def test_later_documents_meet_when_the_first_is_unlike(spark):
         rows += [(3 * k, " ".join([*w[:25], "two", "changed", *w[27:]])), (3 * k + 1, " ".join(w)), (3 * k + 2, " ".join(w))]
     report = passages.passage_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert all(r.repeated == (r.doc_id % 3 > 0) and r.class_id == r.doc_id // 3 * 3 + (r.doc_id % 3 > 0) for r in report)
+
+
+def by_hand(rows):
+    """Who shares a passage with whom, by comparing every two texts that have a shingle in common, whole."""
+    h = [passages.word_hashes(t).astype(np.uint32).astype(np.uint64) for _, t in rows]
+    holders, met = {}, set()
+    for k, x in enumerate(h):
+        for g in set(passages.shingles(x).tolist()):
+            met |= {(o, k) for o in holders.setdefault(g, [])}
+            holders[g].append(k)
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    alike = set()
+    for i, j in met:
+        here, there, _ = passages.similar_spans(h[j], h[i])
+        if len(here) and len(there):
+            alike |= {i, j}
+            a, b = find(i), find(j)
+            root[max(a, b)] = min(a, b)
+    return {rows[i][0]: (i in alike, rows[find(i)][0]) for i in range(len(rows))}
+
+
+def check_by_hand(spark, rows):
+    rows = sorted(rows)
+    report = passages.passage_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = by_hand(rows)
+    wrong = [r.doc_id for r in report if (r.repeated, r.class_id) != want[r.doc_id]]
+    assert not wrong, (len(wrong), wrong[:5])
+
+
+def test_table_by_hand(spark, sf_dir):
+    check_by_hand(spark, [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()])
+
+
+def test_edits_and_common_lines_by_hand(spark):
+    rnd = random.Random(13)
+    fresh = lambda n: [f"w{rnd.randrange(10**7)}" for _ in range(n)]
+    lines = [fresh(n) for n in (14, 20, 30, 40, 45)]
+    rows = []
+    for k in range(60):  # 12 passages around common lines, each in five texts with an edit or none
+        if k % 5 == 0:
+            core = [*fresh(12), *lines[k // 5 % 5], *fresh(30)]
+        w = [*fresh(30), *core, *fresh(30)]
+        for _ in range(k % 3):
+            at = rnd.randrange(len(w))
+            w[at : at + rnd.randint(0, 1)] = fresh(rnd.randint(0, 1))
+        rows.append((k, " ".join(w)))
+    rows += [(100 + k, " ".join([*fresh(40), *lines[k % 5], *fresh(40)])) for k in range(60)]  # the lines alone
+    check_by_hand(spark, rows)

@@ -32,8 +32,8 @@ SHINGLE, MIN_WORDS, BLOCK, OVERLAP, SIMILAR, CHUNK, PIECE = 5, 50, 1024, 128, 0.
 LEAST = MIN_WORDS - SHINGLE + 1
 #: Shingles that two windows of LEAST shingles each have in common at the least, if they are SIMILAR.
 SHARED = int(np.ceil(LEAST * 2 * SIMILAR / (1 + SIMILAR) - 1e-9))
-#: Words of a gram, grams of the least subsequence, hash functions.
-GRAM, SPAN, FUNCTIONS = 13, 13, 2
+#: Words of a gram, grams of the least subsequence, hash functions (one is enough: any 25 words in common share their minimum).
+GRAM, SPAN, FUNCTIONS = 13, 13, 1
 #: Words looked at beside a common subsequence, which may lie at the end of a similar window.
 BESIDE = MIN_WORDS - GRAM - SPAN + 1 + SHINGLE
 _odd = np.uint64(0x9E3779B97F4A7C15)
@@ -316,8 +316,8 @@ def repeats(docs: DataFrame) -> DataFrame:
         masks = alike if masks is None else masks.unionByName(alike)
         again = places.alias("p").join(masks.alias("m"), same("p", "m")).groupBy("p.doc_id", "p.mark").agg(F.first("p.places").alias("places"), F.flatten(F.collect_list("m.masks")).alias("masks"))
         again = keep(again)
-        texts = docs.alias("d").join(again.alias("a"), same("d", "a")).select("d.*", "a.places", "a.masks")
-        met = shared_windows(texts)
+        docs = keep(docs.alias("d").join(again.alias("a"), same("d", "a"), "left_semi"))  # few, so later rounds read few texts
+        met = shared_windows(docs.alias("d").join(again.alias("a"), same("d", "a")).select("d.*", "a.places", "a.masks"))
 
 
 def verified(docs: DataFrame, met: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
@@ -332,7 +332,7 @@ def verified(docs: DataFrame, met: DataFrame) -> tuple[DataFrame, DataFrame | No
 
     here = spans.select("doc_id", "mark", F.col("a").alias("lo"), F.col("b").alias("hi"))
     there = spans.select(F.col("first_id").alias("doc_id"), F.col("first_mark").alias("mark"), F.col("c").alias("lo"), F.col("d").alias("hi"))
-    asked = here.union(there).groupBy("doc_id", "mark").agg(F.collect_set(F.struct("lo", "hi")).alias("asked"))
+    asked = keep(here.union(there).groupBy("doc_id", "mark").agg(F.collect_set(F.struct("lo", "hi")).alias("asked")))
 
     @F.pandas_udf("array<struct<lo: int, hi: int, words: binary>>")
     def cut(texts: pd.Series, asked: pd.Series) -> pd.Series:

@@ -1,8 +1,11 @@
 """Operator 8, exact top-k search: a Voronoi join of queries and data by inner product.
 
-Data are grouped by their nearest pivot. A cell's summary (rows, radius) bounds the inner product of any query with
-anything in it: q.x <= q.p + |q| * radius. A query first meets the most promising cell; the k-th score found there rules
-out cells whose bound lies below it, and it is copied to the others only. Groups are dealt out in blocks of bounded size.
+Data are grouped by their nearest pivot and, within its cell, by rings around it. For a group the driver knows, of its rows
+x with pivot p: the least and greatest length t along p, the greatest length w beside it and the greatest distance r from p.
+They bound the inner product of a query with anything in the group: q.x <= max(t q.p/|p|) + |q beside p| w, and
+q.x <= q.p + |q| r. A query first meets the most promising groups; the k-th score found there rules out the groups whose
+bound lies below it, and the query is copied to the others only. Groups are dealt out in blocks of bounded size.
+Vectors without any structure leave all bounds above the k-th score: then every group is asked, and the result stays exact.
 """
 
 from __future__ import annotations
@@ -16,8 +19,9 @@ from pyspark.sql import functions as F
 
 from orrery.llm.common import keep
 
-#: Rows that pivots are drawn from, pivots, about the rows and queries that one task's group holds, queries scored together.
-SAMPLE, PIVOTS, BLOCK, STEP = 8192, 128, 2048, 256
+#: Rows that pivots are drawn from, least and most pivots (about the root of the rows), rings of a cell, groups asked first,
+#: about the rows and queries that one task's group holds, queries scored together.
+SAMPLE, PIVOTS, MOST_PIVOTS, RINGS, FIRST, BLOCK, STEP = 8192, 128, 1024, 3, 4, 2048, 256
 
 
 def whole_numbers(vector: Column) -> Column:
@@ -45,6 +49,23 @@ def nearest(rows: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return at, np.sqrt(((rows - centres[at]) ** 2).sum(1))
 
 
+def along(rows: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Length of each row along its pivot (one pivot a row), and beside it."""
+    length = np.sqrt((pivots**2).sum(1))
+    t = (rows * pivots).sum(1) / np.where(length > 0, length, 1)
+    return t, np.sqrt(np.maximum((rows**2).sum(1) - t**2, 0))
+
+
+def bounds(q: np.ndarray, centre: np.ndarray, low: np.ndarray, high: np.ndarray, beside: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """The most that each query's inner product with a row of each group can be."""
+    toward = q @ centre.T
+    length = np.sqrt((centre**2).sum(1))
+    t = toward / np.where(length > 0, length, 1)[None, :]
+    size = (q**2).sum(1)[:, None]
+    first = np.maximum(t * low[None, :], t * high[None, :]) + np.sqrt(np.maximum(size - t**2, 0)) * beside[None, :]
+    return np.minimum(first, toward + np.sqrt(size) * radius[None, :])
+
+
 def stack(vectors: pd.Series, width: int) -> np.ndarray:
     """A matrix of the vectors; a shorter one is filled up with zeros."""
     out = np.zeros((len(vectors), width), np.int64)
@@ -80,24 +101,39 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id
 
     Fewer than k others give all. Vectors that are null or hold a null or non-finite component, and rows without an id,
     take no part; of rows with one id the smallest vector does; a shorter vector counts as filled with zeros; scores
-    beyond 64 bits are undefined. Many equal vectors only fill more blocks: nothing is dropped, capped or sampled.
+    beyond 64 bits are undefined. Many equal vectors only fill more blocks: nothing is dropped, capped or sampled. An empty
+    table gives an empty one; further columns are ignored.
     """
+    return search(vectors, queries, k, id_col, vector_col)[0]
+
+
+def search(vectors: DataFrame, queries: Column, k: int, id_col: str, vector_col: str) -> tuple[DataFrame, DataFrame, int]:
+    """top_k's rows; (query_id, cell) of the groups that were asked after the first ones (a written table); groups in all."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), whole_numbers(F.col(vector_col)).alias("v")).filter("vec_id is not null and v is not null")
     rows = keep(rows.groupBy("vec_id").agg(F.min("v").alias("v")))
     width = max(1, rows.agg(F.max(F.size("v"))).first()[0] or 0)
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toPandas()["v"]
-    pivots = choose_pivots(stack(sample, width), PIVOTS) if len(sample) else np.zeros((1, width))
+    known = stack(sample, width)
+    pivots = choose_pivots(known, int(min(MOST_PIVOTS, max(PIVOTS, rows.count() ** 0.5)))) if len(sample) else np.zeros((1, width))
+    edges = np.zeros((len(pivots), RINGS - 1))  # of the rings: halves of the rows known, and halves of what is left
+    near, far = nearest(known.astype(float), pivots) if len(sample) else (np.zeros(0, int), np.zeros(0))
+    for p in np.unique(near):
+        edges[p] = np.quantile(far[near == p], 1 - 0.5 ** np.arange(1, RINGS))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            cell, far = nearest(stack(batch["v"], width).astype(float), pivots)
-            yield batch.assign(cell=cell.astype(np.int32), far=far)
-
-    data = keep(rows.mapInPandas(assign, "vec_id long, v array<long>, cell int, far double"))
-    summary = data.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("radius")).toPandas()  # PIVOTS rows at most
-    cells, count, radius = (summary[c].to_numpy() for c in ("cell", "n", "radius"))
-    centre = pivots[cells] if len(cells) else np.zeros((0, width))
+            x = stack(batch["v"], width).astype(float)
+            cell, far = nearest(x, pivots)
+            t, w = along(x, pivots[cell])
+            ring = (far[:, None] > edges[cell]).sum(1)
+            yield batch.assign(cell=(cell * RINGS + ring).astype(np.int32), far=far, t=t, w=w)
+
+    data = keep(rows.mapInPandas(assign, "vec_id long, v array<long>, cell int, far double, t double, w double"))
+    figures = [F.count("*").alias("n"), F.max("far").alias("radius"), F.min("t").alias("low"), F.max("t").alias("high"), F.max("w").alias("beside")]
+    summary = data.groupBy("cell").agg(*figures).toPandas()  # MOST_PIVOTS * RINGS rows at most
+    cells, count, radius, low, high, beside = (summary[c].to_numpy() for c in ("cell", "n", "radius", "low", "high", "beside"))
+    centre = pivots[cells // RINGS] if len(cells) else np.zeros((0, width))
     size = dict(zip(cells.tolist(), count.tolist(), strict=True))
 
     def solve(asks: DataFrame) -> DataFrame:
@@ -122,15 +158,12 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 q = stack(batch["q"], width).astype(float)
-                toward = q @ centre.T
-                home = toward.argmax(1) if len(cells) else np.zeros(len(q), int)
-                if first:
-                    ask = np.zeros(toward.shape, bool)
-                    ask[np.arange(len(q)), home] = True
-                else:
-                    bound = toward + np.sqrt((q**2).sum(1))[:, None] * radius[None, :]
-                    ask = bound * (1 + 1e-9 * np.sign(bound)) + 1e-6 >= batch["floor"].to_numpy(float)[:, None]
-                    ask[np.arange(len(q)), home] = False
+                bound = bounds(q, centre, low, high, beside, radius)
+                ask = np.zeros(bound.shape, bool)
+                home = np.argsort(-(q @ centre.T), axis=1, kind="stable")[:, :FIRST]
+                np.put_along_axis(ask, home, True, 1)
+                if not first:
+                    ask = ~ask & (bound * (1 + 1e-9 * np.sign(bound)) + 1e-6 >= batch["floor"].to_numpy(float)[:, None])
                 i, c = np.nonzero(ask)
                 yield pd.DataFrame({"query_id": batch["query_id"].to_numpy()[i], "q": batch["q"].to_numpy()[i], "cell": cells[c].astype(np.int32)})
 
@@ -142,5 +175,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     floor = near.withColumn("rank", place).filter(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("floor"))
     rest = asked.join(floor, "query_id", "left").fillna(float("-inf"), ["floor"])
-    found = near.unionByName(solve(keep(rest.mapInPandas(spread(False), kind))))
-    return found.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    more = keep(rest.mapInPandas(spread(False), kind))
+    found = near.unionByName(solve(more))
+    out = found.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return out, more.select("query_id", "cell"), len(cells)

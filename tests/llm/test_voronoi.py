@@ -39,3 +39,19 @@ def test_few_rows(spark):
         rows = [(50 * i, [1.0 * i, 2.0]) for i in range(n)]
         df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
         assert sorted(map(tuple, voronoi.top_k(df, F.col("vec_id") % 50 == 0).collect())) == slow(rows)
+
+
+def share_asked(spark, rows):
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out, more, groups = voronoi.search(df, F.col("vec_id") % 50 == 0, 5, "vec_id", "embedding")
+    assert sorted(map(tuple, out.collect())) == slow(rows)
+    return more.count() / (groups * len([1 for i, _ in rows if i % 50 == 0]))
+
+
+def test_groups_are_ruled_out(spark):
+    rnd = random.Random(5)
+    centres = [[rnd.gauss(0, 1) for _ in range(16)] for _ in range(40)]
+    rows = [(i, [c + rnd.gauss(0, 0.05) for c in rnd.choice(centres)]) for i in range(2000)]
+    assert share_asked(spark, rows) < 0.2
+    rows = [(i, [rnd.gauss(0, 1) for _ in range(16)]) for i in range(1000)]  # nothing to rule groups out by
+    assert share_asked(spark, rows) <= 1

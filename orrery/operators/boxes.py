@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -95,21 +94,24 @@ def fn23_tile_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("frame", at("i", "w").alias("x"), at("j", "h").alias("y"))
 
 
-def suppress(boxes: pd.DataFrame, threshold: float = 0.3) -> pd.DataFrame:
-    """Greedy suppression within one frame: best score first, equals by number."""
-    left = boxes.sort_values(["score", "det"], ascending=[False, True])
-    kept = []
-    while len(left):
-        best = left.iloc[0]
-        kept.append((best.frame, best.det, best.score))
-        w = (left.x2.clip(upper=best.x2) - left.x1.clip(lower=best.x1)).clip(lower=0)
-        h = (left.y2.clip(upper=best.y2) - left.y1.clip(lower=best.y1)).clip(lower=0)
-        union = (left.x2 - left.x1) * (left.y2 - left.y1) + (best.x2 - best.x1) * (best.y2 - best.y1) - w * h
-        left = left[(w * h / union <= threshold) & (left.det != best.det)]
-    return pd.DataFrame(kept, columns=["frame", "det", "score"]).astype({"frame": "int64", "det": "int64"})
+_nms = """, b AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY score DESC, det) AS k FROM box),
+nms(frame, k, kept) AS (
+  SELECT frame, k, [{'det': det, 'score': score, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}] FROM b WHERE k = 1
+  UNION ALL
+  SELECT n.frame, b.k, CASE WHEN len(list_filter(n.kept, lambda q: (greatest(least(q.x2, b.x2) - greatest(q.x1, b.x1), 0) * greatest(least(q.y2, b.y2) - greatest(q.y1, b.y1), 0))
+      / ((q.x2 - q.x1) * (q.y2 - q.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - greatest(least(q.x2, b.x2) - greatest(q.x1, b.x1), 0) * greatest(least(q.y2, b.y2) - greatest(q.y1, b.y1), 0)) > 0.3)) > 0
+    THEN n.kept ELSE list_append(n.kept, {'det': b.det, 'score': b.score, 'x1': b.x1, 'y1': b.y1, 'x2': b.x2, 'y2': b.y2}) END
+  FROM nms n JOIN b ON b.frame = n.frame AND b.k = n.k + 1),
+last AS (SELECT frame, unnest(arg_max(kept, k)) AS q FROM nms GROUP BY frame)
+SELECT frame, q.det AS det, q.score AS score FROM last"""
 
 
-@query()
+@query(_nms, "box")
 def jn25_box_nms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN25: non-maximum suppression, frame by frame (the order of decisions matters, so it is not a join)."""
-    return views.box(spark, sf_dir).groupBy("frame").applyInPandas(lambda boxes: suppress(boxes), "frame long, det long, score double")
+    """JN25: non-maximum suppression, frame by frame: best score first, equals by number; a box stays if none kept covers it."""
+    fields = ["det", "score", "x1", "y1", "x2", "y2"]
+    ranked = views.box(spark, sf_dir).groupBy("frame").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("rank"), *fields))).alias("b"))
+    inter = "(greatest(least(q.x2, b.x2) - greatest(q.x1, b.x1), 0D) * greatest(least(q.y2, b.y2) - greatest(q.y1, b.y1), 0D))"
+    covers = f"{inter} / ((q.x2 - q.x1) * (q.y2 - q.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - {inter}) > 0.3D"
+    kept = F.expr(f"aggregate(b, slice(b, 1, 0), (kept, b) -> if(exists(kept, q -> {covers}), kept, array_append(kept, b)))")
+    return ranked.select("frame", F.explode(kept).alias("k")).select("frame", "k.det", "k.score")

@@ -1,43 +1,69 @@
-"""Processing graphs as node and edge rows: reachability, taint, resolution, duplicates. Recursion is Spark SQL's own."""
+"""Processing graphs as node and edge rows: reachability, taint, resolution, duplicates. Paths are followed by doubling links."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orrery.functions.tables import keep
 from orrery.plans.registry import query
 from orrery.sources import views
 
 
-def recursive(edge: DataFrame, sql: str) -> DataFrame:
-    return edge.sparkSession.sql(sql, edge=edge)
+def climb(links: DataFrame, starts: DataFrame) -> DataFrame:
+    """``starts`` (node, at, total) after following ``links`` (node, to, weight; one a node) from ``at`` until there is none.
 
+    Links double in length each round, so a path of n steps takes about log2(n) rounds, each a written table. What still has
+    links after more rounds than any path could need goes round in a circle: its ``at`` is null.
+    """
+    links, state = keep(links), keep(starts)
+    rounds = links.count().bit_length() + 1
+    while rounds:
+        l = links.alias("l")
+        moved = state.alias("s").join(l, F.col("s.at") == F.col("l.node"), "left")
+        state = keep(moved.select("s.node", F.coalesce("l.to", "s.at").alias("at"), (F.col("s.total") + F.coalesce("l.weight", F.lit(0))).alias("total")))
+        if state.join(links, state["at"] == links["node"], "left_semi").isEmpty():
+            return state
+        m = links.alias("m")
+        links = keep(l.join(m, F.col("l.to") == F.col("m.node"), "left").select("l.node", F.coalesce("m.to", "l.to").alias("to"), (F.col("l.weight") + F.coalesce("m.weight", F.lit(0))).alias("weight")))
+        rounds -= 1
+    circle = links.select(F.col("node").alias("at"), F.lit(True).alias("circle"))
+    return state.join(circle, "at", "left").select("node", F.when(F.col("circle").isNull(), F.col("at")).alias("at"), "total")
 
-_reach = "SELECT node, 0 AS depth FROM {0} WHERE node = 1 UNION ALL SELECT e.node, r.depth + 1 FROM reach r JOIN {0} e ON e.parent = r.node AND e.node <> e.parent WHERE NOT e.muted"
 
+_reach = "SELECT node, 0 AS depth FROM edge WHERE node = 1 UNION ALL SELECT e.node, r.depth + 1 FROM reach r JOIN edge e ON e.parent = r.node AND e.node <> e.parent WHERE NOT e.muted"
 
-@query(", reach AS (" + _reach.format("edge") + ") SELECT node, CAST(depth AS INTEGER) AS depth FROM reach", "edge")
+
+@query(", reach AS (" + _reach + ") SELECT node, CAST(depth AS INTEGER) AS depth FROM reach", "edge")
 def gr05_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """GR05, GR08, JN27: nodes that the root reaches over nodes that are not muted."""
-    return recursive(views.edge(spark, sf_dir), "WITH RECURSIVE reach(node, depth) AS (" + _reach.format("{edge}") + ") SELECT node, depth FROM reach")
+    """GR05, JN27: nodes that the root reaches over nodes that are not muted, however deep."""
+    e = views.edge(spark, sf_dir)
+    ways = e.filter("NOT muted AND node <> 1").select("node", F.col("parent").alias("to"), F.lit(1).alias("weight"))
+    got = climb(ways, ways.select("node", F.col("to").alias("at"), F.col("weight").alias("total"))).filter("at = 1").select("node", F.col("total").alias("depth"))
+    return got.unionByName(e.filter("node = 1").select("node", F.lit(0).alias("depth")))
 
 
-_taint = "SELECT node FROM {0} WHERE class = 'Brand#11' UNION ALL SELECT e.node FROM taint t JOIN {0} e ON e.parent = t.node AND e.node <> e.parent WHERE e.class <> 'Brand#22'"
+_taint = "SELECT node FROM edge WHERE class = 'Brand#11' UNION ALL SELECT e.node FROM taint t JOIN edge e ON e.parent = t.node AND e.node <> e.parent WHERE e.class <> 'Brand#22'"
 
 
-@query(", taint(node) AS (" + _taint.format("edge") + ") SELECT node, count(*) AS paths FROM taint GROUP BY node", "edge")
+@query(", taint(node) AS (" + _taint + ") SELECT node, count(*) AS paths FROM taint GROUP BY node", "edge")
 def gr07_taint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GR07: nodes that a source taints, unless a sanitiser stands between, and by how many sources."""
-    return recursive(views.edge(spark, sf_dir), "WITH RECURSIVE taint(node) AS (" + _taint.format("{edge}") + ") SELECT node, count(*) AS paths FROM taint GROUP BY node")
+    e = views.edge(spark, sf_dir).withColumn("own", F.expr("if(class = 'Brand#11', 1L, 0L)"))
+    above = e.select(F.col("node").alias("to"), F.col("own").alias("weight"))
+    ways = e.filter("class <> 'Brand#22' AND node <> parent").select("node", F.col("parent").alias("to")).join(above, "to").select("node", "to", "weight")
+    return climb(ways, e.select("node", F.col("node").alias("at"), F.col("own").alias("total"))).filter("total > 0").select("node", F.col("total").alias("paths"))
 
 
-_up = "SELECT node, parent, 0 AS hops FROM {0} UNION ALL SELECT u.node, e.parent, u.hops + 1 FROM up u JOIN {0} e ON e.node = u.parent WHERE e.muted AND u.hops < 40"
+_up = "SELECT node, parent, 0 AS hops FROM edge UNION ALL SELECT u.node, e.parent, u.hops + 1 FROM up u JOIN edge e ON e.node = u.parent WHERE e.muted"
 
 
-@query(", up AS (" + _up.format("edge") + "), m AS (SELECT node, parent, hops, row_number() OVER (PARTITION BY node ORDER BY hops DESC) AS k FROM up) SELECT node, parent AS source, CAST(hops AS INTEGER) AS hops FROM m WHERE k = 1", "edge")
+@query(", up AS (" + _up + "), m AS (SELECT node, parent, hops, row_number() OVER (PARTITION BY node ORDER BY hops DESC) AS k FROM up) SELECT node, parent AS source, CAST(hops AS INTEGER) AS hops FROM m WHERE k = 1", "edge")
 def gr02_resolve_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """GR02: the nearest ancestor that is not muted, through muted ones (40 hops at most, so that a cycle ends)."""
-    return recursive(views.edge(spark, sf_dir), "WITH RECURSIVE up(node, parent, hops) AS (" + _up.format("{edge}") + ") SELECT node, max_by(parent, hops) AS source, max(hops) AS hops FROM up GROUP BY node")
+    """GR02: the nearest ancestor that is not muted, through muted ones, however many (null: a circle of muted ones)."""
+    e = views.edge(spark, sf_dir)
+    ways = e.filter("muted").select("node", F.col("parent").alias("to"), F.lit(1).alias("weight"))
+    return climb(ways, e.select("node", F.col("parent").alias("at"), F.lit(0).alias("total"))).select("node", F.col("at").alias("source"), F.col("total").alias("hops"))
 
 
 @query(", c AS (SELECT node, parent, min(node) OVER (PARTITION BY class, parent // 8) AS keep FROM edge) SELECT c.node AS node, c.keep AS keep, coalesce(p.keep, c.parent) AS parent FROM c LEFT JOIN c p ON p.node = c.parent", "edge")

@@ -50,11 +50,11 @@ def mk02_mask_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.px(spark, sf_dir).groupBy("kind", "frame").agg(F.min("x").alias("x1"), F.min("y").alias("y1"), (F.max("x") + 1).alias("x2"), (F.max("y") + 1).alias("y2"), F.count("*").alias("n"))
 
 
-@query(_two + " SELECT DISTINCT frame, CAST(y + dy AS INTEGER) AS y, CAST(x + dx AS INTEGER) AS x FROM (SELECT * FROM raw WHERE frame < 4), generate_series(-1, 1) a(dy), generate_series(-1, 1) b(dx) WHERE y + dy BETWEEN 0 AND 23 AND x + dx BETWEEN 0 AND 23", "px")
+@query(_two + " SELECT DISTINCT frame, CAST(y + dy AS INTEGER) AS y, CAST(x + dx AS INTEGER) AS x FROM raw, generate_series(-1, 1) a(dy), generate_series(-1, 1) b(dx) WHERE y + dy BETWEEN 0 AND 23 AND x + dx BETWEEN 0 AND 23", "px")
 def mk03_dilate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MK03 (dilation only): dilation by a square of three, on the canvas."""
     offsets = F.expr("explode(flatten(transform(sequence(-1, 1), dy -> transform(sequence(-1, 1), dx -> struct(dy, dx)))))")
-    grown = of_kind(views.px(spark, sf_dir), "raw").filter("frame < 4").withColumn("o", offsets).select("frame", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"))
+    grown = of_kind(views.px(spark, sf_dir), "raw").withColumn("o", offsets).select("frame", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"))
     return grown.filter("y BETWEEN 0 AND 23 AND x BETWEEN 0 AND 23").distinct()
 
 

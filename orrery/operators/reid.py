@@ -13,6 +13,8 @@ from orrery.functions.exprs import distance, uniform
 from orrery.plans.registry import query
 from orrery.sources import views
 
+#: Thresholds of the grid and draws of the bootstrap.
+STEPS, DRAWS = 512, 1000
 GALLERY = "status = 0 AND seq <= 4"
 #: SQL of the pairs: a probe of any kind against gallery sequences seen from another angle.
 _pairs = ", pair AS (SELECT p.ord AS probe, p.subject AS subject, p.status AS status, p.angle AS probe_view, g.ord AS gallery, g.subject AS found, g.angle AS gallery_view, round(list_distance(p.v, g.v), 9) AS d FROM emb p JOIN emb g ON g.status = 0 AND g.seq <= 4 AND g.angle <> p.angle WHERE NOT (p.status = 0 AND p.seq <= 4))"
@@ -73,7 +75,7 @@ def jn16_identity_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.groupBy("status").agg(F.round(F.avg("r"), 6).alias("mean_rank"), F.count("*").alias("n"))
 
 
-@query(_pairs + ", bound AS (SELECT min(d) AS lo, max(d) AS hi FROM pair), grid AS (SELECT k, lo + (hi - lo) * k / 63.0 AS t FROM bound, generate_series(0, 63) s(k)), rate AS (SELECT k, t, avg(CAST(d <= t AS DOUBLE)) FILTER (subject <> found) AS far, avg(CAST(d > t AS DOUBLE)) FILTER (subject = found) AS frr FROM grid, pair GROUP BY k, t) SELECT CAST(k AS INTEGER) AS step, round(t, 6) AS threshold, round((far + frr) / 2, 6) AS eer FROM rate ORDER BY round(abs(far - frr), 9), k LIMIT 1", "emb")
+@query(_pairs + ", bound AS (SELECT min(d) AS lo, max(d) AS hi FROM pair), grid AS (SELECT k, lo + (hi - lo) * k / 511.0 AS t FROM bound, generate_series(0, 511) s(k)), rate AS (SELECT k, t, avg(CAST(d <= t AS DOUBLE)) FILTER (subject <> found) AS far, avg(CAST(d > t AS DOUBLE)) FILTER (subject = found) AS frr FROM grid, pair GROUP BY k, t) SELECT CAST(k AS INTEGER) AS step, round(t, 6) AS threshold, round((far + frr) / 2, 6) AS eer FROM rate ORDER BY round(abs(far - frr), 9), k LIMIT 1", "emb")
 def ag09_eer_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG09: the step of a threshold grid at which false acceptance and rejection are closest; the first of equals.
 
@@ -81,9 +83,12 @@ def ag09_eer_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     found = pairs(views.emb(spark, sf_dir))
     bound = found.agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
-    grid = bound.select(F.explode(F.sequence(F.lit(0), F.lit(63))).alias("step"), "lo", "hi").withColumn("t", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("step") / 63.0)
-    steps = grid.agg(F.array_sort(F.collect_list("t")).alias("ts"))
-    binned = found.crossJoin(F.broadcast(steps)).withColumn("step", F.size(F.filter("ts", lambda t: t < F.col("d"))))  # one row of 64 thresholds
+    steps = F.sequence(F.lit(0), F.lit(STEPS - 1))
+    grid = bound.select(F.explode(steps).alias("step"), "lo", "hi").withColumn("t", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("step") / (STEPS - 1.0))
+    binned = found.crossJoin(F.broadcast(bound))  # one row
+    binned = binned.withColumn("k", F.greatest(F.lit(0), F.floor((F.col("d") - F.col("lo")) * (STEPS - 1.0) / (F.col("hi") - F.col("lo"))).cast("int") - 1))
+    lower = lambda k: F.col("lo") + (F.col("hi") - F.col("lo")) * k / (STEPS - 1.0) < F.col("d")
+    binned = binned.withColumn("step", F.col("k") + F.size(F.filter(F.sequence(F.col("k"), F.col("k") + 3), lower)))  # the first threshold not below d
     same, other = F.col("subject") == F.col("found"), F.col("subject") != F.col("found")
     counts = binned.groupBy("step").agg(F.count_if(same).alias("s"), F.count_if(other).alias("o"))
     upto, total = W.orderBy("step").rowsBetween(W.unboundedPreceding, 0), W.partitionBy()
@@ -134,13 +139,13 @@ def ag10_eer_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 _uniform = "CAST(('0x' || substr(md5(concat_ws('|', {})), 1, 8)) AS BIGINT) / 4294967296.0"
 
 
-@query(_ranked + ", b AS (SELECT rep, probe, status, CAST(floor(" + _uniform.format("'boot', rep, probe") + " * count(*) OVER (PARTITION BY rep, status)) AS BIGINT) + 1 AS pick FROM first, generate_series(1, 50) t(rep)), n AS (SELECT status, coalesce(rank <= 5, false) AS hit, row_number() OVER (PARTITION BY status ORDER BY probe) AS i FROM first), m AS (SELECT b.status, rep, avg(CAST(hit AS DOUBLE)) AS m FROM b JOIN n ON b.status = n.status AND b.pick = n.i GROUP BY ALL) SELECT status, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m GROUP BY status", "emb")
+@query(_ranked + ", b AS (SELECT rep, probe, status, CAST(floor(" + _uniform.format("'boot', rep, probe") + " * count(*) OVER (PARTITION BY rep, status)) AS BIGINT) + 1 AS pick FROM first, generate_series(1, 1000) t(rep)), n AS (SELECT status, coalesce(rank <= 5, false) AS hit, row_number() OVER (PARTITION BY status ORDER BY probe) AS i FROM first), m AS (SELECT b.status, rep, avg(CAST(hit AS DOUBLE)) AS m FROM b JOIN n ON b.status = n.status AND b.pick = n.i GROUP BY ALL) SELECT status, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m GROUP BY status", "emb")
 def st91_bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST91: interval of rank-5 from draws with replacement; each draw's index follows from a hash."""
     f = first_hits(pairs(views.emb(spark, sf_dir))).select("probe", "status", F.coalesce(F.col("rank") <= 5, F.lit(False)).alias("hit"))
     n = f.withColumn("i", F.row_number().over(W.partitionBy("status").orderBy("probe"))).select("status", "hit", "i")
     size = f.groupBy("status").agg(F.count("*").alias("n"))
-    b = f.join(size, "status").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(50))))
+    b = f.join(size, "status").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(DRAWS))))
     b = b.select("status", "rep", (F.floor(uniform(F.lit("boot"), F.col("rep"), F.col("probe")) * F.col("n")) + 1).alias("i"))
     m = b.join(n, ["status", "i"]).groupBy("status", "rep").agg(F.avg(F.col("hit").cast("double")).alias("m"))
     return m.groupBy("status").agg(F.round(F.expr("percentile(m, 0.025)"), 6).alias("low"), F.round(F.expr("percentile(m, 0.975)"), 6).alias("high"))
@@ -149,6 +154,10 @@ def st91_bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_ranked + ", g AS (SELECT ord, subject, row_number() OVER (ORDER BY ord) AS i FROM emb WHERE status = 0 AND seq <= 4), s AS (SELECT rep, g.i, g.subject, row_number() OVER (PARTITION BY rep ORDER BY md5(concat_ws('|', 'null', rep, ord)), ord) AS k FROM g, generate_series(1, 10) t(rep)), lab AS (SELECT s.rep, g.ord AS gallery, s.subject AS fake FROM s JOIN g ON g.i = s.k), top AS (SELECT probe, status, subject, gallery FROM ranked WHERE r <= 5), h AS (SELECT rep, status, probe, bool_or(subject = fake) AS hit FROM top JOIN lab USING (gallery) GROUP BY ALL), m AS (SELECT status, rep, avg(CAST(hit AS DOUBLE)) AS m FROM h GROUP BY ALL) SELECT status, round(avg(m), 6) AS null_rank5, round(stddev_samp(m) / sqrt(count(*)), 6) AS sem FROM m GROUP BY status", "emb")
 def st90_permutation_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST90, AG05: the gallery's labels shuffled by hash, ten times; distances and ranks are computed once."""
+    return null_rates(spark, sf_dir).select("status", F.round("null_rank5", 6).alias("null_rank5"), F.round("sem", 6).alias("sem"))
+
+
+def null_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     emb = views.emb(spark, sf_dir)
     found = pairs(emb)
     top = found.withColumn("r", F.row_number().over(W.partitionBy("probe").orderBy("d", "gallery"))).filter("r <= 5").select("probe", "status", "subject", "gallery")
@@ -158,7 +167,7 @@ def st90_permutation_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     lab = g.select("rep", F.col("ord").alias("gallery"), F.col("i").alias("at")).join(g.select("rep", F.col("subject").alias("fake"), F.col("k").alias("at")), ["rep", "at"])
     h = top.join(lab, "gallery").groupBy("rep", "status", "probe").agg(F.bool_or(F.col("subject") == F.col("fake")).alias("hit"))
     m = h.groupBy("status", "rep").agg(F.avg(F.col("hit").cast("double")).alias("m"))
-    return m.groupBy("status").agg(F.round(F.avg("m"), 6).alias("null_rank5"), F.round(F.stddev_samp("m") / F.sqrt(F.count("*")), 6).alias("sem"))
+    return m.groupBy("status").agg(F.avg("m").alias("null_rank5"), (F.stddev_samp("m") / F.sqrt(F.count("*"))).alias("sem"))
 
 
 @query(" SELECT count(*) AS shared FROM (SELECT subject FROM emb WHERE seq <= 3 INTERSECT SELECT subject FROM emb WHERE seq > 3)", "emb")
@@ -175,3 +184,80 @@ def jn24_expected_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.expect(spark, sf_dir).join(m, "k", "left")
     verdict = F.when(F.col("measured").isNull(), "MISSING").when(F.abs(F.col("measured") - F.col("expected")) <= F.col("tol"), "PASS").otherwise("FAIL")
     return rows.select("arm", F.round("expected", 6).alias("expected"), F.round("measured", 6).alias("measured"), verdict.alias("verdict"))
+
+
+_null = _ranked + """, g AS (SELECT ord, subject, row_number() OVER (ORDER BY ord) AS i FROM emb WHERE status = 0 AND seq <= 4),
+s AS (SELECT rep, g.i, g.subject, row_number() OVER (PARTITION BY rep ORDER BY md5(concat_ws('|', 'null', rep, ord)), ord) AS k FROM g, generate_series(1, 10) t(rep)),
+lab AS (SELECT s.rep, g.ord AS gallery, s.subject AS fake FROM s JOIN g ON g.i = s.k),
+top AS (SELECT probe, status, subject, gallery FROM ranked WHERE r <= 5),
+h AS (SELECT rep, status, probe, bool_or(subject = fake) AS hit FROM top JOIN lab USING (gallery) GROUP BY ALL),
+null_of AS (SELECT status, avg(m) AS null_rank5 FROM (SELECT status, rep, avg(CAST(hit AS DOUBLE)) AS m FROM h GROUP BY ALL) GROUP BY status),
+value_of AS (SELECT status, avg(CAST(coalesce(rank <= 5, false) AS DOUBLE)) AS rank5 FROM first GROUP BY status),
+lift AS (SELECT status, rank5, null_rank5, rank5 - null_rank5 AS lift FROM value_of JOIN null_of USING (status))
+SELECT l.status, round(l.rank5, 6) AS rank5, round(l.lift, 6) AS lift,
+       CASE WHEN c.lift <> 0 THEN round(l.lift / c.lift, 6) END AS retained, CASE WHEN c.lift <> 0 THEN round(1 - l.lift / c.lift, 6) END AS removed
+FROM lift l JOIN lift c ON c.status = 0"""
+
+
+@query(_null, "emb")
+def st93_lift_over_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST93, AG41: rank-5 of each kind of probe less its own null, and the share of the clean kind's lift that it keeps."""
+    value = first_hits(pairs(views.emb(spark, sf_dir))).groupBy("status").agg(F.avg(F.coalesce(F.col("rank") <= 5, F.lit(False)).cast("double")).alias("rank5"))
+    lift = value.join(null_rates(spark, sf_dir), "status").withColumn("lift", F.col("rank5") - F.col("null_rank5"))
+    clean = lift.filter("status = 0").select(F.col("lift").alias("clean"))  # one row at most
+    ratio = F.when(F.col("clean") != 0, F.col("lift") / F.col("clean"))
+    return lift.crossJoin(F.broadcast(clean)).select("status", F.round("rank5", 6).alias("rank5"), F.round("lift", 6).alias("lift"), F.round(ratio, 6).alias("retained"), F.round(1 - ratio, 6).alias("removed"))
+
+
+@query(_ranked + """, b AS (SELECT p.*, coalesce(rank <= 5, false) AS hit, subject FROM first p JOIN (SELECT ord, subject FROM emb) e ON e.ord = p.probe),
+per AS (SELECT status, subject, avg(CAST(hit AS DOUBLE)) AS m, row_number() OVER (PARTITION BY status ORDER BY subject) AS i, count(*) OVER (PARTITION BY status) AS n FROM b GROUP BY status, subject),
+pick AS (SELECT rep, status, n, CAST(floor(""" + _uniform.format("'cluster', rep, status, i") + """ * n) AS BIGINT) + 1 AS j FROM per, generate_series(1, 2000) t(rep)),
+m AS (SELECT pick.status, rep, any_value(pick.n) AS n, avg(m) AS m FROM pick JOIN per ON per.status = pick.status AND per.i = pick.j GROUP BY pick.status, rep)
+SELECT status, any_value(n) AS identities, CASE WHEN any_value(n) >= 3 THEN round(quantile_cont(m, 0.025), 6) END AS low, CASE WHEN any_value(n) >= 3 THEN round(quantile_cont(m, 0.975), 6) END AS high FROM m GROUP BY status""", "emb")
+def st92_clustered_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST92: interval of rank-5 from 2,000 draws of whole identities; null for fewer than three of them."""
+    emb = views.emb(spark, sf_dir)
+    hits = first_hits(pairs(emb)).join(emb.select(F.col("ord").alias("probe"), "subject"), "probe").groupBy("status", "subject").agg(F.avg(F.coalesce(F.col("rank") <= 5, F.lit(False)).cast("double")).alias("m"))
+    by = W.partitionBy("status")  # a row for each identity
+    per = hits.withColumn("i", F.row_number().over(by.orderBy("subject"))).withColumn("n", F.count("*").over(by))
+    pick = per.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(2000))))
+    pick = pick.select("rep", "status", "n", (F.floor(uniform(F.lit("cluster"), F.col("rep"), F.col("status"), F.col("i")) * F.col("n")) + 1).alias("i"))
+    m = pick.join(per.select("status", "i", "m"), ["status", "i"]).groupBy("status", "rep").agg(F.first("n").alias("n"), F.avg("m").alias("m"))
+    edge = lambda q: F.round(F.expr(f"percentile(m, {q})"), 6)
+    out = m.groupBy("status").agg(F.first("n").alias("identities"), edge(0.025).alias("low"), edge(0.975).alias("high"))
+    enough = lambda c: F.when(F.col("identities") >= 3, F.col(c)).alias(c)
+    return out.select("status", "identities", enough("low"), enough("high"))
+
+
+@query(_ranked + """, hit AS (SELECT p.status, e.angle, CAST(coalesce(rank <= 1, false) AS DOUBLE) AS h FROM first p JOIN (SELECT ord, angle FROM emb) e ON e.ord = p.probe)
+SELECT angle, round(avg(h) FILTER (status = 0), 6) AS nm, round(avg(h) FILTER (status = 1), 6) AS bg, round(avg(h) FILTER (status = 2), 6) AS cl FROM hit GROUP BY angle""", "emb")
+def ag48_metric_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG48: rank-1 by view, a column for each kind of probe."""
+    emb = views.emb(spark, sf_dir)
+    hit = first_hits(pairs(emb)).join(emb.select(F.col("ord").alias("probe"), "angle"), "probe").withColumn("h", F.coalesce(F.col("rank") <= 1, F.lit(False)).cast("double"))
+    cells = hit.groupBy("angle").pivot("status", [0, 1, 2]).agg(F.avg("h"))
+    return cells.select("angle", *[F.round(F.col(str(k)), 6).alias(name) for k, name in enumerate(("nm", "bg", "cl"))])
+
+
+_role = "CASE WHEN status = 0 AND seq <= 4 THEN 'gallery' WHEN status = 0 THEN 'nm' WHEN status = 1 THEN 'bg' ELSE 'cl' END"
+
+
+@query(f" SELECT {_role} AS role, count(*) AS n, count(DISTINCT subject) AS subjects FROM emb GROUP BY 1", "emb")
+def flt01_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT01: gallery and the three kinds of probes, as predicates over status and sequence number."""
+    return views.emb(spark, sf_dir).groupBy(F.expr(_role).alias("role")).agg(F.count("*").alias("n"), F.countDistinct("subject").alias("subjects"))
+
+
+_mixed = """, arm AS (SELECT ord, subject, status, seq, angle, CASE WHEN status = 0 AND seq <= 4 THEN v ELSE list_transform(v, lambda x: round(x * 8) / 8) END AS v FROM emb),
+pair AS (SELECT p.ord AS probe, p.status, p.subject, g.subject AS found, row_number() OVER (PARTITION BY p.ord ORDER BY round(list_distance(p.v, g.v), 9), g.ord) AS r
+         FROM arm p JOIN arm g ON g.status = 0 AND g.seq <= 4 AND g.angle <> p.angle WHERE NOT (p.status = 0 AND p.seq <= 4))
+SELECT status, count(*) AS n, round(avg(CAST(subject = found AS DOUBLE)), 6) AS rank1 FROM pair WHERE r = 1 GROUP BY status"""
+
+
+@query(_mixed, "emb")
+def jn21_mixed_arm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN21: the clean gallery against coarsened probes (one arm made of two)."""
+    coarse = F.when(F.expr(GALLERY), F.col("v")).otherwise(F.transform("v", lambda x: F.round(x * 8) / 8))
+    found = pairs(views.emb(spark, sf_dir).withColumn("v", coarse))
+    best = found.groupBy("probe").agg(F.min_by(F.struct("status", "subject", "found"), F.struct("d", "gallery")).alias("m")).select("m.*")
+    return best.groupBy("status").agg(F.count("*").alias("n"), F.round(F.avg((F.col("subject") == F.col("found")).cast("double")), 6).alias("rank1"))

@@ -78,8 +78,9 @@ def wn07_identity_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f" SELECT ord, coalesce(last_value(gappy IGNORE NULLS) OVER ({_w} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(gappy IGNORE NULLS) OVER ({_w} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS filled FROM series", "series")
 def wn08_carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WN08: last observation carried forward, the head filled from behind."""
-    forward, back = order().rowsBetween(W.unboundedPreceding, 0), order().rowsBetween(0, W.unboundedFollowing)
-    return views.series(spark, sf_dir).select("ord", F.coalesce(F.last("gappy", True).over(forward), F.first("gappy", True).over(back)).alias("filled"))
+    forward = order().rowsBetween(W.unboundedPreceding, 0)
+    back = W.partitionBy("label").orderBy(F.desc("us"), F.desc("ord")).rowsBetween(W.unboundedPreceding, 0)  # reversed, so that the frame grows
+    return views.series(spark, sf_dir).select("ord", F.coalesce(F.last("gappy", True).over(forward), F.last("gappy", True).over(back)).alias("filled"))
 
 
 @query(f", g AS (SELECT label, (us - lag(us) OVER ({_w})) / 1e6 AS gap FROM series) SELECT label, count(*) FILTER (gap > 3600) AS gaps, round(max(gap), 6) AS longest FROM g GROUP BY label", "series")
@@ -159,12 +160,12 @@ def ts06_dominant_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy("label").agg(F.max_by("k", F.struct(F.round("p", 4), -F.col("k"))).alias("k"), F.round(F.max("p") / F.sum("p"), 5).alias("share"))
 
 
-@query(", i AS (SELECT ord AS iteration, us AS hi, us - CAST(value * 60000000 AS BIGINT) AS lo, ident FROM series WHERE label % 10 = 0) SELECT iteration, count(s.ord) AS samples, round(avg(s.value), 6) AS mean FROM i LEFT JOIN series s ON s.ident = i.ident AND s.us BETWEEN lo AND hi GROUP BY iteration", "series")
+@query(", i AS (SELECT ord AS iteration, us AS hi, us - CAST(value * 60000000 AS BIGINT) AS lo, ident FROM series) SELECT iteration, count(s.ord) AS samples, round(avg(s.value), 6) AS mean FROM i LEFT JOIN series s ON s.ident = i.ident AND s.us BETWEEN lo AND hi GROUP BY iteration", "series")
 def jn05_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN05: samples within each iteration's interval. Time is cut into hours, so that the join is on equal keys."""
     s = views.series(spark, sf_dir)
     hour = 3_600_000_000
-    i = s.filter("label % 10 = 0").select(F.col("ord").alias("iteration"), F.col("us").alias("hi"), (F.col("us") - (F.col("value") * 60000000).cast("long")).alias("lo"), "ident")
+    i = s.select(F.col("ord").alias("iteration"), F.col("us").alias("hi"), (F.col("us") - (F.col("value") * 60000000).cast("long")).alias("lo"), "ident")
     i = i.withColumn("hour", F.explode(F.sequence(F.floor(F.least("lo", "hi") / hour), F.floor(F.col("hi") / hour))))
     x = s.select("ident", "us", "value", F.floor(F.col("us") / hour).alias("hour"), "ord")
     met = i.join(x, ["ident", "hour"], "left").withColumn("inside", F.col("us").between(F.col("lo"), F.col("hi")))
@@ -178,7 +179,7 @@ def jn06_nearest_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     mark = F.when(F.col("ident") == "click", F.struct("us", "ord"))
     # annotations at the same instant: those before a sample reach it from behind, the smallest number wins from ahead
     before = W.partitionBy("label").orderBy("us").rangeBetween(W.unboundedPreceding, 0)
-    after = W.partitionBy("label").orderBy("us").rangeBetween(0, W.unboundedFollowing)
+    after = W.partitionBy("label").orderBy(F.desc("us")).rangeBetween(W.unboundedPreceding, 0)  # reversed, so that the frame grows
     m = s.withColumn("m", mark)
     late = F.max(F.col("m.us")).over(before)
     m = m.withColumn("pu", late).withColumn("nu", F.min(F.col("m.us")).over(after))

@@ -1,6 +1,6 @@
 """All queries: importing this module enters them."""
 
-from orrery.operators import audits, boxes, graph, masks, poses, relational, reid, release, series, shapes, tracks  # noqa: F401
+from orrery.operators import audits, boxes, graph, masks, matching, measures, poses, relational, reid, release, scalars, series, shapes, tracks  # noqa: F401
 from orrery.plans.registry import QUERIES, SQL  # noqa: F401
 from orrery.sources import sinks  # noqa: F401
 

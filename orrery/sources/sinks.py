@@ -33,3 +33,12 @@ def snk06_pose_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = F.struct("joint", F.floor("x").cast("long").alias("x"), F.floor("y").cast("long").alias("y"))
     g = views.pose(spark, sf_dir).groupBy("clip", "frame").agg(F.count("*").alias("joints"), F.sort_array(F.collect_list(row)).alias("b"))
     return g.select("clip", "frame", "joints", F.to_json("b").alias("body"))
+
+
+def report(df: DataFrame, path: str, most: int = 1000) -> None:
+    """SNK05: a table of a report as Markdown, in one file. Only for results of ``most`` rows at most; more are an error."""
+    if df.count() > most:
+        raise ValueError(f"a report holds {most} rows at most")
+    body = df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns]), F.lit(" |")).alias("value"))
+    head = df.sparkSession.createDataFrame([(f"| {' | '.join(df.columns)} |",), (f"|{'-|' * len(df.columns)}",)], "value string")
+    head.coalesce(1).union(body).coalesce(1).write.mode("overwrite").text(path)

@@ -108,9 +108,14 @@ SELECT frame, q.det AS det, q.score AS score FROM last"""
 
 @query(_nms, "box")
 def jn25_box_nms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN25: non-maximum suppression, frame by frame: best score first, equals by number; a box stays if none kept covers it."""
+    """JN25: non-maximum suppression, frame by frame."""
+    return suppress(views.box(spark, sf_dir))
+
+
+def suppress(box: DataFrame) -> DataFrame:
+    """(frame, det, score) that stay: best score first, equals by number; a box stays if none kept overlaps it by three tenths."""
     fields = ["det", "score", "x1", "y1", "x2", "y2"]
-    ranked = views.box(spark, sf_dir).groupBy("frame").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("rank"), *fields))).alias("b"))
+    ranked = box.groupBy("frame").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("rank"), *fields))).alias("b"))
     inter = "(greatest(least(q.x2, b.x2) - greatest(q.x1, b.x1), 0D) * greatest(least(q.y2, b.y2) - greatest(q.y1, b.y1), 0D))"
     covers = f"{inter} / ((q.x2 - q.x1) * (q.y2 - q.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - {inter}) > 0.3D"
     kept = F.expr(f"aggregate(b, slice(b, 1, 0), (kept, b) -> if(exists(kept, q -> {covers}), kept, array_append(kept, b)))")

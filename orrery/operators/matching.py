@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from orrery.functions.clips import walk
 from orrery.functions.exprs import overlap, uniform
 from orrery.plans.registry import query
 from orrery.sources import views
@@ -134,18 +136,17 @@ class OverlapTracker:
         return [track[d] for d in range(len(boxes))]
 
 
-def follow(clip: pd.DataFrame) -> pd.DataFrame:
-    tracker, out = OverlapTracker(), []
-    for _, rows in clip.sort_values(["frame", "det"]).groupby("frame", sort=True):
-        out.append(rows[["clip", "frame", "det"]].assign(track=tracker.step(list(rows[["x1", "y1", "x2", "y2"]].itertuples(index=False, name=None)))))
-    return pd.concat(out)
+def tracks_of() -> Callable[[list[tuple]], list[tuple]]:
+    """Called with the rows (clip, frame, det, x1, y1, x2, y2) of one frame after another of a clip."""
+    tracker = OverlapTracker()
+    return lambda rows: [(*r[:3], t) for r, t in zip(rows, tracker.step([r[3:] for r in rows]), strict=True)]
 
 
 @query()
 def jn11_overlap_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN11: tracks by overlap from frame to frame. Decisions depend on order, so a clip (sixteen frames) is a group."""
+    """JN11: tracks by overlap from frame to frame. Decisions depend on order: a task walks through the frames of its clips."""
     clips = views.box(spark, sf_dir).selectExpr("frame div 64 AS clip", "frame", "det", "x1", "y1", "x2", "y2")
-    return clips.groupBy("clip").applyInPandas(lambda c: follow(c), "clip long, frame long, det long, track long")
+    return walk(clips, "clip", ["frame", "det"], ["frame"], tracks_of, "clip long, frame long, det long, track long")
 
 
 @query(""", k AS (SELECT CAST(frame % 40 AS INTEGER) AS frame, joint, CAST(floor(x) AS INTEGER) % 24 AS jx, CAST(floor(y) AS INTEGER) % 24 AS jy FROM kp WHERE conf >= 0.8),

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from orrery.functions.clips import walk
 from orrery.functions.exprs import uniform
 from orrery.plans.registry import query
 from orrery.sources import views
@@ -47,10 +49,14 @@ def followed(z: np.ndarray, share: float = FOLLOW, most: float = SLEW) -> np.nda
     return out
 
 
-def _both(clip: pd.DataFrame) -> pd.DataFrame:
-    clip = clip.sort_values("i")
-    z = clip["z"].to_numpy(float)
-    return clip[["ord"]].assign(smooth=smoothed(z).round(6), follow=followed(z).round(6))
+def _both() -> Callable[[list[tuple]], list[tuple]]:
+    """Called with the rows (label, day, ord, z, i, n) of a whole clip."""
+
+    def run(rows: list[tuple]) -> list[tuple]:
+        z = np.array([r[3] for r in rows])
+        return list(zip([r[2] for r in rows], smoothed(z).round(6).tolist(), followed(z).round(6).tolist(), strict=True))
+
+    return run
 
 
 @query(_clip + f""", f(label, day, i, x, p, y) AS (
@@ -66,8 +72,8 @@ b(label, day, i, s) AS (
 SELECT z.ord, round(b.s, 6) AS smooth, round(f.y, 6) AS follow FROM z JOIN f ON f.label = z.label AND f.day = z.day AND f.i = z.i JOIN b ON b.label = z.label AND b.day = z.day AND b.i = z.i""", "series")
 def ts02_smoother(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TS02, TS03: a filter with its backward smoother, and a follower with a greatest step. Each sample needs the one
-    before, so a clip (a label's day) is a group."""
-    return clips(spark, sf_dir).groupBy("label", "day").applyInPandas(_both, "ord long, smooth double, follow double")
+    before, and the backward pass a whole clip (a label's day)."""
+    return walk(clips(spark, sf_dir), ["label", "day"], ["i"], [], _both, "ord long, smooth double, follow double")
 
 
 @query(_clip + """, d AS (SELECT *, z - lag(z) OVER (PARTITION BY label, day ORDER BY i) AS d FROM z),
@@ -97,15 +103,15 @@ def ts05_resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_clip + """, c AS (SELECT label, day, i, z - avg(z) OVER (PARTITION BY label, day) AS c FROM z),
 l AS (SELECT a.label, a.day, lag, sum(a.c * b.c) AS s FROM c a, generate_series(1, 6) t(lag) JOIN c b ON b.label = a.label AND b.day = a.day AND b.i = a.i + lag GROUP BY a.label, a.day, lag),
-r AS (SELECT *, row_number() OVER (PARTITION BY label, day ORDER BY round(s, 6) DESC, lag) AS k FROM l) SELECT label, day, CAST(lag AS INTEGER) AS lag, round(s, 4) AS likeness FROM r WHERE k = 1""", "series")
+r AS (SELECT *, row_number() OVER (PARTITION BY label, day ORDER BY round(s, 6) DESC, lag) AS k FROM l) SELECT r.label, r.day, CAST(lag AS INTEGER) AS lag, round(s / q, 6) AS likeness FROM r JOIN (SELECT label, day, sum(c * c) AS q FROM c GROUP BY label, day) e ON e.label = r.label AND e.day = r.day WHERE k = 1 AND round(q, 6) > 0""", "series")
 def ts07_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TS07: the shift of one to six samples at which a clip is most like itself."""
     c = clips(spark, sf_dir).select("label", "day", "i", (F.col("z") - F.avg("z").over(W.partitionBy("label", "day"))).alias("c"))
     per = W.partitionBy("label", "day").orderBy("i")
-    wide = c.select("label", "day", *[(F.col("c") * F.lead("c", k).over(per)).alias(f"p{k}") for k in range(1, 7)])
-    sums = wide.groupBy("label", "day").agg(*[F.sum(f"p{k}").alias(f"s{k}") for k in range(1, 7)])
+    wide = c.select("label", "day", (F.col("c") * F.col("c")).alias("q"), *[(F.col("c") * F.lead("c", k).over(per)).alias(f"p{k}") for k in range(1, 7)])
+    sums = wide.groupBy("label", "day").agg(F.sum("q").alias("q"), *[F.sum(f"p{k}").alias(f"s{k}") for k in range(1, 7)])
     best = F.array_max(F.filter(F.array(*[F.struct(F.round(f"s{k}", 6).alias("r"), F.lit(-k).alias("k"), F.col(f"s{k}").alias("s")) for k in range(1, 7)]), lambda x: x["s"].isNotNull()))
-    return sums.select("label", "day", best.alias("b")).filter("b is not null").select("label", "day", (-F.col("b.k")).alias("lag"), F.round("b.s", 4).alias("likeness"))
+    return sums.select("label", "day", "q", best.alias("b")).filter("b is not null and round(q, 6) > 0").select("label", "day", (-F.col("b.k")).alias("lag"), F.round(F.col("b.s") / F.col("q"), 6).alias("likeness"))
 
 
 _desc = ["avg(x2 - x1) AS width", "avg(y2 - y1) AS height", "avg((x2 - x1) / (y2 - y1)) AS aspect", "stddev_samp((x1 + x2) / 2) AS sway", "stddev_samp((y1 + y2) / 2) AS bob", "min(x1) AS least", "max(x2) AS most", "avg(score) AS score"]

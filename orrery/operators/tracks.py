@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import count
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from orrery.functions.clips import walk
 from orrery.plans.registry import query
 from orrery.sources import views
 
@@ -36,12 +38,14 @@ class SlotTracker:
         return [slot[d] for d in range(len(xs))]
 
 
-def assign(clip: pd.DataFrame) -> pd.DataFrame:
-    tracker, out = SlotTracker(), []
-    for frame, rows in clip.sort_values(["frame", "det"]).groupby("frame", sort=True):
-        slots = tracker.step(int(frame), rows.x.tolist())
-        out.append(rows.assign(slot=slots)[["clip", "frame", "det", "slot"]])
-    return pd.concat(out)
+def slots_of() -> Callable[[list[tuple]], list[tuple]]:
+    """Called with the rows (clip, frame, det, x) of one frame after another of a clip."""
+    tracker = SlotTracker()
+
+    def step(rows: list[tuple]) -> list[tuple]:
+        return [(*r[:3], slot, r[3]) for r, slot in zip(rows, tracker.step(rows[0][1], [r[3] for r in rows]), strict=True)]
+
+    return step
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,18 +53,20 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.box(spark, sf_dir).selectExpr("frame % 211 AS clip", "frame div 211 AS frame", "det", "(x1 + x2) / 2 AS x")
 
 
+def slots(rows: DataFrame) -> DataFrame:
+    """(clip, frame, det, slot, x) of rows (clip, frame, det, x). A clip's frames come in order; a task holds one frame and the tracker's state."""
+    return walk(rows.select("clip", "frame", "det", "x"), "clip", ["frame", "det"], ["frame"], slots_of, "clip long, frame long, det long, slot long, x double")
+
+
 @query()
 def st01_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST01-ST03: slots of every detection of every clip, in the order of frames."""
-    return detections(spark, sf_dir).groupBy("clip").applyInPandas(assign, "clip long, frame long, det long, slot long")
+    return slots(detections(spark, sf_dir)).drop("x")
 
 
 @query()
 def ag39_identity_switches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG39: how often the leftmost person's slot changes in a clip."""
-    from pyspark.sql import Window as W
-
-    slots = detections(spark, sf_dir).join(st01_slots(spark, sf_dir), ["clip", "frame", "det"])
-    left = slots.groupBy("clip", "frame").agg(F.min_by("slot", F.struct("x", "det")).alias("slot"))
+    left = slots(detections(spark, sf_dir)).groupBy("clip", "frame").agg(F.min_by("slot", F.struct("x", "det")).alias("slot"))
     before = F.lag("slot").over(W.partitionBy("clip").orderBy("frame"))
     return left.withColumn("changed", F.col("slot") != before).groupBy("clip").agg(F.count_if("changed").alias("switches"))

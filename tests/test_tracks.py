@@ -27,7 +27,7 @@ def test_slots_are_one_to_one_and_follow_people():
 @pytest.mark.parametrize("parts", [1, 4, 17])
 def test_partitions_do_not_matter(spark, sf_dir, parts):
     rows = tracks.detections(spark, sf_dir).repartition(parts)
-    got = rows.groupBy("clip").applyInPandas(tracks.assign, "clip long, frame long, det long, slot long")
+    got = tracks.slots(rows)
     assert got.agg(F.sum(F.hash("clip", "frame", "det", "slot"))).first()[0] == tracks.st01_slots(spark, sf_dir).agg(F.sum(F.hash("clip", "frame", "det", "slot"))).first()[0]
 
 
@@ -57,11 +57,11 @@ def test_windows_and_sessions_in_a_stream(spark, sf_dir, tmp_path):
     assert spark.table("runs").agg(F.sum("n")).first()[0] <= events.count()
 
 
-def test_suppression_keeps_the_best_and_no_overlap():
+def test_suppression_keeps_the_best_and_no_overlap(spark):
     rnd = random.Random(2)
     rows = [(1, d, x := rnd.uniform(0, 100), y := rnd.uniform(0, 100), x + 40, y + 40, rnd.random()) for d in range(60)]
     b = pd.DataFrame(rows, columns=["frame", "det", "x1", "y1", "x2", "y2", "score"])
-    kept = b[b.det.isin(boxes.suppress(b).det)]
+    kept = b[b.det.isin([r.det for r in boxes.suppress(spark.createDataFrame(b)).collect()])]
     assert b.score.idxmax() in kept.index
     for i, p in kept.iterrows():
         for j, q in kept.iterrows():

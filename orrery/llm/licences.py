@@ -14,6 +14,7 @@ import string
 import zlib
 from pathlib import Path
 
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,7 +74,7 @@ def best_run(b: list[str], threshold: float) -> str:
     return f"if(size(h) >= {least}, coalesce({found}, 0.0D), 0.0D)"
 
 
-#: Places of a table by crc32 that tells most bigrams that no template has from the others.
+#: Places of two tables, by crc32 and by xxhash64, that tell nearly all bigrams that no template has from the others.
 FILTER = 1 << 18
 
 
@@ -112,17 +113,22 @@ def licence_scan(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id"
     out = docs.select(F.col(id_col).alias("doc_id"), units.alias("units"))
     out = out.select("doc_id", F.size("units").cast("long").alias("n_units"), F.transform("units", words_column).alias("w")).withColumn("g", F.try_element_at("w", F.lit(-1)))
     pairs_of = lambda w: F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
-    out = out.select("doc_id", "n_units", F.filter("w", lambda w: F.size(w) > least).alias("w"), F.when(F.size("g") > 1, pairs_of(F.col("g"))).otherwise(F.array().cast("array<string>")).alias("g"))
-    out = out.select("doc_id", "n_units", "g", F.filter(F.transform("w", lambda w: F.array_distinct(pairs_of(w))), lambda b: F.size(b).between(least, most)).alias("b"))
+    lines = F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0)))  # the last unit is the whole text, whose bigrams are made once
+    out = out.select("doc_id", "n_units", F.filter(lines, lambda w: F.size(w) > least).alias("w"), F.when(F.size("g") > 1, pairs_of(F.col("g"))).otherwise(F.array().cast("array<string>")).alias("g"))
+    out = out.select("doc_id", "n_units", "g", "w", F.array_distinct("g").alias("different"))
+    units = F.concat(F.transform("w", lambda w: F.array_distinct(pairs_of(w))), F.array("different"))
+    out = out.select("doc_id", "n_units", "g", F.size("different").alias("kinds"), F.filter(units, lambda b: F.size(b).between(least, most)).alias("b"))
     near = F.filter(F.col("b"), lambda b: F.arrays_overlap(b, array(sorted({x for _, notice in pairs for x in notice})))) if pairs else F.col("b")
-    known = bytearray(FILTER)
+    one, two = bytearray(FILTER), bytearray(FILTER)
     for x in {x for _, b in whole for x in b}:
-        known[zlib.crc32(x.encode()) % FILTER] = 1
-    maybe = lambda p: F.substring(F.lit(bytes(known)), (F.crc32(F.col("g")[p]) % FILTER).cast("int") + 1, F.lit(1)) == F.lit(b"\x01")
+        one[zlib.crc32(x.encode()) % FILTER] = 1
+        two[xxhash.xxh64_intdigest(x.encode(), 42) % FILTER] = 1
+    marked = lambda table, n: F.substring(F.lit(bytes(table)), n.cast("int") + 1, F.lit(1)) == F.lit(b"\x01")
+    maybe = lambda p: marked(one, F.crc32(F.col("g")[p]) % FILTER) & marked(two, F.pmod(F.xxhash64(F.col("g")[p]), F.lit(FILTER)))
     places = F.when(F.size("g") > 0, F.filter(F.sequence(F.lit(0), F.greatest(F.size("g") - 1, F.lit(0))), maybe)).otherwise(F.array().cast("array<int>"))
-    out = out.select("doc_id", "n_units", "g", F.filter(F.transform(near, compare), lambda m: F.size(m) > 0).alias("m"), places.alias("h"))
-    out = out.select("doc_id", "n_units", "g", "h", F.size("m").cast("long").alias("n_matched"), F.flatten("m").alias("m"))
-    looked = [(F.size(F.array_distinct("g")) > math.floor(high * len(b) + 1e-9)) & ~F.array_contains(F.col("m")["name"], name) for name, b in pairs] + [F.lit(True)] * (len(whole) - len(pairs))
+    out = out.select("doc_id", "n_units", "g", "kinds", F.filter(F.transform(near, compare), lambda m: F.size(m) > 0).alias("m"), places.alias("h"))
+    out = out.select("doc_id", "n_units", "g", "kinds", "h", F.size("m").cast("long").alias("n_matched"), F.flatten("m").alias("m"))
+    looked = [(F.col("kinds") > math.floor(high * len(b) + 1e-9)) & ~F.array_contains(F.col("m")["name"], name) for name, b in pairs] + [F.lit(True)] * (len(whole) - len(pairs))
     runs = [F.when(look, F.struct(F.expr(best_run(b, threshold)).alias("dice"), F.lit(name).alias("name"))) for (name, b), look in zip(whole, looked, strict=True)]
     fewest = min((math.ceil(low * len(b) - 1e-9) for _, b in whole), default=1)
     none = F.array().cast("array<struct<dice:double,name:string>>")

@@ -330,20 +330,23 @@ def verified(docs: DataFrame, met: DataFrame) -> tuple[DataFrame, DataFrame | No
     near = pairs.groupBy(*ends, F.shiftright("at", 34).alias("part")).agg(F.collect_set(F.struct("at", "first_at")).alias("p"))
     spans = keep(near.select(*ends, F.explode(F.pandas_udf(merge, "array<struct<a: int, b: int, c: int, d: int>>")("p")).alias("s")).select(*ends, "s.*").distinct())
 
-    here = spans.select("doc_id", "mark", F.col("a").alias("lo"), F.col("b").alias("hi"))
-    there = spans.select(F.col("first_id").alias("doc_id"), F.col("first_mark").alias("mark"), F.col("c").alias("lo"), F.col("d").alias("hi"))
-    asked = keep(here.union(there).groupBy("doc_id", "mark").agg(F.collect_set(F.struct("lo", "hi")).alias("asked")))
-
-    @F.pandas_udf("array<struct<lo: int, hi: int, words: binary>>")
+    # of each document its own side of every stretch, and once each side that others are compared with
+    here = spans.select("doc_id", "mark", F.struct(F.col("a").alias("lo"), F.col("b").alias("hi"), "first_id", "first_mark", "c", "d", F.lit(True).alias("own")).alias("r"))
+    there = spans.select("first_id", "first_mark", "c", "d").distinct()
+    none = [F.lit(None).cast(t).alias(n) for n, t in (("first_id", "long"), ("first_mark", "int"), ("c", "int"), ("d", "int"))]
+    there = there.select(F.col("first_id").alias("doc_id"), F.col("first_mark").alias("mark"), F.struct(F.col("c").alias("lo"), F.col("d").alias("hi"), *none, F.lit(False).alias("own")).alias("r"))
+    asked = keep(here.union(there).groupBy("doc_id", "mark").agg(F.collect_set("r").alias("asked")))
+
+    @F.pandas_udf("array<binary>")
     def cut(texts: pd.Series, asked: pd.Series) -> pd.Series:
         out = []
         for text, asks in zip(texts, asked, strict=True):
             h = word_hashes(text).astype(np.uint32)
-            out.append([{"lo": r["lo"], "hi": r["hi"], "words": h[r["lo"] : r["hi"]].tobytes()} for r in asks])
+            out.append([h[r["lo"] : r["hi"]].tobytes() for r in asks])
         return pd.Series(out, dtype=object)
 
-    held = docs.alias("d").join(asked.alias("q"), same("d", "q")).select("d.doc_id", "d.mark", F.explode(cut("d.text", "q.asked")).alias("w"))
-    held = keep(held.select("doc_id", "mark", "w.*").distinct())
+    held = docs.alias("d").join(asked.alias("q"), same("d", "q")).select("d.doc_id", "d.mark", "q.asked", cut("d.text", "q.asked").alias("words"))
+    held = keep(held.select("doc_id", "mark", F.explode(F.arrays_zip("asked", "words")).alias("w")).select("doc_id", "mark", "w.asked.*", "w.words"))
     run = "array<struct<start: int, end: int>>"
 
     @F.pandas_udf(f"here {run}, there {run}, common {run}, open boolean")
@@ -357,12 +360,11 @@ def verified(docs: DataFrame, met: DataFrame) -> tuple[DataFrame, DataFrame | No
             out.append([*([{"start": s, "end": e} for s, e in spans.tolist()] for spans in (here, there, common)), beside])
         return pd.DataFrame(out, columns=["here", "there", "common", "open"])
 
-    x = held.select(F.col("doc_id").alias("xi"), F.col("mark").alias("xm"), F.col("lo").alias("a"), F.col("hi").alias("b"), F.col("words").alias("x"))
-    y = held.select(F.col("doc_id").alias("yi"), F.col("mark").alias("ym"), F.col("lo").alias("c"), F.col("hi").alias("d"), F.col("words").alias("y"))
-    s = spans.alias("s")
-    both = s.join(x, F.col("s.doc_id").eqNullSafe(F.col("xi")) & (F.col("s.mark") == F.col("xm")) & (F.col("s.a") == x["a"]) & (F.col("s.b") == x["b"]))
-    both = both.join(y, F.col("s.first_id").eqNullSafe(F.col("yi")) & (F.col("s.first_mark") == F.col("ym")) & (F.col("s.c") == y["c"]) & (F.col("s.d") == y["d"]))
-    both = keep(both.select("s.*", verify("x", "y").alias("v")).select(*ends, "a", "c", "v.*"))
+    # a struct of null and other fields equals another of the same; rows that repeat have one second side between them
+    side = lambda *columns: F.struct(*[F.col(c).alias(n) for c, n in zip(columns, ("i", "m", "lo", "hi"), strict=True)]).alias("side")
+    x = held.filter("own").select(*ends, F.col("lo").alias("a"), "c", F.col("words").alias("x"), side("first_id", "first_mark", "c", "d"))
+    y = held.filter("not own").select(side("doc_id", "mark", "lo", "hi"), F.col("words").alias("y")).dropDuplicates(["side"])
+    both = keep(x.join(y, "side").select(*ends, "a", "c", verify("x", "y").alias("v")).select(*ends, "a", "c", "v.*"))
     good = both.filter(F.size("here") > 0).withColumn("t", F.struct(F.array_min("there.start").alias("start"), F.array_max("there.end").alias("end"))).withColumn("h", F.explode("here"))
     out = good.select(
         "doc_id", "mark", (F.col("a") + F.col("h.start")).alias("start"), (F.col("a") + F.col("h.end")).alias("end"),

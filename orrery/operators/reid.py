@@ -186,6 +186,18 @@ def jn24_expected_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("arm", F.round("expected", 6).alias("expected"), F.round("measured", 6).alias("measured"), verdict.alias("verdict"))
 
 
+@query(
+    ", m AS (SELECT k, arm, k % 3 <> 0 AS validated FROM expect), c AS (SELECT c_nationkey AS k, avg(c_acctbal) AS score FROM customer GROUP BY 1)"
+    " SELECT arm, validated, CASE WHEN validated THEN round(score, 6) END AS score FROM m LEFT JOIN c USING (k)",
+    "expect",
+)
+def au20_validated_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AU20: a score is reported only where its adversary is validated (audits.strict stops the job instead)."""
+    c = views.table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.avg("c_acctbal").alias("score"))
+    m = views.expect(spark, sf_dir).select("k", "arm", (F.col("k") % 3 != 0).alias("validated"))
+    return m.join(c, "k", "left").select("arm", "validated", F.when(F.col("validated"), F.round("score", 6)).alias("score"))
+
+
 _null = _ranked + """, g AS (SELECT ord, subject, row_number() OVER (ORDER BY ord) AS i FROM emb WHERE status = 0 AND seq <= 4),
 s AS (SELECT rep, g.i, g.subject, row_number() OVER (PARTITION BY rep ORDER BY md5(concat_ws('|', 'null', rep, ord)), ord) AS k FROM g, generate_series(1, 10) t(rep)),
 lab AS (SELECT s.rep, g.ord AS gallery, s.subject AS fake FROM s JOIN g ON g.i = s.k),

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import secrets
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -49,17 +51,40 @@ def dp01_test_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def secure_laplace(scale: float):
-    """DP01: noise of a real release; the seed is the system's and appears in no plan."""
+    """DP01, RND03: noise of a real release, drawn from the system's generator for every value anew; no seed is kept or stands in a plan."""
 
     @F.pandas_udf("double")
     def draw(x: pd.Series) -> pd.Series:
-        import math
-        import secrets
+        bits = np.frombuffer(secrets.token_bytes(8 * len(x)), np.uint64) >> np.uint64(11)
+        u = (bits + 0.5) / (1 << 53) - 0.5
+        return x - scale * np.sign(u) * np.log1p(-2 * np.abs(u))
 
-        u = pd.Series([(secrets.randbits(53) + 0.5) / (1 << 53) - 0.5 for _ in range(len(x))])
-        return x.reset_index(drop=True) - scale * u.map(lambda v: math.copysign(1, v) * math.log(1 - 2 * abs(v)))
+    return draw.asNondeterministic()
 
-    return draw
+
+def released(samples: DataFrame, noise, low: float = 0.0, high: float = 100.0, levels: int = 32) -> DataFrame:
+    """DP02: (ord, released) of samples (label, us, ord, value): clamp, centred mean of five, clamp, public levels, noise, round.
+
+    ``noise`` gives the column with noise added (secure_laplace(sensitivity / epsilon) for a release). Absent (null) samples stay absent.
+    """
+    w = W.partitionBy("label").orderBy("us", "ord").rowsBetween(-2, 2)
+    step = (high - low) / (levels - 1)
+    m = samples.filter("value IS NOT NULL").withColumn("m", clamp(F.avg(clamp(F.col("value"), low, high)).over(w), low, high))
+    held = m.select("ord", (F.bround(F.round((F.col("m") - low) / step, 9), 0) * step + low).alias("level"))
+    return held.select("ord", F.round(noise(F.col("level")), 5).alias("released"))
+
+
+@query(
+    f""", c AS (SELECT *, greatest(0, least(100, value)) AS v FROM series WHERE gappy IS NOT NULL), m AS (SELECT ord, avg(v) OVER ({_w} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS m FROM c),
+u AS (SELECT ord, m, CAST(('0x' || substr(md5(concat_ws('|', 'laplace', ord)), 1, 8)) AS BIGINT) / 4294967296.0 - 0.5 AS u FROM m)
+SELECT ord, round(round_even(round(greatest(0, least(100, m)) / (100 / 31.0), 9), 0) * (100 / 31.0) - 2.0 * sign(u) * ln(greatest(1e-12, 1 - 2 * abs(u))), 5) AS released FROM u""",
+    "series",
+)
+def dp02_release(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DP02: the whole release, with noise from a hash in place of the system's, so that it can be checked."""
+    u = uniform(F.lit("laplace"), F.col("ord")) - 0.5
+    noise = -2.0 * F.signum(u) * F.log(F.greatest(F.lit(1e-12), 1 - 2 * F.abs(u)))
+    return released(views.series(spark, sf_dir).select("label", "us", "ord", F.col("gappy").alias("value")), lambda x: x + noise)
 
 
 @query(" SELECT ord, value AS back FROM series", "series")

@@ -15,21 +15,31 @@ from orrery.sources import views
 
 #: Farthest move from one frame to the next, and frames that an absent person's slot stays reserved.
 GATE, GRACE = 60.0, 2
+#: Frames that a new order of lanes must last, the part of the frame's width beyond which it holds at once, and that width.
+HOLD, MARGIN, WIDTH = 4, 0.04, 640.0
+
+
+def nearest_first(xs: list[float], places: dict[int, float], gate: float) -> dict[int, int]:
+    """JN10: detections by place, one to one, nearest pairs first, none further apart than ``gate``."""
+    taken: dict[int, int] = {}
+    seen: set[int] = set()
+    for gap, place, d in sorted((abs(x - at), place, d) for d, x in enumerate(xs) for place, at in places.items()):
+        if gap <= gate and place not in taken and d not in seen:
+            taken[place] = d
+            seen.add(d)
+    return taken
 
 
 class SlotTracker:
-    """ST01, ST03, JN10: nearest pairs first, one to one, within the gate; a new person takes the lowest free slot."""
+    """ST01, ST03: nearest pairs first, one to one, within the gate; a new person takes the lowest free slot."""
 
     def __init__(self, state: dict[int, tuple[float, int]] | None = None):
         self.state = dict(state or {})
 
     def step(self, frame: int, xs: list[float]) -> list[int]:
         self.state = {s: (x, f) for s, (x, f) in self.state.items() if frame - f <= GRACE + 1}
-        order = sorted((abs(x - at), s, d) for d, x in enumerate(xs) for s, (at, _) in self.state.items())
-        slot: dict[int, int] = {}
-        for gap, s, d in order:
-            if gap <= GATE and d not in slot and s not in slot.values():
-                slot[d] = s
+        taken = nearest_first(xs, {s: x for s, (x, _) in self.state.items()}, GATE)
+        slot = {d: s for s, d in taken.items()}
         free = (s for s in count() if s not in self.state)
         for d in sorted(range(len(xs)), key=lambda d: (xs[d], d)):
             if d not in slot:
@@ -38,6 +48,40 @@ class SlotTracker:
         return [slot[d] for d in range(len(xs))]
 
 
+class LaneTracker:
+    """ST02, WN09: lanes from left to right. People keep their lanes while they cross, until the new order lasts or is plain."""
+
+    def __init__(self):
+        self.lanes: list[float] = []
+        self.sought, self.seen = (), 0
+
+    def step(self, xs: list[float]) -> list[int]:
+        """The lane of each detection. Another number of people than before starts anew, in the order of x."""
+        if len(xs) != len(self.lanes):
+            who = sorted(range(len(xs)), key=lambda d: (xs[d], d))
+            self.sought, self.seen = (), 0
+        else:
+            taken = nearest_first(xs, dict(enumerate(self.lanes)), float("inf"))
+            who = [taken[lane] for lane in range(len(xs))]
+            who = self.settle(who, [xs[d] for d in who])
+        self.lanes = [xs[d] for d in who]
+        lane = {d: k for k, d in enumerate(who)}
+        return [lane[d] for d in range(len(xs))]
+
+    def settle(self, who: list[int], at: list[float]) -> list[int]:
+        """``who`` put in the order of x if that order has been sought HOLD times running, or a neighbour is far on the wrong side."""
+        order = tuple(sorted(range(len(at)), key=lambda k: (at[k], k)))
+        self.seen = self.seen + 1 if order == self.sought else 1
+        self.sought = order
+        wrong = max((a - b for a, b in zip(at, at[1:])), default=0.0)
+        if wrong <= 0 or wrong <= MARGIN * WIDTH and self.seen < HOLD:
+            if wrong <= 0:
+                self.sought, self.seen = (), 0
+            return who
+        self.sought, self.seen = (), 0
+        return [who[k] for k in order]
+
+
 def slots_of() -> Callable[[list[tuple]], list[tuple]]:
     """Called with the rows (clip, frame, det, x) of one frame after another of a clip."""
     tracker = SlotTracker()
@@ -60,10 +104,22 @@ def slots(rows: DataFrame) -> DataFrame:
 
 @query()
 def st01_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST01-ST03: slots of every detection of every clip, in the order of frames."""
+    """ST01, ST03, JN10: slots of every detection of every clip, in the order of frames."""
     return slots(detections(spark, sf_dir)).drop("x")
 
 
+def lanes_of() -> Callable[[list[tuple]], list[tuple]]:
+    tracker = LaneTracker()
+    return lambda rows: [(*r[:3], lane) for r, lane in zip(rows, tracker.step([r[3] for r in rows]), strict=True)]
+
+
+@query()
+def st02_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST02, WN09: the lane of every detection of every clip, with hysteresis and a reset where people come or go."""
+    rows = detections(spark, sf_dir).select("clip", "frame", "det", "x")
+    return walk(rows, "clip", ["frame", "det"], ["frame"], lanes_of, "clip long, frame long, det long, lane long")
+
+
 @query()
 def ag39_identity_switches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG39: how often the leftmost person's slot changes in a clip."""

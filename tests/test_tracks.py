@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from orrery.operators import audits, boxes, masks, tracks
+from orrery.operators import audits, boxes, masks, release, tracks
 from orrery.operators.release import parse_packet
 from orrery.streaming import live
 
@@ -24,6 +24,41 @@ def test_slots_are_one_to_one_and_follow_people():
         assert len(set(slots)) == len(slots)
 
 
+def test_lanes_wait_for_a_crossing_to_last():
+    t = tracks.LaneTracker()
+    assert t.step([300.0, 100.0]) == [1, 0]
+    assert t.step([115.0, 210.0, 400.0]) == [0, 1, 2]  # one more person: anew, by x
+    t = tracks.LaneTracker()
+    t.step([100.0, 110.0])
+    assert t.step([106.0, 109.0]) == [0, 1]
+    assert t.step([110.0, 105.0]) == [1, 0]  # nearest pairs: still in order
+    t = tracks.LaneTracker()
+    t.lanes = [120.0, 110.0]  # crossed by less than the margin
+    got = [t.step([120.0, 110.0]) for _ in range(tracks.HOLD)]
+    assert got[:-1] == [[0, 1]] * (tracks.HOLD - 1) and got[-1] == [1, 0]  # only an order that lasts holds
+    t.lanes, t.sought, t.seen = [120.0, 110.0], (), 0
+    t.step([120.0, 110.0])
+    assert t.step([109.0, 110.0]) in ([0, 1], [1, 0]) and t.seen <= 1  # put right in between: counted anew
+    t.lanes = [200.0, 100.0]
+    assert t.step([200.0, 100.0]) == [1, 0]  # far on the wrong side: at once
+    assert t.step([]) == []
+
+
+def test_lanes_are_one_to_one(spark, sf_dir):
+    rows = tracks.st02_lanes(spark, sf_dir)
+    bad = rows.groupBy("clip", "frame").agg(F.count("*").alias("n"), F.countDistinct("lane").alias("d"), F.max("lane").alias("m")).filter("n <> d or m <> n - 1")
+    assert rows.count() == tracks.detections(spark, sf_dir).count() and bad.isEmpty()
+
+
+def test_release_noise_is_fresh_and_of_its_scale(spark):
+    flat = spark.range(20000).selectExpr("id % 7 AS label", "id AS us", "id AS ord", "50D AS value")
+    got = release.released(flat, release.secure_laplace(3.0))
+    a, b = (got.orderBy("ord").toPandas()["released"] for _ in range(2))
+    level = round(50 / (100 / 31)) * (100 / 31)
+    assert (a != b).mean() > 0.99  # drawn anew for every release
+    assert abs((a - level).abs().mean() - 3.0) < 0.2 and abs((a - level).mean()) < 0.2
+
+
 @pytest.mark.parametrize("parts", [1, 4, 17])
 def test_partitions_do_not_matter(spark, sf_dir, parts):
     rows = tracks.detections(spark, sf_dir).repartition(parts)

@@ -93,8 +93,8 @@ def slots_of() -> Callable[[list[tuple]], list[tuple]]:
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clips of detections: orders of a customer become frames."""
-    return views.box(spark, sf_dir).selectExpr("frame % 211 AS clip", "frame div 211 AS frame", "det", "(x1 + x2) / 2 AS x")
+    """Clips of detections: a run of 1,024 order keys is a clip, so clips grow in number with the table and not in length."""
+    return views.box(spark, sf_dir).selectExpr("frame div 1024 AS clip", "frame % 1024 AS frame", "det", "(x1 + x2) / 2 AS x")
 
 
 def slots(rows: DataFrame) -> DataFrame:

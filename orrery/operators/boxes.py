@@ -84,12 +84,17 @@ def fn22_letterbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("frame", "det", F.round("r", 6).alias("ratio"), F.expr("round((640 - (x2 - x1) * r) / 2, 6) AS pad_x"), F.expr("round((640 - (y2 - y1) * r) / 2, 6) AS pad_y"))
 
 
-@query(", f AS (SELECT frame, CAST(max(x2) AS INTEGER) AS w, CAST(max(y2) AS INTEGER) AS h FROM box GROUP BY frame) SELECT frame, CAST(least(i * 192, greatest(0, w - 256)) AS INTEGER) AS x, CAST(least(j * 192, greatest(0, h - 256)) AS INTEGER) AS y FROM f, generate_series(0, 3) a(i), generate_series(0, 3) b(j) WHERE i <= greatest(0, ceil((w - 256) / 192.0)) AND j <= greatest(0, ceil((h - 256) / 192.0))", "box")
+@query(", f AS (SELECT frame, CAST(max(x2) AS INTEGER) AS w, CAST(max(y2) AS INTEGER) AS h FROM box GROUP BY frame) SELECT frame, CAST(least(i * 192, greatest(0, w - 256)) AS INTEGER) AS x, CAST(least(j * 192, greatest(0, h - 256)) AS INTEGER) AS y FROM f, unnest(generate_series(0, CAST(greatest(0, ceil((w - 256) / 192.0)) AS BIGINT))) a(i), unnest(generate_series(0, CAST(greatest(0, ceil((h - 256) / 192.0)) AS BIGINT))) b(j)", "box")
 def fn23_tile_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN23: overlapping tiles of 256 that cover each frame."""
-    f = views.box(spark, sf_dir).groupBy("frame").agg(F.max("x2").cast("int").alias("w"), F.max("y2").cast("int").alias("h"))
+    """FN23: overlapping tiles of 256 that cover each frame, of whatever size."""
+    return tiles(views.box(spark, sf_dir))
+
+
+def tiles(box: DataFrame) -> DataFrame:
+    """(frame, x, y): corners of the tiles, 192 apart, the last against the edge."""
+    f = box.groupBy("frame").agg(F.max("x2").cast("int").alias("w"), F.max("y2").cast("int").alias("h"))
     last = lambda c: F.greatest(F.lit(0), F.ceil((F.col(c) - 256) / 192.0)).cast("int")
-    f = f.withColumn("i", F.explode(F.sequence(F.lit(0), F.least(last("w"), F.lit(3))))).withColumn("j", F.explode(F.sequence(F.lit(0), F.least(last("h"), F.lit(3)))))
+    f = f.withColumn("i", F.explode(F.sequence(F.lit(0), last("w")))).withColumn("j", F.explode(F.sequence(F.lit(0), last("h"))))
     at = lambda k, c: F.least(F.col(k) * 192, F.greatest(F.lit(0), F.col(c) - 256)).cast("int")
     return f.select("frame", at("i", "w").alias("x"), at("j", "h").alias("y"))
 

@@ -2,7 +2,7 @@
 
 import math
 
-from orrery.operators import poses, shapes
+from orrery.operators import boxes, poses, shapes
 from orrery.sources import sinks
 
 
@@ -44,3 +44,11 @@ def test_swing_is_about_the_mean(spark):
     rows = [(0, f, 9, x, 0.0) for f, x in enumerate((0.0, 10.0, 20.0))] + [(0, f, 5, float(f), 0.0) for f in range(3)]
     got = {(r["joint"], r["frame"]): r["nx"] for r in poses.swung(spark.createDataFrame(rows, "clip long, frame int, joint int, x double, y double")).collect()}
     assert [got[9, f] for f in range(3)] == [-3.0, 10.0, 23.0] and all(math.isclose(got[5, f], f) for f in range(3))
+
+
+def test_tiles_cover_frames_of_any_size(spark):
+    got = boxes.tiles(spark.createDataFrame([(1, 2000.0, 300.0), (2, 100.0, 100.0)], "frame long, x2 double, y2 double")).collect()
+    wide = {(r["x"], r["y"]) for r in got if r["frame"] == 1}
+    assert all(any(x <= px < x + 256 and y <= py < y + 256 for x, y in wide) for px in range(0, 2000, 7) for py in range(0, 300, 7))
+    assert len([r for r in got if r["frame"] == 1]) == len(wide) and max(x for x, _ in wide) == 2000 - 256
+    assert [(r["x"], r["y"]) for r in got if r["frame"] == 2] == [(0, 0)]

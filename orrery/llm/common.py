@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own_folder: dict[str, str] = {}
+from orrery.functions.tables import discard, keep, shared_folder  # noqa: F401
 
 
 def words(text: str | None) -> list[bytes]:
@@ -35,26 +32,3 @@ def plain(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """Only (doc_id, text): further columns, whatever their names, stay out of an operator's way."""
     small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset and all run in one process (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if "path" not in _own_folder:
-        _own_folder["path"] = tempfile.mkdtemp(prefix="orrery-")
-    return _own_folder["path"]
-
-
-def keep(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
-
-    Cuts the lineage: a lost executor costs no more than the tasks that it ran, since the files outlive it.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/orrery-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)

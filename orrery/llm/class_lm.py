@@ -1,8 +1,8 @@
 """Operator 2, language-model scoring: a Brown class-based n-gram model, counted, clustered and applied by Spark.
 
 Exchange clustering moves a word to the class that most raises the likelihood of the class bigrams. It exchanges
-objects: each of the most frequent words, and a bucket for all rarer words that begin and end alike. Contexts are counted
-over all training text by Spark in every round; the driver sees tables of objects by classes only, whose size is fixed.
+objects: each of the most frequent words, and a bucket for all rarer words that begin and end alike. Spark counts pairs of
+objects over all training text; the driver sees the square of objects only, whose size is fixed, and exchanges on it exactly.
 The model: P(word | before) = P(class | two classes before) P(object | class) P(word | object), each factor smoothed, with
 one unknown word for each bucket; so the probabilities of all words, the unknown and the end add up to one.
 """
@@ -20,11 +20,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import fold, keep, plain, words
+from orrery.llm.common import discard, fold, keep, plain, words
 
 #: Words with an object of their own, buckets of all others, classes, rounds of exchange, words that the workers hold
 #: with their counts (others are joined), the longest word (bytes) among these, and tokens counted together in a task.
-OBJECTS, BUCKETS, CLASSES, ROUNDS, HELD, LONGEST, CHUNK = 2048, 1024, 48, 6, 1 << 17, 64, 1 << 19
+OBJECTS, BUCKETS, CLASSES, ROUNDS, HELD, LONGEST, CHUNK = 2048, 1024, 48, 12, 1 << 17, 64, 1 << 19
 END = 0  # object and class of the end token; it is also what comes before a text
 
 
@@ -118,54 +118,62 @@ def xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
 
-def exchange(pairs: DataFrame) -> np.ndarray:
-    """The class of each object. Every round, Spark counts each object's contexts by class; half of the objects may move."""
-    spark, n = pairs.sparkSession, OBJECTS + BUCKETS + 1
+def matrix(pairs: DataFrame) -> np.ndarray:
+    """The pair counts as a square of objects on the driver: OBJECTS and BUCKETS bound it, whatever the corpus; cells come packed."""
+
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"at": [batch[["a", "b"]].to_numpy(np.int32).tobytes()], "n": [batch["n"].to_numpy(np.int64).tobytes()]})
+
+    n = OBJECTS + BUCKETS + 1
+    out = np.zeros((n, n))
+    for r in pairs.mapInPandas(emit, "at binary, n binary").toLocalIterator():
+        at = np.frombuffer(r["at"], np.int32).reshape(-1, 2)
+        out[at[:, 0], at[:, 1]] = np.frombuffer(r["n"], np.int64)
+    return out
+
+
+def exchange(pairs: np.ndarray) -> np.ndarray:
+    """The class of each object: each in turn moves to the class that raises the likelihood most, until none moves (ROUNDS at most).
+
+    All contexts follow every move at once, so each move is judged by the classes as they are, and the likelihood never falls.
+    """
+    n = len(pairs)
     classes = np.array([0] + [1 + i % (CLASSES - 1) for i in range(n - 1)])
-    rnd, best, best_value = np.random.default_rng(3), classes.copy(), -np.inf
-    self_count = np.zeros(n)
-    for r in pairs.filter("a = b").select("a", "n").collect():  # one row for an object at most
-        self_count[r.a] = r.n
-    for turn in range(ROUNDS + 1):
-        of = F.broadcast(spark.createDataFrame(pd.DataFrame({"o": np.arange(n, dtype=np.int32), "c": classes.astype(np.int32)})))
-        before = pairs.join(of, F.col("a") == F.col("o")).groupBy(F.lit(0).alias("side"), F.col("b").alias("object"), "c").agg(F.sum("n").alias("n"))
-        after = pairs.join(of, F.col("b") == F.col("o")).groupBy(F.lit(1).alias("side"), F.col("a").alias("object"), "c").agg(F.sum("n").alias("n"))
-        found = before.union(after).toPandas()  # 2 * objects * classes rows at most
-        context = np.zeros((2, n, CLASSES))
-        context[found["side"], found["object"], found["c"]] = found["n"]
-        left, right = context
-        size = left.sum(1)
-        joint = np.zeros((CLASSES, CLASSES))
-        np.add.at(joint, classes, right)
-        total = np.bincount(classes, size, CLASSES)
-        value = xlogx(joint).sum() - 2 * xlogx(total).sum()
-        if value > best_value:
-            best, best_value = classes.copy(), value
-        if turn == ROUNDS:
-            break
-        for o in rnd.permutation(np.arange(1, n))[: n // 2] if turn else range(1, n):
-            if not size[o]:
-                continue
-            a, same = classes[o], self_count[o]
+    member = np.eye(CLASSES)[classes]
+    left, right = pairs.T @ member, pairs @ member  # what is before and after each object, by class
+    joint, size = member.T @ right, pairs.sum(0)
+    total = np.bincount(classes, size, CLASSES)
+    for _ in range(ROUNDS):
+        moved = 0
+        for o in np.flatnonzero(size[1:] > 0) + 1:
+            a, same = classes[o], pairs[o, o]
             lo, ro = left[o].copy(), right[o].copy()
-            lo[a], ro[a] = max(0.0, lo[a] - same), max(0.0, ro[a] - same)
+            lo[a], ro[a] = lo[a] - same, ro[a] - same
             joint[a] -= ro
             joint[:, a] -= lo
             joint[a, a] -= same
-            np.maximum(joint, 0, out=joint)
             total[a] -= size[o]
-            own = np.diag(joint)
-            gain = (xlogx(joint + ro) - xlogx(joint)).sum(1) + (xlogx(joint.T + lo) - xlogx(joint.T)).sum(1)
+            own, log = np.diag(joint), xlogx(joint)
+            gain = (xlogx(joint + ro) - log).sum(1) + (xlogx(joint.T + lo) - log.T).sum(1)
             gain += xlogx(own + ro + lo + same) + xlogx(own) - xlogx(own + ro) - xlogx(own + lo)
             gain -= 2 * (xlogx(total + size[o]) - xlogx(total))
             gain[END] = -np.inf
             b = int(gain.argmax())
-            classes[o] = b
+            b = b if gain[b] > gain[a] + 1e-6 else a
             joint[b] += ro
             joint[:, b] += lo
             joint[b, b] += same
             total[b] += size[o]
-    return best
+            if a != b:
+                moved += 1
+                classes[o] = b
+                for side, seen in ((left, pairs[o]), (right, pairs[:, o])):
+                    side[:, a] -= seen
+                    side[:, b] += seen
+        if not moved:
+            break
+    return classes
 
 
 def class_trigrams(train: DataFrame, lex: Lexicon, classes: np.ndarray) -> np.ndarray:
@@ -220,7 +228,8 @@ def fit(train: DataFrame, vocabulary: DataFrame) -> Model:
     texts = train.count()
     totals = vocabulary.agg(F.sum("n"), F.count("*")).first()
     pairs = keep(object_pairs(train, lex))
-    classes = exchange(pairs)
+    classes = exchange(matrix(pairs))
+    discard(pairs)
     of_object = np.zeros(OBJECTS + BUCKETS + 1)
     for w, i in lex.own.items():
         of_object[i] = lex.count[w]

@@ -56,22 +56,48 @@ def words_column(text: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(lower, r"[^\p{L}\p{N}]+", " ")), " ")
 
 
-def best_run(b: list[str], threshold: float) -> str:
-    """SQL of the best Dice coefficient, 0 if under ``threshold``, of any run of the bigrams ``g`` with a template; ``h``: places to look at.
+RUN = "struct<dice: double, i: int, j: int>"
 
-    A run has no more than ``most`` different bigrams; where so many are met soon (in ``wide`` places), later ends are left out.
+
+def runs_like(b: list[str], threshold: float) -> str:
+    """SQL of the runs (dice, i, j) of the bigrams ``g``, from place i to j, whose Dice coefficient with a template is ``threshold`` or more.
+
+    h: places of g that any template may have, kinds_h: the bigrams there. A run begins and ends with stretches of the template's
+    bigrams: any other is worse than a part of it. From each beginning the best end is taken (of ends alike the nearest).
+    Ends are tried from the farthest, and counted out only if the bigrams in common that can lie between (those from the
+    beginning on, those up to the end, and the places) could beat the best so far. A run has no more than ``most`` different
+    bigrams; where so many are met soon (in ``wide`` places), later ends are left out.
     """
     least, most = math.ceil(threshold / (2 - threshold) * len(b) - 1e-9), math.floor((2 - threshold) / threshold * len(b) + 1e-9)
     wide = 4 * len(b) + 64
     let = lambda value, name, body: f"transform(array({value}), {name} -> {body})[0]"
-    size, places = lambda a, low, n: f"size(array_distinct(slice({a}, {low} + 1, {n})))", "sequence(0, size(pos) - 1)"
-    dice = let(size("g", "s.i", "pos[k] - s.i + 1"), "n", f"if(n between {least} and {most}, 2.0D * {size('hit', 's.k', 'k - s.k + 1')} / (n + {len(b)}), 0.0D)")
-    starts = f"transform(filter({places}, k -> k = 0 or pos[greatest(k, 1) - 1] < pos[k] - 1), k -> struct(k, pos[k] AS i, if({size('g', 'pos[k]', wide)} > {most}, pos[k] + {wide}, size(g)) AS stop))"
-    ends = f"filter({places}, k -> k = size(pos) - 1 or pos[least(k + 1, size(pos) - 1)] > pos[k] + 1)"
-    every = f"array_max(flatten(transform({starts}, s -> transform(filter(ends, k -> k - s.k + 1 >= {least} and pos[k] < s.stop), k -> {dice}))))"
-    best = let("filter(h, p -> array_contains(own, g[p]))", "pos", let("transform(pos, p -> g[p])", "hit", let(ends, "ends", every)))
-    found = let(f"array_intersect(transform(h, p -> g[p]), split('{'|'.join(b)}', '[|]'))", "own", f"if(size(own) >= {least}, {best}, 0.0D)")
-    return f"if(size(h) >= {least}, coalesce({found}, 0.0D), 0.0D)"
+    size = lambda a, low, n: f"size(array_distinct(slice({a}, {low} + 1, {n})))"
+    run = lambda dice, i, j: f"cast(struct({dice}, {i}, {j}) AS {RUN})"
+    places = "sequence(0, size(pos) - 1)"
+    first = f"filter({places}, k -> k = 0 or pos[greatest(k, 1) - 1] < pos[k] - 1)"
+    last = f"filter({places}, k -> k = size(pos) - 1 or pos[least(k + 1, size(pos) - 1)] > pos[k] + 1)"
+    stretches = f"zip_with({first}, {last}, (a, z) -> struct(a, z, pos[a] AS i, pos[z] AS j, {size('hit', '0', 'z + 1')} AS upto))"
+    exact = let(size("g", "s.i", "e.j - s.i + 1"), "n", f"if(n between {least} and {most}, 2.0D * {size('hit', 's.a', 'e.z - s.a + 1')} / (n + {len(b)}), 0.0D)")
+    better = let(exact, "d", f"if(d >= greatest(best.dice, {threshold}D), {run('d', 's.i', 'e.j')}, best)")
+    could = f"x >= {least} and (not soon or e.j < s.i + {wide}) and 2.0D * x / (x + {len(b)}) >= greatest(best.dice, {threshold}D)"
+    tried = let("least(rest, e.upto, e.z - s.a + 1)", "x", f"if({could}, {better}, best)")
+    ends = f"reverse(slice(stretch, t + 1, if(soon, {wide}, size(stretch))))"
+    from_here = f"aggregate({ends}, {run('0.0D', 's.i', 's.i')}, (best, e) -> {tried})"
+    from_here = let(f"{size('g', 's.i', wide)} > {most}", "soon", let(size("hit", "s.a", "size(hit)"), "rest", f"if(rest >= {least}, {from_here}, {run('0.0D', 's.i', 's.i')})"))
+    every = f"transform(sequence(0, size(stretch) - 1), t -> {let('stretch[t]', 's', from_here)})"
+    every = let("filter(h, p -> array_contains(own, g[p]))", "pos", let("transform(pos, p -> g[p])", "hit", let(stretches, "stretch", f"filter({every}, r -> r.dice > 0)")))
+    none = f"cast(array() AS array<{RUN}>)"
+    found = let(f"array_intersect(kinds_h, split('{'|'.join(b)}', '[|]'))", "own", f"if(size(own) >= {least}, {every}, {none})")
+    return f"if(size(kinds_h) >= {least}, {found}, {none})"
+
+
+def kept_runs(runs: str) -> str:
+    """SQL of the runs (dice, i, j, name) that stay: the best first (then the shorter, then the earlier name), without those of which
+    more than half lies within one that stays."""
+    order = "(x, y) -> CASE WHEN x.dice <> y.dice THEN if(x.dice > y.dice, -1, 1) WHEN x.j - x.i <> y.j - y.i THEN if(x.j - x.i < y.j - y.i, -1, 1) WHEN x.name <> y.name THEN if(x.name < y.name, -1, 1) ELSE x.i - y.i END"
+    within = "exists(stay, q -> 2 * (least(q.j, r.j) - greatest(q.i, r.i) + 1) > r.j - r.i + 1)"
+    kind = "array<struct<dice: double, i: int, j: int, name: string>>"
+    return f"aggregate(array_sort({runs}, {order}), cast(array() AS {kind}), (stay, r) -> if({within}, stay, cast(concat(stay, array(r)) AS {kind})))"
 
 
 #: Places of two tables, by crc32 and by xxhash64, that tell nearly all bigrams that no template has from the others.
@@ -81,12 +107,13 @@ FILTER = 1 << 18
 def licence_scan(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", notices: list[tuple[str, str]] | None = None, texts: list[tuple[str, str]] | None = None) -> DataFrame:
     """One row per document: doc_id, n_units, n_matched, licences (sorted names), best_licence, best_dice.
 
-    Units are the lines that are not empty and, if there are several, the whole text. A unit matches a notice if the
-    Dice coefficient of their sets of word bigrams is at least ``threshold``; ties for the best go to the later name.
-    Null and blank texts have no units (n_units 0, no licence, best_dice 0). Further columns are ignored; repeated rows
-    and ids give a row each. ``texts`` (full texts and headers; TEXTS unless notices are given) are looked for in every run of
-    consecutive words, whatever lines it lies in; notices too, where no unit matches their name and the whole text is
-    beyond their bounds (within them it was compared as a whole). A name found only so counts once in n_matched. The notices are a parameter held in the plan, so they must be few (512 at most).
+    Units are the lines that are not empty and, if there are several, the whole text. A unit matches the notice with the
+    largest Dice coefficient of their sets of word bigrams, if that is ``threshold`` or more (ties: the later name). Notices and
+    ``texts`` (full texts and headers; TEXTS unless notices are given) are also looked for in every run of consecutive words,
+    whatever lines it lies in and whatever stands beside it; of templates that match one and the same run the best is kept. A
+    name found only so counts once in n_matched; ties for best_licence go to the later name. Null and blank texts have no units
+    (n_units 0, no licence, best_dice 0); texts of any length are read whole; an empty table gives none. Further columns are
+    ignored; repeated rows and ids give a row each. The notices are a parameter held in the plan, so they must be few (512 at most).
     """
     pairs = [(name, bigrams(t)) for name, t in (NOTICES if notices is None else notices)]
     pairs = [(name, b) for name, b in pairs if b]
@@ -115,9 +142,8 @@ def licence_scan(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id"
     pairs_of = lambda w: F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
     lines = F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0)))  # the last unit is the whole text, whose bigrams are made once
     out = out.select("doc_id", "n_units", F.filter(lines, lambda w: F.size(w) > least).alias("w"), F.when(F.size("g") > 1, pairs_of(F.col("g"))).otherwise(F.array().cast("array<string>")).alias("g"))
-    out = out.select("doc_id", "n_units", "g", "w", F.array_distinct("g").alias("different"))
-    units = F.concat(F.transform("w", lambda w: F.array_distinct(pairs_of(w))), F.array("different"))
-    out = out.select("doc_id", "n_units", "g", F.size("different").alias("kinds"), F.filter(units, lambda b: F.size(b).between(least, most)).alias("b"))
+    units = F.concat(F.transform("w", lambda w: F.array_distinct(pairs_of(w))), F.array(F.array_distinct("g")))
+    out = out.select("doc_id", "n_units", "g", F.filter(units, lambda b: F.size(b).between(least, most)).alias("b"))
     near = F.filter(F.col("b"), lambda b: F.arrays_overlap(b, array(sorted({x for _, notice in pairs for x in notice})))) if pairs else F.col("b")
     one, two = bytearray(FILTER), bytearray(FILTER)
     for x in {x for _, b in whole for x in b}:
@@ -126,15 +152,19 @@ def licence_scan(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id"
     marked = lambda table, n: F.substring(F.lit(bytes(table)), n.cast("int") + 1, F.lit(1)) == F.lit(b"\x01")
     maybe = lambda p: marked(one, F.crc32(F.col("g")[p]) % FILTER) & marked(two, F.pmod(F.xxhash64(F.col("g")[p]), F.lit(FILTER)))
     places = F.when(F.size("g") > 0, F.filter(F.sequence(F.lit(0), F.greatest(F.size("g") - 1, F.lit(0))), maybe)).otherwise(F.array().cast("array<int>"))
-    out = out.select("doc_id", "n_units", "g", "kinds", F.filter(F.transform(near, compare), lambda m: F.size(m) > 0).alias("m"), places.alias("h"))
-    out = out.select("doc_id", "n_units", "g", "kinds", "h", F.size("m").cast("long").alias("n_matched"), F.flatten("m").alias("m"))
-    looked = [(F.col("kinds") > math.floor(high * len(b) + 1e-9)) & ~F.array_contains(F.col("m")["name"], name) for name, b in pairs] + [F.lit(True)] * (len(whole) - len(pairs))
-    runs = [F.when(look, F.struct(F.expr(best_run(b, threshold)).alias("dice"), F.lit(name).alias("name"))) for (name, b), look in zip(whole, looked, strict=True)]
+    best = F.transform(F.filter(F.transform(near, compare), lambda m: F.size(m) > 0), lambda m: F.array_max(m))
+    out = out.select("doc_id", "n_units", "g", best.alias("m"), places.alias("h"))
+    out = out.select("doc_id", "n_units", "g", "m", "h", F.array_distinct(F.transform("h", lambda p: F.col("g")[p])).alias("kinds_h"))
+    named = [F.transform(F.expr(runs_like(b, threshold)), lambda r, name=name: F.struct(r["dice"].alias("dice"), r["i"].alias("i"), r["j"].alias("j"), F.lit(name).alias("name"))) for name, b in whole]
+    none = F.array().cast("array<struct<dice:double,i:int,j:int,name:string>>")
     fewest = min((math.ceil(low * len(b) - 1e-9) for _, b in whole), default=1)
-    none = F.array().cast("array<struct<dice:double,name:string>>")
-    more = F.when(F.size("h") >= fewest, F.filter(F.array(*runs), lambda r: r["dice"] >= threshold)).otherwise(none) if runs else none
-    out = out.select("doc_id", "n_units", "n_matched", "m", more.alias("r"))
-    out = out.select("doc_id", "n_units", (F.col("n_matched") + F.size(F.array_except(F.col("r")["name"], F.col("m")["name"]))).alias("n_matched"), F.concat("m", "r").alias("m"))
+    out = out.select("doc_id", "n_units", "m", (F.when(F.size("kinds_h") >= fewest, F.concat(*named)).otherwise(none) if named else none).alias("r"))
+    out = out.select("doc_id", "n_units", "m", F.expr(kept_runs("r")).alias("r"))
+    fields = lambda r: F.struct(r["dice"].alias("dice"), r["name"].alias("name"))
+    out = out.select(
+        "doc_id", "n_units", (F.size("m") + F.size(F.array_except(F.col("r")["name"], F.col("m")["name"]))).cast("long").alias("n_matched"),
+        F.concat("m", F.transform("r", fields)).alias("m"),
+    )
     return out.select(
         "doc_id", "n_units", "n_matched",
         F.concat_ws(",", F.array_sort(F.array_distinct(F.transform("m", lambda m: m["name"])))).alias("licences"),

@@ -4,13 +4,16 @@ For a hash function, all subsequences of a block of text that have their minimum
 a node of the Cartesian tree of the hash values; its minimum is the key of all those subsequences. A window of 50 words
 (46 shingles) that is SIMILAR to another has 41 shingles in common with it, so one changed word within it at most, and
 25 words of it are in the other verbatim. All subsequences of 25 words or more are therefore grouped by the least of
-their 13-word grams: what is similar shares a key with certainty. Windows of a pair of documents, of all functions, are
-joined as intervals on like diagonals, and the stretches that come out are verified on the words themselves.
-
-A passage is compared with the first document that has its key. What is unlike that one goes on to further rounds, with
-all that has its key: there, every shingle is a key that was not yet seen in a first document. So a line that very many
-unlike documents hold is met once, not by every two of them; only windows all of whose shingles lie in several unlike
-first documents are compared with none but those.
+their 13-word grams: what is similar shares a key with certainty.
+
+Verbatim passages need no comparing: the nodes that span 50 words or more hold every window of 50 words, and the hash of
+all words that a node's windows cover tells which documents have the same; only different surroundings of one key
+are looked at window by window. For edited passages, a key's holders are compared with the first of them (windows of a pair of
+documents are joined as intervals on like diagonals, and the stretches are verified word hash by word hash). Where a
+holder is unlike the first, the key's other holders go on without it: two of them that are alike have a shingle near the key
+that the first lacks, and it is among the nearest six on its side for both, as one changed word spoils five at most. That
+shingle and the key make the key of the next round. No other first document's shingles are taken away, so none can hide a
+pair. A key ends when its holders are one class, or one is left; a line that very many unlike documents hold ends at once.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import keep, plain, words
+from orrery.llm.common import discard, keep, plain, words
 from orrery.llm.components import components
 
 #: Words of a shingle, of the shortest passage, of a block and of what it shares with the next; the similarity of passages
@@ -36,6 +39,8 @@ SHARED = int(np.ceil(LEAST * 2 * SIMILAR / (1 + SIMILAR) - 1e-9))
 GRAM, SPAN, FUNCTIONS = 13, 13, 1
 #: Words looked at beside a common subsequence, which may lie at the end of a similar window.
 BESIDE = MIN_WORDS - GRAM - SPAN + 1 + SHINGLE
+#: Grams of a window of MIN_WORDS; shingles on either side of a key that may join it: one changed word spoils SHINGLE of them.
+WHOLE, NEAREST = MIN_WORDS - GRAM + 1, SHINGLE + 1
 _odd = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -96,31 +101,70 @@ def blocks(end: int) -> Iterator[tuple[int, int]]:
 
 
 def windows(hashes: list[np.ndarray]) -> tuple[np.ndarray, ...]:
-    """(document, key, first gram, grams, place of the minimum) of the compact windows of some documents."""
+    """(document, key, first gram, grams, place of the minimum, hash of all words around) of the compact windows of some documents.
+
+    The last is that of the words of all windows of MIN_WORDS words that have this minimum, and of their place (0: there are none).
+    """
     sizes = np.array([len(h) for h in hashes], np.int64)
     begin = np.cumsum(sizes) - sizes
     found = [(int(begin[d]) + l, int(begin[d]) + r, d) for d, n in enumerate(sizes.tolist()) for l, r in blocks(n)]
     if not found:
-        return np.empty(0, np.int64), np.empty(0, np.uint64), *(np.empty(0, np.int64),) * 3
+        return np.empty(0, np.int64), np.empty(0, np.uint64), *(np.empty(0, np.int64),) * 3, np.empty(0, np.uint64)
     low, high, doc = (np.array(x, np.int64) for x in zip(*found, strict=True))
-    grams = shingles(np.concatenate([*hashes, np.zeros(GRAM, np.uint64)]), GRAM)
+    flat = np.concatenate([*hashes, np.zeros(GRAM, np.uint64)])
+    grams, total = shingles(flat, GRAM), prefixes(flat)
     out, block = [], np.arange(len(low))
     for k in range(FUNCTIONS):
         value = mix(grams + np.uint64((k + 1) * int(_odd) % (1 << 64)))
         at, l, c, r = compact_windows(value, low, high, block)
         d = doc[at]
-        out.append((d, value[c], l - begin[d], r - l + 1, c - begin[d]))
+        first, last = np.maximum(l, c - WHOLE + 1), np.minimum(c, r - WHOLE + 1)
+        around = np.zeros(len(l), np.uint64)
+        wide = np.flatnonzero(r - l + 1 >= WHOLE)
+        x, y = first[wide], last[wide] + MIN_WORDS
+        around[wide] = mix(between(total, x, y) + (c[wide] - x).astype(np.uint64) * _odd + (y - x).astype(np.uint64)) | np.uint64(1)
+        out.append((d, value[c], l - begin[d], r - l + 1, c - begin[d], around))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def unseen(hashes: list[np.ndarray], looked: list[np.ndarray]) -> tuple[np.ndarray, ...]:
-    """The same of the shingles at the places marked in ``looked``: each is a window and a key by itself."""
-    sizes = np.array([len(h) for h in hashes], np.int64)
-    begin = np.cumsum(sizes) - sizes
-    grams = shingles(np.concatenate([*hashes, np.zeros(SHINGLE, np.uint64)]))
-    c = np.flatnonzero(np.concatenate([*looked, np.zeros(SHINGLE, bool)])[: len(grams)])
-    d = np.searchsorted(begin, c, "right") - 1
-    return d, grams[c], c - begin[d], np.ones(len(c), np.int64), c - begin[d]
+def prefixes(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums from which ``between`` takes the hash of any run of words, and the powers that it needs."""
+    power, inverse = powers(len(hashes) + 1)
+    return np.concatenate([[np.uint64(0)], np.cumsum(mix(hashes + _odd) * power[: len(hashes)], dtype=np.uint64)]), inverse
+
+
+def between(total: tuple[np.ndarray, np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return (total[0][end] - total[0][start]) * total[1][start]
+
+
+def joined_keys(h: np.ndarray, asks: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """(place, key) of a document's next round. asks: keys at places (``held``) that led to one first document, and the runs of
+    shingles that this one has (``masks``). Each key is joined with the NEAREST shingles on either side that the first lacks;
+    where the first has all that a similar window needs and yet is unlike, the key goes on by itself too."""
+    g, places, found = shingles(h), [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+    for ask in asks:
+        seen = np.zeros(len(g) + 1, bool)
+        for m in ask["masks"] if ask["masks"] is not None else ():
+            seen[m["start"] : m["end"]] = True
+        free = np.flatnonzero(~seen[:-1])
+        total = np.concatenate([[0], np.cumsum(seen[:-1])])
+        c = np.array([x["place"] for x in ask["held"]], np.int64)
+        key = np.array([x["key"] for x in ask["held"]], np.int64).view(np.uint64)
+        at = np.searchsorted(free, c)
+        for step in range(-NEAREST, NEAREST):
+            k = at + step
+            good = np.flatnonzero((k >= 0) & (k < len(free)))
+            s = free[k[good]]
+            near = (s >= c[good] + GRAM - MIN_WORDS) & (s <= c[good] + MIN_WORDS - SHINGLE)
+            good, s = good[near], s[near]
+            places.append(c[good])
+            found.append(mix(key[good] * _odd + g[s]))
+        begin = np.clip(c[:, None] + np.arange(GRAM - MIN_WORDS, 1)[None, :], 0, max(0, len(g) - LEAST))
+        held = (total[np.minimum(begin + LEAST, len(g))] - total[begin]).max(1, initial=0) >= SHARED
+        places.append(c[held])
+        found.append(mix(key[held] + _odd))
+    both = np.unique(np.stack([np.concatenate(places).view(np.uint64), np.concatenate(found)]), axis=1)
+    return both[0].view(np.int64), both[1]
 
 
 def similar_spans(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -212,39 +256,41 @@ def text_mark(text: Column) -> Column:
     return F.hash(text)
 
 
-WINDOW = "doc_id long, mark int, at long, key long"
+WINDOW = "doc_id long, mark int, at long, key long, around long"
 
 
 def find_windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, at, key): at packs the first gram, the grams and the place of the minimum after the first.
+    """(doc_id, mark, at, key, around): at packs the first gram, the grams and the place of the minimum after the first.
 
-    docs: (doc_id, text, mark), whole texts; or with ``places`` and ``masks`` too: then the shingles around those places,
-    but for the runs in masks, are the keys.
+    docs: (doc_id, text, mark), whole texts; or with ``asks`` too: then keys of an earlier round, each joined with a shingle near it.
     """
-    again = "places" in docs.columns
+    again = "asks" in docs.columns
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def flush(held: list[tuple]) -> pd.DataFrame:
-            ids, marks, hashes, looked = zip(*held, strict=True)
-            d, key, l, n, c = unseen(list(hashes), list(looked)) if again else windows(list(hashes))
+        def table(ids: list, marks: list, d: np.ndarray, at: np.ndarray, key: np.ndarray, around: np.ndarray) -> pd.DataFrame:
             number = np.array([0 if i is None else i for i in ids], np.int64)
             lacks = np.array([i is None for i in ids], bool)
-            return pd.DataFrame({"doc_id": pd.arrays.IntegerArray(number[d], lacks[d]), "mark": np.array(marks, np.int32)[d], "at": l << 22 | n << 11 | (c - l), "key": key.view(np.int64)})
+            return pd.DataFrame({
+                "doc_id": pd.arrays.IntegerArray(number[d], lacks[d]), "mark": np.array(marks, np.int32)[d], "at": at, "key": key.view(np.int64), "around": around.view(np.int64)
+            })
+
+        def flush(held: list[tuple]) -> pd.DataFrame:
+            ids, marks, hashes = zip(*held, strict=True)
+            d, key, l, n, c, around = windows(list(hashes))
+            return table(ids, marks, d, l << 22 | n << 11 | (c - l), key, around)
 
         for batch in batches:
             held, size = [], 0
-            asks, masks = (batch["places"], batch["masks"]) if again else ([()] * len(batch),) * 2
-            for i, mark, text, places, mask in zip(batch["doc_id"], batch["mark"], batch["text"], asks, masks, strict=True):
+            for k, (i, mark, text) in enumerate(zip(batch["doc_id"], batch["mark"], batch["text"], strict=True)):
                 h = word_hashes(text)
                 if len(h) < MIN_WORDS:
                     continue
-                looked = np.zeros(len(h), bool)
-                for p in places:
-                    looked[max(0, p - MIN_WORDS) : p + MIN_WORDS + GRAM - SHINGLE] = True
-                for m in mask:
-                    looked[m["start"] : m["end"]] = False
-                looked[len(h) - SHINGLE + 1 :] = False
-                held.append((None if pd.isna(i) else int(i), mark, h, looked))
+                i = None if pd.isna(i) else int(i)
+                if again:
+                    place, key = joined_keys(h, batch["asks"].iloc[k])
+                    yield table([i], [mark], np.zeros(len(place), np.int64), place << 22 | 1 << 11, key, np.zeros(len(place), np.uint64))
+                    continue
+                held.append((i, mark, h))
                 size += len(h)
                 if size > CHUNK:
                     yield flush(held)
@@ -266,11 +312,27 @@ def merged(spans: list[tuple[int, int]], gap: int = 0) -> list[tuple[int, int]]:
     return out
 
 
-def shared_windows(docs: DataFrame) -> DataFrame:
-    """The windows (a written table) whose keys several documents have. Keys are counted before windows are shuffled."""
-    who = F.xxhash64("doc_id", "mark")
-    several = find_windows(docs).groupBy("key").agg(F.min(who).alias("x"), F.max(who).alias("y")).filter("x <> y").select("key")
-    return keep(find_windows(docs).join(keep(several), "key"))
+def whose(doc_id: str = "doc_id", mark: str = "mark") -> Column:
+    """A number for each document."""
+    return F.xxhash64(doc_id, mark)
+
+
+def shared_windows(docs: DataFrame, classes: DataFrame | None = None) -> DataFrame:
+    """The windows (a written table) whose keys documents of several classes (node, component; others stand alone) have.
+
+    Keys are counted before windows are shuffled.
+    """
+    def named(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("node", whose())
+        if classes is None:
+            return rows.withColumnRenamed("node", "class")
+        return rows.join(classes, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("node", "component")
+
+    several = named(find_windows(docs)).groupBy("key").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x <> y").select("key")
+    several = keep(several)
+    met = keep(named(find_windows(docs).join(several, "key")))
+    discard(several)
+    return met
 
 
 def merge(batch: pd.Series) -> pd.Series:
@@ -288,7 +350,7 @@ def merge(batch: pd.Series) -> pd.Series:
                 found[-1] = [min(last[0], own[0]), max(last[1], own[1]), min(last[2], own[2]), max(last[3], own[3]), own[4]]
             else:
                 found.append(own)
-        beside = BESIDE if (n > 1).any() else MIN_WORDS  # a shingle by itself may lie at either end
+        beside = BESIDE if (n > 1).any() else MIN_WORDS  # a key by itself may lie at either end
         down, up = lambda x: max(0, x - beside) // 64 * 64, lambda x: -(-(x + GRAM + beside) // 64) * 64
         out.append([{"a": down(a), "b": up(b), "c": down(c), "d": up(d)} for a, b, c, d, _ in found])
     return pd.Series(out, dtype=object)
@@ -299,57 +361,129 @@ def same(x: str, y: str) -> Column:
     return F.col(f"{x}.doc_id").eqNullSafe(F.col(f"{y}.doc_id")) & (F.col(f"{x}.mark") == F.col(f"{y}.mark"))
 
 
+ENDS = ["doc_id", "mark", "first_id", "first_mark"]
+SPAN_LIST = "array<struct<start: int, end: int>>"
+_l, _c = "shiftright(at, 22)", "(shiftright(at, 22) + (at & 2047))"
+#: The first and the last window of MIN_WORDS words of a node; places are words.
+_whole = f"shiftright(at, 11) & 2047 >= {WHOLE}"
+_from, _to = f"cast(greatest({_l}, {_c} - {WHOLE - 1}) AS int)", f"cast(least({_c}, {_l} + (shiftright(at, 11) & 2047) - {WHOLE}) AS int)"
+
+
 def repeats(docs: DataFrame) -> DataFrame:
-    """Verified passages (a written table): doc_id, mark, start, end (words), first_id, first_mark, there_start, there_end.
+    """Verified passages (a written table): doc_id, mark, start, end (words), first_id, first_mark: who had it earlier.
 
-    docs: (doc_id, text). Each passage of a document is paired with the document that has it first (smallest doc_id), so a passage of g
-    documents gives g - 1 rows. Both ways of comparing see the same words: the second span is that of the first document.
-    Only what shares a key with something unlike goes on to another round, and every round masks what led to unlike pairs, so rounds end.
+    docs: (doc_id, text). Rows grow with the documents that hold a passage, not with their pairs. Every verbatim passage is
+    paired with the first document (smallest doc_id) that has it. Similar ones are paired with the first holder of a key, or with
+    one holder of a key of a later round, until documents that are alike are in one class. (A holder that has a key at several places is
+    compared at the first of them; a passage that is edited, and not verbatim, at a later one only, meets by its other keys.)
     """
     docs = docs.select("doc_id", "text", text_mark(F.col("text")).alias("mark"))
-    met, found, masks = shared_windows(docs), None, None
+    met, texts, found, classes = shared_windows(docs), docs, [], None
     while True:
-        out, places, alike = verified(docs, met)
-        found = out if found is None else found.unionByName(out)
-        if places is None:
-            return keep(found.distinct())
-        masks = alike if masks is None else masks.unionByName(alike)
-        again = places.alias("p").join(masks.alias("m"), same("p", "m")).groupBy("p.doc_id", "p.mark").agg(F.first("p.places").alias("places"), F.flatten(F.collect_list("m.masks")).alias("masks"))
-        again = keep(again)
-        docs = keep(docs.alias("d").join(again.alias("a"), same("d", "a"), "left_semi"))  # few, so later rounds read few texts
-        met = shared_windows(docs.alias("d").join(again.alias("a"), same("d", "a")).select("d.*", "a.places", "a.masks"))
-
-
-def verified(docs: DataFrame, met: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
-    """Verified passages of each key's members with its first holder; of what goes on to another round (None: nothing), the places
-    (doc_id, mark, places) and the runs of shingles shared with first holders (doc_id, mark, masks)."""
-    first = keep(met.groupBy("key").agg(F.min(F.struct("doc_id", "mark", "at")).alias("first")))
-    pairs = met.join(first, "key").filter(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark"))))
-    ends = ["doc_id", "mark", "first_id", "first_mark"]
-    pairs = keep(pairs.select("doc_id", "mark", "at", "key", F.col("first.doc_id").alias("first_id"), F.col("first.mark").alias("first_mark"), F.col("first.at").alias("first_at")))
-    near = pairs.groupBy(*ends, F.shiftright("at", 34).alias("part")).agg(F.collect_set(F.struct("at", "first_at")).alias("p"))
-    spans = keep(near.select(*ends, F.explode(F.pandas_udf(merge, "array<struct<a: int, b: int, c: int, d: int>>")("p")).alias("s")).select(*ends, "s.*").distinct())
-
-    # of each document its own side of every stretch, and once each side that others are compared with
-    here = spans.select("doc_id", "mark", F.struct(F.col("a").alias("lo"), F.col("b").alias("hi"), "first_id", "first_mark", "c", "d", F.lit(True).alias("own")).alias("r"))
-    there = spans.select("first_id", "first_mark", "c", "d").distinct()
-    none = [F.lit(None).cast(t).alias(n) for n, t in (("first_id", "long"), ("first_mark", "int"), ("c", "int"), ("d", "int"))]
-    there = there.select(F.col("first_id").alias("doc_id"), F.col("first_mark").alias("mark"), F.struct(F.col("c").alias("lo"), F.col("d").alias("hi"), *none, F.lit(False).alias("own")).alias("r"))
-    asked = keep(here.union(there).groupBy("doc_id", "mark").agg(F.collect_set("r").alias("asked")))
+        out, entries, masks = compared(texts, met, not found)
+        found.append(out)
+        discard(met, texts if len(found) > 1 else None)
+        asks, classes = going_on(entries, masks, out, classes)
+        discard(entries, masks)
+        if asks is None:
+            break
+        texts = keep(docs.alias("d").join(asks.alias("a"), same("d", "a")).select("d.*", "a.asks"))  # few, so later rounds read few texts
+        met = shared_windows(texts, classes)
+        discard(asks)
+        if met.isEmpty():
+            discard(met, texts, classes)
+            break
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    every = keep(every.distinct())
+    discard(*found)
+    return every
+
+
+def ended(x: str, y: str) -> Column:
+    """Rows of x and y (aliases) are of one document and one first document."""
+    first = F.col(f"{x}.first_id").eqNullSafe(F.col(f"{y}.first_id")) & (F.col(f"{x}.first_mark") == F.col(f"{y}.first_mark"))
+    return same(x, y) & first
+
+
+def first_of() -> dict[str, Column]:
+    """The first holder, and whether there is a holder in another document."""
+    return {"first": F.min(F.struct("doc_id", "mark", "at")), "several": F.min(whose()) != F.max(whose())}
+
+
+def later(rows: DataFrame) -> DataFrame:
+    """Rows with a ``first``, but for those of the first's own document."""
+    rows = rows.filter(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark"))))
+    return rows.withColumns({"first_id": F.col("first.doc_id"), "first_mark": F.col("first.mark"), "first_at": F.col("first.at")}).drop("first")
+
+
+def united(rows: DataFrame) -> DataFrame:
+    """(ENDS, start, end): runs of a document that overlap, with one first document, become one."""
+    rows = rows.groupBy(*ENDS).agg(F.collect_set(F.struct("start", "end")).alias("r"))
+    return rows.select(*ENDS, F.explode(F.pandas_udf(unite, SPAN_LIST)("r")).alias("s")).select(*ENDS, "s.*")
+
+
+def compared(docs: DataFrame, met: DataFrame, whole: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(passages, entries, masks), written tables: verified passages of each key's holders with its first one (``whole``: and verbatim ones);
+    keys with a holder that is unlike (ENDS, place, key); the runs of shingles that documents have in common with first ones (ENDS, m)."""
+    alike = None
+    if whole:
+        nodes = met.filter(_whole).select("doc_id", "mark", "at", "key", "around")
+        groups = keep(nodes.groupBy("key", "around").agg(*[c.alias(k) for k, c in first_of().items()]))
+        alike = later(nodes.join(groups.filter("several").drop("several"), ["key", "around"]))
+        alike = keep(united(alike.select(*ENDS, F.expr(_from).alias("start"), F.expr(f"{_to} + {MIN_WORDS}").alias("end"))))
+        # one holder of each different surrounding of a key is looked at window by window
+        unlike = groups.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+        looked = groups.join(unlike, "key", "left_semi").select("first.*", "key")
+        looked = keep(looked.selectExpr("doc_id", "mark", "key", f"{_from} AS lo", f"{_to} + 1 AS hi"))
+        discard(groups)
+
+    # later, one holder of the class that has the fewest: a class of one is done with after one round, however many it meets
+    by_class = met.groupBy("key", "class").agg(first_of()["first"].alias("first"), F.when(F.lit(whole), 0).otherwise(F.count("*")).alias("n"))
+    first = keep(by_class.groupBy("key").agg(F.min(F.struct("n", "first"))["first"].alias("first")))
+    pairs = later(met.select("doc_id", "mark", "at", "key").join(first, "key"))
+    place = F.expr(_c)
+    if whole:  # what is the same as at the first holder is known already
+        pairs = pairs.alias("o").join(alike.alias("v"), ended("o", "v") & (place >= F.col("v.start")) & (place + GRAM <= F.col("v.end")), "left_anti")
+    pairs = keep(pairs)
+    near = pairs.groupBy(*ENDS, F.shiftright("at", 34).alias("part")).agg(F.collect_set(F.struct("at", "first_at")).alias("p"))
+    stretches = near.select(*ENDS, F.explode(F.pandas_udf(merge, "array<struct<a: int, b: int, c: int, d: int>>")("p")).alias("s"))
+    stretches = keep(stretches.select(*ENDS, "s.*").distinct())
+
+    # of each document its own side of every stretch, once each side that others are compared with, and what is looked at by windows
+    none = {k: F.lit(None).cast(t) for k, t in (("first_id", "long"), ("first_mark", "int"), ("c", "int"), ("d", "int"), ("key", "long"))}
+
+    def asking(rows: DataFrame, kind: int, lo: str, hi: str, doc_id: str = "doc_id", mark: str = "mark", **fields: str) -> DataFrame:
+        rest = [F.col(fields[k]).alias(k) if k in fields else v.alias(k) for k, v in none.items()]
+        r = F.struct(F.lit(kind).alias("kind"), F.col(lo).alias("lo"), F.col(hi).alias("hi"), *rest)
+        return rows.select(F.col(doc_id).alias("doc_id"), F.col(mark).alias("mark"), r.alias("r"))
+
+    asked = asking(stretches, 0, "a", "b", first_id="first_id", first_mark="first_mark", c="c", d="d")
+    asked = asked.union(asking(stretches.select("first_id", "first_mark", "c", "d").distinct(), 1, "c", "d", "first_id", "first_mark"))
+    if whole:
+        asked = asked.union(asking(looked, 2, "lo", "hi", key="key"))
+    asked = keep(asked.groupBy("doc_id", "mark").agg(F.collect_set("r").alias("asked")))
 
     @F.pandas_udf("array<binary>")
     def cut(texts: pd.Series, asked: pd.Series) -> pd.Series:
         out = []
         for text, asks in zip(texts, asked, strict=True):
-            h = word_hashes(text).astype(np.uint32)
-            out.append([h[r["lo"] : r["hi"]].tobytes() for r in asks])
+            h = word_hashes(text)
+            slim, total, mine = h.astype(np.uint32), prefixes(h), []
+            for r in asks:
+                if r["kind"] == 2:
+                    p = np.arange(r["lo"], r["hi"])
+                    mine.append(between(total, p, p + MIN_WORDS).tobytes())
+                else:
+                    mine.append(slim[r["lo"] : r["hi"]].tobytes())
+            out.append(mine)
         return pd.Series(out, dtype=object)
 
-    held = docs.alias("d").join(asked.alias("q"), same("d", "q")).select("d.doc_id", "d.mark", "q.asked", cut("d.text", "q.asked").alias("words"))
+    held = docs.select("doc_id", "mark", "text").alias("d").join(asked.alias("q"), same("d", "q")).select("d.doc_id", "d.mark", "q.asked", cut("d.text", "q.asked").alias("words"))
     held = keep(held.select("doc_id", "mark", F.explode(F.arrays_zip("asked", "words")).alias("w")).select("doc_id", "mark", "w.asked.*", "w.words"))
-    run = "array<struct<start: int, end: int>>"
 
-    @F.pandas_udf(f"here {run}, there {run}, common {run}, open boolean")
+    @F.pandas_udf(f"here {SPAN_LIST}, there {SPAN_LIST}, common {SPAN_LIST}, open boolean")
     def verify(x: pd.Series, y: pd.Series) -> pd.DataFrame:
         out = []
         for p, q in zip(x, y, strict=True):
@@ -362,33 +496,85 @@ def verified(docs: DataFrame, met: DataFrame) -> tuple[DataFrame, DataFrame | No
 
     # a struct of null and other fields equals another of the same; rows that repeat have one second side between them
     side = lambda *columns: F.struct(*[F.col(c).alias(n) for c, n in zip(columns, ("i", "m", "lo", "hi"), strict=True)]).alias("side")
-    x = held.filter("own").select(*ends, F.col("lo").alias("a"), "c", F.col("words").alias("x"), side("first_id", "first_mark", "c", "d"))
-    y = held.filter("not own").select(side("doc_id", "mark", "lo", "hi"), F.col("words").alias("y")).dropDuplicates(["side"])
-    both = keep(x.join(y, "side").select(*ends, "a", "c", verify("x", "y").alias("v")).select(*ends, "a", "c", "v.*"))
-    good = both.filter(F.size("here") > 0).withColumn("t", F.struct(F.array_min("there.start").alias("start"), F.array_max("there.end").alias("end"))).withColumn("h", F.explode("here"))
-    out = good.select(
-        "doc_id", "mark", (F.col("a") + F.col("h.start")).alias("start"), (F.col("a") + F.col("h.end")).alias("end"),
-        "first_id", "first_mark", (F.col("c") + F.col("t.start")).alias("there_start"), (F.col("c") + F.col("t.end")).alias("there_end"),
-    )
+    x = held.filter("kind = 0").select(*ENDS, F.col("lo").alias("a"), "c", F.col("words").alias("x"), side("first_id", "first_mark", "c", "d"))
+    y = held.filter("kind = 1").select(side("doc_id", "mark", "lo", "hi"), F.col("words").alias("y")).dropDuplicates(["side"])
+    both = keep(x.join(y, "side").select(*ENDS, "a", "c", verify("x", "y").alias("v")).select(*ENDS, "a", "c", "v.*"))
+    runs_in = lambda spans, at: (F.explode(spans).alias("h"), F.col(at).alias("base"))
+    is_later = F.struct("doc_id", "mark") > F.struct("first_id", "first_mark")  # a null id comes before all others
+    turned = [F.col(y).alias(x) for x, y in zip(ENDS, [*ENDS[2:], *ENDS[:2]], strict=True)]
+    out = both.filter(is_later).select(*ENDS, *runs_in("here", "a")).union(both.filter(~is_later).select(*turned, *runs_in("there", "c")))
+    out = out.select(*ENDS, (F.col("base") + F.col("h.start")).alias("start"), (F.col("base") + F.col("h.end")).alias("end"))
+    if whole:
+        each = keep(each_window(held.filter("kind = 2").select("doc_id", "mark", "key", "lo", "words")))
+        groups = each.groupBy("key", "h").agg(*[c.alias(k) for k, c in first_of().items()]).filter("several").drop("several")
+        more = later(each.join(groups, ["key", "h"])).select(*ENDS, F.col("at").cast("int").alias("start"), (F.col("at") + MIN_WORDS).cast("int").alias("end"))
+        out = out.unionByName(united(more)).unionByName(alike)
     out = keep(out.distinct())
 
-    ended = lambda x, y: same(x, y) & F.col(f"{x}.first_id").eqNullSafe(F.col(f"{y}.first_id")) & (F.col(f"{x}.first_mark") == F.col(f"{y}.first_mark"))
-    place = F.shiftright("at", 22) + F.col("at").bitwiseAND(0x7FF)  # the minimum's
-    o = pairs.alias("o").join(both.filter("open").select(*ends).distinct().alias("b"), ended("o", "b"), "left_semi")
-    unlike = keep(o.join(out.alias("v"), ended("o", "v") & (place >= F.col("v.start")) & (place < F.col("v.end")), "left_anti").select("doc_id", "mark", "at", "key"))
-    # of the keys of what is unlike, those that others than the first have too
-    open_keys = keep(unlike.select("key").distinct())
-    who = F.xxhash64("doc_id", "mark")
-    rest = keep(pairs.join(open_keys, "key", "left_semi").select("doc_id", "mark", "at", "key"))
-    several = keep(rest.groupBy("key").agg((F.min(who) != F.max(who)).alias("several")).filter("several").select("key"))
-    if several.isEmpty():
-        return out, None, None
-    place = place.cast("int").alias("place")
-    places = rest.join(several, "key", "left_semi").select("doc_id", "mark", place).groupBy("doc_id", "mark").agg(F.collect_set("place").alias("places"))
-    runs_of = both.select("doc_id", "mark", "a", F.explode("common").alias("m")).select("doc_id", "mark", F.struct((F.col("a") + F.col("m.start")).alias("start"), (F.col("a") + F.col("m.end")).alias("end")).alias("m"))
-    places = keep(places)
-    masks = runs_of.alias("r").join(places.alias("p"), same("r", "p"), "left_semi").groupBy("doc_id", "mark").agg(F.collect_set("m").alias("masks"))
-    return out, places, keep(masks)
+    o = pairs.alias("o").join(both.filter("open").select(*ENDS).distinct().alias("b"), ended("o", "b"), "left_semi")
+    alike_here = both.select(*ENDS, *runs_in("here", "a")).select(*ENDS, (F.col("base") + F.col("h.start")).alias("start"), (F.col("base") + F.col("h.end")).alias("end"))
+    unlike = o.join(alike_here.alias("v"), ended("o", "v") & (place >= F.col("v.start")) & (place < F.col("v.end")), "left_anti").select("key").distinct()
+    unlike = keep(unlike)
+    entries = keep(pairs.join(unlike, "key", "left_semi").select(*ENDS, place.cast("int").alias("place"), "key"))
+    masks = both.select(*ENDS, "a", F.explode("common").alias("m"))
+    masks = keep(masks.select(*ENDS, F.struct((F.col("a") + F.col("m.start")).alias("start"), (F.col("a") + F.col("m.end")).alias("end")).alias("m")))
+    discard(first, pairs, stretches, asked, held, both, unlike, alike, *([looked, each] if whole else []))
+    return out, entries, masks
+
+
+def each_window(rows: DataFrame) -> DataFrame:
+    """(doc_id, mark, key, at, h) of rows (doc_id, mark, key, lo, words): a row for each of the hashes packed in words."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            h = [np.frombuffer(w, np.int64) for w in batch["words"]]
+            n = np.fromiter(map(len, h), np.int64, len(h))
+            row = np.repeat(np.arange(len(h)), n)
+            at = batch["lo"].to_numpy(np.int64)[row] + np.arange(len(row)) - (np.cumsum(n) - n)[row]
+            out = batch[["doc_id", "mark", "key"]].iloc[row].reset_index(drop=True)
+            yield out.astype({"doc_id": "Int64"}).assign(at=at, h=np.concatenate(h) if h else np.empty(0, np.int64))
+
+    return rows.mapInPandas(run, "doc_id long, mark int, key long, at long, h long")
+
+
+def joined(classes: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, component), a written table: the classes before, with those that the links (a, b) join made one. Others stand alone."""
+    if classes is None:
+        return keep(components(links))
+    for end in "ab":
+        links = links.join(classes.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
+    links = keep(links.filter("a <> b").distinct())
+    if links.isEmpty():
+        discard(links)
+        return classes
+    new = components(links).withColumnRenamed("component", "root").withColumnRenamed("node", "component")
+    new = keep(new)
+    after = classes.join(new, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+    after = keep(after.unionByName(new.select(F.col("component").alias("node"), F.col("root").alias("component"))).distinct())
+    discard(links, new, classes)
+    return after
+
+
+def going_on(entries: DataFrame, masks: DataFrame, out: DataFrame, classes: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None]:
+    """(asks, classes) of the next round (None: there is none), from keys with a holder that is unlike the one compared with.
+
+    All other holders of such a key go on if they are of several classes. asks: (doc_id, mark, asks), see ``joined_keys``.
+    """
+    if entries.isEmpty():
+        discard(classes)
+        return None, None
+    classes = joined(classes, out.select(whose().alias("a"), whose("first_id", "first_mark").alias("b")))
+    named = entries.withColumn("node", whose()).join(classes, "node", "left").withColumn("class", F.coalesce("component", "node"))
+    several = keep(named.groupBy("key").agg((F.min("class") != F.max("class")).alias("several")).filter("several").select("key"))
+    going = entries.join(several, "key", "left_semi").groupBy(*ENDS).agg(F.collect_set(F.struct("place", "key")).alias("held"))
+    theirs = masks.groupBy(*ENDS).agg(F.collect_set("m").alias("masks"))
+    going = going.alias("o").join(theirs.alias("m"), ended("o", "m"), "left").select("o.*", "m.masks")
+    asks = keep(going.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("held", "masks")).alias("asks")))
+    discard(several)
+    if asks.isEmpty():
+        discard(asks, classes)
+        return None, None
+    return asks, classes
 
 
 def unite(batch: pd.Series) -> pd.Series:

@@ -130,9 +130,10 @@ u AS (SELECT r, doc_id, CASE WHEN len(l) > 1 THEN list_append(l, text) ELSE l EN
 e AS (SELECT r, row_number() OVER () AS n, trim(regexp_replace({_lower.replace("text", "unit")}, '[^\pL\pN]+', ' ', 'g'), ' ') AS t FROM (SELECT r, unnest(units) AS unit FROM u)),
 w AS (SELECT r, n, string_split(t, ' ') AS w FROM e),
 g AS (SELECT r, n, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM w WHERE len(w) > 1),
-m AS (SELECT r, n, name, 2.0 * len(list_intersect(g.b, notice.b)) / (len(g.b) + len(notice.b)) AS dice FROM g, notice WHERE len(g.b) <= 100),
-hit AS (SELECT r, count(DISTINCT n) AS n_matched, string_agg(DISTINCT name, ',' ORDER BY name) AS licences, arg_max(name, (dice, name)) AS best_licence, max(dice) AS best
-        FROM m WHERE dice >= {threshold} GROUP BY r)
+every AS (SELECT r, n, name, 2.0 * len(list_intersect(g.b, notice.b)) / (len(g.b) + len(notice.b)) AS dice FROM g, notice WHERE len(g.b) <= 100),
+m AS (SELECT r, n, arg_max(name, (dice, name)) AS name, max(dice) AS dice FROM every WHERE dice >= {threshold} GROUP BY r, n),
+hit AS (SELECT r, count(*) AS n_matched, string_agg(DISTINCT name, ',' ORDER BY name) AS licences, arg_max(name, (dice, name)) AS best_licence, max(dice) AS best
+        FROM m GROUP BY r)
 SELECT doc_id, CAST(len(units) AS BIGINT) AS n_units, CAST(coalesce(n_matched, 0) AS BIGINT) AS n_matched, coalesce(licences, '') AS licences,
        best_licence, round(coalesce(best, 0.0), 6) AS best_dice
 FROM u LEFT JOIN hit USING (r)

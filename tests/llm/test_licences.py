@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from cases import AWKWARD, awkward, empty
 
@@ -19,7 +20,7 @@ def slow(text, threshold=0.8):
         hits = [(2 * len(own & set(b)) / (len(own) + len(b)), name) for name, t in NOTICES if (b := bigrams(t)) and own]
         hits = [h for h in hits if h[0] >= threshold]
         matched += bool(hits)
-        found += hits
+        found += [max(hits)] if hits else []
     best = max(found, default=(0.0, None))
     return len(units), matched, ",".join(sorted({n for _, n in found})), best[1], round(best[0], 6)
 
@@ -100,3 +101,66 @@ def test_licence_texts_within_documents(spark):
 def test_notice_within_a_longer_line(spark):
     df = spark.createDataFrame([(1, "Copyright 2020 Somebody and others of that name. All rights reserved. Read on.")], "doc_id long, text string")
     assert licence_scan(df).first().licences == "Proprietary"
+
+
+def test_edited_notice_whatever_stands_before_it(spark):
+    header = next(t for n, t in TEXTS_OF_LICENCES if n == "GPL-2.0" and len(t) < 2000)
+    notice = next(t for n, t in NOTICES if n == "GPL-2.0").replace("work", "program")
+    docs = [(100 * k + n, " ".join([*(f"x{i}" for i in range(n)), edited])) for k, edited in enumerate((notice, " ".join(header.split()).replace("either", "any", 1))) for n in range(21)]
+    got = licence_scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert all("GPL-2.0" in r.licences.split(",") and r.best_dice >= 0.8 for r in got)
+    assert all(len({(r.licences, r.best_dice) for r in got if r.doc_id // 100 == k and r.doc_id % 100}) == 1 for k in (0, 1))
+
+
+def test_one_name_for_one_run_and_soon(spark):
+    rnd = random.Random(7)
+    whole = {n: t for n, t in TEXTS_OF_LICENCES if len(t) > 2000}
+    docs = [(n, share, " ".join(w if rnd.random() >= share else f"edit{rnd.randrange(10**6)}" for w in t.split())) for n, t in whole.items() for share in (0, 0.01, 0.03)]
+    df = spark.createDataFrame([(i, t) for i, (*_, t) in enumerate(docs)], "doc_id long, text string").repartition(8)
+    licence_scan(df.limit(1)).collect()
+    began = time.time()
+    got = {r.doc_id: r for r in licence_scan(df).collect()}
+    assert time.time() - began < 60
+    for i, (name, share, _) in enumerate(docs):
+        assert got[i].best_licence == name and (share or got[i].best_dice == 1.0), (name, share, got[i])
+    assert got[next(i for i, (n, s, _) in enumerate(docs) if n == "GPL-3.0" and not s)].licences == "GPL-3.0"
+
+
+def brute_names(text, templates, threshold=0.8):
+    """Every run of every template, the best first, without those that mostly lie within a better one."""
+    w = re.sub(r"[\W_]+", " ", text.lower()).split()
+    g, found = [f"{a} {b}" for a, b in zip(w, w[1:])], []
+    for name, template in templates:
+        t = set(bigrams(template))
+        for i in (i for i, x in enumerate(g) if x in t):
+            run, mine = set(), []
+            for j in range(i, min(len(g), i + 6 * len(t) + 99)):
+                run.add(g[j])
+                if g[j] in t and 2 * len(run & t) / (len(run) + len(t)) >= threshold:
+                    mine.append((-2 * len(run & t) / (len(run) + len(t)), j - i, name, i, j))
+            found += [min(mine)] if mine else []
+    kept = []
+    for d, n, name, i, j in sorted(found):
+        if not any(2 * (min(j, y) - max(i, x) + 1) > n + 1 for _, _, _, x, y in kept):
+            kept.append((d, n, name, i, j))
+    return ",".join(sorted({k[2] for k in kept})), round(-min((k[0] for k in kept), default=0.0), 6)
+
+
+def test_planted_in_the_whole_table(spark, sf_dir):
+    rnd = random.Random(8)
+    short = [(n, t) for n, t in TEXTS_OF_LICENCES if len(t) < 2500] + NOTICES
+    docs = []
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect():
+        w = (r.text or "").replace("\n", " ").split()
+        for _ in range(rnd.randrange(3)):
+            t = rnd.choice(short)[1].split()
+            for _ in range(rnd.randrange(1 + len(t) // 12)):
+                t[rnd.randrange(len(t))] = rnd.choice(("of", "the", "edited"))
+            at = rnd.randrange(len(w) + 1)
+            w[at:at] = t
+        docs.append((r.doc_id, " ".join(w)))
+    # neither lines nor units here: each text is one line, longer than the notices
+    docs = [(i, t) for i, t in docs if len(t.split()) > 150]
+    got = {r.doc_id: (r.licences, r.best_dice) for r in licence_scan(spark.createDataFrame(docs, "doc_id long, text string").repartition(8)).collect()}
+    want = {i: brute_names(t, TEXTS_OF_LICENCES + NOTICES) for i, t in docs}
+    assert got == want and sum(bool(n) for n, _ in want.values()) > 40

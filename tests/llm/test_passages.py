@@ -147,3 +147,54 @@ def test_edits_and_common_lines_by_hand(spark):
         rows.append((k, " ".join(w)))
     rows += [(100 + k, " ".join([*fresh(40), *lines[k % 5], *fresh(40)])) for k in range(60)]  # the lines alone
     check_by_hand(spark, rows)
+
+
+def report_of(spark, texts):
+    return {r.doc_id: r for r in passages.passage_report(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+
+
+def test_unlike_first_documents_hide_nothing(spark):
+    rnd = random.Random(14)
+    fresh = lambda n: [f"w{rnd.randrange(10**7)}" for _ in range(n)]
+    texts = {}
+    for k in range(4):
+        for case in range(3):
+            p = fresh(50)
+            q = [*p[: 10 + 8 * k], "changed", *p[11 + 8 * k :]] if k else p  # the same words, or one of them changed
+            around = lambda w: " ".join([*fresh(20), *w, *fresh(20)])
+            base, here = 100 * k + 10 * case, {3: around(p), 4: around(q)}
+            if case:
+                here |= {1: around(p[:32]), 2: around(p[19:])}
+            if case == 2:
+                here |= {5: around(q[:32]), 6: around(q[19:])}
+            texts |= {base + i: t for i, t in here.items()}
+    rows = report_of(spark, texts)
+    for i, r in rows.items():
+        assert (r.repeated, r.n_repeated) == (i % 10 in (3, 4), 50 * (i % 10 == 4)), r
+        assert r.class_id == (i - 1 if i % 10 == 4 else i)
+
+
+def test_passages_put_together_from_others_by_hand(spark):
+    rnd = random.Random(15)
+    fresh = lambda n: [f"w{rnd.randrange(10**7)}" for _ in range(n)]
+    whole = [fresh(120) for _ in range(5)]
+    rows = []
+    for k in range(60):
+        w = fresh(15)
+        for _ in range(rnd.randint(1, 4)):  # pieces of a few sources, some of passage length, some edited, next to each other
+            source, size = rnd.choice(whole), rnd.randint(15, 70)
+            at = rnd.randrange(120 - size)
+            piece = source[at : at + size]
+            if rnd.random() < 0.4:
+                piece[rnd.randrange(size)] = "edited"
+            w += piece + (fresh(5) if rnd.random() < 0.5 else [])
+        rows.append((k, " ".join(w)))
+    check_by_hand(spark, rows)
+    words_of = [t.split() for _, t in rows]
+    seen, covered = set(), {}
+    for k, w in enumerate(words_of):  # words of 50 and more that an earlier document has verbatim
+        grams = [" ".join(w[i : i + 50]) for i in range(len(w) - 49)]
+        covered[k] = len({j for i, g in enumerate(grams) if g in seen for j in range(i, i + 50)})
+        seen |= set(grams)
+    report = report_of(spark, dict(rows))
+    assert all(report[k].n_repeated >= n for k, n in covered.items()) and sum(covered.values()) > 300

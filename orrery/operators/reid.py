@@ -1,6 +1,7 @@
 """Re-identification: galleries, probes, ranks, error rates, chance floors and intervals.
 
-Distances are computed once and kept as (probe, gallery, distance) rows; every ranking orders by (distance, gallery ord).
+Every ranking orders by (distance, gallery ord). Ranks and nearest rows come from ``neighbours`` (groups under pivots); the error
+rates (AG09, AG10) and the item galleries (AG07) are made of all pairs by definition and stay so.
 """
 
 from __future__ import annotations
@@ -10,11 +11,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orrery.functions.exprs import distance, uniform
+from orrery.functions.tables import keep
+from orrery.operators.neighbours import Gallery, grouped, nearest, ranks
 from orrery.plans.registry import query
 from orrery.sources import views
 
-#: Thresholds of the grid and draws of the bootstrap.
-STEPS, DRAWS = 512, 1000
+#: Thresholds of the grid, draws of the bootstrap, shuffles of the labels, blocks of the gallery.
+STEPS, DRAWS, SHUFFLES, BLOCKS = 512, 1000, 40, 32
 GALLERY = "status = 0 AND seq <= 4"
 #: SQL of the pairs: a probe of any kind against gallery sequences seen from another angle.
 _pairs = ", pair AS (SELECT p.ord AS probe, p.subject AS subject, p.status AS status, p.angle AS probe_view, g.ord AS gallery, g.subject AS found, g.angle AS gallery_view, round(list_distance(p.v, g.v), 9) AS d FROM emb p JOIN emb g ON g.status = 0 AND g.seq <= 4 AND g.angle <> p.angle WHERE NOT (p.status = 0 AND p.seq <= 4))"
@@ -22,30 +25,58 @@ _ranked = _pairs + ", ranked AS (SELECT *, row_number() OVER (PARTITION BY probe
 
 
 def pairs(emb: DataFrame) -> DataFrame:
-    """JN12, FN14: probes against the gallery, the same view left out."""
+    """JN12, FN14: probes against the gallery, the same view left out; for what is a sum over all pairs. The gallery is dealt to blocks,
+    every probe meets every block: a join on the block, so work is spread evenly and no side is sent whole anywhere."""
     p = emb.filter(f"NOT ({GALLERY})").select(F.col("ord").alias("probe"), "subject", "status", F.col("angle").alias("probe_view"), F.col("v").alias("pv"))
     g = emb.filter(GALLERY).select(F.col("ord").alias("gallery"), F.col("subject").alias("found"), F.col("angle").alias("gallery_view"), F.col("v").alias("gv"))
-    return p.join(g, F.col("probe_view") != F.col("gallery_view")).withColumn("d", distance(F.col("pv"), F.col("gv"))).drop("pv", "gv")
+    g = g.withColumn("block", F.pmod(F.xxhash64("gallery"), F.lit(BLOCKS)))
+    p = p.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BLOCKS - 1).cast("long"))))
+    return p.join(g, "block").filter("probe_view <> gallery_view").withColumn("d", distance(F.col("pv"), F.col("gv"))).drop("pv", "gv", "block")
 
 
-def first_hits(found: DataFrame) -> DataFrame:
-    """WN01: rank of each probe's first right answer (null: none in the gallery)."""
-    ranked = found.withColumn("r", F.row_number().over(W.partitionBy("probe").orderBy("d", "gallery")))
-    return ranked.groupBy("probe").agg(F.first("status").alias("status"), F.min(F.when(F.col("subject") == F.col("found"), F.col("r"))).alias("rank"))
+def sides(emb: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(probe, subject, status, view, pv) and (gallery, found, view, gv)."""
+    p = emb.filter(f"NOT ({GALLERY})").select(F.col("ord").alias("probe"), "subject", "status", F.col("angle").alias("view"), F.col("v").alias("pv"))
+    return p, emb.filter(GALLERY).select(F.col("ord").alias("gallery"), F.col("subject").alias("found"), F.col("angle").alias("view"), F.col("v").alias("gv"))
+
+
+def right_answers(probes: DataFrame, gallery: Gallery) -> DataFrame:
+    """(probe, status, view, pv, gallery, d): gallery rows of the probe's own subject, seen from another angle."""
+    own = gallery.members.select("gallery", F.col("found").alias("subject"), F.col("view").alias("its_view"), "gv")
+    return probes.join(own, "subject").filter("view <> its_view").withColumn("d", distance(F.col("pv"), F.col("gv"))).drop("gv", "its_view", "subject")
+
+
+def comparable(probes: DataFrame, gallery: Gallery) -> DataFrame:
+    """Probes for which the gallery has a row of another view."""
+    views = list(gallery.views)
+    return probes.filter(F.lit(len(views) > 1) | ~F.col("view").isin(views)) if views else probes.limit(0)
+
+
+def first_hits(emb: DataFrame) -> DataFrame:
+    """WN01: (probe, status, rank): each probe's rank of the first right answer (null: none in the gallery)."""
+    probes, gallery = sides(emb)
+    gallery = grouped(gallery)
+    probes = comparable(probes, gallery)
+    best = right_answers(probes, gallery).groupBy("probe").agg(F.first("view").alias("view"), F.first("pv").alias("pv"), F.min(F.struct("d", "gallery")).alias("m"))
+    found = ranks(best.select("probe", "view", "pv", "m.gallery", "m.d"), gallery).select("probe", "rank")
+    return keep(probes.select("probe", "status").join(found, "probe", "left"))
 
 
 @query(_ranked + " SELECT status, count(*) AS n, round(avg(CAST(coalesce(rank <= 1, false) AS DOUBLE)), 6) AS rank1, round(avg(CAST(coalesce(rank <= 5, false) AS DOUBLE)), 6) AS rank5, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr FROM first GROUP BY status", "emb")
 def wn01_rank_of_first_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG06: rank-1, rank-5 and mean reciprocal rank for each kind of probe."""
     hit = lambda k: F.round(F.avg(F.coalesce(F.col("rank") <= k, F.lit(False)).cast("double")), 6)
-    rows = first_hits(pairs(views.emb(spark, sf_dir))).groupBy("status")
+    rows = first_hits(views.emb(spark, sf_dir)).groupBy("status")
     return rows.agg(F.count("*").alias("n"), hit(1).alias("rank1"), hit(5).alias("rank5"), F.round(F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))), 6).alias("mrr"))
 
 
 @query(_pairs + ", ranked AS (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY d, gallery) AS r FROM pair WHERE true), hit AS (SELECT probe, status, r, row_number() OVER (PARTITION BY probe ORDER BY r) AS k FROM ranked WHERE subject = found), ap AS (SELECT probe, any_value(status) AS status, avg(CAST(k AS DOUBLE) / r) AS ap FROM hit GROUP BY probe) SELECT status, count(*) AS n, round(avg(ap), 6) AS map FROM ap GROUP BY status", "emb")
 def ag08_average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG08: mean over probes of the precision at each right answer."""
-    ranked = pairs(views.emb(spark, sf_dir)).withColumn("r", F.row_number().over(W.partitionBy("probe").orderBy("d", "gallery"))).filter("subject = found")
+    probes, gallery = sides(views.emb(spark, sf_dir))
+    gallery = grouped(gallery)
+    right = keep(right_answers(probes, gallery))
+    ranked = ranks(right.drop("status"), gallery).withColumnRenamed("rank", "r").join(right.select("probe", "status").distinct(), "probe")
     ranked = ranked.withColumn("k", F.row_number().over(W.partitionBy("probe").orderBy("r")))
     return ranked.groupBy("probe").agg(F.first("status").alias("status"), F.avg(F.col("k") / F.col("r")).alias("ap")).groupBy("status").agg(F.count("*").alias("n"), F.round(F.avg("ap"), 6).alias("map"))
 
@@ -53,14 +84,15 @@ def ag08_average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_ranked + " SELECT status, CAST(k AS INTEGER) AS k, round(avg(CAST(coalesce(rank <= k, false) AS DOUBLE)), 6) AS rate FROM first, generate_series(1, 20) t(k) GROUP BY status, k", "emb")
 def ag12_cmc_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG06, AG12: the cumulative match curve."""
-    rows = first_hits(pairs(views.emb(spark, sf_dir))).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(20))))
+    rows = first_hits(views.emb(spark, sf_dir)).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(20))))
     return rows.groupBy("status", "k").agg(F.round(F.avg(F.coalesce(F.col("rank") <= F.col("k"), F.lit(False)).cast("double")), 6).alias("rate"))
 
 
 @query(_pairs + ", near AS (SELECT *, row_number() OVER (PARTITION BY probe, gallery_view ORDER BY d, gallery) AS r FROM pair), cell AS (SELECT status, gallery_view, probe_view, avg(CAST(subject = found AS DOUBLE)) AS a FROM near WHERE r = 1 GROUP BY ALL), v AS (SELECT CAST(18 * k AS INTEGER) AS probe_view FROM generate_series(0, 10) t(k)), s AS (SELECT DISTINCT status FROM cell), per AS (SELECT s.status, v.probe_view, coalesce(sum(a), 0) / 10 AS a FROM s CROSS JOIN v LEFT JOIN cell ON cell.status = s.status AND cell.probe_view = v.probe_view GROUP BY ALL) SELECT status, round(avg(a), 6) AS accuracy, count(*) AS n_views FROM per GROUP BY status", "emb")
 def ag11_canonical_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG11, JN15: nearest neighbour for each (probe, gallery view); diagonal left out; divided by 10, over all 11 views."""
-    near = pairs(views.emb(spark, sf_dir)).groupBy("probe", "subject", "status", "probe_view", "gallery_view").agg(F.min_by("found", F.struct("d", "gallery")).alias("found"))
+    probes, gallery = sides(views.emb(spark, sf_dir))
+    near = nearest(probes.select("probe", "view", "pv"), grouped(gallery), each_view=True).join(probes.select("probe", "subject", "status", F.col("view").alias("probe_view")), "probe")
     cell = near.groupBy("status", "gallery_view", "probe_view").agg(F.avg((F.col("subject") == F.col("found")).cast("double")).alias("a"))
     grid = cell.select("status").distinct().withColumn("probe_view", F.explode(F.sequence(F.lit(0), F.lit(180), F.lit(18))))
     per = grid.join(cell, ["status", "probe_view"], "left").groupBy("status", "probe_view").agg((F.coalesce(F.sum("a"), F.lit(0.0)) / 10).alias("a"))
@@ -142,7 +174,7 @@ _uniform = "CAST(('0x' || substr(md5(concat_ws('|', {})), 1, 8)) AS BIGINT) / 42
 @query(_ranked + ", b AS (SELECT rep, probe, status, CAST(floor(" + _uniform.format("'boot', rep, probe") + " * count(*) OVER (PARTITION BY rep, status)) AS BIGINT) + 1 AS pick FROM first, generate_series(1, 1000) t(rep)), n AS (SELECT status, coalesce(rank <= 5, false) AS hit, row_number() OVER (PARTITION BY status ORDER BY probe) AS i FROM first), m AS (SELECT b.status, rep, avg(CAST(hit AS DOUBLE)) AS m FROM b JOIN n ON b.status = n.status AND b.pick = n.i GROUP BY ALL) SELECT status, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m GROUP BY status", "emb")
 def st91_bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST91: interval of rank-5 from draws with replacement; each draw's index follows from a hash."""
-    f = first_hits(pairs(views.emb(spark, sf_dir))).select("probe", "status", F.coalesce(F.col("rank") <= 5, F.lit(False)).alias("hit"))
+    f = first_hits(views.emb(spark, sf_dir)).select("probe", "status", F.coalesce(F.col("rank") <= 5, F.lit(False)).alias("hit"))
     n = f.withColumn("i", F.row_number().over(W.partitionBy("status").orderBy("probe"))).select("status", "hit", "i")
     size = f.groupBy("status").agg(F.count("*").alias("n"))
     b = f.join(size, "status").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(DRAWS))))
@@ -151,17 +183,17 @@ def st91_bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.groupBy("status").agg(F.round(F.expr("percentile(m, 0.025)"), 6).alias("low"), F.round(F.expr("percentile(m, 0.975)"), 6).alias("high"))
 
 
-@query(_ranked + ", g AS (SELECT ord, subject, row_number() OVER (ORDER BY ord) AS i FROM emb WHERE status = 0 AND seq <= 4), s AS (SELECT rep, g.i, g.subject, row_number() OVER (PARTITION BY rep ORDER BY md5(concat_ws('|', 'null', rep, ord)), ord) AS k FROM g, generate_series(1, 10) t(rep)), lab AS (SELECT s.rep, g.ord AS gallery, s.subject AS fake FROM s JOIN g ON g.i = s.k), top AS (SELECT probe, status, subject, gallery FROM ranked WHERE r <= 5), h AS (SELECT rep, status, probe, bool_or(subject = fake) AS hit FROM top JOIN lab USING (gallery) GROUP BY ALL), m AS (SELECT status, rep, avg(CAST(hit AS DOUBLE)) AS m FROM h GROUP BY ALL) SELECT status, round(avg(m), 6) AS null_rank5, round(stddev_samp(m) / sqrt(count(*)), 6) AS sem FROM m GROUP BY status", "emb")
+@query(_ranked + ", g AS (SELECT ord, subject, row_number() OVER (ORDER BY ord) AS i FROM emb WHERE status = 0 AND seq <= 4), s AS (SELECT rep, g.i, g.subject, row_number() OVER (PARTITION BY rep ORDER BY md5(concat_ws('|', 'null', rep, ord)), ord) AS k FROM g, generate_series(1, 40) t(rep)), lab AS (SELECT s.rep, g.ord AS gallery, s.subject AS fake FROM s JOIN g ON g.i = s.k), top AS (SELECT probe, status, subject, gallery FROM ranked WHERE r <= 5), h AS (SELECT rep, status, probe, bool_or(subject = fake) AS hit FROM top JOIN lab USING (gallery) GROUP BY ALL), m AS (SELECT status, rep, avg(CAST(hit AS DOUBLE)) AS m FROM h GROUP BY ALL) SELECT status, round(avg(m), 6) AS null_rank5, round(stddev_samp(m) / sqrt(count(*)), 6) AS sem FROM m GROUP BY status", "emb")
 def st90_permutation_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST90, AG05: the gallery's labels shuffled by hash, ten times; distances and ranks are computed once."""
+    """ST90, AG05: the gallery's labels shuffled by hash, forty times; distances and ranks are computed once."""
     return null_rates(spark, sf_dir).select("status", F.round("null_rank5", 6).alias("null_rank5"), F.round("sem", 6).alias("sem"))
 
 
 def null_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     emb = views.emb(spark, sf_dir)
-    found = pairs(emb)
-    top = found.withColumn("r", F.row_number().over(W.partitionBy("probe").orderBy("d", "gallery"))).filter("r <= 5").select("probe", "status", "subject", "gallery")
-    g = emb.filter(GALLERY).select("ord", "subject").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(10))))
+    probes, gallery = sides(emb)
+    top = nearest(probes.select("probe", "view", "pv"), grouped(gallery), k=5).select("probe", "gallery").join(probes.select("probe", "status", "subject"), "probe")
+    g = emb.filter(GALLERY).select("ord", "subject").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(SHUFFLES))))
     shuffled = F.md5(F.concat_ws("|", F.lit("null"), F.col("rep").cast("string"), F.col("ord").cast("string")))
     g = g.withColumn("i", F.row_number().over(W.partitionBy("rep").orderBy("ord"))).withColumn("k", F.row_number().over(W.partitionBy("rep").orderBy(shuffled, "ord")))
     lab = g.select("rep", F.col("ord").alias("gallery"), F.col("i").alias("at")).join(g.select("rep", F.col("subject").alias("fake"), F.col("k").alias("at")), ["rep", "at"])
@@ -199,7 +231,7 @@ def au20_validated_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _null = _ranked + """, g AS (SELECT ord, subject, row_number() OVER (ORDER BY ord) AS i FROM emb WHERE status = 0 AND seq <= 4),
-s AS (SELECT rep, g.i, g.subject, row_number() OVER (PARTITION BY rep ORDER BY md5(concat_ws('|', 'null', rep, ord)), ord) AS k FROM g, generate_series(1, 10) t(rep)),
+s AS (SELECT rep, g.i, g.subject, row_number() OVER (PARTITION BY rep ORDER BY md5(concat_ws('|', 'null', rep, ord)), ord) AS k FROM g, generate_series(1, 40) t(rep)),
 lab AS (SELECT s.rep, g.ord AS gallery, s.subject AS fake FROM s JOIN g ON g.i = s.k),
 top AS (SELECT probe, status, subject, gallery FROM ranked WHERE r <= 5),
 h AS (SELECT rep, status, probe, bool_or(subject = fake) AS hit FROM top JOIN lab USING (gallery) GROUP BY ALL),
@@ -214,7 +246,7 @@ FROM lift l JOIN lift c ON c.status = 0"""
 @query(_null, "emb")
 def st93_lift_over_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST93, AG41: rank-5 of each kind of probe less its own null, and the share of the clean kind's lift that it keeps."""
-    value = first_hits(pairs(views.emb(spark, sf_dir))).groupBy("status").agg(F.avg(F.coalesce(F.col("rank") <= 5, F.lit(False)).cast("double")).alias("rank5"))
+    value = first_hits(views.emb(spark, sf_dir)).groupBy("status").agg(F.avg(F.coalesce(F.col("rank") <= 5, F.lit(False)).cast("double")).alias("rank5"))
     lift = value.join(null_rates(spark, sf_dir), "status").withColumn("lift", F.col("rank5") - F.col("null_rank5"))
     clean = lift.filter("status = 0").select(F.col("lift").alias("clean"))  # one row at most
     ratio = F.when(F.col("clean") != 0, F.col("lift") / F.col("clean"))
@@ -229,7 +261,7 @@ SELECT status, any_value(n) AS identities, CASE WHEN any_value(n) >= 3 THEN roun
 def st92_clustered_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST92: interval of rank-5 from 2,000 draws of whole identities; null for fewer than three of them."""
     emb = views.emb(spark, sf_dir)
-    hits = first_hits(pairs(emb)).join(emb.select(F.col("ord").alias("probe"), "subject"), "probe").groupBy("status", "subject").agg(F.avg(F.coalesce(F.col("rank") <= 5, F.lit(False)).cast("double")).alias("m"))
+    hits = first_hits(emb).join(emb.select(F.col("ord").alias("probe"), "subject"), "probe").groupBy("status", "subject").agg(F.avg(F.coalesce(F.col("rank") <= 5, F.lit(False)).cast("double")).alias("m"))
     by = W.partitionBy("status")  # a row for each identity
     per = hits.withColumn("i", F.row_number().over(by.orderBy("subject"))).withColumn("n", F.count("*").over(by))
     pick = per.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(2000))))
@@ -246,7 +278,7 @@ SELECT angle, round(avg(h) FILTER (status = 0), 6) AS nm, round(avg(h) FILTER (s
 def ag48_metric_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG48: rank-1 by view, a column for each kind of probe."""
     emb = views.emb(spark, sf_dir)
-    hit = first_hits(pairs(emb)).join(emb.select(F.col("ord").alias("probe"), "angle"), "probe").withColumn("h", F.coalesce(F.col("rank") <= 1, F.lit(False)).cast("double"))
+    hit = first_hits(emb).join(emb.select(F.col("ord").alias("probe"), "angle"), "probe").withColumn("h", F.coalesce(F.col("rank") <= 1, F.lit(False)).cast("double"))
     cells = hit.groupBy("angle").pivot("status", [0, 1, 2]).agg(F.avg("h"))
     return cells.select("angle", *[F.round(F.col(str(k)), 6).alias(name) for k, name in enumerate(("nm", "bg", "cl"))])
 
@@ -270,6 +302,6 @@ SELECT status, count(*) AS n, round(avg(CAST(subject = found AS DOUBLE)), 6) AS
 def jn21_mixed_arm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN21: the clean gallery against coarsened probes (one arm made of two)."""
     coarse = F.when(F.expr(GALLERY), F.col("v")).otherwise(F.transform("v", lambda x: F.round(x * 8) / 8))
-    found = pairs(views.emb(spark, sf_dir).withColumn("v", coarse))
-    best = found.groupBy("probe").agg(F.min_by(F.struct("status", "subject", "found"), F.struct("d", "gallery")).alias("m")).select("m.*")
+    probes, gallery = sides(views.emb(spark, sf_dir).withColumn("v", coarse))
+    best = nearest(probes.select("probe", "view", "pv"), grouped(gallery)).select("probe", "found").join(probes.select("probe", "status", "subject"), "probe")
     return best.groupBy("status").agg(F.count("*").alias("n"), F.round(F.avg((F.col("subject") == F.col("found")).cast("double")), 6).alias("rank1"))

@@ -150,16 +150,6 @@ def ts01_gaussian(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fan.join(s.select("label", "i", "value"), ["label", "i"]).groupBy("ord").agg(F.round(F.sum(F.col("w") * F.col("value")) / F.sum("w"), 6).alias("smooth"))
 
 
-@query(f", s AS (SELECT label, value, row_number() OVER ({_w}) - 1 AS i, count(*) OVER (PARTITION BY label) AS n, avg(value) OVER (PARTITION BY label) AS m FROM series), f AS (SELECT label, k, any_value(n) AS n, pow(sum((value - m) * cos(2 * pi() * k * i / n)), 2) + pow(sum((value - m) * sin(2 * pi() * k * i / n)), 2) AS p FROM s, generate_series(1, 8) t(k) GROUP BY label, k HAVING any_value(n) >= 16) SELECT label, CAST(arg_max(k, (round(p, 4), -k)) AS INTEGER) AS k, round(max(p) / sum(p), 5) AS share FROM f GROUP BY label", "series")
-def ts06_dominant_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TS06, TS07: the strongest of the first eight harmonics, and its share of their power."""
-    per = W.partitionBy("label")
-    s = views.series(spark, sf_dir).select("label", (F.col("value") - F.avg("value").over(per)).alias("x"), (F.row_number().over(order()) - 1).alias("i"), F.count("*").over(per).alias("n")).filter("n >= 16")
-    s = s.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(8)))).withColumn("a", 2 * F.pi() * F.col("k") * F.col("i") / F.col("n"))
-    p = s.groupBy("label", "k").agg((F.pow(F.sum(F.col("x") * F.cos("a")), 2) + F.pow(F.sum(F.col("x") * F.sin("a")), 2)).alias("p"))
-    return p.groupBy("label").agg(F.max_by("k", F.struct(F.round("p", 4), -F.col("k"))).alias("k"), F.round(F.max("p") / F.sum("p"), 5).alias("share"))
-
-
 @query(", i AS (SELECT ord AS iteration, us AS hi, us - CAST(value * 60000000 AS BIGINT) AS lo, ident FROM series) SELECT iteration, count(s.ord) AS samples, round(avg(s.value), 6) AS mean FROM i LEFT JOIN series s ON s.ident = i.ident AND s.us BETWEEN lo AND hi GROUP BY iteration", "series")
 def jn05_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN05: samples within each iteration's interval. Time is cut into hours, so that the join is on equal keys."""

@@ -1,6 +1,6 @@
 """All queries: importing this module enters them."""
 
-from orrery.operators import audits, boxes, carries, graph, leaks, masks, matching, measures, poses, relational, reid, release, scalars, series, shapes, signals, tracks  # noqa: F401
+from orrery.operators import audits, boxes, carries, fidelity, graph, leaks, masks, matching, measures, poses, relational, reid, release, scalars, series, shapes, signals, spectra, subjects, tracks  # noqa: F401
 from orrery.plans.registry import QUERIES, SQL  # noqa: F401
 from orrery.sources import sinks  # noqa: F401
 

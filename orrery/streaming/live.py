@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from orrery.operators.subjects import OUT, SubjectLock, frame_of
 from orrery.operators.tracks import SlotTracker
 
 
@@ -38,3 +39,20 @@ def track(detections: DataFrame) -> DataFrame:
 
     kind = "slots array<long>, xs array<double>, frames array<long>"
     return detections.groupBy("clip").applyInPandasWithState(step, "clip long, frame long, det long, slot long", kind, "append", GroupStateTimeout.NoTimeout)
+
+
+def lock_subjects(people: DataFrame, **parameters: float) -> DataFrame:
+    """ST06 as a stream of (clip, frame, track, area): the state is that of ``subjects.SubjectLock``; frames come whole and in order."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        lock = SubjectLock(**parameters)
+        if state.exists:
+            lock.resume(dict(zip(lock.state(), state.get, strict=True)))
+        rows = pd.concat(list(batches)).sort_values(["frame", "track", "area"])
+        for _, part in rows.groupby("frame", sort=True):
+            found = frame_of(lock, list(part[["clip", "frame", "track", "area"]].itertuples(index=False, name=None)))
+            yield pd.DataFrame(found, columns=[c.split()[0] for c in OUT.split(", ")])
+        state.update(tuple(lock.state().values()))
+
+    kind = "frames long, opened long, closed boolean, enrolled array<long>, tracks array<long>, areas array<double>, times array<long>"
+    return people.groupBy("clip").applyInPandasWithState(step, OUT, kind, "append", GroupStateTimeout.NoTimeout)

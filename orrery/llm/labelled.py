@@ -32,12 +32,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame
     return texts_of(docs, known).select("text", "label")
 
 
-def unlabelled_sample(docs: DataFrame, n: int) -> DataFrame:
-    """(text) of at most ``n`` ids that are not held out, labelled or not, one row each, as a written table."""
-    ids = keep(docs.select("doc_id").filter("doc_id is not null").filter(fold(F.col("doc_id"), FOLDS) != 0).distinct())
-    return texts_of(docs, lowest(ids, n)).select("text")
-
-
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``ids`` (SAMPLE rows at most, 240 kB) with a text each."""
     found = docs.join(F.broadcast(ids), "doc_id").groupBy(*ids.columns)

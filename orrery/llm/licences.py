@@ -56,50 +56,72 @@ def words_column(text: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(lower, r"[^\p{L}\p{N}]+", " ")), " ")
 
 
-RUN = "struct<dice: double, i: int, j: int>"
+RUN = "struct<dice: double, i: int, j: int, name: string>"
 
 
-def runs_like(b: list[str], threshold: float) -> str:
-    """SQL of the runs (dice, i, j) of the bigrams ``g``, from place i to j, whose Dice coefficient with a template is ``threshold`` or more.
+def templates(texts: list[tuple[str, list[str]]], threshold: float) -> Column:
+    """The (name, bigrams) to look for, as one array: bounds of a run's different bigrams, and the places in which ``most`` are met, if soon."""
+    rows = []
+    for name, b in texts:
+        least, most = math.ceil(threshold / (2 - threshold) * len(b) - 1e-9), math.floor((2 - threshold) / threshold * len(b) + 1e-9)
+        numbers = {"n": len(b), "least": least, "most": most, "wide": 4 * len(b) + 64}
+        rows.append(F.struct(F.lit(name).alias("name"), *[F.lit(v).alias(k) for k, v in numbers.items()], F.split(F.lit("|".join(b)), "[|]").alias("b")))
+    return F.array(*rows)
+
+
+def runs_like(rows: DataFrame, threshold: float) -> DataFrame:
+    """``rows`` (g, h, kinds_h, c: templates, ...) with r: the runs (dice, i, j, name) of the bigrams g, from place i to j, whose
+    Dice coefficient with a template is ``threshold`` or more.
 
     h: places of g that any template may have, kinds_h: the bigrams there. A run begins and ends with stretches of the template's
     bigrams: any other is worse than a part of it. From each beginning the best end is taken (of ends alike the nearest).
     Ends are tried from the farthest, and counted out only if the bigrams in common that can lie between (those from the
-    beginning on, those up to the end, and the places) could beat the best so far. A run has no more than ``most`` different
-    bigrams; where so many are met soon (in ``wide`` places), later ends are left out.
+    beginning on, those up to the end, and the places) could beat the best so far. An end adds something only if its stretch has a
+    bigram for the first time since the beginning, and a beginning only if its stretch has one for the last time: so
+    text that repeats itself has few ends for each beginning. A run has no more than ``most`` different bigrams; where so many are met
+    soon (in ``wide`` places), later ends are left out.
     """
-    least, most = math.ceil(threshold / (2 - threshold) * len(b) - 1e-9), math.floor((2 - threshold) / threshold * len(b) + 1e-9)
-    wide = 4 * len(b) + 64
-    let = lambda value, name, body: f"transform(array({value}), {name} -> {body})[0]"
     size = lambda a, low, n: f"size(array_distinct(slice({a}, {low} + 1, {n})))"
-    run = lambda dice, i, j: f"cast(struct({dice}, {i}, {j}) AS {RUN})"
-    places = "sequence(0, size(pos) - 1)"
-    first = f"filter({places}, k -> k = 0 or pos[greatest(k, 1) - 1] < pos[k] - 1)"
-    last = f"filter({places}, k -> k = size(pos) - 1 or pos[least(k + 1, size(pos) - 1)] > pos[k] + 1)"
-    stretches = f"zip_with({first}, {last}, (a, z) -> struct(a, z, pos[a] AS i, pos[z] AS j, {size('hit', '0', 'z + 1')} AS upto))"
-    exact = let(size("g", "s.i", "e.j - s.i + 1"), "n", f"if(n between {least} and {most}, 2.0D * {size('hit', 's.a', 'e.z - s.a + 1')} / (n + {len(b)}), 0.0D)")
-    better = let(exact, "d", f"if(d >= greatest(best.dice, {threshold}D), {run('d', 's.i', 'e.j')}, best)")
-    could = f"x >= {least} and (not soon or e.j < s.i + {wide}) and 2.0D * x / (x + {len(b)}) >= greatest(best.dice, {threshold}D)"
-    tried = let("least(rest, e.upto, e.z - s.a + 1)", "x", f"if({could}, {better}, best)")
-    ends = f"reverse(slice(stretch, t + 1, if(soon, {wide}, size(stretch))))"
-    from_here = f"aggregate({ends}, {run('0.0D', 's.i', 's.i')}, (best, e) -> {tried})"
-    from_here = let(f"{size('g', 's.i', wide)} > {most}", "soon", let(size("hit", "s.a", "size(hit)"), "rest", f"if(rest >= {least}, {from_here}, {run('0.0D', 's.i', 's.i')})"))
-    every = f"transform(sequence(0, size(stretch) - 1), t -> {let('stretch[t]', 's', from_here)})"
-    every = let("filter(h, p -> array_contains(own, g[p]))", "pos", let("transform(pos, p -> g[p])", "hit", let(stretches, "stretch", f"filter({every}, r -> r.dice > 0)")))
-    none = f"cast(array() AS array<{RUN}>)"
-    found = let(f"array_intersect(kinds_h, split('{'|'.join(b)}', '[|]'))", "own", f"if(size(own) >= {least}, {every}, {none})")
-    return f"if(size(kinds_h) >= {least}, {found}, {none})"
+    kept = lambda *names: ", ".join(f"c.{k} AS {k}" for k in ("name", "n", "least", "most", "wide", *names))
+    places = "sequence(0, size(c.pos) - 1)"
+    before, after = "c.order[greatest(r, 1) - 1]", "c.order[least(r + 1, size(c.order) - 1)]"
+    beside = f"struct(c.order[r].k AS k, if(r > 0 and {before}.x = c.order[r].x, {before}.k, -1) AS prev, if(r < size(c.order) - 1 and {after}.x = c.order[r].x, {after}.k, size(c.order)) AS next)"
+    count = lambda low, n: f"if(size(c.first) * size(c.hit) <= {WORK}, {size('c.hit', low, n)}, size(c.hit))"
+    inside = lambda field: f"transform(slice(c.link, a + 1, c.last[t] - a + 1), q -> q.{field})"
+    steps = [
+        f"filter(transform(c, c -> struct({kept()}, array_intersect(kinds_h, c.b) AS own)), c -> size(c.own) >= c.least)",
+        f"transform(c, c -> struct({kept()}, filter(h, p -> array_contains(c.own, g[p])) AS pos))",
+        f"transform(c, c -> struct({kept('pos')}, transform(c.pos, p -> g[p]) AS hit, filter({places}, k -> k = 0 or c.pos[greatest(k, 1) - 1] < c.pos[k] - 1) AS first,"
+        f" filter({places}, k -> k = size(c.pos) - 1 or c.pos[least(k + 1, size(c.pos) - 1)] > c.pos[k] + 1) AS last))",
+        f"transform(c, c -> struct({kept('pos', 'hit', 'first', 'last')}, sort_array(transform(c.hit, (x, k) -> struct(x, k))) AS order))",
+        f"transform(c, c -> struct({kept('pos', 'hit', 'first', 'last')}, sort_array(transform({places}, r -> {beside})) AS link, flatten(transform(c.first, (a, t) -> array_repeat(t, c.last[t] - a + 1))) AS of))",
+        f"transform(c, c -> struct({kept('hit', 'of')}, transform(c.first, (a, t) -> struct(a, c.last[t] AS z, c.pos[a] AS i, c.pos[c.last[t]] AS j, {count('0', 'c.last[t] + 1')} AS upto,"
+        f" {count('a', 'size(c.hit)')} AS rest, {size('g', 'c.pos[a]', 'c.wide')} > c.most AS soon, array_min({inside('prev')}) AS prev, array_max({inside('next')}) AS next)) AS stretch))",
+    ]
+    run = lambda dice, j: f"cast(struct({dice}, s.i, {j}, c.name) AS {RUN})"
+    x, bar = "least(s.rest, e.upto, e.z - s.a + 1)", f"greatest(best.dice, {threshold}D)"
+    could = f"e.prev < s.a and e.z < s.next and {x} >= c.least and (not s.soon or e.j < s.i + c.wide) and 2.0D * {x} / ({x} + c.n) >= {bar}"
+    counted = f"struct({size('g', 's.i', 'e.j - s.i + 1')} AS n, {size('c.hit', 's.a', 'e.z - s.a + 1')} AS hits)"
+    dice = "2.0D * v.hits / (v.n + c.n)"
+    better = f"transform(array({counted}), v -> if(v.n between c.least and c.most and {dice} >= {bar}, {run(dice, 'e.j')}, best))[0]"
+    ends = "reverse(slice(c.stretch, t + 1, least(if(s.soon, c.wide, size(c.stretch)), if(s.next < size(c.of), c.of[least(s.next, size(c.of) - 1)] - t + 1, size(c.stretch)))))"
+    steps.append(f"filter(flatten(transform(c, c -> transform(c.stretch, (s, t) -> aggregate({ends}, {run('0.0D', 's.i')}, (best, e) -> if({could}, {better}, best))))), r -> r.dice > 0)")
+    for step in steps:
+        rows = rows.withColumn("c", F.expr(step))
+    return rows.withColumnRenamed("c", "r")
 
 
 def kept_runs(runs: str) -> str:
-    """SQL of the runs (dice, i, j, name) that stay: the best first (then the shorter, then the earlier name), without those of which
+    """SQL of the runs (dice, i, j, name) that stay: the best first (then the longer, then the earlier name), without those of which
     more than half lies within one that stays."""
-    order = "(x, y) -> CASE WHEN x.dice <> y.dice THEN if(x.dice > y.dice, -1, 1) WHEN x.j - x.i <> y.j - y.i THEN if(x.j - x.i < y.j - y.i, -1, 1) WHEN x.name <> y.name THEN if(x.name < y.name, -1, 1) ELSE x.i - y.i END"
+    order = "(x, y) -> CASE WHEN x.dice <> y.dice THEN if(x.dice > y.dice, -1, 1) WHEN x.j - x.i <> y.j - y.i THEN if(x.j - x.i > y.j - y.i, -1, 1) WHEN x.name <> y.name THEN if(x.name < y.name, -1, 1) ELSE x.i - y.i END"
     within = "exists(stay, q -> 2 * (least(q.j, r.j) - greatest(q.i, r.i) + 1) > r.j - r.i + 1)"
     kind = "array<struct<dice: double, i: int, j: int, name: string>>"
     return f"aggregate(array_sort({runs}, {order}), cast(array() AS {kind}), (stay, r) -> if({within}, stay, cast(concat(stay, array(r)) AS {kind})))"
 
 
+#: Up to so many steps, bigrams in common on either side of a stretch are counted to spare ends; this steers the cost only.
+WORK = 4_000_000
 #: Places of two tables, by crc32 and by xxhash64, that tell nearly all bigrams that no template has from the others.
 FILTER = 1 << 18
 
@@ -155,10 +177,12 @@ def licence_scan(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id"
     best = F.transform(F.filter(F.transform(near, compare), lambda m: F.size(m) > 0), lambda m: F.array_max(m))
     out = out.select("doc_id", "n_units", "g", best.alias("m"), places.alias("h"))
     out = out.select("doc_id", "n_units", "g", "m", "h", F.array_distinct(F.transform("h", lambda p: F.col("g")[p])).alias("kinds_h"))
-    named = [F.transform(F.expr(runs_like(b, threshold)), lambda r, name=name: F.struct(r["dice"].alias("dice"), r["i"].alias("i"), r["j"].alias("j"), F.lit(name).alias("name"))) for name, b in whole]
-    none = F.array().cast("array<struct<dice:double,i:int,j:int,name:string>>")
     fewest = min((math.ceil(low * len(b) - 1e-9) for _, b in whole), default=1)
-    out = out.select("doc_id", "n_units", "m", (F.when(F.size("kinds_h") >= fewest, F.concat(*named)).otherwise(none) if named else none).alias("r"))
+    if whole:
+        every = templates(whole, threshold)
+        out = runs_like(out.withColumn("c", F.when(F.size("kinds_h") >= fewest, every).otherwise(F.slice(every, 1, 0))), threshold)
+    else:
+        out = out.withColumn("r", F.array().cast(f"array<{RUN}>"))
     out = out.select("doc_id", "n_units", "m", F.expr(kept_runs("r")).alias("r"))
     fields = lambda r: F.struct(r["dice"].alias("dice"), r["name"].alias("name"))
     out = out.select(

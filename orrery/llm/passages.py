@@ -163,8 +163,9 @@ def joined_keys(h: np.ndarray, asks: list[dict]) -> tuple[np.ndarray, np.ndarray
         held = (total[np.minimum(begin + LEAST, len(g))] - total[begin]).max(1, initial=0) >= SHARED
         places.append(c[held])
         found.append(mix(key[held] + _odd))
-    both = np.unique(np.stack([np.concatenate(places).view(np.uint64), np.concatenate(found)]), axis=1)
-    return both[0].view(np.int64), both[1]
+    place, key = np.concatenate(places), np.concatenate(found)
+    once = np.unique(mix(place.view(np.uint64) * _odd ^ key), return_index=True)[1]
+    return place[once], key[once]
 
 
 def similar_spans(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -328,6 +329,13 @@ def shared_windows(docs: DataFrame, classes: DataFrame | None = None) -> DataFra
             return rows.withColumnRenamed("node", "class")
         return rows.join(classes, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("node", "component")
 
+    # a later round's keys are few: they are written; those of whole texts are made twice
+    if classes is not None:
+        windows_of = keep(named(find_windows(docs)))
+        several = keep(windows_of.groupBy("key").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x <> y").select("key"))
+        met = keep(windows_of.join(several, "key"))
+        discard(several, windows_of)
+        return met
     several = named(find_windows(docs)).groupBy("key").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x <> y").select("key")
     several = keep(several)
     met = keep(named(find_windows(docs).join(several, "key")))

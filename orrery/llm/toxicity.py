@@ -4,7 +4,8 @@ Voters are word lists (some given, some drawn from labelled rows), word beginnin
 alone and together, over all documents gives their accuracies by the method of moments: for independent voters i, j, k,
 cov_ij = p(1-p) d_i d_j, so |d_i| = sqrt(cov_ij cov_ik / cov_jk / (p(1-p))) with d the difference between the rates of
 firing on toxic and on clean documents. What a covariance has beyond its model is correlation; voters that share much of
-it count less. A logistic regression learns the posterior labels from hashed features and scores every document.
+it count less. A logistic regression over hashed features is fitted on the labelled sample, then learns the posterior labels of
+all documents outside the held-out fold in one distributed step, and scores every document.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.common import fold, plain
-from orrery.llm.factorisation import Machine, fit, pack, pack_bytes, predict
-from orrery.llm.labelled import FOLDS, labelled_sample, unlabelled_sample
+from orrery.llm.factorisation import Machine, Rows, fit, pack, pack_bytes, predict
+from orrery.llm.labelled import FOLDS, labelled_sample
 
 # Common insults, by kind.
 LISTS = {
@@ -36,8 +37,8 @@ LISTS = {
 #: Words and beginnings drawn from the sample (at most), the voters that they are dealt to, the length of a beginning,
 #: the log-likelihood ratio that a term needs, and the buckets of hashed words.
 TERMS, VOTERS, START, RATIO, BUCKETS = 1024, 6, 5, 20.0, 1 << 13
-#: How often a label is wrong, as the label model takes it; documents that the classifier learns from beside the labelled ones.
-SLIP, UNLABELLED = 0.02, 20_000
+#: How often a label is wrong, as the label model takes it.
+SLIP = 0.02
 WORD = re.compile(r"[^\W\d_]+")
 ADDRESS = re.compile(r"\b(?:you|your|du|ihr|tu|vous|usted|eres)\b[^.!?]{0,40}$", re.I)
 
@@ -169,19 +170,18 @@ def evidence(votes: np.ndarray, share: float, toxic: np.ndarray, clean: np.ndarr
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """docs: (doc_id, text). The label model's moments come from all documents; its posteriors are what the classifier learns.
 
-    It learns those of a bounded sample of documents, labelled or not, that are not held out. Labels give the share of toxic
-    documents and choose terms; a label of a document is one more, nearly sure, voter there.
+    It is fitted on the labelled sample (SAMPLE rows), where a label is one more, nearly sure, voter, and then moved by the
+    posteriors of all documents that are not held out. Labels also give the share of toxic documents and choose terms.
     """
-    labelled = labelled_sample(docs, labels, "toxic")
-    voters = choose_voters(labelled)
-    sample = labelled.unionByName(unlabelled_sample(docs, UNLABELLED).withColumn("label", F.lit(None).cast("int")))
+    sample = labelled_sample(docs, labels, "toxic")
+    voters = choose_voters(sample)
 
     @F.pandas_udf("votes binary, index binary, value binary")
     def extract(texts: pd.Series) -> pd.DataFrame:
         rows = (features(voters, t) for t in texts)
         return pd.DataFrame([(v.tobytes(), i.astype(np.int32).tobytes(), x.astype(np.float32).tobytes()) for v, i, x in rows], columns=["votes", "index", "value"])
 
-    rows = sample.select("label", extract("text").alias("f")).select("label", "f.*").toPandas()  # bounded: labelled.SAMPLE and UNLABELLED
+    rows = sample.select("label", extract("text").alias("f")).select("label", "f.*").toPandas()  # bounded: labelled.SAMPLE
     gold = rows["label"].to_numpy(float) if len(rows) else np.empty(0)
     known = ~np.isnan(gold)
     share = float(np.clip((np.nansum(gold) + 0.5) / (known.sum() + 1), 0.01, 0.99))
@@ -189,7 +189,48 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     odds = evidence(np.frombuffer(b"".join(rows["votes"]), np.bool_).reshape(-1, voters.n).astype(float), share, *rates)
     odds += np.where(known, np.where(gold > 0, 1, -1) * np.log((1 - SLIP) / SLIP), 0.0)
     posterior = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-    return Model(voters, fit(pack_bytes(rows["index"], rows["value"]), posterior, 1 + 2 * voters.n + BUCKETS, rank=0))
+    x = pack_bytes(rows["index"], rows["value"])
+    first = fit(x, posterior, 1 + 2 * voters.n + BUCKETS, rank=0)
+    return Model(voters, learn_all(docs.filter(fold(F.col("doc_id"), FOLDS) != 0), voters, first, x, share, rates))
+
+
+def slopes(m: Machine, x: Rows, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over rows, for each feature, of the logistic loss's slope and of a bound of its curvature for all features moved at once."""
+    size = np.diff(np.append(x.begin, len(x.index)))
+    off = np.repeat(predict(m, x) - target, size)
+    reach = np.repeat(np.add.reduceat(np.abs(x.value), x.begin) if len(x.begin) else np.empty(0), size)
+    n = len(m.linear)
+    return np.bincount(x.index, off * x.value, n), np.bincount(x.index, np.abs(x.value) * reach / 4, n)
+
+
+def learn_all(docs: DataFrame, voters: Voters, first: Machine, sample: Rows, share: float, rates: tuple[np.ndarray, ...]) -> Machine:
+    """``first`` moved against the loss on the posteriors of all texts of docs, which counts as much as that on the sample.
+
+    The bound of curvature makes the step one that cannot raise the loss. Tasks add up two numbers a feature; their sums,
+    a row for each feature, reach the driver.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((voters, first, share, rates))  # as score_column
+
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        v, m, share, rates = shared.value
+        n, g, h = 0, np.zeros(len(m.linear)), np.zeros(len(m.linear))
+        for batch in batches:
+            for a in range(0, len(batch), 512):
+                rows = [features(v, t) for t in batch["text"].iloc[a : a + 512]]
+                target = 1 / (1 + np.exp(-np.clip(evidence(np.array([r[0] for r in rows], float), share, *rates), -30, 30)))
+                more = slopes(m, pack([r[1:] for r in rows]), target)
+                n, g, h = n + len(rows), g + more[0], h + more[1]
+        used = np.flatnonzero(h)
+        yield pd.DataFrame({"feature": np.append(used, -1).astype(np.int32), "g": np.append(g[used], n), "h": np.append(h[used], 0.0)})
+
+    found = docs.select("text").mapInPandas(emit, "feature int, g double, h double").groupBy("feature").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()
+    n = max(1.0, next((r.g for r in found if r.feature < 0), 0.0))
+    bend = slopes(first, sample, np.zeros(len(sample.begin)))[1] / max(1, len(sample.begin))
+    linear = first.linear.copy()
+    for r in found:  # a row for each feature at most
+        if r.feature >= 0:
+            linear[r.feature] -= (r.g / n) / (r.h / n + bend[r.feature])
+    return first._replace(linear=linear)
 
 
 def score_column(docs: DataFrame, model: Model, text: Column) -> Column:

@@ -70,8 +70,6 @@ def test_sample_is_bounded_by_rows(spark, monkeypatch):
     docs = spark.createDataFrame([(i % 40, f"text {i}") for i in range(500)] + [(1, f"again {i}") for i in range(500)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
     assert labelled.labelled_sample(docs, labels, "toxic").count() == 10
-    assert labelled.unlabelled_sample(docs, 7).count() == 7
-    assert labelled.unlabelled_sample(docs, 100).count() == docs.select("doc_id").distinct().filter(labelled.fold(docs["doc_id"], 5) != 0).count()
 
 
 def test_label_model_alone_against_gold(spark):

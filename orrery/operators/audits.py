@@ -16,13 +16,13 @@ def strict(df: DataFrame, breach: Column, message: str) -> DataFrame:
     return df.filter(F.when(breach, F.raise_error(F.lit(message)).cast("boolean")).otherwise(F.lit(True)))
 
 
-_cover = ", b AS (SELECT DISTINCT frame % 40 AS frame, det, CAST(x1 AS INTEGER) % 24 AS bx, CAST(y1 AS INTEGER) % 24 AS \"by\" FROM box), m AS (SELECT DISTINCT frame, y, x FROM px WHERE kind = 'out'), c AS (SELECT b.frame AS frame, det, bx, \"by\", count(m.x) AS n FROM b LEFT JOIN m ON m.frame = b.frame AND m.x >= bx AND m.x < bx + 4 AND m.y >= \"by\" AND m.y < \"by\" + 4 GROUP BY ALL)"
+_cover = ", b AS (SELECT DISTINCT CAST(frame // 375 AS INTEGER) AS frame, det, CAST(x1 AS INTEGER) % 24 AS bx, CAST(y1 AS INTEGER) % 24 AS \"by\" FROM box), m AS (SELECT DISTINCT frame, y, x FROM px WHERE kind = 'out'), c AS (SELECT b.frame AS frame, det, bx, \"by\", count(m.x) AS n FROM b LEFT JOIN m ON m.frame = b.frame AND m.x >= bx AND m.x < bx + 4 AND m.y >= \"by\" AND m.y < \"by\" + 4 GROUP BY ALL)"
 
 
 @query(_cover + " SELECT frame, count(*) AS boxes, count(*) FILTER (n < 8) AS uncovered, round(avg(n / 16.0), 6) AS coverage FROM c GROUP BY frame", "box", "px")
 def au01_uncovered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AU01: boxes of which the mask covers less than half. Each box fans out to its sixteen pixels: an equality join."""
-    b = views.box(spark, sf_dir).selectExpr("frame % 40 AS frame", "det", "cast(x1 AS int) % 24 AS bx", "cast(y1 AS int) % 24 AS by").distinct()
+    b = views.box(spark, sf_dir).selectExpr(f"cast(frame div {views.ORDERS} AS int) AS frame", "det", "cast(x1 AS int) % 24 AS bx", "cast(y1 AS int) % 24 AS by").distinct()
     spots = F.expr("explode(flatten(transform(sequence(0, 3), i -> transform(sequence(0, 3), j -> struct(by + i AS y, bx + j AS x)))))")
     m = views.px(spark, sf_dir).filter("kind = 'out'").selectExpr("cast(frame AS bigint) AS frame", "y", "x", "1 AS hit")
     c = b.withColumn("p", spots).select("frame", "det", "bx", "by", "p.y", "p.x").join(m, ["frame", "y", "x"], "left").groupBy("frame", "det", "bx", "by").agg(F.count("hit").alias("n"))

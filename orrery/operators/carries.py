@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from orrery.functions.exprs import clamp, uniform
 from orrery.functions.tables import keep
 from orrery.operators.graph import climb
+from orrery.functions.clips import walk
 from orrery.plans.registry import query
 from orrery.sources import views
 
@@ -40,16 +41,32 @@ def st05_stale_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """, s AS (SELECT label, ident, min(us) AS begins, max(us) AS ends FROM series GROUP BY label, ident),
-h AS (SELECT *, max(ends) OVER (PARTITION BY label ORDER BY begins, ident ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS held FROM s)
-SELECT label, ident, begins, ends, coalesce(held >= begins, false) AS refused FROM h""",
+    """, s AS (SELECT label, ident, min(us) AS begins, max(us) AS ends, row_number() OVER (PARTITION BY label ORDER BY min(us), ident) AS i FROM series GROUP BY label, ident),
+g AS (SELECT label, ident, begins, ends, i, false AS refused, ends AS held FROM s WHERE i = 1
+      UNION ALL SELECT s.label, s.ident, s.begins, s.ends, s.i, g.held >= s.begins, CASE WHEN g.held >= s.begins THEN g.held ELSE s.ends END FROM g JOIN s ON s.label = g.label AND s.i = g.i + 1)
+SELECT label, ident, begins, ends, refused FROM g""",
     "series",
 )
 def st12_one_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST12: a writer that starts while an earlier one of the same label still writes is refused; one sort, no pairs."""
+    """ST12: a writer that starts while another of the same label holds the lock is refused, and holds nothing itself.
+
+    Writers of a label come in order; a task holds one of them and the lock's end.
+    """
+
+    def start():
+        held: list[int] = []
+
+        def call(rows: list[tuple]) -> list[tuple]:
+            label, ident, begins, ends = rows[0]
+            refused = bool(held) and held[0] >= begins
+            if not refused:
+                held[:] = [ends]
+            return [(label, ident, begins, ends, refused)]
+
+        return call
+
     s = views.series(spark, sf_dir).groupBy("label", "ident").agg(F.min("us").alias("begins"), F.max("us").alias("ends"))
-    before = W.partitionBy("label").orderBy("begins", "ident").rowsBetween(W.unboundedPreceding, -1)
-    return s.withColumn("refused", F.coalesce(F.max("ends").over(before) >= F.col("begins"), F.lit(False)))
+    return walk(s, "label", ["begins", "ident"], ["ident"], start, "label long, ident string, begins long, ends long, refused boolean")
 
 
 @query(
@@ -96,18 +113,20 @@ def gr12_manual_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """, raw AS (SELECT DISTINCT frame, y, x FROM px WHERE kind = 'raw'),
-h AS (SELECT DISTINCT win, frame + k AS frame, y, x FROM raw, (VALUES (1), (4), (8), (16)) w(win), generate_series(0, 15) t(k) WHERE k < win AND frame + k < 40),
+h AS (SELECT DISTINCT win, frame + k AS frame, y, x FROM raw, (VALUES (1), (4), (8), (16)) w(win), generate_series(0, 15) t(k) WHERE k < win AND frame + k < (SELECT max(frame) + 1 FROM px)),
 p AS (SELECT win, y, x, count(*) AS n FROM h GROUP BY ALL)
-SELECT win, CAST(sum(n) AS BIGINT) AS pixels, round(CAST(sum(n) AS DOUBLE) / (SELECT count(*) FROM raw), 6) AS ratio, count(*) FILTER (n = 40) AS core FROM p GROUP BY win""",
+SELECT win, CAST(sum(n) AS BIGINT) AS pixels, round(CAST(sum(n) AS DOUBLE) / (SELECT count(*) FROM raw), 6) AS ratio, count(*) FILTER (n = (SELECT max(frame) + 1 FROM px)) AS core FROM p GROUP BY win""",
     "px",
 )
 def au24_window_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AU24: pixels to fill in for a running union of 1, 4, 8 and 16 masks, against the masks alone; core: pixels never revealed."""
-    raw = views.px(spark, sf_dir).filter("kind = 'raw'").select("frame", "y", "x")
+    px = views.px(spark, sf_dir)
+    frames = F.broadcast(views.frame_count(px))  # one row
+    raw = px.filter("kind = 'raw'").select("frame", "y", "x").crossJoin(frames)
     h = raw.withColumn("win", F.explode(F.array(*map(F.lit, (1, 4, 8, 16)))))
-    h = h.select("win", F.explode(F.expr("sequence(frame, least(frame + win - 1, 39))")).alias("frame"), "y", "x").distinct()
+    h = h.select("win", F.explode(F.expr("sequence(frame, least(frame + win - 1, frames - 1))")).alias("frame"), "y", "x").distinct()
     p = h.groupBy("win", "y", "x").agg(F.count("*").alias("n"))
-    out = p.groupBy("win").agg(F.sum("n").alias("pixels"), F.count_if(F.col("n") == 40).alias("core"))
+    out = p.crossJoin(frames).groupBy("win").agg(F.sum("n").alias("pixels"), F.count_if(F.col("n") == F.col("frames")).alias("core"))
     alone = out.filter("win = 1").select(F.col("pixels").alias("alone"))  # a window of one is the masks alone: one row
     return out.crossJoin(F.broadcast(alone)).select("win", "pixels", F.round(F.col("pixels") / F.col("alone"), 6).alias("ratio"), "core")
 

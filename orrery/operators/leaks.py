@@ -98,14 +98,14 @@ def mk12_painted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(e, "frame").groupBy("frame").agg(F.count("*").alias("painted"), F.count_if(inside).alias("inside"))
 
 
-_cover = """, b AS (SELECT frame, det, CAST(frame % 40 AS INTEGER) AS f, kind, CAST(x1 AS INTEGER) % 24 AS bx, CAST(y1 AS INTEGER) % 24 AS "by" FROM box),
+_cover = """, b AS (SELECT frame, det, CAST(frame // 375 AS INTEGER) AS f, kind, CAST(x1 AS INTEGER) % 24 AS bx, CAST(y1 AS INTEGER) % 24 AS "by" FROM box),
 m AS (SELECT frame, y, x FROM px WHERE kind = 'out'), c AS (SELECT b.frame, b.det, b.kind, 1 - count(m.x) / 16.0 AS shown FROM b LEFT JOIN m ON m.frame = b.f AND m.x >= bx AND m.x < bx + 4 AND m.y >= "by" AND m.y < "by" + 4 GROUP BY ALL)"""
 _bucket = "CASE kind WHEN 'N' THEN 'enrolled' WHEN 'A' THEN 'refused' ELSE 'unknown' END"
 
 
 def shown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(frame, det, kind, shown): the share of each box that the mask leaves bare. A box fans out to sixteen places: an equality join."""
-    b = views.box(spark, sf_dir).selectExpr("frame", "det", "cast(frame % 40 AS int) AS f", "kind", "cast(x1 AS int) % 24 AS bx", "cast(y1 AS int) % 24 AS by")
+    b = views.box(spark, sf_dir).selectExpr("frame", "det", f"cast(frame div {views.ORDERS} AS int) AS f", "kind", "cast(x1 AS int) % 24 AS bx", "cast(y1 AS int) % 24 AS by")
     spots = F.expr("explode(flatten(transform(sequence(0, 3), i -> transform(sequence(0, 3), j -> struct(by + i AS y, bx + j AS x)))))")
     m = kinds(spark, sf_dir)[1].select(F.col("frame").alias("f"), "y", "x", F.lit(1).alias("hit"))
     places = b.withColumn("p", spots).select("frame", "det", "kind", "f", "p.y", "p.x")
@@ -119,12 +119,12 @@ def au02_reveals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.count_if(F.col("shown") > 0.05).alias("over5"), F.count_if(F.col("shown") > 0.5).alias("over50"), F.bool_or(F.col("shown") >= 0.9).alias("control"))
 
 
-@query(_cover + f""", f AS (SELECT median(m) AS fill FROM (SELECT kind, frame % 40 AS g, median(shown) AS m FROM c GROUP BY 1, 2))
+@query(_cover + f""", f AS (SELECT median(m) AS fill FROM (SELECT kind, frame // 375 AS g, median(shown) AS m FROM c GROUP BY 1, 2))
 SELECT {_bucket} AS bucket, round(any_value(fill), 6) AS fill, count(*) FILTER (shown > fill + 0.05) AS above FROM c, f GROUP BY 1""", "box", "px")
 def au03_reveals_by_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AU03: the same against a level found from the data: the median of medians."""
     c = shown(spark, sf_dir)
-    fill = c.groupBy("kind", F.expr("frame % 40 AS g")).agg(F.median("shown").alias("m")).agg(F.median("m").alias("fill"))  # one row
+    fill = c.groupBy("kind", F.expr(f"frame div {views.ORDERS} AS g")).agg(F.median("shown").alias("m")).agg(F.median("m").alias("fill"))  # one row
     rows = c.crossJoin(F.broadcast(fill)).groupBy(F.expr(_bucket).alias("bucket"))
     return rows.agg(F.round(F.first("fill"), 6).alias("fill"), F.count_if(F.col("shown") > F.col("fill") + 0.05).alias("above"))
 
@@ -188,10 +188,16 @@ def au26_superset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count("*").alias("frames"), F.count("escaped").alias("violations"), F.coalesce(F.sum("escaped"), F.lit(0)).alias("pixels"), F.round(F.avg(F.col("c") / F.col("r")), 6).alias("ratio"), F.round(F.avg("c") - F.avg("r"), 6).alias("delta"))
 
 
-@query("""WITH t(target, needs) AS (VALUES ('static', []), ('gait', ['orders', 'lineitem']), ('clips', ['pages', 'videos']), ('score', ['embeddings', 'labels', 'arms']))
-SELECT target, array_to_string(list_sort(list_filter(needs, lambda x: NOT list_contains(['orders', 'lineitem', 'pages', 'embeddings', 'labels'], x))), ',') AS missing FROM t""")
+@query(
+    """ SELECT target, coalesce(array_to_string(list_sort(list(DISTINCT p_type) FILTER (s IS NULL)), ','), '') AS missing, count(DISTINCT p_type) AS needs, count(DISTINCT p_type) FILTER (s IS NULL) = 0 AS ready
+FROM (SELECT p_brand AS target, p_type, s FROM part LEFT JOIN (SELECT DISTINCT l_partkey AS s FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 49) ON s = p_partkey) GROUP BY target"""
+)
 def au27_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AU27: targets and what each still lacks."""
-    targets = spark.createDataFrame([("static", []), ("gait", ["orders", "lineitem"]), ("clips", ["pages", "videos"]), ("score", ["embeddings", "labels", "arms"])], "target string, needs array<string>")
-    have = F.array(*[F.lit(x) for x in ("orders", "lineitem", "pages", "embeddings", "labels")])
-    return targets.select("target", F.array_join(F.array_sort(F.array_except("needs", have)), ",").alias("missing"))
+    """AU27: targets (brands), the inputs that each needs (types of its parts), and those that are not there (parts never returned in bulk)."""
+    have = views.table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R' AND l_quantity >= 49").select(F.col("l_partkey").alias("s")).distinct()
+    needs = views.table(spark, sf_dir, "part").select(F.col("p_brand").alias("target"), "p_type", F.col("p_partkey").alias("k"))
+    lacks = F.when(F.col("s").isNull(), F.col("p_type"))
+    rows = needs.join(have, F.col("k") == F.col("s"), "left").groupBy("target")
+    missing = F.array_sort(F.collect_set(lacks))
+    out = rows.agg(missing.alias("m"), F.countDistinct("p_type").alias("needs"))
+    return out.select("target", F.array_join("m", ",").alias("missing"), "needs", (F.size("m") == 0).alias("ready"))

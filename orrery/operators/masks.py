@@ -64,10 +64,12 @@ def mk11_blockify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return of_kind(views.px(spark, sf_dir), "raw").select("frame", F.expr("cast(y div 4 AS int) AS yb"), F.expr("cast(x div 4 AS int) AS xb")).distinct()
 
 
-@query(_two + ", h AS (SELECT DISTINCT CAST(frame + k AS INTEGER) AS frame, y, x FROM raw, generate_series(0, 3) t(k) WHERE frame + k < 40) SELECT frame, count(*) AS n FROM h GROUP BY frame", "px")
+@query(_two + ", h AS (SELECT DISTINCT CAST(frame + k AS INTEGER) AS frame, y, x FROM raw, generate_series(0, 3) t(k) WHERE frame + k < (SELECT max(frame) + 1 FROM px)) SELECT frame, count(*) AS n FROM h GROUP BY frame", "px")
 def wn03_running_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WN03, ST04, MK06: each frame's mask joined with the three before it; frames without a mask keep their history."""
-    raw = of_kind(views.px(spark, sf_dir), "raw").withColumn("frame", F.explode(F.sequence("frame", F.least(F.col("frame") + 3, F.lit(39)))))
+    px = views.px(spark, sf_dir)
+    raw = of_kind(px, "raw").crossJoin(F.broadcast(views.frame_count(px)))  # one row
+    raw = raw.withColumn("frame", F.explode(F.sequence("frame", F.least(F.col("frame") + 3, F.col("frames") - 1)))).drop("frames")
     return raw.distinct().groupBy("frame").agg(F.count("*").alias("n"))
 
 

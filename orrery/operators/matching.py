@@ -29,11 +29,11 @@ def flt02_slot_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("frame", F.size(kept).alias("kept"), F.try_element_at(kept, F.lit(1))["det"].alias("first_det"))
 
 
-@query(""", j AS (SELECT frame, joint, CAST(floor(x) AS INTEGER) % 24 AS px, CAST(floor(y) AS INTEGER) % 24 AS py, CAST(frame % 40 AS INTEGER) AS f FROM kp)
+@query(""", j AS (SELECT frame, joint, CAST(floor(x) AS INTEGER) % 24 AS px, CAST(floor(y) AS INTEGER) % 24 AS py, CAST(frame // 375 AS INTEGER) AS f FROM kp)
 SELECT frame, joint FROM j WHERE EXISTS (SELECT 1 FROM px m WHERE m.kind = 'out' AND m.frame = j.f AND abs(m.x - j.px) <= 1 AND abs(m.y - j.py) <= 1)""", "kp", "px")
 def flt11_joints_near_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT11: joints within a pixel of their own mask. The joint fans out to nine places: an equality join."""
-    j = views.kp(spark, sf_dir).selectExpr("frame", "joint", "cast(floor(x) AS int) % 24 AS px", "cast(floor(y) AS int) % 24 AS py", "cast(frame % 40 AS int) AS f")
+    j = views.kp(spark, sf_dir).selectExpr("frame", "joint", "cast(floor(x) AS int) % 24 AS px", "cast(floor(y) AS int) % 24 AS py", f"cast(frame div {views.ORDERS} AS int) AS f")
     near = F.expr("explode(flatten(transform(sequence(-1, 1), i -> transform(sequence(-1, 1), k -> struct(py + i AS y, px + k AS x)))))")
     m = views.px(spark, sf_dir).filter("kind = 'out'").select(F.col("frame").alias("f"), "y", "x")
     return j.withColumn("p", near).select("frame", "joint", "f", "p.y", "p.x").join(m, ["f", "y", "x"], "left_semi").select("frame", "joint").distinct()
@@ -149,14 +149,14 @@ def jn11_overlap_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walk(clips, "clip", ["frame", "det"], ["frame"], tracks_of, "clip long, frame long, det long, track long")
 
 
-@query(""", k AS (SELECT CAST(frame % 40 AS INTEGER) AS frame, joint, CAST(floor(x) AS INTEGER) % 24 AS jx, CAST(floor(y) AS INTEGER) % 24 AS jy FROM kp WHERE conf >= 0.8),
+@query(""", k AS (SELECT CAST(frame // 375 AS INTEGER) AS frame, joint, CAST(floor(x) AS INTEGER) % 24 AS jx, CAST(floor(y) AS INTEGER) % 24 AS jy FROM kp WHERE conf >= 0.8),
 j AS (SELECT DISTINCT frame, joint % 4 AS slot, jx, jy FROM k),
 d AS (SELECT p.frame, p.y, p.x, slot, row_number() OVER (PARTITION BY p.frame, p.y, p.x ORDER BY (p.x - jx) * (p.x - jx) + (p.y - jy) * (p.y - jy), slot) AS r FROM px p JOIN j ON j.frame = p.frame WHERE p.kind = 'out')
 SELECT frame, slot, count(*) AS pixels FROM d WHERE r = 1 GROUP BY frame, slot""", "kp", "px")
 def jn22_nearest_pose(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN22: each pixel of the mask goes to the slot with the nearest joint (different places on the canvas only, so few a frame)."""
     k = views.kp(spark, sf_dir).filter("conf >= 0.8")
-    j = k.selectExpr("cast(frame % 40 AS int) AS frame", "joint % 4 AS slot", "cast(floor(x) AS int) % 24 AS jx", "cast(floor(y) AS int) % 24 AS jy").distinct()
+    j = k.selectExpr(f"cast(frame div {views.ORDERS} AS int) AS frame", "joint % 4 AS slot", "cast(floor(x) AS int) % 24 AS jx", "cast(floor(y) AS int) % 24 AS jy").distinct()
     p = views.px(spark, sf_dir).filter("kind = 'out'").select("frame", "y", "x")
     far = F.expr("(x - jx) * (x - jx) + (y - jy) * (y - jy)")
     return p.join(j, "frame").groupBy("frame", "y", "x").agg(F.min(F.struct(far.alias("d"), "slot")).alias("m")).groupBy("frame", F.col("m.slot").alias("slot")).agg(F.count("*").alias("pixels"))

@@ -75,11 +75,12 @@ def ag25_robust_centre(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(""", c AS (SELECT y, x, count(*) AS n FROM px WHERE kind = 'out' GROUP BY y, x)
-SELECT y, x, n, CASE WHEN n >= 0.9 * 40 THEN 'core' WHEN n >= 0.5 * 40 THEN 'union' ELSE 'rare' END AS class FROM c""", "px")
+SELECT y, x, n, CASE WHEN n >= 0.9 * frames THEN 'core' WHEN n >= 0.5 * frames THEN 'union' ELSE 'rare' END AS class FROM c, (SELECT max(frame) + 1 AS frames FROM px)""", "px")
 def ag26_plate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AG26: pixels of the plate by the share of the forty frames that cover them."""
-    c = views.px(spark, sf_dir).filter("kind = 'out'").groupBy("y", "x").agg(F.count("*").alias("n"))
-    return c.withColumn("class", F.expr("CASE WHEN n >= 0.9 * 40 THEN 'core' WHEN n >= 0.5 * 40 THEN 'union' ELSE 'rare' END"))
+    """AG26: pixels of the plate by the share of all frames that cover them."""
+    px = views.px(spark, sf_dir)
+    c = px.filter("kind = 'out'").groupBy("y", "x").agg(F.count("*").alias("n")).crossJoin(F.broadcast(views.frame_count(px)))  # one row
+    return c.withColumn("class", F.expr("CASE WHEN n >= 0.9 * frames THEN 'core' WHEN n >= 0.5 * frames THEN 'union' ELSE 'rare' END")).drop("frames")
 
 
 @query(""" SELECT label, round(avg(value), 6) AS luma, round(greatest(0.85, least(1.18, 50 / greatest(avg(value), 1e-9))), 6) AS gain,

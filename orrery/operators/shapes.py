@@ -100,7 +100,7 @@ def mk10_radius_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     _two + ", m AS (SELECT raw.frame, count(*) AS ink, count(o.x) AS held FROM raw LEFT JOIN out o ON o.frame = raw.frame AND o.y = raw.y AND o.x = raw.x GROUP BY raw.frame)"
-    " SELECT count(*) AS frames, round(avg(held * 1.0 / ink), 6) AS mean_held, round(min(held * 1.0 / ink), 6) AS least_held, count(*) FILTER (held = 0) AS none_held, 40 - count(*) AS absent,"
+    " SELECT count(*) AS frames, round(avg(held * 1.0 / ink), 6) AS mean_held, round(min(held * 1.0 / ink), 6) AS least_held, count(*) FILTER (held = 0) AS none_held, (SELECT max(frame) + 1 FROM px) - count(*) AS absent,"
     " CASE WHEN avg(held * 1.0 / ink) < 0.95 OR quantile_cont(held * 1.0 / ink, 0.05) < 0.75 THEN 'refuse' WHEN min(held * 1.0 / ink) < 0.9 THEN 'warn' ELSE 'pass' END AS verdict FROM m",
     "px",
 )
@@ -108,9 +108,9 @@ def au10_ink_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AU09, AU10: how much of the ink the mask holds: mean, least, frames with none and without ink; three outcomes."""
     px = views.px(spark, sf_dir)
     f = px.groupBy(*PIXEL).agg(F.bool_or(F.col("kind") == "raw").alias("ink"), F.bool_or(F.col("kind") == "out").alias("mask")).filter("ink")
-    s = f.groupBy("frame").agg((F.count_if("mask") / F.count("*")).alias("s"))
+    s = f.groupBy("frame").agg((F.count_if("mask") / F.count("*")).alias("s")).crossJoin(F.broadcast(views.frame_count(px)))  # one row
     verdict = F.when((F.avg("s") < 0.95) | (F.expr("percentile(s, 0.05)") < 0.75), "refuse").when(F.min("s") < 0.9, "warn").otherwise("pass")
-    return s.agg(F.count("*").alias("frames"), F.round(F.avg("s"), 6).alias("mean_held"), F.round(F.min("s"), 6).alias("least_held"), F.count_if(F.col("s") == 0).alias("none_held"), (40 - F.count("*")).alias("absent"), verdict.alias("verdict"))
+    return s.agg(F.count("*").alias("frames"), F.round(F.avg("s"), 6).alias("mean_held"), F.round(F.min("s"), 6).alias("least_held"), F.count_if(F.col("s") == 0).alias("none_held"), (F.max("frames") - F.count("*")).alias("absent"), verdict.alias("verdict"))
 
 
 @query(

@@ -144,23 +144,27 @@ def ts12_registered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _u = "CAST(('0x' || substr(md5(concat_ws('|', '{0}', {1})), 1, 8)) AS BIGINT) / 4294967296.0"
-_noise = f"""WITH k AS (SELECT CAST(c AS BIGINT) AS clip, CAST(i AS BIGINT) AS i FROM generate_series(0, 9) a(c), generate_series(0, 119) b(i)),
+_noise = f""", k AS (SELECT clip, row_number() OVER (PARTITION BY clip ORDER BY frame) - 1 AS i FROM (SELECT DISTINCT clip, frame FROM pose)),
 u AS (SELECT clip, i, sqrt(-2 * ln(1 - {_u.format('a', 'clip, i')})) * cos(2 * pi() * {_u.format('b', 'clip, i')}) AS g FROM k),
 s AS (SELECT clip, i, 0.4 * g + 0.25 * (coalesce(lag(g) OVER w, g) + coalesce(lead(g) OVER w, g)) + 0.05 * (coalesce(lag(g, 2) OVER w, g) + coalesce(lead(g, 2) OVER w, g)) AS s FROM u WINDOW w AS (PARTITION BY clip ORDER BY i))
-SELECT clip, i, round((s - avg(s) OVER (PARTITION BY clip)) / stddev_pop(s) OVER (PARTITION BY clip), 6) AS noise, round(3 * sin(2 * pi() * i / 48) + {_u.format('idle', 'clip, i')}, 6) AS idle FROM s"""
+SELECT clip, i, round((s - avg(s) OVER (PARTITION BY clip)) / nullif(stddev_pop(s) OVER (PARTITION BY clip), 0), 6) AS noise, round(3 * sin(2 * pi() * i / 48) + {_u.format('idle', 'clip, i')}, 6) AS idle FROM s"""
 
 
-@query(_noise)
+@query(_noise, "pose")
 def rnd04_band_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """RND04, DP05: smooth noise of unit deviation, and idle motion; both follow from clip and frame, never from data."""
-    k = spark.range(10).select(F.col("id").alias("clip"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(119).cast("long"))).alias("i"))
+    """RND04, DP05: smooth noise of unit deviation, and idle motion, for every frame of every clip; both follow from clip and place, never from poses.
+
+    Null where a clip's noise does not vary (one frame).
+    """
+    frames = views.pose(spark, sf_dir).select("clip", "frame").distinct()
+    k = frames.select("clip", (F.row_number().over(W.partitionBy("clip").orderBy("frame")) - 1).cast("long").alias("i"))
     a, b = uniform(F.lit("a"), F.col("clip"), F.col("i")), uniform(F.lit("b"), F.col("clip"), F.col("i"))
     u = k.withColumn("g", F.sqrt(-2 * F.log(1 - a)) * F.cos(2 * F.pi() * b))
     per = W.partitionBy("clip").orderBy("i")
     near = lambda n: F.coalesce(F.lag("g", n).over(per), F.col("g")) + F.coalesce(F.lead("g", n).over(per), F.col("g"))
     s = u.withColumn("s", 0.4 * F.col("g") + 0.25 * near(1) + 0.05 * near(2))
     whole = W.partitionBy("clip")
-    noise = (F.col("s") - F.avg("s").over(whole)) / F.stddev_pop("s").over(whole)
+    noise = (F.col("s") - F.avg("s").over(whole)) / F.nullif(F.stddev_pop("s").over(whole), F.lit(0.0))
     return s.select("clip", "i", F.round(noise, 6).alias("noise"), F.round(3 * F.sin(2 * F.pi() * F.col("i") / 48) + uniform(F.lit("idle"), F.col("clip"), F.col("i")), 6).alias("idle"))
 
 

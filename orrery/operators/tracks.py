@@ -122,7 +122,10 @@ def st02_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ag39_identity_switches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AG39: how often the leftmost person's slot changes in a clip."""
-    left = slots(detections(spark, sf_dir)).groupBy("clip", "frame").agg(F.min_by("slot", F.struct("x", "det")).alias("slot"))
-    before = F.lag("slot").over(W.partitionBy("clip").orderBy("frame"))
-    return left.withColumn("changed", F.col("slot") != before).groupBy("clip").agg(F.count_if("changed").alias("switches"))
+    """AG39: how often the slots of the leftmost and of the rightmost person change in a clip. Held against a plain loop in the tests."""
+    ends = slots(detections(spark, sf_dir)).groupBy("clip", "frame").agg(F.min_by("slot", F.struct("x", "det")).alias("left"), F.max_by("slot", F.struct("x", "det")).alias("right"))
+    per = W.partitionBy("clip").orderBy("frame")
+    changed = [F.count_if(F.col(f"{c}_changed")).alias(f"{c}_switches") for c in ("left", "right")]
+    for c in ("left", "right"):
+        ends = ends.withColumn(f"{c}_changed", F.col(c) != F.lag(c).over(per))
+    return ends.groupBy("clip").agg(*changed)

@@ -1,7 +1,7 @@
 """Observation tables that stand on the driver's tables, by the same rules in Spark and (VIEWS) in plain SQL.
 
 emb: embeddings of sequences by subject, status, sequence number and view angle. item: embeddings by identity, condition
-and collection. box: detections in frames. series: samples of a value by label. px: mask pixels of two kinds. kp: joints. pose: joints along clips.
+and collection. box: detections in frames. series: samples of a value by label. px: mask pixels of two kinds, by frame (a run of order keys). kp: joints. pose: joints along clips.
 frames: people by frame of a clip. edge: a processing graph. expect: expected against measured values.
 """
 
@@ -11,12 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Order keys that share a frame of pixels: frames grow in number with the table, and not in size.
+ORDERS = 375
+
 VIEWS = {
     "emb": "SELECT vec_id AS ord, label AS subject, CAST(vec_id % 3 AS INTEGER) AS status, CAST(1 + (vec_id // 3) % 6 AS INTEGER) AS seq, CAST(18 * (vec_id % 11) AS INTEGER) AS angle, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings",
     "item": "SELECT vec_id AS ord, label AS ident, CAST(vec_id % 4 AS INTEGER) AS cond, CAST(vec_id % 2 AS INTEGER) AS coll, vec_id // 7 AS source, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings",
     "box": "SELECT l_orderkey AS frame, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS det, l_returnflag AS kind, CAST(l_partkey % 600 AS DOUBLE) AS x1, CAST((l_suppkey * 37) % 300 AS DOUBLE) AS y1, CAST(l_partkey % 600 + 20 + CAST(l_quantity AS BIGINT) AS DOUBLE) AS x2, CAST((l_suppkey * 37) % 300 + 40 + l_partkey % 120 AS DOUBLE) AS y2, 1 - CAST(l_discount AS DOUBLE) AS score FROM lineitem",
     "series": "SELECT user_id AS label, epoch_us(ts) AS us, event_id AS ord, event_type AS ident, CAST(value AS DOUBLE) AS value, CASE WHEN event_id % 10 <> 0 THEN CAST(value AS DOUBLE) END AS gappy FROM events",
-    "px": "SELECT DISTINCT CASE WHEN l_returnflag = 'N' THEN 'raw' ELSE 'out' END AS kind, CAST(l_orderkey % 40 AS INTEGER) AS frame, CAST(l_partkey % 24 AS INTEGER) AS y, CAST((l_suppkey + l_linenumber * 5) % 24 AS INTEGER) AS x FROM lineitem",
+    "px": "SELECT DISTINCT CASE WHEN l_returnflag = 'N' THEN 'raw' ELSE 'out' END AS kind, CAST(l_orderkey // 375 AS INTEGER) AS frame, CAST(l_partkey % 24 AS INTEGER) AS y, CAST((l_suppkey + l_linenumber * 5) % 24 AS INTEGER) AS x FROM lineitem",
     "kp": "SELECT l_orderkey AS frame, CAST(l_partkey % 17 AS INTEGER) AS joint, avg(CAST(l_partkey % 600 AS DOUBLE)) AS x, avg(CAST((l_suppkey * 37) % 300 AS DOUBLE)) AS y, max(1 - CAST(l_tax AS DOUBLE) * 10) AS conf FROM lineitem GROUP BY 1, 2",
     "pose": "SELECT l_orderkey // 4096 AS clip, CAST(l_orderkey % 64 AS INTEGER) AS frame, CAST(l_partkey % 17 AS INTEGER) AS joint, avg(CAST(l_partkey % 600 AS DOUBLE)) AS x, avg(CAST((l_suppkey * 37) % 300 AS DOUBLE)) AS y FROM lineitem GROUP BY 1, 2, 3",
     "frames": "SELECT conv_id AS clip, turn AS frame, role AS ident, CAST(length(text) % 4 AS INTEGER) AS n FROM conversations",
@@ -61,10 +64,15 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def px(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").selectExpr(
-        "CASE WHEN l_returnflag = 'N' THEN 'raw' ELSE 'out' END AS kind", "cast(l_orderkey % 40 AS int) AS frame", "cast(l_partkey % 24 AS int) AS y", "cast((l_suppkey + l_linenumber * 5) % 24 AS int) AS x"
+        "CASE WHEN l_returnflag = 'N' THEN 'raw' ELSE 'out' END AS kind", f"cast(l_orderkey div {ORDERS} AS int) AS frame", "cast(l_partkey % 24 AS int) AS y", "cast((l_suppkey + l_linenumber * 5) % 24 AS int) AS x"
     ).distinct()
 
 
+def frame_count(pixels: DataFrame) -> DataFrame:
+    """One row: ``frames``, how many there are, with those that have no pixel before the last."""
+    return pixels.agg((F.max("frame") + 1).alias("frames"))
+
+
 def kp(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("frame"), F.expr("cast(l_partkey % 17 AS int)").alias("joint"))
     return rows.agg(F.expr("avg(cast(l_partkey % 600 AS double)) AS x"), F.expr("avg(cast((l_suppkey * 37) % 300 AS double)) AS y"), F.expr("max(1 - cast(l_tax AS double) * 10) AS conf"))

@@ -116,3 +116,21 @@ def test_strict_gate_stops_the_job(spark):
     assert audits.strict(df, F.col("id") > 10, "breach").count() == 5
     with pytest.raises(Exception, match="breach"):
         audits.strict(df, F.col("id") == 3, "breach").collect()
+
+
+def test_switches_at_both_ends_by_a_plain_loop(spark, sf_dir):
+    from orrery.operators.tracks import ag39_identity_switches, detections, slots
+
+    rows = sorted(tuple(r) for r in slots(detections(spark, sf_dir)).select("clip", "frame", "x", "det", "slot").collect())
+    want, last = {}, {}
+    frames = {}
+    for clip, frame, x, det, slot in rows:
+        frames.setdefault((clip, frame), []).append(((x, det), slot))
+    for (clip, _), people in sorted(frames.items()):
+        now = (min(people)[1], max(people)[1])
+        was = last.get(clip, now)
+        n = want.get(clip, (0, 0))
+        want[clip] = (n[0] + (was[0] != now[0]), n[1] + (was[1] != now[1]))
+        last[clip] = now
+    got = {r.clip: (r.left_switches, r.right_switches) for r in ag39_identity_switches(spark, sf_dir).collect()}
+    assert got == want and sum(map(sum, want.values())) > 0

@@ -89,7 +89,7 @@ def runs_like(rows: DataFrame, threshold: float) -> DataFrame:
     count = lambda low, n: f"if(size(c.first) * size(c.hit) <= {WORK}, {size('c.hit', low, n)}, size(c.hit))"
     inside = lambda field: f"transform(slice(c.link, a + 1, c.last[t] - a + 1), q -> q.{field})"
     steps = [
-        f"filter(transform(c, c -> struct({kept()}, array_intersect(kinds_h, c.b) AS own)), c -> size(c.own) >= c.least)",
+        f"filter(transform(filter(c, c -> size(kinds_h) >= c.least), c -> struct({kept()}, array_intersect(kinds_h, c.b) AS own)), c -> size(c.own) >= c.least)",
         f"transform(c, c -> struct({kept()}, filter(h, p -> array_contains(c.own, g[p])) AS pos))",
         f"transform(c, c -> struct({kept('pos')}, transform(c.pos, p -> g[p]) AS hit, filter({places}, k -> k = 0 or c.pos[greatest(k, 1) - 1] < c.pos[k] - 1) AS first,"
         f" filter({places}, k -> k = size(c.pos) - 1 or c.pos[least(k + 1, size(c.pos) - 1)] > c.pos[k] + 1) AS last))",

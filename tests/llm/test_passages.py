@@ -126,6 +126,7 @@ def check_by_hand(spark, rows):
     want = by_hand(rows)
     wrong = [r.doc_id for r in report if (r.repeated, r.class_id) != want[r.doc_id]]
     assert not wrong, (len(wrong), wrong[:5])
+    return {r.doc_id: r for r in report}
 
 
 def test_table_by_hand(spark, sf_dir):
@@ -189,12 +190,11 @@ def test_passages_put_together_from_others_by_hand(spark):
                 piece[rnd.randrange(size)] = "edited"
             w += piece + (fresh(5) if rnd.random() < 0.5 else [])
         rows.append((k, " ".join(w)))
-    check_by_hand(spark, rows)
+    report = check_by_hand(spark, rows)
     words_of = [t.split() for _, t in rows]
     seen, covered = set(), {}
     for k, w in enumerate(words_of):  # words of 50 and more that an earlier document has verbatim
         grams = [" ".join(w[i : i + 50]) for i in range(len(w) - 49)]
         covered[k] = len({j for i, g in enumerate(grams) if g in seen for j in range(i, i + 50)})
         seen |= set(grams)
-    report = report_of(spark, dict(rows))
     assert all(report[k].n_repeated >= n for k, n in covered.items()) and sum(covered.values()) > 300

@@ -14,12 +14,11 @@ from orrery.sources.views import table
 SIDE, PAD, HISTORY = 24, 1, 3
 
 _two = ", raw AS (SELECT frame, y, x FROM px WHERE kind = 'raw'), out AS (SELECT frame, y, x FROM px WHERE kind = 'out'), grid AS (SELECT CAST(a.i AS INTEGER) AS y, CAST(b.i AS INTEGER) AS x FROM range(24) a(i), range(24) b(i))"
-_thin = _two + ", thin AS (SELECT frame, y, x FROM raw WHERE (frame * 7 + y * 5 + x * 3) % 11 < 2)"
 
 
-def thinned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A mask with gaps: some of the pixels of the raw one."""
-    return of_kind(views.px(spark, sf_dir), "raw").filter("(frame * 7 + y * 5 + x * 3) % 11 < 2")
+def raw_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pixel of the raw masks, which have gaps by themselves."""
+    return of_kind(views.px(spark, sf_dir), "raw")
 
 
 def boxes_of(mask: DataFrame) -> DataFrame:
@@ -32,16 +31,16 @@ def spots(y1: str, y2: str, x1: str, x2: str) -> str:
 
 
 @query(
-    _thin + ", r AS (SELECT frame, y, min(x) AS a, max(x) AS b FROM thin GROUP BY ALL), c AS (SELECT frame, x, min(y) AS a, max(y) AS b FROM thin GROUP BY ALL),"
-    " d AS (SELECT frame, y - x AS k, min(x) AS a, max(x) AS b FROM thin GROUP BY ALL), e AS (SELECT frame, y + x AS k, min(x) AS a, max(x) AS b FROM thin GROUP BY ALL)"
+    _two + ", r AS (SELECT frame, y, min(x) AS a, max(x) AS b FROM raw GROUP BY ALL), c AS (SELECT frame, x, min(y) AS a, max(y) AS b FROM raw GROUP BY ALL),"
+    " d AS (SELECT frame, y - x AS k, min(x) AS a, max(x) AS b FROM raw GROUP BY ALL), e AS (SELECT frame, y + x AS k, min(x) AS a, max(x) AS b FROM raw GROUP BY ALL)"
     " SELECT r.frame, grid.y, grid.x FROM r JOIN grid ON grid.y = r.y AND grid.x > r.a AND grid.x < r.b JOIN c ON c.frame = r.frame AND c.x = grid.x AND grid.y > c.a AND grid.y < c.b"
     " JOIN d ON d.frame = r.frame AND d.k = grid.y - grid.x AND grid.x > d.a AND grid.x < d.b JOIN e ON e.frame = r.frame AND e.k = grid.y + grid.x AND grid.x > e.a AND grid.x < e.b"
-    " ANTI JOIN thin t ON t.frame = r.frame AND t.y = grid.y AND t.x = grid.x",
+    " ANTI JOIN raw t ON t.frame = r.frame AND t.y = grid.y AND t.x = grid.x",
     "px",
 )
 def mk05_solidify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MK05: places outside a mask that see it in all eight directions. Along each line its first and last pixel decide."""
-    m = thinned(spark, sf_dir)
+    m = raw_mask(spark, sf_dir)
     out = m.groupBy("frame", "y").agg(F.min("x").alias("a"), F.max("x").alias("b")).filter("b - a > 1").selectExpr("frame", "y", "explode(sequence(a + 1, b - 1)) AS x")
     for line, along in (("x", "y"), ("y - x", "x"), ("y + x", "x")):
         ends = m.groupBy("frame", F.expr(line).alias("k")).agg(F.min(along).alias("a"), F.max(along).alias("b"))
@@ -50,16 +49,16 @@ def mk05_solidify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _mitigated = (
-    _thin + ", b AS (SELECT frame, min(y) - 1 AS y1, max(y) + 1 AS y2, min(x) - 1 AS x1, max(x) + 1 AS x2 FROM thin GROUP BY frame), shape AS (SELECT b.frame, grid.y, grid.x FROM b JOIN grid ON y BETWEEN y1 AND y2 AND x BETWEEN x1 AND x2),"
+    _two + ", b AS (SELECT frame, min(y) - 1 AS y1, max(y) + 1 AS y2, min(x) - 1 AS x1, max(x) + 1 AS x2 FROM raw GROUP BY frame), shape AS (SELECT b.frame, grid.y, grid.x FROM b JOIN grid ON y BETWEEN y1 AND y2 AND x BETWEEN x1 AND x2),"
     " f AS (SELECT DISTINCT frame FROM raw), late AS (SELECT f.frame, raw.y, raw.x FROM raw JOIN f ON f.frame BETWEEN raw.frame AND raw.frame + 2),"
     " u AS (SELECT frame, y, x, bool_or(s) AS shape, bool_or(l) AS late, bool_or(c) AS cur FROM (SELECT *, true AS s, false AS l, false AS c FROM shape UNION ALL SELECT *, false, true, false FROM late UNION ALL SELECT *, false, false, true FROM raw) GROUP BY ALL)"
 )
 
 
 def mitigated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(frame, y, x, shape, late, cur): a padded box of the thin mask, the last HISTORY masks and the current one, united."""
+    """(frame, y, x, shape, late, cur): a padded box of the mask, the last HISTORY masks and the current one, united."""
     raw = of_kind(views.px(spark, sf_dir), "raw")
-    box = boxes_of(thinned(spark, sf_dir)).selectExpr("frame", spots(f"greatest(y1 - {PAD}, 0)", f"least(y2 + {PAD}, {SIDE - 1})", f"greatest(x1 - {PAD}, 0)", f"least(x2 + {PAD}, {SIDE - 1})"))
+    box = boxes_of(raw_mask(spark, sf_dir)).selectExpr("frame", spots(f"greatest(y1 - {PAD}, 0)", f"least(y2 + {PAD}, {SIDE - 1})", f"greatest(x1 - {PAD}, 0)", f"least(x2 + {PAD}, {SIDE - 1})"))
     late = raw.selectExpr(f"explode(sequence(frame, frame + {HISTORY - 1})) AS frame", "y", "x").join(raw.select("frame").distinct(), "frame", "left_semi")
     flag = lambda df, *v: df.select(*PIXEL, *[F.lit(x).alias(n) for x, n in zip(v, ("shape", "late", "cur"), strict=True)])
     rows = flag(box, True, False, False).union(flag(late, False, True, False)).union(flag(raw, False, False, True))
@@ -74,24 +73,24 @@ def mk06_mitigated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    _thin + ", b AS (SELECT frame, min(y) AS y1, max(y) AS y2, min(x) AS x1, max(x) AS x2 FROM thin GROUP BY frame), p AS (SELECT b.*, grid.y, grid.x, 2 * grid.y - y1 - y2 AS dy, 2 * grid.x - x1 - x2 AS dx, y2 - y1 + 1 AS h, x2 - x1 + 1 AS w FROM b JOIN grid ON y BETWEEN y1 AND y2 AND x BETWEEN x1 AND x2)"
+    _two + ", b AS (SELECT frame, min(y) AS y1, max(y) AS y2, min(x) AS x1, max(x) AS x2 FROM raw GROUP BY frame), p AS (SELECT b.*, grid.y, grid.x, 2 * grid.y - y1 - y2 AS dy, 2 * grid.x - x1 - x2 AS dx, y2 - y1 + 1 AS h, x2 - x1 + 1 AS w FROM b JOIN grid ON y BETWEEN y1 AND y2 AND x BETWEEN x1 AND x2)"
     " SELECT frame, y, x FROM p WHERE dy * dy * w * w + dx * dx * h * h <= h * h * w * w",
     "px",
 )
 def mk07_ellipse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MK07 (ellipse): the pixels of the ellipse within a mask's box, in whole numbers."""
-    p = boxes_of(thinned(spark, sf_dir)).selectExpr("frame", "y1 + y2 AS sy", "x1 + x2 AS sx", "y2 - y1 + 1 AS h", "x2 - x1 + 1 AS w", spots("y1", "y2", "x1", "x2"))
+    p = boxes_of(raw_mask(spark, sf_dir)).selectExpr("frame", "y1 + y2 AS sy", "x1 + x2 AS sx", "y2 - y1 + 1 AS h", "x2 - x1 + 1 AS w", spots("y1", "y2", "x1", "x2"))
     return p.filter("(2 * y - sy) * (2 * y - sy) * w * w + (2 * x - sx) * (2 * x - sx) * h * h <= h * h * w * w").select(*PIXEL)
 
 
 @query(
-    _thin + ", c AS (SELECT frame, avg(y) AS cy, avg(x) AS cx FROM thin GROUP BY frame), r AS (SELECT frame, CAST(floor(round((atan2(y - cy, x - cx) + pi()) / (2 * pi()) * 12, 6)) AS INTEGER) % 12 AS bin, sqrt((y - cy) * (y - cy) + (x - cx) * (x - cx)) AS d FROM thin JOIN c USING (frame))"
+    _two + ", c AS (SELECT frame, avg(y) AS cy, avg(x) AS cx FROM raw GROUP BY frame), r AS (SELECT frame, CAST(floor(round((atan2(y - cy, x - cx) + pi()) / (2 * pi()) * 12, 6)) AS INTEGER) % 12 AS bin, sqrt((y - cy) * (y - cy) + (x - cx) * (x - cx)) AS d FROM raw JOIN c USING (frame))"
     " SELECT frame, bin, round(max(d), 6) AS radius, round(max(d) / max(max(d)) OVER (PARTITION BY frame), 6) AS share FROM r WHERE d > 0.000001 GROUP BY frame, bin",
     "px",
 )
 def mk10_radius_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MK10: the furthest pixel from the middle in each of twelve directions, also as a share of the furthest of all."""
-    m = thinned(spark, sf_dir)
+    m = raw_mask(spark, sf_dir)
     c = m.groupBy("frame").agg(F.avg("y").alias("cy"), F.avg("x").alias("cx"))
     at = "cast(floor(round((atan2(y - cy, x - cx) + pi()) / (2 * pi()) * 12, 6)) AS int) % 12 AS bin"
     r = m.join(c, "frame").selectExpr("frame", at, "sqrt((y - cy) * (y - cy) + (x - cx) * (x - cx)) AS d").filter("d > 0.000001").groupBy("frame", "bin").agg(F.max("d").alias("d"))

@@ -1,6 +1,6 @@
 """All queries: importing this module enters them."""
 
-from orrery.operators import audits, boxes, carries, composed, fidelity, graph, leaks, masks, matching, measures, outlines, poses, regions, relational, reid, release, scalars, series, shapes, signals, spectra, subjects, tracks, warps  # noqa: F401
+from orrery.operators import audits, boxes, carries, composed, fidelity, graph, leaks, masks, matching, measures, outlines, poses, regions, relational, reid, release, scalars, series, shapes, signals, silhouettes, spectra, subjects, tracks, warps  # noqa: F401
 from orrery.plans.registry import QUERIES, SQL  # noqa: F401
 from orrery.sources import bundle, sinks  # noqa: F401
 

@@ -82,6 +82,22 @@ def device_facts(text: Column) -> Column:
     )
 
 
+def annotations(spark: SparkSession, path: str) -> DataFrame:
+    """SRC06: (video, frame, x1, y1, x2, y2) of files named ``<video>_frame<number>_output.json``, each a list of objects with ``bbox_xyxy``.
+
+    A frame without boxes gives a row of nulls, so that it counts as annotated. Files of other names, and those that are no list
+    of such objects, give none; of a video's name all but the last ``_frame`` belongs to it.
+    """
+    doc = spark.read.option("pathGlobFilter", "*_output.json").text(path, wholetext=True)
+    doc = doc.select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)_frame([0-9]+)_output\.json$", 0).alias("name"), "value").filter("name <> ''")
+    part = lambda k: F.regexp_extract("name", r"^(.*)_frame([0-9]+)_output\.json$", k)
+    boxes = F.from_json("value", "array<struct<bbox_xyxy: array<double>>>", {"mode": "PERMISSIVE"})
+    doc = doc.select(part(1).alias("video"), part(2).cast("long").alias("frame"), boxes.alias("boxes"))
+    doc = doc.filter("boxes is not null and forall(boxes, b -> b.bbox_xyxy is not null and size(b.bbox_xyxy) >= 4)")
+    rows = doc.select("video", "frame", F.explode_outer("boxes.bbox_xyxy").alias("b"))
+    return rows.select("video", "frame", *[F.get("b", F.lit(k)).alias(n) for k, n in enumerate(("x1", "y1", "x2", "y2"))])
+
+
 def graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """SRC14: nodes (graph, id, type, mode) and edges (graph, link, src, src_slot, dst, dst_slot) of graphs kept as JSON, a document a file."""
     kind = "nodes array<struct<id: string, type: string, mode: int>>, links array<array<string>>"

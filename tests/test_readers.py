@@ -80,3 +80,13 @@ def test_trackers_and_filters():
     s = smoothed(np.array(z))
     assert s.min() > 0 and s.max() < 10 and list(smoothed(np.array([4.0, 4.0, 4.0]))) == [4.0, 4.0, 4.0]
     assert list(followed(np.array([0.0, 100.0, 100.0]))) == [0.0, 8.0, 16.0]
+
+
+def test_annotations(spark, tmp_path):
+    for name, text in {
+        "a_frame1_output.json": '[{"bbox_xyxy": [1, 2, 3.5, 4], "label": "p"}, {"bbox_xyxy": [5, 6, 7, 8]}]', "a_frame_frame12_output.json": "[]", "b_frame3_output.json": "no list",
+        "b_framex_output.json": '[{"bbox_xyxy": [1, 2, 3, 4]}]', "b_output.json": "[]", "b_frame4_output.json": '[{"other": 1}]', "b_frame5.json": '[{"bbox_xyxy": [1, 2, 3, 4]}]',
+    }.items():
+        (tmp_path / name).write_text(text)
+    got = sorted(map(tuple, readers.annotations(spark, str(tmp_path)).collect()), key=str)
+    assert got == [("a", 1, 1.0, 2.0, 3.5, 4.0), ("a", 1, 5.0, 6.0, 7.0, 8.0), ("a_frame", 12, None, None, None, None)]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions.exprs import clamp, uniform
 from orrery.functions.tables import keep
-from orrery.operators.graph import climb
+from orrery.operators.graph import climb, marks_above
 from orrery.functions.clips import walk
 from orrery.plans.registry import query
 from orrery.sources import views
@@ -75,13 +75,9 @@ SELECT e.node, up.node IS NOT NULL AS reaches FROM edge e LEFT JOIN up ON up.nod
     "edge",
 )
 def gr08_reaches_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """GR08: whether any node below has a class with the prefix. A round, and a written table, for each level; each node is met once."""
+    """GR08: whether any node below has a class with the prefix. Marks rise along doubled links, so rounds grow with the logarithm of the depth."""
     e = views.edge(spark, sf_dir)
-    ways = keep(e.select("node", "parent"))
-    met = new = keep(e.filter(F.col("class").startswith("Brand#3")).select(F.col("parent").alias("node")).distinct())
-    while not new.isEmpty():
-        new = keep(ways.join(new, "node", "left_semi").select(F.col("parent").alias("node")).distinct().join(met, "node", "left_anti"))
-        met = met.unionByName(new)
+    met = marks_above(e.select("node", F.col("parent").alias("to")), e.filter(F.col("class").startswith("Brand#3")).select(F.col("parent").alias("node")))
     return e.select("node").join(met.withColumn("reaches", F.lit(True)), "node", "left").select("node", F.coalesce("reaches", F.lit(False)).alias("reaches"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.functions.tables import keep
+from orrery.functions.tables import discard, keep
 from orrery.plans.registry import query
 from orrery.sources import views
 
@@ -31,6 +31,26 @@ def climb(links: DataFrame, starts: DataFrame) -> DataFrame:
     return state.join(circle, "at", "left").select("node", F.when(F.col("circle").isNull(), F.col("at")).alias("at"), "total")
 
 
+def marks_above(links: DataFrame, marks: DataFrame) -> DataFrame:
+    """(node): the ``marks`` (node) and all nodes that lie above one, along ``links`` (node, to; one a node).
+
+    Links double in length each round and marks go up along them: after k rounds all nodes within 2^k - 1 steps are marked, so a
+    chain of n levels takes about log2(n) rounds. Circles end after as many rounds as the longest path could need. A round's
+    tables are deleted when the next are written. Nulls mark nothing; an empty table of marks gives none.
+    """
+    links = keep(links.filter("node is not null and to is not null"))
+    marks = keep(marks.filter("node is not null").distinct())
+    rounds = links.count().bit_length() + 1
+    while rounds and not links.isEmpty():
+        risen = links.join(marks, "node", "left_semi").select(F.col("to").alias("node"))
+        more = keep(marks.unionByName(risen).distinct())
+        above = links.select(F.col("node").alias("to"), F.col("to").alias("next"))
+        longer = keep(links.join(above, "to").select("node", F.col("next").alias("to")))
+        discard(links, marks)
+        links, marks, rounds = longer, more, rounds - 1
+    return marks
+
+
 _reach = "SELECT node, 0 AS depth FROM edge WHERE node = 1 UNION ALL SELECT e.node, r.depth + 1 FROM reach r JOIN edge e ON e.parent = r.node AND e.node <> e.parent WHERE NOT e.muted"
 
 

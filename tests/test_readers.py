@@ -5,7 +5,7 @@ import json
 import numpy as np
 import pytest
 
-from orrery.operators.graph import climb
+from orrery.operators.graph import climb, marks_above
 from orrery.operators.matching import OverlapTracker
 from orrery.operators.signals import followed, smoothed
 from orrery.sources import readers, sinks
@@ -71,6 +71,19 @@ def test_climb_has_no_depth_limit_and_ends_on_circles(spark):
     assert all(got[i][0] is None for i in (1000, 1001, 1002))
 
 
+def test_marks_rise_along_long_chains_trees_and_circles(spark):
+    up = {i: i + 1 for i in range(300)} | {1000: 1001, 1001: 1002, 1002: 1000} | {2000 + i: 2000 + i // 2 for i in range(2, 200)} | {5000: 5000}
+    links = spark.createDataFrame([*up.items(), (None, 7)], "node long, to long")
+    for marks in ([], [0], [120, 1001, 2150, 5000, 9999, 9999, None], [299, 2001]):
+        want, todo = set(), [m for m in marks if m is not None]
+        while todo:
+            if (m := todo.pop()) not in want:
+                want.add(m)
+                todo += [up[m]] if m in up else []
+        got = [r.node for r in marks_above(links, spark.createDataFrame([(m,) for m in marks], "node long")).collect()]
+        assert set(got) == want and len(got) == len(want)
+
+
 def test_trackers_and_filters():
     t = OverlapTracker()
     assert t.step([(0, 0, 10, 10), (100, 0, 110, 10)]) == [0, 1]

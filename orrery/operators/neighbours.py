@@ -2,9 +2,10 @@
 
 Gallery rows are dealt to the nearest of a few pivots; each group keeps its size and the least and largest distance to its pivot, by view.
 By the triangle inequality a group lies wholly within a probe's radius (it is counted in bulk), wholly beyond it (it is left
-out), or may cross it: only such groups are joined, on the group, and compared row by row. Distances are Euclidean,
-rounded as ``exprs.distance`` does; bounds leave SLACK for that. A gallery without structure crosses everywhere: then the join
-compares as many rows as all pairs would, but group by group, and never as a nested loop.
+out), or may cross it. Groups are packed into units of bounded size (a larger group is cut into several); a probe is joined with the
+units that hold a crossed group and compared there by ``blocks``. Distances are Euclidean, rounded as ``exprs.distance`` does; bounds
+leave SLACK for that. A gallery without structure crosses everywhere: then all pairs are compared, block by block, never as a nested
+loop, and a probe is sent once to each unit and not to each group.
 """
 
 from __future__ import annotations
@@ -14,15 +15,17 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from orrery.functions.exprs import distance
 from orrery.functions.tables import keep
+from orrery.operators import blocks
+from orrery.operators.blocks import Side
 
-#: Pivots at most, and what bounds leave to rounding.
-PIVOTS, SLACK = 256, 1e-6
+#: Pivots at most, what bounds leave to rounding, and probes whose bounds are held at once.
+PIVOTS, SLACK, AT_ONCE = 256, 1e-6, 256
 
 
 class Gallery(NamedTuple):
@@ -78,40 +81,93 @@ def grouped(gallery: DataFrame, pivots: int | None = None) -> Gallery:
     return Gallery(members.drop("to"), centres, views, n, low, high)
 
 
+class Units(NamedTuple):
+    """Groups packed in order: the first group of each unit, the blocks that it is cut into, and the number of its first block."""
+
+    first: np.ndarray
+    cut: np.ndarray
+    base: np.ndarray
+
+
+def units(g: Gallery) -> Units:
+    first, size, held = [], [], 0
+    for i, n in enumerate(g.n.sum(1)):
+        if not first or held + n > blocks.RIGHT:
+            first.append(i)
+            size.append(0)
+            held = 0
+        held += int(n)
+        size[-1] = held
+    cut = np.maximum(1, -(-np.array(size, int) // blocks.RIGHT))
+    return Units(np.array(first, int), cut, np.cumsum(cut) - cut)
+
+
+def asked(probes: DataFrame, g: Gallery, u: Units, crossed, schema: str) -> DataFrame:
+    """``probes`` once for each block of each unit that ``crossed`` names, as ``gb``; it may add a row without a block, with ``bulk``.
+
+    crossed: (bounds of the gallery, columns of the probes) -> (whether each probe asks each unit, bulk or None).
+    """
+    codes, bare = {v: i for v, i in g.views.items()}, g._replace(members=None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, AT_ONCE):
+                batch = whole.slice(at, AT_ONCE)
+                lower, upper = bare.bounds(blocks.vectors(batch.column("pv")))
+                own = np.array([codes.get(v, -1) for v in batch.column("view").to_pylist()])
+                other = own[:, None] != np.arange(len(codes))[None]
+                wants, bulk = crossed(lower, upper, other, batch)
+                row, unit = np.nonzero(wants)
+                row, unit = np.repeat(row, u.cut[unit]), np.repeat(unit, u.cut[unit])
+                block = u.base[unit] + np.arange(len(unit)) - np.searchsorted(row * len(u.cut) + unit, row * len(u.cut) + unit)
+                sent = batch.take(pa.array(row)).append_column("gb", pa.array(block.astype(np.int32)))
+                yield sent.append_column("bulk", pa.array(np.zeros(len(row), np.int64)))
+                if bulk is not None:
+                    yield batch.append_column("gb", pa.nulls(batch.num_rows, pa.int32())).append_column("bulk", pa.array(bulk))
+
+    return keep(probes.filter("pv IS NOT NULL AND NOT exists(pv, x -> x IS NULL)").mapInArrow(run, schema + ", gb int, bulk long"))
+
+
+def met(asks: DataFrame, gallery: Gallery, u: Units, each, schema: str) -> DataFrame:
+    """``each`` of blocks of probes and the gallery blocks that they ask for."""
+    asks = asks.filter("gb IS NOT NULL").drop("bulk")
+    parts = max(1, -(-asks.count() // (max(1, int(u.cut.sum())) * blocks.LEFT)))
+    unit_of = np.searchsorted(u.first, np.arange(len(gallery.pivots)), "right") - 1
+    of = lambda a: F.lit([int(x) for x in a] or [0])[F.col("g")]
+    members = gallery.members.withColumn("gb", (of(u.base[unit_of]) + F.pmod(F.xxhash64("gallery"), of(u.cut[unit_of]))).cast("int"))
+    members = members.drop("g").withColumn("pb", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    asks = asks.withColumn("pb", F.pmod(F.xxhash64("probe"), F.lit(parts)).cast("int"))
+    return blocks.cogrouped(asks, members, ("gb", "pb"), each, schema)
+
+
 def ranks(targets: DataFrame, gallery: Gallery) -> DataFrame:
     """(probe, gallery, rank): the rank of each target among the gallery rows of other views, by (distance, gallery).
 
     targets: (probe, view, pv, gallery, d), d the distance of the gallery row from the probe; a probe may have several, on one row each.
     """
-    asked = targets.groupBy("probe").agg(F.first("view").alias("view"), F.first("pv").alias("pv"), F.collect_list(F.struct("gallery", "d")).alias("t"))
-    g = gallery._replace(members=None)
-
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = {k: [] for k in ("probe", "view", "pv", "gallery", "d", "bulk", "g")}
-            lower, upper = g.bounds(batch["pv"].tolist())
-            for i, (probe, view, pv, t) in enumerate(zip(batch["probe"], batch["view"], batch["pv"], batch["t"], strict=True)):
-                mine = np.array([v != view for v in g.views])
-                for x in t:
-                    inside = (upper[i] < x["d"]) & mine
-                    crossed = np.flatnonzero(((lower[i] <= x["d"]) & ~inside & mine & (g.n > 0)).any(1))
-                    whole = int(g.n[inside].sum())
-                    rows = [(whole, None, None), *((0, pv, int(c)) for c in crossed)]
-                    # of a crossed group, views that lie wholly inside were counted in bulk
-                    for bulk, vector, c in rows:
-                        for k, value in zip(out, (probe, view, vector, x["gallery"], x["d"], bulk, c), strict=True):
-                            out[k].append(value)
-                        if c is not None:
-                            out["bulk"][-1] = -int(g.n[c][inside[c]].sum())
-            if out["probe"]:
-                yield pd.DataFrame({**out, "g": pd.array(out["g"], "Int32"), "pv": pd.Series(out["pv"], dtype=object)})
-
-    asks = asked.mapInPandas(split, "probe long, view int, pv array<double>, gallery long, d double, bulk long, g int")
-    asks = keep(asks)
-    bulk = asks.groupBy("probe", "gallery").agg(F.sum("bulk").alias("n"))
-    member = gallery.members.select("g", F.col("view").alias("its_view"), F.col("gallery").alias("other"), "gv")
-    met = asks.filter("g IS NOT NULL").join(member, "g").filter("view <> its_view").withColumn("e", distance(F.col("pv"), F.col("gv")))
-    near = met.filter("e < d OR e = d AND other < gallery").groupBy("probe", "gallery").agg(F.count("*").alias("n"))
+    g, u = gallery._replace(members=None), units(gallery)
+
+    def crossed(lower, upper, other, batch):
+        d = batch.column("d").to_numpy()[:, None, None]
+        there = other[:, None, :] & (g.n > 0)[None]
+        inside = there & (upper < d)
+        crosses = there & ~inside & (lower <= d)
+        if not len(u.first):
+            return np.zeros((len(d), 0), bool), np.zeros(len(d), np.int64)
+        wants = np.logical_or.reduceat(crosses.any(2), u.first, axis=1)
+        # what is compared row by row is not counted in bulk
+        whole = np.add.reduceat((inside * g.n[None]).sum(2), u.first, axis=1)
+        return wants, np.where(wants, 0, whole).sum(1)
+
+    def each(p: Side, g: Side) -> Iterator[pa.Table]:
+        for q, d2, scale in blocks.slices(p, g, ("view",)):
+            n = blocks.closer(q, g, d2, scale, q["d"], q["gallery"], g["gallery"]).sum(1)
+            yield {"probe": q["probe"], "gallery": q["gallery"], "n": n.astype(np.int64)}
+
+    targets = targets.select("probe", F.col("view").cast("int").alias("view"), "pv", "gallery", "d")
+    asks = asked(targets, gallery, u, crossed, "probe long, view int, pv array<double>, gallery long, d double")
+    bulk = asks.filter("gb IS NULL").select("probe", "gallery", F.col("bulk").alias("n"))
+    near = met(asks, gallery, u, each, "probe long, gallery long, n long")
     return bulk.unionByName(near).groupBy("probe", "gallery").agg((F.sum("n") + 1).alias("rank"))
 
 
@@ -120,31 +176,49 @@ def nearest(probes: DataFrame, gallery: Gallery, k: int = 1, each_view: bool = F
 
     probes: (probe, view, pv). The radius that surely holds k rows follows from the groups' bounds; groups beyond it are not joined.
     """
-    g = gallery._replace(members=None)
-
-    def reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = {c: [] for c in ("probe", "pv", "g", "views")}
-            lower, upper = g.bounds(batch["pv"].tolist())
-            names = np.array(list(g.views))
-            for i, (probe, view, pv) in enumerate(zip(batch["probe"], batch["view"], batch["pv"], strict=True)):
-                mine = names != view if len(names) else np.zeros(0, bool)
-                wanted = np.zeros_like(g.n, bool)
-                for part in ([[v] for v in np.flatnonzero(mine)] if each_view else [np.flatnonzero(mine)]):
-                    up, n, low = upper[i][:, part].ravel(), g.n[:, part].ravel(), lower[i][:, part]
-                    order = np.argsort(up, kind="stable")
-                    enough = np.flatnonzero(np.cumsum(n[order]) >= k)
-                    radius = up[order[enough[0]]] if len(enough) else np.inf
-                    wanted[:, part] = (low <= radius) & (g.n[:, part] > 0)
-                for c in np.flatnonzero(wanted.any(1)):
-                    for key, value in zip(out, (probe, pv, int(c), [int(v) for v in names[wanted[c]]]), strict=True):
-                        out[key].append(value)
-            if out["probe"]:
-                yield pd.DataFrame(out)
-
-    asks = keep(probes.mapInPandas(reach, "probe long, pv array<double>, g int, views array<int>"))
-    member = gallery.members.select("g", "gallery", "found", F.col("view").alias("gallery_view"), "gv")
-    met = asks.join(member, "g").filter(F.array_contains("views", F.col("gallery_view")))
-    met = met.select("probe", "gallery", "found", "gallery_view", distance(F.col("pv"), F.col("gv")).alias("d"))
+    g, u = gallery._replace(members=None), units(gallery)
+
+    def radius(upper: np.ndarray, n: np.ndarray) -> np.ndarray:
+        order = np.argsort(upper, axis=1, kind="stable")
+        enough = np.cumsum(np.take_along_axis(n, order, 1), axis=1) >= k
+        found = np.take_along_axis(np.take_along_axis(upper, order, 1), enough.argmax(1)[:, None], 1)[:, 0]
+        return np.where(enough.any(1), found, np.inf)
+
+    def crossed(lower, upper, other, batch):
+        there = other[:, None, :] & (g.n > 0)[None]
+        if not len(u.first):
+            return np.zeros((len(other), 0), bool), None
+        n, up = np.where(there, g.n[None], 0), np.where(there, upper, np.inf)
+        if each_view:
+            reach = np.stack([radius(up[:, :, v], n[:, :, v]) for v in range(n.shape[2])], axis=1)[:, None, :]
+        else:
+            reach = radius(up.reshape(len(up), -1), n.reshape(len(n), -1))[:, None, None]
+        return np.logical_or.reduceat((there & (lower <= reach)).any(2), u.first, axis=1), None
+
+    def each(p: Side, g: Side) -> Iterator[pa.Table]:
+        for v in np.unique(g["view"]) if each_view else [None]:
+            part = g if v is None else g.part(g["view"] == v)
+            for q, d2, scale in blocks.slices(p, part, ("view",)):
+                i, j, d = blocks.smallest(q, part, d2, scale, k, part["gallery"])
+                yield {"probe": q["probe"][i], "gallery": part["gallery"][j], "found": part["found"][j], "gallery_view": part["view"][j], "d": d}
+
+    probes = probes.select("probe", F.col("view").cast("int").alias("view"), "pv")
+    asks = asked(probes, gallery, u, crossed, "probe long, view int, pv array<double>")
+    found = gallery.members.schema["found"].dataType.simpleString()
+    rows = met(asks, gallery, u, each, f"probe long, gallery long, found {found}, gallery_view int, d double")
     by = W.partitionBy("probe", *(["gallery_view"] if each_view else [])).orderBy("d", "gallery")
-    return met.withColumn("r", F.row_number().over(by)).filter(F.col("r") <= k)  # each task keeps k rows of a probe before the shuffle
+    return rows.withColumn("r", F.row_number().over(by)).filter(F.col("r") <= k)  # each task keeps k rows of a probe before the shuffle
+
+
+def nearest_own(probes: DataFrame, gallery: DataFrame) -> DataFrame:
+    """(probe, gallery, d): the nearest gallery row that shares ``key`` with the probe and differs from it in all other columns that both
+    have, by (distance, gallery). probes: (probe, key, pv, ...), gallery: (gallery, key, gv, ...)."""
+    differ = tuple(c for c in probes.columns if c in gallery.columns and c != "key")
+
+    def each(p: Side, g: Side) -> Iterator[pa.Table]:
+        for q, d2, scale in blocks.slices(p, g, differ):
+            i, j, d = blocks.smallest(q, g, d2, scale, 1, g["gallery"])
+            yield {"probe": q["probe"][i], "gallery": g["gallery"][j], "d": d}
+
+    rows = blocks.meet(probes, gallery, ("probe", "gallery"), each, "probe long, gallery long, d double", ("key",))
+    return rows.groupBy("probe").agg(F.min(F.struct("d", "gallery")).alias("m")).select("probe", "m.gallery", "m.d")

@@ -3,7 +3,8 @@
 import numpy as np
 import pytest
 
-from orrery.operators.neighbours import grouped, nearest, ranks
+from orrery.operators import blocks
+from orrery.operators.neighbours import grouped, nearest, nearest_own, ranks
 
 
 def make(spark, rng, n, spread):
@@ -65,3 +66,21 @@ def test_empty_tables(spark):
     assert nearest(p, grouped(none)).count() == 0
     one = grouped(spark.createDataFrame([(5, 5, 0, [0.0, 1.0])], none.schema))
     assert nearest(p, one).count() == 0 and nearest(p.withColumn("view", p.view + 1), one).count() == 1 and nearest(p.limit(0), one).count() == 0
+
+
+def test_a_probe_is_sent_to_blocks_and_not_to_each_group(spark, tables, monkeypatch):
+    gallery, probes, g, p = tables
+    monkeypatch.setattr(blocks, "LEFT", 16)
+    monkeypatch.setattr(blocks, "RIGHT", 32)
+    near = nearest(p, grouped(g), k=3)
+    assert "FlatMapCoGroupsInArrow" in near._jdf.queryExecution().executedPlan().toString()  # pairs are rows of no join
+    got = {(r.probe, r.r): (round(r.d, 9), r.gallery) for r in near.collect()}
+    assert got == {(i, n + 1): x for i, view, v in probes for n, x in enumerate(order(gallery, view, v)[:3])}
+    want = {(i, order(gallery, view, v)[5 + i % 60][1]): 6 + i % 60 for i, view, v in probes}
+    at = {i: v for i, _, v in gallery}
+    rows = [(i, view, v, j, far(v, at[j])) for i, view, v in probes for k, j in want if k == i]
+    df = spark.createDataFrame(rows, "probe long, view int, pv array<double>, gallery long, d double")
+    assert {(r.probe, r.gallery): r["rank"] for r in ranks(df, grouped(g)).collect()} == want
+    key = lambda i: i % 4
+    own = nearest_own(p.selectExpr("probe", "probe % 4 AS key", "view", "pv"), g.selectExpr("gallery", "gallery % 4 AS key", "view", "gv"))
+    assert {r.probe: (round(r.d, 9), r.gallery) for r in own.collect()} == {i: order([x for x in gallery if key(x[0]) == key(i)], view, v)[0] for i, view, v in probes}

@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Rows of a block on the left and on the right, and left rows whose distances are held at once.
 LEFT, RIGHT, AT_ONCE = 4096, 16384, 256
@@ -110,7 +112,7 @@ def steps(q: Side, g: Side, d2: np.ndarray, scale: np.ndarray, low: float, high:
     return out
 
 
-def meet(left: DataFrame, right: DataFrame, ids: tuple[str, str], each: Callable[[Side, Side], Iterator[pa.Table]], schema: str, on: tuple[str, ...] = ()) -> DataFrame:
+def meet(left: DataFrame, right: DataFrame, ids: tuple[str, str], each: Callable[[Side, Side], Iterator[dict]], schema: str, on: tuple[str, ...] = ()) -> DataFrame:
     """What ``each`` makes of two blocks, over all blocks of rows that agree in ``on``. Vectors are in columns ``pv`` and ``gv``; rows without one take no part."""
     left, right = left.filter("pv IS NOT NULL AND NOT exists(pv, x -> x IS NULL)"), right.filter("gv IS NOT NULL AND NOT exists(gv, x -> x IS NULL)")
     blocks = lambda n, size: F.ceil(F.col(n) / size).cast("int")
@@ -127,15 +129,13 @@ def meet(left: DataFrame, right: DataFrame, ids: tuple[str, str], each: Callable
     return cogrouped(l, r, (*on, "lb", "rb"), each, schema)
 
 
-def cogrouped(left: DataFrame, right: DataFrame, by: tuple[str, ...], each: Callable[[Side, Side], Iterator[pa.Table]], schema: str) -> DataFrame:
+def cogrouped(left: DataFrame, right: DataFrame, by: tuple[str, ...], each: Callable[[Side, Side], Iterator[dict]], schema: str) -> DataFrame:
     """``each`` of the blocks of both sides that share ``by``; a block without a partner makes nothing."""
-    from pyspark.sql.types import StructType
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     out = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(p: pa.Table, g: pa.Table) -> pa.Table:
         made = list(each(side(p, "pv"), side(g, "gv"))) if p.num_rows and g.num_rows else []
         return pa.concat_tables([out.empty_table(), *(pa.table(t, schema=out) for t in made)])
 
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])  # both sides may be of one table
     return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(run, schema)

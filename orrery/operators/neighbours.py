@@ -159,7 +159,7 @@ def ranks(targets: DataFrame, gallery: Gallery) -> DataFrame:
         whole = np.add.reduceat((inside * g.n[None]).sum(2), u.first, axis=1)
         return wants, np.where(wants, 0, whole).sum(1)
 
-    def each(p: Side, g: Side) -> Iterator[pa.Table]:
+    def each(p: Side, g: Side) -> Iterator[dict]:
         for q, d2, scale in blocks.slices(p, g, ("view",)):
             n = blocks.closer(q, g, d2, scale, q["d"], q["gallery"], g["gallery"]).sum(1)
             yield {"probe": q["probe"], "gallery": q["gallery"], "n": n.astype(np.int64)}
@@ -195,7 +195,7 @@ def nearest(probes: DataFrame, gallery: Gallery, k: int = 1, each_view: bool = F
             reach = radius(up.reshape(len(up), -1), n.reshape(len(n), -1))[:, None, None]
         return np.logical_or.reduceat((there & (lower <= reach)).any(2), u.first, axis=1), None
 
-    def each(p: Side, g: Side) -> Iterator[pa.Table]:
+    def each(p: Side, g: Side) -> Iterator[dict]:
         for v in np.unique(g["view"]) if each_view else [None]:
             part = g if v is None else g.part(g["view"] == v)
             for q, d2, scale in blocks.slices(p, part, ("view",)):
@@ -210,15 +210,15 @@ def nearest(probes: DataFrame, gallery: Gallery, k: int = 1, each_view: bool = F
     return rows.withColumn("r", F.row_number().over(by)).filter(F.col("r") <= k)  # each task keeps k rows of a probe before the shuffle
 
 
-def nearest_own(probes: DataFrame, gallery: DataFrame) -> DataFrame:
-    """(probe, gallery, d): the nearest gallery row that shares ``key`` with the probe and differs from it in all other columns that both
-    have, by (distance, gallery). probes: (probe, key, pv, ...), gallery: (gallery, key, gv, ...)."""
-    differ = tuple(c for c in probes.columns if c in gallery.columns and c != "key")
+def nearest_own(probes: DataFrame, gallery: DataFrame, on: tuple[str, ...] = ("key",)) -> DataFrame:
+    """(probe, gallery, d): the nearest gallery row that agrees with the probe in ``on`` and differs from it in all other columns that both
+    have, by (distance, gallery). probes: (probe, pv, ...), gallery: (gallery, gv, ...)."""
+    differ = tuple(c for c in probes.columns if c in gallery.columns and c not in on)
 
-    def each(p: Side, g: Side) -> Iterator[pa.Table]:
+    def each(p: Side, g: Side) -> Iterator[dict]:
         for q, d2, scale in blocks.slices(p, g, differ):
             i, j, d = blocks.smallest(q, g, d2, scale, 1, g["gallery"])
             yield {"probe": q["probe"][i], "gallery": g["gallery"][j], "d": d}
 
-    rows = blocks.meet(probes, gallery, ("probe", "gallery"), each, "probe long, gallery long, d double", ("key",))
+    rows = blocks.meet(probes, gallery, ("probe", "gallery"), each, "probe long, gallery long, d double", on)
     return rows.groupBy("probe").agg(F.min(F.struct("d", "gallery")).alias("m")).select("probe", "m.gallery", "m.d")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from orrery.operators.masks import bitmaps, of_kind, window
 from orrery.plans.registry import query
 from orrery.sources import views
 from orrery.sources.views import table
@@ -21,11 +22,10 @@ _cover = ", b AS (SELECT DISTINCT CAST(frame // 375 AS INTEGER) AS frame, det, C
 
 @query(_cover + " SELECT frame, count(*) AS boxes, count(*) FILTER (n < 8) AS uncovered, round(avg(n / 16.0), 6) AS coverage FROM c GROUP BY frame", "box", "px")
 def au01_uncovered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AU01: boxes of which the mask covers less than half. Each box fans out to its sixteen pixels: an equality join."""
+    """AU01: boxes of which the mask covers less than half. A box is joined once with its mask's bitmap."""
     b = views.box(spark, sf_dir).selectExpr(f"cast(frame div {views.ORDERS} AS int) AS frame", "det", "cast(x1 AS int) % 24 AS bx", "cast(y1 AS int) % 24 AS by").distinct()
-    spots = F.expr("explode(flatten(transform(sequence(0, 3), i -> transform(sequence(0, 3), j -> struct(by + i AS y, bx + j AS x)))))")
-    m = views.px(spark, sf_dir).filter("kind = 'out'").selectExpr("cast(frame AS bigint) AS frame", "y", "x", "1 AS hit")
-    c = b.withColumn("p", spots).select("frame", "det", "bx", "by", "p.y", "p.x").join(m, ["frame", "y", "x"], "left").groupBy("frame", "det", "bx", "by").agg(F.count("hit").alias("n"))
+    m = bitmaps(of_kind(views.px_rows(spark, sf_dir), "out"))
+    c = b.join(m, "frame", "left").selectExpr("frame", f"{window('rows', 'by', 'bx', 4, 4)} AS n")
     return c.groupBy("frame").agg(F.count("*").alias("boxes"), F.count_if(F.col("n") < 8).alias("uncovered"), F.round(F.avg(F.col("n") / 16.0), 6).alias("coverage"))
 
 

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from orrery.operators.masks import bitmaps, of_kind, window
 from orrery.plans.registry import query
 from orrery.sources import views
 
 _raw = ", raw AS (SELECT frame, y, x FROM px WHERE kind = 'raw'), cover AS (SELECT frame, y, x FROM px WHERE kind = 'out')"
+#: All bits of a row of the canvas.
+CANVAS = 2**24 - 1
 AROUND = "explode(flatten(transform(sequence(-1, 1), i -> transform(sequence(-1, 1), j -> struct(i AS dy, j AS dx)))))"
 
 
@@ -41,14 +46,28 @@ SELECT 'erode' AS step, frame, count(*) AS pixels FROM e GROUP BY frame UNION AL
 
 @query(_open, "px")
 def mk03_open_close(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MK03: erosion, opening and closing by a square of three: pixels left by frame."""
-    raw, _ = kinds(spark, sf_dir)
-    steps = {"erode": erode(raw), "open": dilate(erode(raw)), "close": erode(dilate(raw))}
-    out = None
-    for name, mask in steps.items():
-        part = mask.groupBy("frame").agg(F.count("*").alias("pixels")).select(F.lit(name).alias("step"), "frame", "pixels")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """MK03: erosion, opening and closing by a square of three: pixels left by frame. Bitmaps are shifted, so a frame is a row."""
+    m = bitmaps(of_kind(views.px_rows(spark, sf_dir), "raw"))
+
+    def grown(rows: Column) -> Column:
+        wide = F.transform(rows, lambda v: F.shiftleft(v, 1).bitwiseOR(v).bitwiseOR(F.shiftright(v, 1)).bitwiseAND(F.lit(CANVAS)))
+        return upright(wide, lambda a, b: a.bitwiseOR(b))
+
+    def shrunk(rows: Column) -> Column:
+        wide = F.transform(rows, lambda v: F.shiftleft(v, 1).bitwiseAND(v).bitwiseAND(F.shiftright(v, 1)))
+        return upright(wide, lambda a, b: a.bitwiseAND(b))
+
+    def upright(rows: Column, both: Callable[[Column, Column], Column]) -> Column:
+        none = F.lit(0).cast("long")
+        at = lambda i: F.coalesce(F.get(rows, i), none)
+        return F.transform(rows, lambda v, i: both(both(at(i - 1), v), at(i + 1)))
+
+    # each step a column of its own, which the next one reads
+    m = m.withColumn("e", shrunk(F.col("rows"))).withColumn("d", grown(F.col("rows")))
+    m = m.withColumn("o", grown(F.col("e"))).withColumn("c", shrunk(F.col("d")))
+    n = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, v: s + F.bit_count(v))
+    steps = F.array(*[F.struct(F.lit(k).alias("step"), n(c).alias("pixels")) for k, c in (("erode", "e"), ("open", "o"), ("close", "c"))])
+    return m.select("frame", F.explode(steps).alias("s")).select("s.step", "frame", "s.pixels").filter("pixels > 0")
 
 
 _edge = "SELECT m.frame, m.y, m.x FROM {0} m WHERE (SELECT count(*) FROM {0} q WHERE q.frame = m.frame AND abs(q.y - m.y) + abs(q.x - m.x) = 1) < 4"
@@ -104,12 +123,10 @@ _bucket = "CASE kind WHEN 'N' THEN 'enrolled' WHEN 'A' THEN 'refused' ELSE 'unkn
 
 
 def shown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(frame, det, kind, shown): the share of each box that the mask leaves bare. A box fans out to sixteen places: an equality join."""
+    """(frame, det, kind, shown): the share of each box that the mask leaves bare. A box is joined once with its mask's bitmap."""
     b = views.box(spark, sf_dir).selectExpr("frame", "det", f"cast(frame div {views.ORDERS} AS int) AS f", "kind", "cast(x1 AS int) % 24 AS bx", "cast(y1 AS int) % 24 AS by")
-    spots = F.expr("explode(flatten(transform(sequence(0, 3), i -> transform(sequence(0, 3), j -> struct(by + i AS y, bx + j AS x)))))")
-    m = kinds(spark, sf_dir)[1].select(F.col("frame").alias("f"), "y", "x", F.lit(1).alias("hit"))
-    places = b.withColumn("p", spots).select("frame", "det", "kind", "f", "p.y", "p.x")
-    return places.join(m, ["f", "y", "x"], "left").groupBy("frame", "det", "kind").agg((1 - F.count("hit") / 16.0).alias("shown"))
+    m = bitmaps(of_kind(views.px_rows(spark, sf_dir), "out")).withColumnRenamed("frame", "f")
+    return b.join(m, "f", "left").selectExpr("frame", "det", "kind", f"1 - ({window('rows', 'by', 'bx', 4, 4)}) / 16.0D AS shown")
 
 
 @query(_cover + f" SELECT {_bucket} AS bucket, count(*) AS n, count(*) FILTER (shown > 0.05) AS over5, count(*) FILTER (shown > 0.5) AS over50, bool_or(shown >= 0.9) AS control FROM c GROUP BY 1", "box", "px")

@@ -150,16 +150,33 @@ def ts01_gaussian(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fan.join(s.select("label", "i", "value"), ["label", "i"]).groupBy("ord").agg(F.round(F.sum(F.col("w") * F.col("value")) / F.sum("w"), 6).alias("smooth"))
 
 
+#: Microseconds of an hour.
+HOUR = 3_600_000_000
+
+
 @query(", i AS (SELECT ord AS iteration, us AS hi, us - CAST(value * 60000000 AS BIGINT) AS lo, ident FROM series) SELECT iteration, count(s.ord) AS samples, round(avg(s.value), 6) AS mean FROM i LEFT JOIN series s ON s.ident = i.ident AND s.us BETWEEN lo AND hi GROUP BY iteration", "series")
 def jn05_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN05: samples within each iteration's interval. Time is cut into hours, so that the join is on equal keys."""
+    """JN05: samples within each iteration's interval, as the difference of running counts and sums at its two ends.
+
+    Both ends stand among the samples of their hour; what came in earlier hours is added from a table of hours, in decimals, so that
+    differences are exact. No interval is paired with its samples, however dense they are.
+    """
     s = views.series(spark, sf_dir)
-    hour = 3_600_000_000
     i = s.select(F.col("ord").alias("iteration"), F.col("us").alias("hi"), (F.col("us") - (F.col("value") * 60000000).cast("long")).alias("lo"), "ident")
-    i = i.withColumn("hour", F.explode(F.sequence(F.floor(F.least("lo", "hi") / hour), F.floor(F.col("hi") / hour))))
-    x = s.select("ident", "us", "value", F.floor(F.col("us") / hour).alias("hour"), "ord")
-    met = i.join(x, ["ident", "hour"], "left").withColumn("inside", F.col("us").between(F.col("lo"), F.col("hi")))
-    return met.groupBy("iteration").agg(F.count_if("inside").alias("samples"), F.round(F.avg(F.when(F.col("inside"), F.col("value"))), 6).alias("mean"))
+    right = F.col("lo") <= F.col("hi")  # false or unknown: nothing lies within
+    ends = F.array(F.struct(F.col("hi").alias("us"), F.lit(1).alias("sign")), F.struct(F.when(right, F.col("lo") - 1).otherwise(F.col("hi")).alias("us"), F.lit(-1).alias("sign")))
+    ends = i.select("ident", "iteration", F.explode(ends).alias("e")).select("ident", "iteration", "e.us", "e.sign", F.lit(0).alias("n"), F.lit(None).cast("double").alias("value"))
+    own = s.select("ident", F.lit(None).cast("long").alias("iteration"), "us", F.lit(0).alias("sign"), F.lit(1).alias("n"), "value")
+    rows = own.unionByName(ends).withColumn("hour", F.expr(f"us div {HOUR}"))
+    hours = rows.groupBy("ident", "hour").agg(F.sum("n").alias("n"), F.sum(F.col("value").cast("decimal(30, 12)")).alias("v"), F.count("value").alias("k"))
+    earlier = W.partitionBy("ident").orderBy("hour").rowsBetween(W.unboundedPreceding, -1)
+    hours = hours.select(F.col("ident").alias("kind"), F.col("hour").alias("at"), *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}0") for c in "nvk"])
+    upto = W.partitionBy("ident", "hour").orderBy("us").rangeBetween(W.unboundedPreceding, 0)
+    run = rows.select("ident", "hour", "iteration", "sign", *[F.coalesce(c.over(upto), F.lit(0)).alias(n) for n, c in (("n", F.sum("n")), ("v", F.sum("value")), ("k", F.count("value")))]).filter("sign <> 0")
+    met = run.join(hours, F.col("ident").eqNullSafe(F.col("kind")) & F.col("hour").eqNullSafe(F.col("at")))
+    known = F.col("ident").isNotNull().cast("int") * F.col("sign")
+    total = met.groupBy("iteration").agg(F.sum(known * (F.col("n") + F.col("n0"))).alias("samples"), F.sum(known * (F.col("k") + F.col("k0"))).alias("k"), (F.sum(known * F.col("v")) + F.sum(known * F.col("v0")).cast("double")).alias("v"))
+    return total.select("iteration", "samples", F.round(F.when(F.col("k") > 0, F.col("v") / F.col("k")), 6).alias("mean"))
 
 
 @query(", a AS (SELECT * FROM series WHERE ident = 'click'), c AS (SELECT s.ord AS ord, a.ord AS near, abs(a.us - s.us) AS dt, row_number() OVER (PARTITION BY s.ord ORDER BY abs(a.us - s.us), a.us, a.ord) AS k FROM series s JOIN a ON a.label = s.label WHERE s.ident <> 'click') SELECT ord, near, dt FROM c WHERE k = 1 AND dt <= 86400000000", "series")

@@ -78,7 +78,7 @@ def gr08_reaches_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GR08: whether any node below has a class with the prefix. Marks rise along doubled links, so rounds grow with the logarithm of the depth."""
     e = views.edge(spark, sf_dir)
     met = marks_above(e.select("node", F.col("parent").alias("to")), e.filter(F.col("class").startswith("Brand#3")).select(F.col("parent").alias("node")))
-    return e.select("node").join(met.withColumn("reaches", F.lit(True)), "node", "left").select("node", F.coalesce("reaches", F.lit(False)).alias("reaches"))
+    return e.select("node").join(met.withColumn("reaches", F.lit(True)).hint("merge"), "node", "left").select("node", F.coalesce("reaches", F.lit(False)).alias("reaches"))
 
 
 _graph = """, b AS (SELECT e.node, e.muted, e.class = 'Brand#13' AS auto, e.node > 2 AND coalesce(p.class = 'Brand#13', false) AS rebound, e.parent

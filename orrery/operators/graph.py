@@ -16,7 +16,7 @@ def climb(links: DataFrame, starts: DataFrame) -> DataFrame:
     Links double in length each round, so a path of n steps takes about log2(n) rounds, each a written table. What still has
     links after more rounds than any path could need goes round in a circle: its ``at`` is null.
     """
-    links, state = keep(links), keep(starts)
+    links, state = keep(links).hint("merge"), keep(starts)  # tables of the graph's size are never sent whole through the driver
     rounds = links.count().bit_length() + 1
     while rounds:
         l = links.alias("l")
@@ -25,7 +25,7 @@ def climb(links: DataFrame, starts: DataFrame) -> DataFrame:
         if state.join(links, state["at"] == links["node"], "left_semi").isEmpty():
             return state
         m = links.alias("m")
-        links = keep(l.join(m, F.col("l.to") == F.col("m.node"), "left").select("l.node", F.coalesce("m.to", "l.to").alias("to"), (F.col("l.weight") + F.coalesce("m.weight", F.lit(0))).alias("weight")))
+        links = keep(l.join(m, F.col("l.to") == F.col("m.node"), "left").select("l.node", F.coalesce("m.to", "l.to").alias("to"), (F.col("l.weight") + F.coalesce("m.weight", F.lit(0))).alias("weight"))).hint("merge")
         rounds -= 1
     circle = links.select(F.col("node").alias("at"), F.lit(True).alias("circle"))
     return state.join(circle, "at", "left").select("node", F.when(F.col("circle").isNull(), F.col("at")).alias("at"), "total")
@@ -42,10 +42,10 @@ def marks_above(links: DataFrame, marks: DataFrame) -> DataFrame:
     marks = keep(marks.filter("node is not null").distinct())
     rounds = links.count().bit_length() + 1
     while rounds and not links.isEmpty():
-        risen = links.join(marks, "node", "left_semi").select(F.col("to").alias("node"))
+        risen = links.join(marks.hint("merge"), "node", "left_semi").select(F.col("to").alias("node"))
         more = keep(marks.unionByName(risen).distinct())
         above = links.select(F.col("node").alias("to"), F.col("to").alias("next"))
-        longer = keep(links.join(above, "to").select("node", F.col("next").alias("to")))
+        longer = keep(links.join(above.hint("merge"), "to").select("node", F.col("next").alias("to")))
         discard(links, marks)
         links, marks, rounds = longer, more, rounds - 1
     return marks

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orrery.functions.clips import walk
-from orrery.operators.masks import PIXEL, of_kind
+from orrery.operators.masks import PIXEL, of_kind, tasks_for
 from orrery.plans.registry import query
 from orrery.sources import views
 
@@ -149,7 +149,9 @@ def radial(mask: DataFrame, side: int = SIDE) -> DataFrame:
 
     The radius is raised only, so the mask is always held; a mask of one pixel stays as it is.
     """
-    mask = mask.filter("frame is not null and y is not null and x is not null").distinct()
+    mask = mask.filter("frame is not null and y is not null and x is not null")
+    tasks = tasks_for(mask)
+    mask = mask.repartition(tasks, "frame").distinct()
     middle = mask.groupBy("frame").agg(F.avg("y").alias("cy"), F.avg("x").alias("cx"))
     far = mask.join(middle, "frame").selectExpr("frame", f"{_bin} AS bin", f"{_far} AS d").filter("d > 0").groupBy("frame", "bin").agg(F.max("d").alias("d"))
     radius = walk(far.select("frame", "bin", "d"), "frame", ["bin"], ["frame"], profile_of, "frame int, bin int, radius double")
@@ -157,7 +159,7 @@ def radial(mask: DataFrame, side: int = SIDE) -> DataFrame:
     along = lambda c: f"sequence(cast(greatest(0, floor({c}) - r) AS int), cast(least({side - 1}, ceil({c}) + r) AS int))"
     spots = reach.selectExpr("*", f"explode({along('cy')}) AS y").selectExpr("*", f"explode({along('cx')}) AS x")
     inside = spots.filter(f"{_far} <= round(radius[{_bin}], 6)").select(*PIXEL, F.lit(False).alias("mine"))
-    return inside.unionByName(mask.select(*PIXEL, F.lit(True).alias("mine"))).groupBy(*PIXEL).agg(F.bool_or("mine").alias("mine"))
+    return inside.unionByName(mask.select(*PIXEL, F.lit(True).alias("mine"))).repartition(tasks, "frame").groupBy(*PIXEL).agg(F.bool_or("mine").alias("mine"))
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.operators.masks import PIXEL, of_kind
+from orrery.operators.masks import PIXEL, bitmaps, of_kind
 from orrery.plans.registry import query
 from orrery.sources import views
 from orrery.sources.views import table
@@ -55,21 +55,29 @@ _mitigated = (
 )
 
 
-def mitigated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(frame, y, x, shape, late, cur): a padded box of the mask, the last HISTORY masks and the current one, united."""
-    raw = of_kind(views.px(spark, sf_dir), "raw")
-    box = boxes_of(raw_mask(spark, sf_dir)).selectExpr("frame", spots(f"greatest(y1 - {PAD}, 0)", f"least(y2 + {PAD}, {SIDE - 1})", f"greatest(x1 - {PAD}, 0)", f"least(x2 + {PAD}, {SIDE - 1})"))
-    late = raw.selectExpr(f"explode(sequence(frame, frame + {HISTORY - 1})) AS frame", "y", "x").join(raw.select("frame").distinct(), "frame", "left_semi")
-    flag = lambda df, *v: df.select(*PIXEL, *[F.lit(x).alias(n) for x, n in zip(v, ("shape", "late", "cur"), strict=True)])
-    rows = flag(box, True, False, False).union(flag(late, False, True, False)).union(flag(raw, False, False, True))
-    return rows.groupBy(*PIXEL).agg(*[F.bool_or(n).alias(n) for n in ("shape", "late", "cur")])
-
-
 @query(_mitigated + " SELECT frame, count(*) AS n, count(*) FILTER (shape) AS n_shape, count(*) FILTER (late) AS n_late, count(*) FILTER (cur) AS n_current, count(*) FILTER (cur AND NOT late) AS breaches FROM u GROUP BY frame", "px")
 def mk06_mitigated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MK06, MK07 (box): shape, history and current mask united; the result may lack no current pixel (breaches is 0)."""
-    n = lambda c: F.count_if(F.expr(c))
-    return mitigated(spark, sf_dir).groupBy("frame").agg(F.count("*").alias("n"), n("shape").alias("n_shape"), n("late").alias("n_late"), n("cur").alias("n_current"), n("cur and not late").alias("breaches"))
+    return mitigated_counts(bitmaps(of_kind(views.px_rows(spark, sf_dir), "raw"), SIDE))
+
+
+def mitigated_counts(m: DataFrame) -> DataFrame:
+    """(frame, n, n_shape, n_late, n_current, breaches) of bitmaps (frame, rows): pixels of a padded box of the mask, of the last HISTORY masks
+    and of the current one, united and apart. A frame meets HISTORY bitmaps, and no pixel is a row."""
+    m = m.filter(bits("rows") + " > 0")
+    seen = m.select(F.explode(F.sequence(F.col("frame"), F.col("frame") + HISTORY - 1)).alias("frame"), F.col("rows").alias("was"))
+    late = seen.groupBy("frame").agg(*[F.bit_or(F.col("was")[k]).alias(f"r{k}") for k in range(SIDE)]).select("frame", F.array(*[f"r{k}" for k in range(SIDE)]).alias("late"))
+    m = m.join(late, "frame").withColumn("across", F.expr("aggregate(rows, 0L, (s, v) -> s | v)"))
+    # the padded box: all columns from the first that has a pixel to the last, in all such rows
+    first, last = "length(bin(across & -across)) - 1", "length(bin(across)) - 1"
+    m = m.selectExpr("*", f"greatest({first} - {PAD}, 0) AS x1", f"least({last} + {PAD}, {SIDE - 1}) AS x2", "array_min(filter(transform(rows, (v, y) -> if(v <> 0, y, null)), y -> y is not null)) AS y1", "array_max(filter(transform(rows, (v, y) -> if(v <> 0, y, null)), y -> y is not null)) AS y2")
+    m = m.withColumn("shape", F.expr(f"transform(rows, (v, y) -> if(y between y1 - {PAD} and y2 + {PAD}, shiftleft(shiftleft(1L, x2 - x1 + 1) - 1, x1), 0L))"))
+    either = "zip_with(zip_with(rows, late, (a, b) -> a | b), shape, (a, b) -> a | b)"
+    return m.selectExpr("frame", f"{bits(either)} AS n", f"{bits('shape')} AS n_shape", f"{bits('late')} AS n_late", f"{bits('rows')} AS n_current", f"{bits('zip_with(rows, late, (a, b) -> a & ~b)')} AS breaches")
+
+
+def bits(rows: str) -> str:
+    return f"aggregate({rows}, 0L, (s, v) -> s + bit_count(v))"
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.operators.masks import of_kind
+from orrery.operators.masks import of_kind, tasks_for
 from orrery.plans.registry import query
 from orrery.sources import views
 
@@ -19,7 +19,8 @@ def normalised(mask: DataFrame, size: int = SIZE, least: int = LEAST) -> DataFra
     Every source pixel is dealt to the places that read it, so no canvas is put together. Empty cells have no row; masks of under
     ``least`` rows have none at all; repeated pixels count once, null places are left out; columns beyond the square are cut.
     """
-    mask = mask.select("frame", "y", "x").filter("frame is not null and y is not null and x is not null").distinct()
+    mask = mask.select("frame", "y", "x").filter("frame is not null and y is not null and x is not null")
+    mask = mask.repartition(tasks_for(mask), "frame").distinct()
     box = mask.groupBy("frame").agg(F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1"))
     box = box.selectExpr("frame", "y0", "x0", "y1 - y0 + 1 AS h", "x1 - x0 + 1 AS w").filter(F.col("h") >= least)
     box = box.withColumn("tw", F.greatest(F.lit(1), F.bround(F.col("w") * size / F.col("h")).cast("int"))).withColumn("th", F.lit(size))

@@ -4,7 +4,7 @@ import itertools
 
 import pytest
 
-from orrery.operators import masks
+from orrery.operators import masks, shapes, silhouettes
 from orrery.plans import catalog
 
 
@@ -45,3 +45,21 @@ def test_graph_tables_do_not_pass_the_driver(spark, sf_dir):
 
 def test_nearest_pose_keeps_no_structs(spark, sf_dir):
     assert "SortAggregate" not in plan(spark, sf_dir, "jn22_nearest_pose")
+
+
+def test_frames_in_a_task_do_not_grow_with_the_table(spark, monkeypatch):
+    mask = spark.range(40).selectExpr("cast(id AS int) AS frame", "explode(sequence(0, 9)) AS y", "1 AS x")
+    monkeypatch.setattr(masks, "FRAMES", 2)
+    assert masks.tasks_for(mask) == 20
+    assert "hashpartitioning(frame#" in (text := silhouettes.normalised(mask)._jdf.queryExecution().executedPlan().toString()) and ", 20), REPARTITION_BY_NUM" in text
+
+
+def test_mitigated_counts(spark):
+    pixels = [(0, 5, 5), (1, 5, 7), (1, 6, 9), (3, 0, 0), (3, 0, 23), (7, 23, 4)]
+    got = {r.frame: tuple(r)[1:] for r in shapes.mitigated_counts(masks.bitmaps(spark.createDataFrame(pixels, "frame int, y int, x int"))).collect()}
+    for f in {f for f, _, _ in pixels}:
+        cur, late = {(y, x) for g, y, x in pixels if g == f}, {(y, x) for g, y, x in pixels if f - 2 <= g <= f}
+        ys, xs = [y for y, _ in cur], [x for _, x in cur]
+        box = {(y, x) for y in range(max(0, min(ys) - 1), min(23, max(ys) + 1) + 1) for x in range(max(0, min(xs) - 1), min(23, max(xs) + 1) + 1)}
+        assert got.pop(f) == (len(box | late | cur), len(box), len(late), len(cur), 0)
+    assert got == {}

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -127,38 +131,6 @@ def au24_window_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.crossJoin(F.broadcast(alone)).select("win", "pixels", F.round(F.col("pixels") / F.col("alone"), 6).alias("ratio"), "core")
 
 
-def bound(x: Column, f) -> Column:
-    """``f`` of ``x``, which is worked out once however often ``f`` uses it."""
-    return F.get(F.transform(F.array(x), f), F.lit(0))
-
-
-def outline(corners: Column, n: int) -> Column:
-    """``n`` points at even steps along a closed polygon (array of struct x, y); one without length gives its first corner."""
-
-    def side(p: Column, i: Column) -> Column:
-        to = F.get(corners, (i + 1) % F.size(corners))
-        long = F.sqrt(F.pow(to["x"] - p["x"], 2) + F.pow(to["y"] - p["y"], 2))
-        return F.struct(p["x"].alias("x"), p["y"].alias("y"), (to["x"] - p["x"]).alias("dx"), (to["y"] - p["y"]).alias("dy"), long.alias("long"))
-
-    def length(sides: Column) -> Column:
-        return F.aggregate(sides, F.lit(0.0), lambda t, s: t + s["long"])
-
-    def point(on: Column, way: Column) -> Column:
-        share = F.when(on["long"] > 0, (way - on["from"]) / on["long"]).otherwise(0.0)
-        return F.struct((on["x"] + share * on["dx"]).alias("x"), (on["y"] + share * on["dy"]).alias("y"))
-
-    def points(placed: Column, total: Column) -> Column:
-        steps = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: k * total / n)
-        last = lambda way: F.element_at(F.filter(placed, lambda s: s["from"] <= way), -1)
-        return F.transform(steps, lambda way: bound(last(way), lambda on: point(on, way)))
-
-    def along(sides: Column) -> Column:
-        placed = F.transform(sides, lambda s, i: s.withField("from", length(F.slice(sides, F.lit(1), i))))
-        return bound(placed, lambda p: bound(length(p), lambda total: points(p, total)))
-
-    return bound(F.transform(corners, side), along)
-
-
 @query(
     """, o AS (SELECT frame, det, x1, y1, x2 - x1 AS w, y2 - y1 AS h, CAST(k AS INTEGER) AS k, k * 2 * (x2 - x1 + y2 - y1) / 16 AS t FROM box, generate_series(0, 15) s(k))
 SELECT frame, det, k, round(x1 + CASE WHEN t < w THEN t WHEN t < w + h THEN w WHEN t < 2 * w + h THEN 2 * w + h - t ELSE 0 END, 6) AS x,
@@ -167,10 +139,35 @@ round(y1 + CASE WHEN t < w THEN 0 WHEN t < w + h THEN t - w WHEN t < 2 * w + h T
 )
 def fn47_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN47: sixteen points at even steps along each box's outline."""
-    corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
-    box = views.box(spark, sf_dir).withColumn("c", F.array(corner("x1", "y1"), corner("x2", "y1"), corner("x2", "y2"), corner("x1", "y2")))
-    out = box.select("frame", "det", F.posexplode(outline(F.col("c"), 16)).alias("k", "p"))
-    return out.select("frame", "det", "k", F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"))
+    box = views.box(spark, sf_dir).select("frame", "det", F.array("x1", "x2", "x2", "x1").alias("cx"), F.array("y1", "y1", "y2", "y2").alias("cy"))
+    return outlines(box, 16).select("frame", "det", "k", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+def outlines(polygons: DataFrame, n: int) -> DataFrame:
+    """(frame, det, k, x, y): ``n`` points at even steps along closed polygons (frame, det, cx, cy: arrays of one length each), batch by batch; null where a corner is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cx, cy = batch.column("cx"), batch.column("cy")
+            size = cx.value_lengths().to_numpy(zero_copy_only=False)
+            for m in np.unique(size):  # corners: few kinds
+                at = pa.array(np.flatnonzero(size == m))
+                part = batch.take(at)
+                x, y = (part.column(c).flatten().to_numpy(zero_copy_only=False).reshape(len(at), -1) for c in ("cx", "cy"))
+                dx, dy = np.roll(x, -1, 1) - x, np.roll(y, -1, 1) - y
+                long = np.sqrt(dx * dx + dy * dy)
+                begins = np.cumsum(np.concatenate([np.zeros((len(at), 1)), long[:, :-1]], axis=1), axis=1)
+                way = np.arange(n)[None] * (begins[:, -1] + long[:, -1])[:, None] / n
+                on = (begins[:, None, :] <= way[:, :, None]).sum(2) - 1  # the last side that begins at or before the place
+                pick = lambda v, on=on: np.take_along_axis(v, on, 1)
+                along = pick(long)
+                share = np.where(along > 0, (way - pick(begins)) / np.where(along > 0, along, 1.0), 0.0)
+                rows = pa.array(np.repeat(np.arange(len(at)), n))
+                made = [part.column("frame").take(rows), part.column("det").take(rows), pa.array(np.tile(np.arange(n, dtype=np.int32), len(at)))]
+                made += [pa.array((pick(v) + share * pick(d)).ravel(), from_pandas=True) for v, d in ((x, dx), (y, dy))]
+                yield pa.RecordBatch.from_arrays(made, names=["frame", "det", "k", "x", "y"])
+
+    return polygons.mapInArrow(run, "frame long, det long, k int, x double, y double")
 
 
 #: Half axes of the head, distance of the eye, all in widths between the eyes (parameters of our own).

@@ -4,7 +4,7 @@ import itertools
 
 import pytest
 
-from orrery.operators import masks, shapes, silhouettes
+from orrery.operators import carries, masks, shapes, silhouettes
 from orrery.plans import catalog
 
 
@@ -63,3 +63,11 @@ def test_mitigated_counts(spark):
         box = {(y, x) for y in range(max(0, min(ys) - 1), min(23, max(ys) + 1) + 1) for x in range(max(0, min(xs) - 1), min(23, max(xs) + 1) + 1)}
         assert got.pop(f) == (len(box | late | cur), len(box), len(late), len(cur), 0)
     assert got == {}
+
+
+def test_outlines_by_batches(spark, sf_dir):
+    rows = [(1, 1, [0.0, 4.0, 4.0, 0.0], [0.0, 0.0, 4.0, 4.0]), (1, 2, [2.0, 2.0], [3.0, 3.0]), (1, 3, [0.0, None, 3.0], [0.0, 0.0, 4.0])]
+    got = {(r.det, r.k): (r.x, r.y) for r in carries.outlines(spark.createDataFrame(rows, "frame long, det long, cx array<double>, cy array<double>"), 8).collect()}
+    assert [got[1, k] for k in range(8)] == [(0, 0), (2, 0), (4, 0), (4, 2), (4, 4), (2, 4), (0, 4), (0, 2)]
+    assert all(got[2, k] == (2, 3) for k in range(8)) and got[3, 7] == (None, None) and len(got) == 24
+    assert "MapInArrow" in plan(spark, sf_dir, "fn47_outline")

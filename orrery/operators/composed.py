@@ -1,9 +1,9 @@
 """The composed pass over a log of poses: skeletons rebuilt to one build, re-timed, smoothed, moved and held near what was seen.
 
-A run is a stretch of frames in which one person keeps a slot. Spark finds runs, their sizes and their clocks; a task then walks
-along the frames of a run, in order, through a chain of stages. A stage keeps what it carries from frame to frame and the few
-samples that it still reads; a frame waits in it until the samples ahead of it that it needs have come. So a task holds some
-frames of one run, however long the run is. What depends on medians of the result (fit of the width) and all that stays within
+A run is a stretch of frames in which one person keeps a slot. Spark finds runs, their sizes and their clocks; a task then takes
+the frames of runs, in order, through a chain of stages: those of many short runs at once, as arrays; those of a long one by one. A
+stage keeps what it carries from frame to frame and the few samples that it still reads; a frame waits in it until the samples ahead
+of it that it needs have come. So a task holds some frames of a long run, however long it is. What depends on medians of the result (fit of the width) and all that stays within
 a frame (head, nearness, attached joints, canvas) are column expressions after the walk.
 
 Joints are numbered as in whole-body logs of 133: 0 to 16 body, 17 to 22 feet, 23 to 90 face, 91 to 132 hands.
@@ -12,17 +12,17 @@ Joints are numbered as in whole-body logs of 133: 0 to 16 body, 17 to 22 feet, 2
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from hashlib import md5
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from orrery.functions.clips import walk
 from orrery.functions.tables import keep
 from orrery.operators.warps import clock, smooth_noise
 from orrery.plans.registry import query
@@ -46,7 +46,10 @@ SEEN, FLOOR, THIN = 0.5, 5, 1e-3
 CANVAS = (640.0, 480.0)
 #: What a frame's slow noise keeps from the frame before, and frames on each side that are smoothed over.
 KEPT, AROUND = 0.9, 3
-RUN = ["arm", "clip", "slot", "run"]
+#: Runs of more frames are walked frame by frame.
+LONG = 1024
+KEY = ["clip", "slot", "run"]
+RUN = ["arm", *KEY]
 
 
 @dataclass(frozen=True)
@@ -95,12 +98,12 @@ def noise(seed: str, i: int, size: int) -> np.ndarray:
 
 
 def root(at: np.ndarray) -> np.ndarray:
-    return (at[11] + at[12]) / 2
+    return (at[..., 11, :] + at[..., 12, :]) / 2
 
 
-def turned(v: np.ndarray, angle: float) -> np.ndarray:
+def turned(v: np.ndarray, angle: float | np.ndarray) -> np.ndarray:
     c, s = np.cos(angle), np.sin(angle)
-    return np.array([v[0] * c - v[1] * s, v[0] * s + v[1] * c])
+    return np.stack([v[..., 0] * c - v[..., 1] * s, v[..., 0] * s + v[..., 1] * c], -1)
 
 
 class Rebuilt:
@@ -266,23 +269,163 @@ def through(stages: list, f: Frame) -> list[Frame]:
 WALKED = "arm string, clip long, slot long, run long, frame long, rx array<double>, ry array<double>, mx array<double>, my array<double>"
 
 
-def walker(arms: dict[str, Arm], salt: str) -> Callable[[], Callable[[list[tuple]], list[tuple]]]:
-    """Called with the one row (RUN, frame, i, n, t, tall, factors, xs, ys) of each frame of a run."""
+class Runs:
+    """The frames of some whole runs, one run after the other; what the stages do to a frame is done to all of them at once.
 
-    def start() -> Callable[[list[tuple]], list[tuple]]:
-        stages: list = []
+    i, n: place in the run and its length; run: number of the run; its first frame stands at i places before each.
+    """
+
+    def __init__(self, seeds: list[str], i: np.ndarray, n: np.ndarray, t: np.ndarray, tall: np.ndarray, factors: np.ndarray, raw: np.ndarray):
+        self.seeds, self.i, self.n, self.t, self.tall, self.factors, self.raw = seeds, i, n, t, tall, factors, raw
+        self.run, self.start, self.z = np.cumsum(i == 0) - 1, np.arange(len(i)) - i, None
+
+    def of_run(self, f: Callable[[str], float]) -> np.ndarray:
+        """A number that follows from a run's seed, at each of its frames."""
+        return np.array([f(s) for s in self.seeds])[self.run]
+
+    def carried(self, step: Callable[[np.ndarray, np.ndarray], None]) -> None:
+        """step(here, before) for the first frames of all runs, for their second ones, and so on; first frames stand before themselves."""
+        order = np.argsort(self.i, kind="stable")
+        for here in np.split(order, np.cumsum(np.bincount(self.i))[:-1]):
+            step(here, here - (self.i[here] > 0))
+
+    def at(self, t: np.ndarray, of: np.ndarray) -> np.ndarray:
+        t = np.clip(t, 0.0, self.n - 1.0)
+        k = np.floor(t).astype(np.int64)
+        f = (t - k).reshape(-1, *[1] * (of.ndim - 1))
+        low, high = of[self.start + k], of[self.start + np.minimum(k + 1, self.n - 1)]
+        return np.where(f == 0, low, (1 - f) * low + f * high)
+
+    def rebuilt(self, arm: Arm, at: np.ndarray) -> np.ndarray:
+        size = len(GROUPS) + 34
+        if self.z is None:  # all arms have the same
+            first = [int(md5(s.encode()).hexdigest()[:8], 16) for s in self.seeds]
+            self.z = np.stack([np.random.default_rng([first[r], i]).standard_normal(size) for r, i in zip(self.run.tolist(), self.i.tolist(), strict=True)])
+        still = np.stack([noise(s, -1 % 2**31, len(GROUPS)) for s in self.seeds])[self.run]
+        slow = np.sqrt(1 - KEPT * KEPT) * self.z
+
+        def step(here: np.ndarray, before: np.ndarray) -> None:
+            if self.i[here[0]]:
+                slow[here] += KEPT * slow[before]
+
+        self.carried(step)
+        old = np.concatenate([at, root(at)[:, None], ((at[:, 5] + at[:, 6]) / 2)[:, None]], axis=1)
+        new = np.full_like(old, np.nan)
+        new[:, 17] = old[:, 17]
+        for child, parent, g in BONES:
+            k, v = GROUPS.index(g), old[:, child] - old[:, parent]
+            if g in LIMBS:
+                v = turned(v, np.deg2rad(arm.angle) * still[:, k] + np.deg2rad(arm.drift) * slow[:, k])
+            new[:, child] = new[:, parent] + self.factors[:, k, None] * v
+        return new[:, :17] + (arm.sway * self.tall)[:, None, None] * slow[:, len(GROUPS) :].reshape(-1, 17, 2)
+
+    def phased(self, arm: Arm, at: np.ndarray) -> np.ndarray:
+        new = at.copy()
+        for c, (anchor, joints) in enumerate(CHAINS):
+            shift = self.of_run(lambda s, c=c: arm.phase * (2 * draw(s, "phase", c) - 1))
+            new[:, list(joints)] = at[:, [anchor]] + self.at(self.i + shift, at[:, list(joints)] - at[:, [anchor]])
+        return new
+
+    def smoothed(self, arm: Arm, at: np.ndarray) -> np.ndarray:
+        hips = root(at)[:, None]
+        rel, total, weights = at - hips, np.zeros_like(at), np.zeros_like(at)
+        for step in range(-AROUND, AROUND + 1):
+            here = np.flatnonzero((self.i + step >= 0) & (self.i + step < self.n))
+            other = rel[here + step]
+            w = np.where(np.isnan(other), 0.0, np.exp(-0.5 * (step / arm.sigma) ** 2))
+            total[here] += w * np.nan_to_num(other)
+            weights[here] += w
+        with np.errstate(invalid="ignore"):
+            return np.where(np.isnan(at), np.nan, total / weights + hips)
+
+    def along_path(self, arm: Arm, at: np.ndarray) -> np.ndarray:
+        start = self.of_run(lambda s: 2 * np.pi * draw(s, "path"))
+        d = self.at(self.i + arm.path * np.sin(2 * np.pi * self.i / arm.period + start), root(at)) - root(at)
+        far = np.hypot(d[:, 0], d[:, 1])
+        with np.errstate(invalid="ignore", divide="ignore"):
+            part = np.where(far > 0, np.minimum(1.0, arm.part * self.tall / far), 1.0)
+        return np.where(np.isnan(far)[:, None, None], at, at + (d * part[:, None])[:, None])
+
+    def swung(self, arm: Arm, at: np.ndarray) -> np.ndarray:
+        new = at.copy()
+        for c, (anchor, joints) in enumerate(CHAINS):
+            scale = self.of_run(lambda s, c=c: arm.swing * (2 * draw(s, "swing", c) - 1))
+            d = at[:, joints[0]] - at[:, anchor]
+            good = ~np.isnan(d).any(1) & d.any(1)
+            sums = np.zeros_like(d)
+            sums[good] = d[good] / np.hypot(d[good, 0], d[good, 1])[:, None]
+
+            def step(here: np.ndarray, before: np.ndarray, sums: np.ndarray = sums) -> None:
+                if self.i[here[0]]:
+                    sums[here] += sums[before]
+
+            self.carried(step)
+            away = np.arctan2(d[:, 1], d[:, 0]) - np.arctan2(sums[:, 1], sums[:, 0])
+            away = (away + np.pi) % (2 * np.pi) - np.pi
+            for j in joints:
+                moved = at[:, anchor] + turned(at[:, j] - at[:, anchor], scale * away)
+                new[:, j] = np.where(good[:, None], moved, at[:, j])
+        return new
 
-        def step(rows: list[tuple]) -> list[tuple]:
-            arm, clip, slot, run, frame, i, n, t, tall, factors, xs, ys = rows[0]
-            if not stages:
-                stages.extend(chain(arms[arm], f"{salt}|{clip}|{slot}|{run}", n, dict(zip(GROUPS, factors, strict=True)), tall))
-            raw = np.array([xs, ys], float).T
-            made = through(stages, Frame(i, frame, t, raw, raw))
-            return [(arm, clip, slot, run, f.frame, *f.raw.T.tolist(), *f.at.T.tolist()) for f in made]
+    def made(self, arm: Arm) -> np.ndarray:
+        """All frames after the stages of an arm, in the order of ``chain``."""
+        at = self.raw
+        at = self.rebuilt(arm, at) if arm.rebuild else at
+        at = self.at(self.t, at - root(at)[:, None]) + root(at)[:, None] if arm.cadence else at
+        at = self.phased(arm, at) if arm.phase else at
+        at = self.smoothed(arm, at) if arm.sigma else at
+        at = self.along_path(arm, at) if arm.path else at
+        return self.swung(arm, at) if arm.swing else at
 
-        return step
 
-    return start
+def walker(arms: tuple[Arm, ...], salt: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For ``mapInArrow`` over rows (KEY, frame, i, n, t, tall, factors, xs, ys) sorted by KEY and frame: all arms of each run.
+
+    Runs of up to LONG frames are made whole, many together; longer ones frame by frame, so that a task holds a few of their frames.
+    """
+
+    def out(arm: Arm, key: np.ndarray, raw: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        offsets = pa.array(np.arange(0, 17 * len(key) + 1, 17, dtype=np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(a[:, :, k]).ravel())) for a in (raw, at) for k in (0, 1)]
+        return pa.RecordBatch.from_arrays([pa.array([arm.name] * len(key), pa.string()), *map(pa.array, key.T), *lists], names=[c.split()[0] for c in WALKED.split(", ")])
+
+    def seed(key: np.ndarray) -> str:
+        return "|".join(map(str, (salt, *key[:3].tolist())))
+
+    def together(rows: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+        key, i, n, t, tall, factors, raw = rows
+        some = Runs([seed(k) for k in key[i == 0]], i, n, t, tall, factors, raw)
+        for arm in arms:
+            yield out(arm, key, raw, some.made(arm))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, stages = None, {}
+        for batch in batches:
+            flat = lambda c, w, batch=batch: batch[c].flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, w)
+            one = lambda c, batch=batch: batch[c].to_numpy(zero_copy_only=False)
+            rows = (np.stack([one(c) for c in (*KEY, "frame")], 1), one("i").astype(np.int64), one("n"), one("t"), one("tall"), flat("factors", len(GROUPS)), np.stack([flat("xs", 17), flat("ys", 17)], 2))
+            long = np.flatnonzero(rows[2] > LONG)
+            for arm in arms if len(long) else ():
+                frames, keys = [], []
+                for r in long.tolist():
+                    key, i, n, t, tall, factors, raw = (c[r] for c in rows)
+                    if i == 0:
+                        stages[arm.name] = chain(arm, seed(key), int(n), dict(zip(GROUPS, factors.tolist(), strict=True)), float(tall))
+                    made = through(stages[arm.name], Frame(int(i), int(key[3]), float(t), raw, raw))
+                    frames += made
+                    keys += [(*key[:3].tolist(), f.frame) for f in made]
+                if frames:
+                    yield out(arm, np.array(keys, np.int64), np.stack([f.raw for f in frames]), np.stack([f.at for f in frames]))
+            short = rows[2] <= LONG
+            rows = tuple(c[short] for c in rows)
+            rows = rows if waiting is None else tuple(np.concatenate(c) for c in zip(waiting, rows, strict=True))
+            ends = np.flatnonzero(rows[1] == rows[2] - 1)
+            end = ends[-1] + 1 if len(ends) else 0
+            waiting = tuple(c[end:] for c in rows)
+            if end:
+                yield from together(tuple(c[:end] for c in rows))
+
+    return run
 
 
 def seen_runs(log: DataFrame) -> DataFrame:
@@ -318,10 +461,11 @@ def _length(c: int, p: int) -> Column:
 def sizes(runs: DataFrame) -> DataFrame:
     """Of each run: n, tall (median height), factors (by group, to the build) and status: done, short or degenerate."""
     per = runs.select("clip", "slot", "run", "n", "xs", "ys", (F.array_max("ys") - F.array_min("ys")).alias("h"))
-    bones = {g: F.array(*[_length(c, p) for c, p, k in BONES if k == g]) for g in GROUPS}
+    bones = {g: [_length(c, p) for c, p, k in BONES if k == g] for g in GROUPS}
     key = ["clip", "slot", "run"]
-    long = per.select(*key, F.explode(F.array(*[F.struct(F.lit(g).alias("g"), lengths.alias("l")) for g, lengths in bones.items()])).alias("b"))
-    median = long.select(*key, "b.g", F.explode("b.l").alias("l")).groupBy(*key).pivot("g", GROUPS).agg(F.median("l"))
+    most = max(map(len, bones.values()))  # a row holds one bone of every group
+    each = [F.struct(*[(lengths[k] if k < len(lengths) else F.lit(None).cast("double")).alias(g) for g, lengths in bones.items()]) for k in range(most)]
+    median = per.select(*key, F.explode(F.array(*each)).alias("b")).groupBy(*key).agg(*[F.median(f"b.{g}").alias(g) for g in GROUPS])
     tall = per.groupBy(*key).agg(F.first("n").alias("n"), F.greatest(F.median("h"), F.lit(1.0)).alias("tall"))
     s = tall.join(median, key, "left")
     stature = BUILD["neck"] + BUILD["spine"] + BUILD["thigh"] + BUILD["shin"]
@@ -336,11 +480,10 @@ def walked(log: DataFrame, arms: tuple[Arm, ...], salt: str) -> tuple[DataFrame,
     """Frames of runs that are done (written, as runs and sizes are: all are read more than once), before (rx, ry) and after the chain (mx, my), and all frames that have a run with its status."""
     runs = keep(seen_runs(log))
     size = keep(sizes(runs))
-    done = runs.join(size.filter("status = 'done'").drop("n"), ["clip", "slot", "run"])
-    done = done.select(F.explode(F.array(*[F.lit(a.name) for a in arms])).alias("arm"), "*")
-    timed = clock(smooth_noise(done, RUN, F.lit(salt), F.col("clip"), F.col("slot"), F.col("run")), RUN)
-    rows = timed.select(*RUN, "frame", "i", "n", "t", "tall", "factors", "xs", "ys")
-    frames = keep(walk(rows, RUN, ["frame"], ["frame"], walker({a.name: a for a in arms}, salt), WALKED))
+    done = runs.join(size.filter("status = 'done'").drop("n"), KEY)
+    timed = clock(smooth_noise(done, KEY, F.lit(salt), *map(F.col, KEY)), KEY)
+    rows = timed.select(*KEY, "frame", "i", "n", "t", "tall", "factors", "xs", "ys")
+    frames = keep(rows.repartition(*KEY).sortWithinPartitions(*KEY, "frame").mapInArrow(walker(arms, salt), WALKED))
     return frames.join(size.select("clip", "slot", "run", "tall"), ["clip", "slot", "run"]), runs.select("clip", "slot", "run", "frame").join(size, ["clip", "slot", "run"])
 
 
@@ -384,6 +527,7 @@ def composed(log: DataFrame, arms: tuple[Arm, ...] = (SHIPPED,), salt: str = "",
     frames, states = walked(log, arms, salt)
     rows = log.groupBy("clip", "slot", "frame", "joint").agg(F.max(F.struct("conf", "x", "y")).alias("b")).select("clip", "slot", "frame", "joint", "b.*")
     rows = rows.join(states.select("clip", "slot", "frame", "run", "status"), ["clip", "slot", "frame"], "left").withColumn("status", F.coalesce("status", F.lit("absent")))
+    rows = keep(rows)  # read by both branches below
     conf = F.when(F.col("conf") >= SEEN, 1).otherwise(0).alias("conf")
     known = (F.col("conf") >= SEEN) & F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y")
 

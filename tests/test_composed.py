@@ -222,3 +222,36 @@ def test_awkward_rows(spark):
     assert c.composed(log.limit(0)).collect() == []
     a, b = (c.composed(log.filter("frame < 12"), salt=s).filter(F.col("joint") == 9).orderBy("frame").collect() for s in "ab")
     assert [r.x for r in a] != [r.x for r in b]
+
+
+def test_short_runs_are_made_together_and_long_ones_frame_by_frame_alike(spark, sf_dir, monkeypatch):
+    log = c.whole_log(spark, sf_dir)
+    arms = (c.SHIPPED, c.ARMS[1])
+    walked = {tuple(r)[:5]: [np.array(a, float) for a in tuple(r)[5:9]] for r in c.walked(log, arms, "s")[0].select(*c.RUN, "frame", "rx", "ry", "mx", "my").collect()}
+    rows = c.walked(log, arms, "s")[1].filter("status = 'done'").count()
+    assert len(walked) == 2 * rows > 100
+    runs = spark.createDataFrame([(1, 0, 1, f, f, 40, f * 1.0, 100.0, [1.0] * len(c.GROUPS), [None if j == f else float(j * f % 50) for j in range(17)], [None if j == f else j + 1.0 for j in range(17)]) for f in range(40)],
+                                 "clip long, slot long, run long, frame long, i int, n long, t double, tall double, factors array<double>, xs array<double>, ys array<double>")
+    runs = runs.coalesce(1).sortWithinPartitions("frame")
+    got = []
+    for long in (39, 40):
+        monkeypatch.setattr(c, "LONG", long)
+        made = runs.mapInArrow(c.walker(arms, "s"), c.WALKED).orderBy("arm", "frame").collect()
+        got.append(np.array([[*r.rx, *r.ry, *r.mx, *r.my] for r in made], float))
+    assert got[0].shape == (80, 68) and np.allclose(*got, equal_nan=True, rtol=0, atol=1e-9)
+
+
+def test_no_frame_of_a_short_run_is_walked_by_itself():
+    rnd, n = np.random.default_rng(5), np.repeat([7, 9, 5], [7, 9, 5])
+    i = np.concatenate([np.arange(7), np.arange(9), np.arange(5)])
+    raw = rnd.uniform(0, 100, (21, 17, 2))
+    raw[4, 3] = raw[12, 11] = np.nan
+    t, tall, factors = i * 0.9, np.full(21, 80.0), rnd.uniform(0.5, 2, (21, len(c.GROUPS)))
+    at = c.Runs(["a", "b", "c"], i, n, t, tall, factors, raw).made(c.SHIPPED)
+    for r, (s, seed) in enumerate(zip((0, 7, 16), "abc", strict=True)):
+        stages = c.chain(c.SHIPPED, seed, int(n[s]), dict(zip(c.GROUPS, factors[s], strict=True)), 80.0)
+        want = []
+        for k in range(s, s + n[s]):
+            stages[0].factors = dict(zip(c.GROUPS, factors[k], strict=True))
+            want += c.through(stages, c.Frame(int(i[k]), k, t[k], raw[k], raw[k]))
+        assert np.allclose([f.at for f in want], at[s : s + n[s]], equal_nan=True, rtol=0, atol=1e-9), r

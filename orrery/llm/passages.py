@@ -10,7 +10,8 @@ Verbatim passages need no comparing: the nodes that span 50 words or more hold e
 all words that a node's windows cover tells which documents have the same; only different surroundings of one key
 are looked at window by window. For edited passages, a key's holders are compared with the first of them (windows of a pair of
 documents are joined as intervals on like diagonals, and the stretches are verified word hash by word hash). Where a
-holder is unlike the first, the key's other holders go on without it: two of them that are alike have a shingle near the key
+holder is unlike the first, the key's other holders go on without it. Up to DEALT different surroundings of a key are then
+compared in one go, by blocks, all those of unlike classes. Of keys with more, two holders that are alike have a shingle near the key
 that the first lacks, and it is among the nearest six on its side for both, as one changed word spoils five at most. That
 shingle and the key make the key of the next round. No other first document's shingles are taken away, so none can hide a
 pair. A key ends when its holders are one class, or one is left; a line that very many unlike documents hold ends at once.
@@ -41,6 +42,8 @@ GRAM, SPAN, FUNCTIONS = 13, 13, 1
 BESIDE = MIN_WORDS - GRAM - SPAN + 1 + SHINGLE
 #: Grams of a window of MIN_WORDS; shingles on either side of a key that may join it: one changed word spoils SHINGLE of them.
 WHOLE, NEAREST = MIN_WORDS - GRAM + 1, SHINGLE + 1
+#: Words beside a key that are its surroundings; different ones of a key that are compared in one task, or in one go, at the most.
+AROUND, TOGETHER, DEALT = 64, 256, 4096
 _odd = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -381,8 +384,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     """Verified passages (a written table): doc_id, mark, start, end (words), first_id, first_mark: who had it earlier.
 
     docs: (doc_id, text). Rows grow with the documents that hold a passage, not with their pairs. Every verbatim passage is
-    paired with the first document (smallest doc_id) that has it. Similar ones are paired with the first holder of a key, or with
-    one holder of a key of a later round, until documents that are alike are in one class. (A holder that has a key at several places is
+    paired with the first document (smallest doc_id) that has it. Similar ones are paired with the first holder of a key, with the
+    first of unlike class that is alike among few holders, or with one holder of a key of a later round, until documents that are alike are in one class. (A holder that has a key at several places is
     compared at the first of them; a passage that is edited, and not verbatim, at a later one only, meets by its other keys.)
     """
     docs = docs.select("doc_id", "text", text_mark(F.col("text")).alias("mark"))
@@ -390,8 +393,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     while True:
         out, entries, masks = compared(texts, met, not found)
         found.append(out)
-        discard(met, texts if len(found) > 1 else None)
-        asks, classes = going_on(entries, masks, out, classes)
+        discard(met, texts)
+        near, asks, classes = going_on(docs, entries, masks, out, classes)
+        found += [near] if near is not None else []
         discard(entries, masks)
         if asks is None:
             break
@@ -563,26 +567,144 @@ def joined(classes: DataFrame | None, links: DataFrame) -> DataFrame:
     return after
 
 
-def going_on(entries: DataFrame, masks: DataFrame, out: DataFrame, classes: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None]:
-    """(asks, classes) of the next round (None: there is none), from keys with a holder that is unlike the one compared with.
+def links_of(found: DataFrame) -> DataFrame:
+    return found.select(whose().alias("a"), whose("first_id", "first_mark").alias("b"))
 
-    All other holders of such a key go on if they are of several classes. asks: (doc_id, mark, asks), see ``joined_keys``.
+
+def surroundings(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """(key, words, doc_id, mark, lo, class), a written table: the different surroundings of each key (word hashes, from the word ``lo``)
+    and the first holder of each. named: (doc_id, mark, place, key, class).
+
+    Holders of one surrounding are alike verbatim, so of one class.
+    """
+    asked = named.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("place", "key", "class")).alias("asked"))
+
+    @F.pandas_udf("array<binary>")
+    def cut(texts: pd.Series, asked: pd.Series) -> pd.Series:
+        out = []
+        for text, asks in zip(texts, asked, strict=True):
+            slim = word_hashes(text).astype(np.uint32)
+            out.append([slim[max(0, r["place"] - AROUND) : r["place"] + GRAM + AROUND].tobytes() for r in asks])
+        return pd.Series(out, dtype=object)
+
+    held = docs.alias("d").join(asked.alias("q"), same("d", "q")).select("d.doc_id", "d.mark", "q.asked", cut("d.text", "q.asked").alias("words"))
+    held = held.select("doc_id", "mark", F.explode(F.arrays_zip("asked", "words")).alias("w")).select("doc_id", "mark", "w.asked.*", "w.words")
+    first = F.min(F.struct("doc_id", "mark", F.greatest(F.col("place") - AROUND, F.lit(0)).alias("lo"), "class")).alias("f")
+    return keep(held.groupBy("key", "words").agg(first).select("key", "words", "f.*"))
+
+
+def alike_pairs(words: list[np.ndarray], classes: list[int], blocks: list[int]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(later, earlier, runs of the later one) of some surroundings, in order: each with the first that is alike and of another class, and
+    with others as far as that joins classes that are not joined yet. Where there are two blocks, only those of unlike blocks meet.
+
+    What similar_spans asks for at the least is looked up for all pairs at once: a window with enough shingles in common, and a
+    chain of them that makes up MIN_WORDS words.
+    """
+    g = [shingles(w) for w in words]
+    begin = np.cumsum([0, *map(len, g)])
+    _, number = np.unique(np.concatenate(g), return_inverse=True)
+    held = np.zeros((len(g), int(number.max(initial=-1)) + 1), bool)
+    held[np.repeat(np.arange(len(g)), np.diff(begin)), number] = True
+    wide, chain = np.zeros((len(g), len(g)), bool), MIN_WORDS + SHINGLE + 1
+    for k in range(len(g)):
+        total = np.zeros((len(g), len(words[k]) + 2 * SHINGLE + 2), np.int16)
+        total[:, 1 : len(g[k]) + 1] = np.cumsum(held[:, number[begin[k] : begin[k + 1]]], axis=1, dtype=np.int16)
+        total[:, len(g[k]) + 1 :] = total[:, len(g[k]), None]
+        enough = (total[:, LEAST:] - total[:, :-LEAST]).max(1, initial=0) >= SHARED
+        near = np.concatenate([total[:, 1 : 2 * SHINGLE + 1] > 0, total[:, 2 * SHINGLE + 1 :] > total[:, : -2 * SHINGLE - 1]], axis=1)
+        steps = np.concatenate([np.zeros((len(g), 1), np.int16), np.cumsum(near, axis=1, dtype=np.int16)], axis=1)
+        wide[k] = enough & ((steps[:, chain:] - steps[:, :-chain]).max(1, initial=0) == chain)
+    kind = np.array(classes, np.int64)
+    meets = wide & wide.T & (kind[:, None] != kind[None, :])
+    side = np.array(blocks, np.int64)
+    if (side != side[0]).any():
+        meets &= side[:, None] != side[None, :]
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while c in root:
+            c = root[c]
+        return c
+
+    for k in range(len(g)):
+        met = False
+        for o in np.flatnonzero(meets[k, :k]).tolist():
+            x, y = find(classes[k]), find(classes[o])
+            if met and x == y:
+                continue
+            here, there, _ = similar_spans(words[k], words[o])
+            if len(here) and len(there):
+                met = True
+                if x != y:
+                    root[x] = y
+                yield k, o, here
+
+
+def resolved(rows: DataFrame) -> DataFrame:
+    """(ENDS, start, end) from surroundings of keys and their number n; those of over TOGETHER are dealt out as pairs of blocks."""
+    parts = F.when(F.col("n") <= TOGETHER, 1).otherwise(F.ceil(F.col("n") * 2 / TOGETHER)).cast("int")
+    rows = rows.withColumn("parts", parts).withColumn("block", F.expr("cast(pmod(xxhash64(words), parts) AS int)"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.withColumn("pair", F.expr("least(block, other) * parts + greatest(block, other)"))
+    rows = rows.repartition("key", "pair").sortWithinPartitions("key", "pair", "doc_id", "mark", "lo")  # null ids first
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def compare(group: pd.DataFrame) -> Iterator[tuple]:
+            ids, marks, base = ([None if pd.isna(i) else int(i) for i in group[c]] for c in ("doc_id", "mark", "lo"))
+            words = [np.frombuffer(w, np.uint32).astype(np.uint64) for w in group["words"]]
+            for k, o, here in alike_pairs(words, group["class"].tolist(), group["block"].tolist()):
+                for s, e in here.tolist():
+                    yield ids[k], marks[k], ids[o], marks[o], base[k] + s, base[k] + e
+
+        def table(groups: list[pd.DataFrame]) -> pd.DataFrame:
+            found = [x for group in groups for x in compare(group)]
+            return pd.DataFrame({c: pd.array([x[k] for x in found], kind) for k, (c, kind) in enumerate(zip((*ENDS, "start", "end"), ("Int64", "Int32") * 2 + ("Int32",) * 2, strict=True))})
+
+        rest = None  # the last group of a batch may go on in the next
+        for batch in batches:
+            if not len(batch):
+                continue
+            batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            key, pair = batch["key"].to_numpy(np.int64), batch["pair"].to_numpy(np.int64)
+            edge = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (pair[1:] != pair[:-1])) + 1).tolist()]
+            yield table([batch.iloc[s:e] for s, e in zip(edge, edge[1:], strict=False)])
+            rest = batch.iloc[edge[-1] :]
+        if rest is not None:
+            yield table([rest])
+
+    return rows.select("key", "pair", "block", "doc_id", "mark", "lo", "class", "words").mapInPandas(run, "doc_id long, mark int, first_id long, first_mark int, start int, end int")
+
+
+def going_on(
+    docs: DataFrame, entries: DataFrame, masks: DataFrame, out: DataFrame, classes: DataFrame | None
+) -> tuple[DataFrame | None, DataFrame | None, DataFrame | None]:
+    """(passages, asks, classes) from keys with a holder that is unlike the one compared with, if all others are of several classes.
+
+    passages: from keys of DEALT surroundings at the most, which end here. asks: (doc_id, mark, asks), see ``joined_keys``: all holders of other keys,
+    with what goes on into the next round (None: there is none).
     """
     if entries.isEmpty():
         discard(classes)
-        return None, None
-    classes = joined(classes, out.select(whose().alias("a"), whose("first_id", "first_mark").alias("b")))
-    named = entries.withColumn("node", whose()).join(classes, "node", "left").withColumn("class", F.coalesce("component", "node"))
+        return None, None, None
+    classes = joined(classes, links_of(out))
+    named = entries.select("doc_id", "mark", "place", "key").distinct().withColumn("node", whose()).join(classes, "node", "left")
+    named = keep(named.withColumn("class", F.coalesce("component", "node")).drop("node", "component"))
     several = keep(named.groupBy("key").agg((F.min("class") != F.max("class")).alias("several")).filter("several").select("key"))
-    going = entries.join(several, "key", "left_semi").groupBy(*ENDS).agg(F.collect_set(F.struct("place", "key")).alias("held"))
+    rows = surroundings(docs, named.join(several, "key", "left_semi"))
+    counts = keep(rows.groupBy("key").agg(F.count("*").alias("n")))
+    near = keep(resolved(rows.join(counts.filter(f"n <= {DEALT}"), "key")))
+    discard(named, several, rows)
+    many = counts.filter(f"n > {DEALT}").select("key")
+    if many.isEmpty():
+        discard(counts, classes)
+        return near, None, None
+    classes = joined(classes, links_of(near))
+    going = entries.join(many, "key", "left_semi").groupBy(*ENDS).agg(F.collect_set(F.struct("place", "key")).alias("held"))
     theirs = masks.groupBy(*ENDS).agg(F.collect_set("m").alias("masks"))
     going = going.alias("o").join(theirs.alias("m"), ended("o", "m"), "left").select("o.*", "m.masks")
     asks = keep(going.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("held", "masks")).alias("asks")))
-    discard(several)
-    if asks.isEmpty():
-        discard(asks, classes)
-        return None, None
-    return asks, classes
+    discard(counts)
+    return near, asks, classes
 
 
 def unite(batch: pd.Series) -> pd.Series:

@@ -198,3 +198,48 @@ def test_passages_put_together_from_others_by_hand(spark):
         covered[k] = len({j for i, g in enumerate(grams) if g in seen for j in range(i, i + 50)})
         seen |= set(grams)
     assert all(report[k].n_repeated >= n for k, n in covered.items()) and sum(covered.values()) > 300
+
+
+def lines_with_edits(seed, n):
+    """Texts around common lines of 45 to 47 words with their neighbours, some alike but for a word, most unlike."""
+    rnd = random.Random(seed)
+    fresh = lambda n: [f"w{rnd.randrange(10**7)}" for _ in range(n)]
+    lines = [fresh(45), fresh(47), fresh(33)]
+    cores = [[*fresh(3), *lines[k % 3], *fresh(20)] for k in range(n // 4)]
+    rows = []
+    for k in range(n):
+        w = list(rnd.choice(cores)) if k % 2 else [*fresh(5), *lines[k % 3], *fresh(5)]
+        for _ in range(rnd.randint(0, 2)):
+            at = rnd.randrange(len(w))
+            w[at : at + rnd.randint(0, 1)] = fresh(rnd.randint(0, 1))
+        rows.append((k, " ".join([*fresh(rnd.randint(0, 70)), *w, *fresh(rnd.randint(0, 70))])))
+    return rows
+
+
+def test_pairs_of_surroundings_by_hand():
+    rows = lines_with_edits(16, 120)
+    words_of = [passages.word_hashes(t).astype(np.uint32).astype(np.uint64)[:141] for _, t in rows]
+    alike = lambda k, o: all(map(len, passages.similar_spans(words_of[k], words_of[o])[:2]))
+    want = {(k, o) for k in range(120) for o in range(k) if alike(k, o)}
+    got = [(k, o) for k, o, _ in passages.alike_pairs(words_of, list(range(120)), [0] * 120)]
+    assert set(got) <= want and len(want) > 30
+    assert {k: min(o for x, o in want if x == k) for k, _ in want} == {k: min(o for x, o in got if x == k) for k, _ in got}
+    assert {(k, o) for k, o, _ in passages.alike_pairs(words_of, [0] * 60 + [1] * 60, [0] * 120)} <= {(k, o) for k, o in want if o < 60 <= k}
+    across = {(k, o) for k, o in want if k % 2 != o % 2}
+    found = [(k, o) for k, o, _ in passages.alike_pairs(words_of, list(range(120)), [k % 2 for k in range(120)])]
+    assert set(found) <= across and {k for k, _ in found} == {k for k, _ in across}
+
+
+def test_few_tables_for_edits_of_common_lines(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(passages, "keep", lambda df, keep=passages.keep: written.append(1) or keep(df))
+    check_by_hand(spark, lines_with_edits(17, 90))
+    assert len(written) < 30  # more than two rounds before
+
+
+def test_blocks_and_rounds_find_the_same(spark, monkeypatch):
+    rows = lines_with_edits(18, 90)
+    monkeypatch.setattr(passages, "TOGETHER", 8)
+    check_by_hand(spark, rows)
+    monkeypatch.setattr(passages, "DEALT", 8)  # hotter keys go on in rounds
+    check_by_hand(spark, rows)

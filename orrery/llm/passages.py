@@ -10,11 +10,11 @@ Verbatim passages need no comparing: the nodes that span 50 words or more hold e
 all words that a node's windows cover tells which documents have the same; only different surroundings of one key
 are looked at window by window. For edited passages, a key's holders are compared with the first of them (windows of a pair of
 documents are joined as intervals on like diagonals, and the stretches are verified word hash by word hash). Where a
-holder is unlike the first, the key's other holders go on without it. Up to DEALT different surroundings of a key are then
-compared in one go, by blocks, all those of unlike classes. Of keys with more, two holders that are alike have a shingle near the key
-that the first lacks, and it is among the nearest six on its side for both, as one changed word spoils five at most. That
-shingle and the key make the key of the next round. No other first document's shingles are taken away, so none can hide a
-pair. A key ends when its holders are one class, or one is left; a line that very many unlike documents hold ends at once.
+holder is unlike the first, the key's other holders go on without it. The different surroundings of a key are then compared in
+one go, by blocks, all those of unlike classes, if up to DEALT are outside its largest class. Of keys with more, two holders
+that are alike have a shingle near the key that the first lacks, and it is among the nearest six on its side for both, as one
+changed word spoils five at most. That shingle and the key make the key of the next round. No other first document's shingles
+are taken away, so none can hide a pair. A key ends when its holders are one class, or one is left; a line that very many unlike documents hold ends at once.
 """
 
 from __future__ import annotations
@@ -42,8 +42,11 @@ GRAM, SPAN, FUNCTIONS = 13, 13, 1
 BESIDE = MIN_WORDS - GRAM - SPAN + 1 + SHINGLE
 #: Grams of a window of MIN_WORDS; shingles on either side of a key that may join it: one changed word spoils SHINGLE of them.
 WHOLE, NEAREST = MIN_WORDS - GRAM + 1, SHINGLE + 1
-#: Words beside a key that are its surroundings; different ones of a key that are compared in one task, or in one go, at the most.
-AROUND, TOGETHER, DEALT = 64, 256, 4096
+#: Words beside a key that are its surroundings; different ones of a key in one block, and those outside its largest class
+#: that are compared in one go, at the most.
+AROUND, TOGETHER, DEALT = 64, 4096, 1 << 16
+#: Places in a row that have a common shingle within reach, where common shingles make up MIN_WORDS words.
+CHAIN = MIN_WORDS + SHINGLE + 1
 _odd = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -593,59 +596,161 @@ def surroundings(docs: DataFrame, named: DataFrame) -> DataFrame:
     return keep(held.groupBy("key", "words").agg(first).select("key", "words", "f.*"))
 
 
+def promising(words: list[np.ndarray], classes: list[int], blocks: list[int]) -> np.ndarray:
+    """Places of the surroundings that may be alike to one of another class (and block, where there are two), in order.
+
+    Shingles that one class alone has take no part in such a pair, so windows without enough others fall away, and then, once more,
+    shingles that only one class has in the windows left: similar_spans looks twice too. What is left must make up MIN_WORDS words.
+    Time grows with the words, not with pairs.
+    """
+    n, gap = len(words), 2 * SHINGLE + 2  # empty places between two texts, over which no run of words reaches
+    sizes = np.fromiter(map(len, words), np.int64, n)
+    begin = np.cumsum(sizes + gap) - sizes - gap
+    row = np.repeat(np.arange(n, dtype=np.int32), sizes + gap)
+    flat = np.zeros(len(row), np.uint64)
+    flat[np.arange(sizes.sum()) + np.repeat(begin - np.cumsum(sizes) + sizes, sizes)] = np.concatenate(words)
+    left = np.maximum(sizes - SHINGLE + 1, 0)[row] - (np.arange(len(row)) - begin[row])  # shingles from here to the text's end
+    at = np.flatnonzero(left > 0)
+    if not len(at):
+        return at
+    different, number = np.unique(shingles(np.append(flat, np.zeros(SHINGLE - 1, np.uint64)))[at], return_inverse=True)
+    kinds = [np.unique(x, return_inverse=True)[1] for x in (classes, blocks)]
+    mark, fits = np.ones(len(at), bool), left >= LEAST
+    del flat, left
+    for _ in range(2):
+        several, seen = np.ones(len(different), bool), number[mark]
+        for kind in kinds if kinds[1].any() else kinds[:1]:
+            low, high, own = np.full(len(different), n), np.full(len(different), -1), kind[row[at[mark]]]
+            np.minimum.at(low, seen, own)
+            np.maximum.at(high, seen, own)
+            several &= low < high
+        mark &= several[number]
+        total = np.zeros(len(row) + LEAST, np.int64)
+        total[at + 1] = mark
+        total = np.cumsum(total)
+        good = np.flatnonzero(fits & (total[LEAST:] - total[:-LEAST] >= SHARED))
+        edge = np.zeros(len(row) + LEAST, np.int64)
+        edge[good] += 1
+        edge[good + LEAST] -= 1
+        mark &= np.cumsum(edge)[at] > 0
+    total = np.zeros(len(row) + 1, np.int64)
+    total[at + 1] = mark
+    total = np.cumsum(total)
+    near = total[1:] > total[np.maximum(np.arange(len(row)) - 2 * SHINGLE, 0)]
+    steps = np.concatenate([[0], np.cumsum(near)])
+    return np.unique(row[np.flatnonzero(steps[CHAIN:] - steps[:-CHAIN] == CHAIN)])
+
+
+def sums(marks: np.ndarray, before: int, after: int) -> np.ndarray:
+    """Running sums along each row, from 0 on, with so many places without marks before and after it."""
+    width = marks.shape[1]
+    total = np.zeros((len(marks), before + 1 + width + after), np.int16)
+    np.cumsum(marks, axis=1, dtype=np.int16, out=total[:, before + 1 : before + 1 + width])
+    total[:, before + 1 + width :] = total[:, before + width, None]
+    return total
+
+
+def in_windows(held: np.ndarray) -> np.ndarray:
+    """Those of the marked shingles (a row each text) that lie in windows with enough of them."""
+    total, width = sums(held, 0, LEAST), held.shape[1]
+    total = sums(total[:, LEAST : LEAST + width] - total[:, :width] >= SHARED, LEAST - 1, 0)
+    return held & (total[:, LEAST:] > total[:, :-LEAST])
+
+
+def make_up_passages(mark: np.ndarray) -> np.ndarray:
+    """Whether a row's marked shingles may make up MIN_WORDS words, single changed ones among them."""
+    total = sums(mark, 2 * SHINGLE, 2 * SHINGLE)
+    steps = sums(total[:, 2 * SHINGLE + 1 :] > total[:, : -2 * SHINGLE - 1], 0, 0)
+    return (steps[:, CHAIN:] - steps[:, :-CHAIN]).max(1, initial=0) == CHAIN
+
+
+def near_enough(one: np.ndarray, others: np.ndarray, local: np.ndarray) -> np.ndarray:
+    """Which of the others (numbers of shingles, a row each) may be alike to one: the steps of similar_spans for all of them at once.
+
+    ``local`` has a place for each number and is all -1, before and after.
+    """
+    different, place = np.unique(one, return_inverse=True)
+    local[different] = np.arange(len(different))
+    rows = np.flatnonzero((local[others] >= 0).sum(1) >= SHARED)
+    at = local[others[rows]]
+    local[different] = -1
+    there = in_windows(at >= 0)
+    good = np.flatnonzero(make_up_passages(there))
+    rows, at, there = rows[good], at[good], there[good]
+
+    def held(i: np.ndarray, number: np.ndarray) -> np.ndarray:
+        marks = np.zeros((len(rows), len(different) + 1), bool)  # the last column, for -1, has none
+        marks[i, number] = True
+        return marks
+
+    def ours(marks: np.ndarray) -> np.ndarray:
+        i, j = np.nonzero(marks)
+        return in_windows(held(i, at[i, j])[:, place])
+
+    good = np.flatnonzero(make_up_passages(ours(there)))
+    rows, at = rows[good], at[good]
+    i, j = np.nonzero(ours(at >= 0))
+    return rows[make_up_passages(in_windows(np.take_along_axis(held(i, place[j]), at, 1)))]
+
+
 def alike_pairs(words: list[np.ndarray], classes: list[int], blocks: list[int]) -> Iterator[tuple[int, int, np.ndarray]]:
     """(later, earlier, runs of the later one) of some surroundings, in order: each with the first that is alike and of another class, and
     with others as far as that joins classes that are not joined yet. Where there are two blocks, only those of unlike blocks meet.
 
-    What similar_spans asks for at the least is looked up for all pairs at once: a window with enough shingles in common, and a
-    chain of them that makes up MIN_WORDS words.
+    Only those of unlike classes are compared, and of them only the ``promising``, each of the smaller class with all of larger ones at once.
     """
+    place = promising(words, classes, blocks)
+    if len(place) < 2:
+        return
+    words = [words[k] for k in place.tolist()]
     g = [shingles(w) for w in words]
-    begin = np.cumsum([0, *map(len, g)])
+    sizes = np.fromiter(map(len, g), np.int64, len(g))
     _, number = np.unique(np.concatenate(g), return_inverse=True)
-    held = np.zeros((len(g), int(number.max(initial=-1)) + 1), bool)
-    held[np.repeat(np.arange(len(g)), np.diff(begin)), number] = True
-    wide, chain = np.zeros((len(g), len(g)), bool), MIN_WORDS + SHINGLE + 1
-    for k in range(len(g)):
-        total = np.zeros((len(g), len(words[k]) + 2 * SHINGLE + 2), np.int16)
-        total[:, 1 : len(g[k]) + 1] = np.cumsum(held[:, number[begin[k] : begin[k + 1]]], axis=1, dtype=np.int16)
-        total[:, len(g[k]) + 1 :] = total[:, len(g[k]), None]
-        enough = (total[:, LEAST:] - total[:, :-LEAST]).max(1, initial=0) >= SHARED
-        near = np.concatenate([total[:, 1 : 2 * SHINGLE + 1] > 0, total[:, 2 * SHINGLE + 1 :] > total[:, : -2 * SHINGLE - 1]], axis=1)
-        steps = np.concatenate([np.zeros((len(g), 1), np.int16), np.cumsum(near, axis=1, dtype=np.int16)], axis=1)
-        wide[k] = enough & ((steps[:, chain:] - steps[:, :-chain]).max(1, initial=0) == chain)
-    kind = np.array(classes, np.int64)
-    meets = wide & wide.T & (kind[:, None] != kind[None, :])
-    side = np.array(blocks, np.int64)
-    if (side != side[0]).any():
-        meets &= side[:, None] != side[None, :]
-    root: dict[int, int] = {}
-
-    def find(c: int) -> int:
-        while c in root:
-            c = root[c]
-        return c
-
+    table = np.full((len(g), int(sizes.max())), int(number.max()) + 1, np.int32)  # past a text's end: what none has
+    table[np.arange(table.shape[1])[None, :] < sizes[:, None]] = number
+    _, root, n = np.unique(np.array(classes, np.int64)[place], return_inverse=True, return_counts=True)
+    rank, side = np.argsort(np.argsort(n, kind="stable"))[root], np.array(blocks, np.int64)[place]
+    local, alike, two = np.full(int(table.max()) + 1, -1, np.int32), np.zeros((len(g), len(g)), bool), len(set(blocks)) > 1
     for k in range(len(g)):
-        met = False
-        for o in np.flatnonzero(meets[k, :k]).tolist():
-            x, y = find(classes[k]), find(classes[o])
-            if met and x == y:
-                continue
+        rest = np.flatnonzero((rank > rank[k]) & (side != side[k]) if two else rank > rank[k])
+        for s in range(0, len(rest), 1024):
+            o = rest[s : s + 1024]
+            o = o[near_enough(table[k, : sizes[k]], table[o], local)]
+            alike[np.maximum(k, o), np.minimum(k, o)] = True
+    for k in np.flatnonzero(alike.any(1)).tolist():
+        rest, met = np.flatnonzero(alike[k]), False
+        while len(rest):
+            o, rest = int(rest[0]), rest[1:]
             here, there, _ = similar_spans(words[k], words[o])
             if len(here) and len(there):
+                yield int(place[k]), int(place[o]), here
+                if root[k] != root[o]:
+                    root[root == root[k]] = root[o]
                 met = True
-                if x != y:
-                    root[x] = y
-                yield k, o, here
+            if met:
+                rest = rest[root[rest] != root[k]]
+
+
+def dealt(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The surroundings (key, words, class ...), a row for each two blocks (``pair``) of its key that meet, and on which side (``block``) it stands.
+
+    sizes: (key, class, n). A class of over TOGETHER has blocks of its own, which do not meet each other; the small classes of a
+    key share blocks, which meet all. So a class of copies is not copied more often than the others have blocks.
+    """
+    sizes = sizes.withColumn("alone", F.col("n") > TOGETHER).withColumn("owner", F.when(F.col("alone"), F.col("class")).otherwise(F.lit(0)))
+    parts = keep(sizes.groupBy("key", "alone", "owner").agg(F.ceil(F.sum("n") / TOGETHER).cast("int").alias("parts")))
+    of_class = sizes.select("key", "class", "alone", "owner").join(parts, ["key", "alone", "owner"])
+    each = parts.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    x, y = (each.select("key", F.struct("alone", "owner", "part").alias(c)) for c in "xy")
+    unlike = (F.col("x.owner") != F.col("y.owner")) | (F.col("x.alone") != F.col("y.alone")) | ~F.col("x.alone")
+    pairs = keep(x.join(y, "key").filter((F.col("x") <= F.col("y")) & unlike).withColumn("pair", F.xxhash64("x", "y")))
+    meets = pairs.select("key", "x.*", "pair", F.lit(0).alias("block")).unionByName(pairs.filter("x <> y").select("key", "y.*", "pair", F.lit(1).alias("block")))
+    rows = rows.join(of_class, ["key", "class"]).withColumn("part", F.expr("cast(pmod(xxhash64(words), parts) AS int)"))
+    return rows.join(meets, ["key", "alone", "owner", "part"])
 
 
 def resolved(rows: DataFrame) -> DataFrame:
-    """(ENDS, start, end) from surroundings of keys and their number n; those of over TOGETHER are dealt out as pairs of blocks."""
-    parts = F.when(F.col("n") <= TOGETHER, 1).otherwise(F.ceil(F.col("n") * 2 / TOGETHER)).cast("int")
-    rows = rows.withColumn("parts", parts).withColumn("block", F.expr("cast(pmod(xxhash64(words), parts) AS int)"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.withColumn("pair", F.expr("least(block, other) * parts + greatest(block, other)"))
+    """(ENDS, start, end) from surroundings of keys, ``dealt`` out."""
     rows = rows.repartition("key", "pair").sortWithinPartitions("key", "pair", "doc_id", "mark", "lo")  # null ids first
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -680,7 +785,7 @@ def going_on(
 ) -> tuple[DataFrame | None, DataFrame | None, DataFrame | None]:
     """(passages, asks, classes) from keys with a holder that is unlike the one compared with, if all others are of several classes.
 
-    passages: from keys of DEALT surroundings at the most, which end here. asks: (doc_id, mark, asks), see ``joined_keys``: all holders of other keys,
+    passages: from keys with DEALT surroundings outside their largest class at the most, which end here. asks: (doc_id, mark, asks), see ``joined_keys``: all holders of other keys,
     with what goes on into the next round (None: there is none).
     """
     if entries.isEmpty():
@@ -691,10 +796,13 @@ def going_on(
     named = keep(named.withColumn("class", F.coalesce("component", "node")).drop("node", "component"))
     several = keep(named.groupBy("key").agg((F.min("class") != F.max("class")).alias("several")).filter("several").select("key"))
     rows = surroundings(docs, named.join(several, "key", "left_semi"))
-    counts = keep(rows.groupBy("key").agg(F.count("*").alias("n")))
-    near = keep(resolved(rows.join(counts.filter(f"n <= {DEALT}"), "key")))
-    discard(named, several, rows)
-    many = counts.filter(f"n > {DEALT}").select("key")
+    sizes = keep(rows.groupBy("key", "class").agg(F.count("*").alias("n")))
+    # what stands outside a key's largest class decides how often its surroundings are copied
+    counts = keep(sizes.groupBy("key").agg((F.sum("n") - F.max("n")).alias("rest")))
+    few = counts.filter(f"rest <= {DEALT}").select("key")
+    near = keep(resolved(dealt(rows.join(few, "key"), sizes.join(few, "key"))))
+    discard(named, several, rows, sizes)
+    many = counts.filter(f"rest > {DEALT}").select("key")
     if many.isEmpty():
         discard(counts, classes)
         return near, None, None

@@ -243,3 +243,19 @@ def test_blocks_and_rounds_find_the_same(spark, monkeypatch):
     check_by_hand(spark, rows)
     monkeypatch.setattr(passages, "DEALT", 8)  # hotter keys go on in rounds
     check_by_hand(spark, rows)
+
+
+def test_a_large_class_of_copies_needs_no_rounds(spark, monkeypatch):
+    rnd = random.Random(19)
+    fresh = lambda n: [f"w{rnd.randrange(10**7)}" for _ in range(n)]
+    line, same = fresh(30), fresh(60)
+    texts = {k: [*same, *fresh(70), *line, *fresh(70)] for k in range(40)}  # one class, a key with 45 surroundings
+    texts |= {k: [*fresh(70), *line, *fresh(70)] for k in range(50, 54)}
+    edited = texts[5][130:190]
+    texts[60] = [*fresh(30), *edited[:40], "changed", *edited[41:], *fresh(30)]
+    times = []
+    monkeypatch.setattr(passages, "shared_windows", lambda *a, f=passages.shared_windows: times.append(1) or f(*a))
+    monkeypatch.setattr(passages, "TOGETHER", 16)
+    monkeypatch.setattr(passages, "DEALT", 16)
+    got = check_by_hand(spark, [(k, " ".join(w)) for k, w in texts.items()])
+    assert got[60].class_id == 0 and len(times) == 1  # rounds before: more surroundings than DEALT

@@ -55,3 +55,28 @@ def test_groups_are_ruled_out(spark):
     assert share_asked(spark, rows) < 0.2
     rows = [(i, [rnd.gauss(0, 1) for _ in range(16)]) for i in range(1000)]  # nothing to rule groups out by
     assert share_asked(spark, rows) <= 1
+
+
+def test_rows_do_not_grow_with_groups(spark, monkeypatch):
+    """Vectors without structure: every query asks nearly every group, which is no row of any table that is written."""
+    written = []
+    monkeypatch.setattr(voronoi, "keep", lambda df, keep=voronoi.keep: written.append(keep(df)) or written[-1])
+    monkeypatch.setattr(voronoi, "discard", lambda *tables: None, raising=False)
+    rnd = random.Random(6)
+    rows = [(i, [rnd.gauss(0, 1) for _ in range(16)]) for i in range(1000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out, more, groups = voronoi.search(df, F.col("vec_id") % 50 == 0, 5, "vec_id", "embedding")
+    assert sorted(map(tuple, out.collect())) == slow(rows)
+    assert more.count() > 20 * groups / 2 > 2000  # what each query asks
+    assert max(t.count() for t in written) <= len(rows)
+
+
+def test_scores_of_many_units_and_sizes_of_numbers(spark, monkeypatch):
+    monkeypatch.setattr(voronoi, "BLOCK", 20)
+    monkeypatch.setattr(voronoi, "PACK", 3)
+    monkeypatch.setattr(voronoi, "SCORES", 60)
+    rnd = random.Random(7)
+    for scale in (1, 300, 3 * 10**6):  # sums in floats of 32 and 64 bits, and in integers
+        rows = [(i, [float(rnd.randint(-3, 3)) * scale / 2 for _ in range(4)]) for i in range(400)]  # many ties
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        assert sorted(map(tuple, voronoi.top_k(df, F.col("vec_id") % 50 == 0).collect())) == slow(rows)

@@ -36,6 +36,8 @@ SHINGLE, MIN_WORDS, BLOCK, OVERLAP, SIMILAR, CHUNK, PIECE = 5, 50, 1024, 128, 0.
 LEAST = MIN_WORDS - SHINGLE + 1
 #: Shingles that two windows of LEAST shingles each have in common at the least, if they are SIMILAR.
 SHARED = int(np.ceil(LEAST * 2 * SIMILAR / (1 + SIMILAR) - 1e-9))
+#: So many of a window's shingles hold one at the least that any window like it has.
+RARE = LEAST - SHARED + 1
 #: Words of a gram, grams of the least subsequence, hash functions (one is enough: any 25 words in common share their minimum).
 GRAM, SPAN, FUNCTIONS = 13, 13, 1
 #: Words looked at beside a common subsequence, which may lie at the end of a similar window.
@@ -667,13 +669,23 @@ def make_up_passages(mark: np.ndarray) -> np.ndarray:
 def near_enough(one: np.ndarray, others: np.ndarray, local: np.ndarray) -> np.ndarray:
     """Which of the others (numbers of shingles, a row each) may be alike to one: the steps of similar_spans for all of them at once.
 
-    ``local`` has a place for each number and is all -1, before and after.
+    A window of one that another has enough of has one of its RARE rarest shingles in common with it, so only others with such a
+    shingle are looked at. ``local`` has a place for each number and is all -1, before and after.
     """
+    if len(one) < LEAST:
+        return np.empty(0, np.int64)
     different, place = np.unique(one, return_inverse=True)
     local[different] = np.arange(len(different))
-    rows = np.flatnonzero((local[others] >= 0).sum(1) >= SHARED)
-    at = local[others[rows]]
+    at = local[others]
     local[different] = -1
+    often = np.bincount(at.ravel() + 1, minlength=len(different) + 1)[1:]
+    rare = np.argpartition(np.lib.stride_tricks.sliding_window_view(often[place], LEAST), RARE - 1, axis=1)[:, :RARE]
+    chosen = np.zeros(len(different) + 1, bool)
+    chosen[place[rare + np.arange(len(rare))[:, None]]] = True
+    chosen[-1] = False
+    rows = np.flatnonzero(chosen[at].any(1))
+    rows = rows[(at[rows] >= 0).sum(1) >= SHARED]
+    at = at[rows]
     there = in_windows(at >= 0)
     good = np.flatnonzero(make_up_passages(there))
     rows, at, there = rows[good], at[good], there[good]
@@ -713,9 +725,8 @@ def alike_pairs(words: list[np.ndarray], classes: list[int], blocks: list[int])
     local, alike, two = np.full(int(table.max()) + 1, -1, np.int32), np.zeros((len(g), len(g)), bool), len(set(blocks)) > 1
     for k in range(len(g)):
         rest = np.flatnonzero((rank > rank[k]) & (side != side[k]) if two else rank > rank[k])
-        for s in range(0, len(rest), 1024):
-            o = rest[s : s + 1024]
-            o = o[near_enough(table[k, : sizes[k]], table[o], local)]
+        if len(rest):
+            o = rest[near_enough(table[k, : sizes[k]], table[rest], local)]
             alike[np.maximum(k, o), np.minimum(k, o)] = True
     for k in np.flatnonzero(alike.any(1)).tolist():
         rest, met = np.flatnonzero(alike[k]), False

@@ -762,7 +762,9 @@ def dealt(rows: DataFrame, sizes: DataFrame) -> DataFrame:
 
 def resolved(rows: DataFrame) -> DataFrame:
     """(ENDS, start, end) from surroundings of keys, ``dealt`` out."""
-    rows = rows.repartition("key", "pair").sortWithinPartitions("key", "pair", "doc_id", "mark", "lo")  # null ids first
+    # by number, so that few bytes with much to compare are not put into a few tasks
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(n, "key", "pair").sortWithinPartitions("key", "pair", "doc_id", "mark", "lo")  # null ids first
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def compare(group: pd.DataFrame) -> Iterator[tuple]:
